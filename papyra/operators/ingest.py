@@ -135,9 +135,9 @@ def run_summary(outcome: DataFrame) -> DataFrame:
     )
 
 
-def outcome_names(outcome: DataFrame, which: str, name_col: str = "file_name") -> DataFrame:
+def outcome_names(outcome: DataFrame, which: str, name_col: str = "file_name", extra=()) -> DataFrame:
     """The duplicate or unprocessed file names of a run, one per row."""
-    return outcome.filter(F.col("outcome") == which).select(name_col)
+    return outcome.filter(F.col("outcome") == which).select(name_col, *extra)
 
 
 # -- B12 ----------------------------------------------------------------------

@@ -194,3 +194,81 @@ ORACLES["iso_timestamps"] = (
     "SELECT event_id, CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') "
     "ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS created_time, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events")
 ORACLES["request_key"] = "SELECT item_id, sha256(concat_ws('|', text, '5')) AS cache_key FROM benchmark"
+
+# Recursive-CTE chunker over cleaned planted text (prefix sums + as-of joins).
+ORACLES["chunk_text"] = f"""WITH RECURSIVE {PLANTED},
+cl AS (SELECT doc_id, {clean_sql('text')} AS c FROM planted),
+w AS MATERIALIZED (SELECT doc_id, unnest(string_split(c, ' ')) t, generate_subscripts(string_split(c, ' '), 1) - 1 i
+                   FROM cl WHERE c <> ''),
+p AS MATERIALIZED (SELECT doc_id, i, t, sum(length(t) + CASE WHEN i > 0 THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) hi FROM w),
+b AS MATERIALIZED (SELECT doc_id, i, hi, hi - length(t) - CASE WHEN i > 0 THEN 1 ELSE 0 END lo FROM p),
+ends AS MATERIALIZED (SELECT a.doc_id, a.i s, a.lo, x.i + 1 e, x.hi cum_e FROM b a
+                      ASOF JOIN b x ON a.doc_id = x.doc_id AND a.lo + {L.CHUNK_SIZE} >= x.hi),
+nxt AS MATERIALIZED (SELECT n.doc_id, n.s, n.e, greatest(n.s, f.i) s2 FROM (
+    SELECT m.doc_id, m.s, m.e, greatest(m.cum_e - {L.CHUNK_OVERLAP}, q.hi - {L.CHUNK_SIZE}) thr FROM ends m
+    JOIN b q ON q.doc_id = m.doc_id AND q.i = m.e) n
+    ASOF JOIN b f ON n.doc_id = f.doc_id AND n.thr <= f.lo),
+r AS (SELECT doc_id, 0 ci, 0::BIGINT s FROM cl WHERE c <> ''
+      UNION ALL SELECT r.doc_id, ci + 1, s2 FROM r JOIN nxt USING (doc_id, s))
+SELECT r.doc_id, ci AS chunk_index, string_agg(p.t, ' ' ORDER BY p.i) AS chunk_text
+FROM r JOIN ends USING (doc_id, s) JOIN p ON p.doc_id = r.doc_id AND p.i >= r.s AND p.i < ends.e
+GROUP BY 1, 2"""
+
+# C2 / C3
+_CAND = ("cand AS (SELECT doc_id, CASE lang WHEN 'de' THEN NULL WHEN 'fr' THEN '' ELSE text END AS c1, "
+         "concat('[2] ', text) AS c2 FROM documents)")
+ORACLES["first_success_nonempty"] = f"WITH {_CAND} SELECT doc_id, coalesce(nullif(c1, ''), c2) AS text FROM cand"
+ORACLES["first_success"] = f"WITH {_CAND} SELECT doc_id, coalesce(c1, c2) AS text FROM cand"
+
+# Run artifacts: the prior run ingested the labelled documents with an empty ledger.
+_KIND = ("CASE WHEN lower(file_name) LIKE '%.pdf' THEN 'pdf' WHEN lower(file_name) LIKE '%.doc' "
+         "OR lower(file_name) LIKE '%.docx' THEN 'doc' WHEN lower(file_name) LIKE '%.html' THEN 'html' "
+         "ELSE 'unsupported' END")
+_PRIOR = (f"{PLANTED}, prior AS (SELECT doc_id, file_name, text, {_KIND} AS kind FROM planted "
+          "WHERE doc_id IN (SELECT doc_id FROM labels)), "
+          f"prior_kept AS (SELECT doc_id, file_name, md5(text) AS hash_id, {clean_sql('text')} AS content "
+          "FROM prior WHERE kind <> 'unsupported' AND text IS NOT NULL)")
+_CUR = ("led AS (SELECT DISTINCT md5(text) AS hash_id FROM planted WHERE doc_id IN (SELECT doc_id FROM labels)), "
+        f"cur AS (SELECT doc_id, file_name, text, {_KIND} AS kind, "
+        f"CASE WHEN {_KIND} <> 'unsupported' AND text IS NOT NULL THEN md5(text) END AS hash_id FROM planted), "
+        "cur_o AS (SELECT *, CASE WHEN hash_id IS NULL THEN 'unprocessed' WHEN hash_id IN (SELECT hash_id FROM led) "
+        "THEN 'duplicate' ELSE 'kept' END AS outcome FROM cur), "
+        f"kept AS (SELECT file_name AS key, hash_id, {clean_sql('text')} AS content FROM cur_o WHERE outcome = 'kept')")
+ORACLES["read_docmap"] = (
+    f"WITH {PLANTED}, {_CUR} SELECT key, content, hash_id, {IS_RESUME_V1} AS is_resume, "
+    f"{_list_str(f'regexp_extract_all(content, {chr(39)}{_sq(L.EMAIL_PATTERN)}{chr(39)})')} AS emails, "
+    f"{phones_sql('content')} AS phone_numbers FROM kept")
+ORACLES["exclude_html_keys"] = f"WITH {PLANTED}, {_CUR} SELECT key FROM kept WHERE NOT contains(key, '.html')"
+ORACLES["project_defaults"] = (f"WITH {PLANTED}, {_CUR} SELECT key, coalesce(content, '') AS content, "
+                               "coalesce(hash_id, '') AS hash_id FROM kept WHERE NOT contains(key, '.html')")
+ORACLES["resume_only"] = (f"WITH {PLANTED}, {_CUR} SELECT key, hash_id FROM kept "
+                          f"WHERE NOT contains(key, '.html') AND {IS_RESUME_V1}")
+ORACLES["read_hash_ledger"] = (
+    f"WITH {_PRIOR} SELECT file_name, hash_id, CASE WHEN {IS_RESUME_V1} THEN 'True' ELSE 'False' END "
+    "AS is_resume FROM prior_kept")
+ORACLES["distinct_hashes"] = f"WITH {_PRIOR} SELECT DISTINCT hash_id FROM prior_kept"
+ORACLES["union_ledgers"] = (f"WITH {_PRIOR}, {_CUR} SELECT hash_id FROM prior_kept UNION "
+                            "SELECT hash_id FROM kept")
+_SUCCESS = (f"{NAMED}, ok AS (SELECT DISTINCT file_name AS document_name FROM named JOIN labels USING (doc_id) "
+            "WHERE quality = 1)")
+ORACLES["read_success_ledger"] = f"WITH {_SUCCESS} SELECT document_name FROM ok"
+ORACLES["pending_documents"] = (f"WITH {_SUCCESS} SELECT doc_id, file_name AS document_name FROM named "
+                                "WHERE file_name NOT IN (SELECT document_name FROM ok)")
+ORACLES["pending_files"] = (
+    f"WITH {NAMED} SELECT doc_id, file_name || '.npz' AS file_name FROM named WHERE doc_id NOT IN "
+    "(SELECT doc_id FROM labels WHERE toxic = 0)")
+ORACLES["merge_duplicates"] = (
+    f"WITH {PLANTED}, {_CUR}, bo AS (SELECT file_name, outcome, CAST(floor((row_number() OVER "
+    "(ORDER BY file_name) - 1) / 100) + 1 AS BIGINT) AS batch_index FROM cur_o) "
+    "SELECT file_name, batch_index, outcome AS list FROM bo WHERE outcome IN ('duplicate', 'unprocessed')")
+ORACLES["row_counts_per_file"] = (
+    f"WITH {_PRIOR}, pb AS (SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY file_name) - 1) / 100) + 1 "
+    "AS BIGINT) AS batch_index FROM prior), "
+    "per AS (SELECT batch_index, count(*) AS rows FROM prior_kept JOIN pb USING (doc_id) GROUP BY 1) "
+    "SELECT batch_index, CAST(rows AS BIGINT) AS rows, CAST(1 AS BIGINT) AS files FROM per "
+    "UNION ALL SELECT NULL, CAST(sum(rows) AS BIGINT), CAST(count(*) AS BIGINT) FROM per")
+ORACLES["scan_allowlist"] = (f"WITH {NAMED} SELECT doc_id, file_name FROM named "
+                             "WHERE doc_id IN (SELECT doc_id FROM labels)")
+ORACLES["assemble_pages"] = ("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text "
+                             "FROM conversations GROUP BY conv_id")

@@ -197,3 +197,134 @@ def q_iso_timestamps(spark, sf_dir):
 def q_request_key(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     return b.select("item_id", N.request_key(F.col("text"), F.lit(5)).alias("cache_key"))
+
+
+# ------------------------------------------------------------ chunking
+from papyra.operators import chunking as CH  # noqa: E402
+
+
+@register("chunk_text")
+def q_chunk_text(spark, sf_dir):
+    return CH.chunk_documents(_cleaned(spark, sf_dir), "content", ["doc_id"])
+
+
+# ------------------------------------------------------------ routing (2.3)
+from papyra.operators import routing as R  # noqa: E402
+from papyra.operators import ledger as LG  # noqa: E402
+from papyra.operators import pages as PG  # noqa: E402
+from papyra.plans import artifacts as A  # noqa: E402
+from papyra.sources import readers as SR  # noqa: E402
+
+CANDIDATES = ["doc_id",
+              "CASE lang WHEN 'de' THEN NULL WHEN 'fr' THEN '' ELSE text END AS c1",
+              "concat('[2] ', text) AS c2"]
+
+
+@register("first_success_nonempty")
+def q_first_success_nonempty(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").selectExpr(*CANDIDATES)
+    return c.select("doc_id", R.first_success_nonempty("c1", "c2").alias("text"))
+
+
+@register("first_success")
+def q_first_success(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").selectExpr(*CANDIDATES)
+    return c.select("doc_id", R.first_success("c1", "c2").alias("text"))
+
+
+def _docmap(spark, sf_dir):
+    return SR.read_docmap(spark, A.artifacts(spark, sf_dir)["docmap"])
+
+
+@register("read_docmap")
+def q_read_docmap(spark, sf_dir):
+    d = _docmap(spark, sf_dir)
+    return d.select("key", "content", "hash_id", "is_resume",
+                    F.array_join("contact_info.emails", "|").alias("emails"),
+                    T.phones_as_text(F.col("contact_info.phone_numbers")).alias("phone_numbers"))
+
+
+@register("exclude_html_keys")
+def q_exclude_html_keys(spark, sf_dir):
+    return R.exclude_html_keys(_docmap(spark, sf_dir)).select("key")
+
+
+@register("project_defaults")
+def q_project_defaults(spark, sf_dir):
+    return R.project_defaults(R.exclude_html_keys(_docmap(spark, sf_dir)))
+
+
+@register("resume_only")
+def q_resume_only(spark, sf_dir):
+    return R.resume_only(R.exclude_html_keys(_docmap(spark, sf_dir))).select("key", "hash_id")
+
+
+# ------------------------------------------------------------ ledgers
+@register("read_hash_ledger")
+def q_read_hash_ledger(spark, sf_dir):
+    rows = SR.read_hash_ledger_rows(spark, A.artifacts(spark, sf_dir)["hash_ledger"])
+    return rows.select(F.col("Filename").alias("file_name"), F.col("Hash ID").alias("hash_id"),
+                       F.col("Is Resume").alias("is_resume"))
+
+
+@register("distinct_hashes")
+def q_distinct_hashes(spark, sf_dir):
+    return LG.distinct_hashes(SR.read_hash_ledger(spark, A.artifacts(spark, sf_dir)["hash_ledger"]))
+
+
+@register("union_ledgers")
+def q_union_ledgers(spark, sf_dir):
+    known = SR.read_hash_ledger(spark, A.artifacts(spark, sf_dir)["hash_ledger"])
+    new = A.current_outcome(spark, sf_dir).filter(F.col("outcome") == "kept")
+    return LG.union_ledgers(known, new)
+
+
+@register("read_success_ledger")
+def q_read_success_ledger(spark, sf_dir):
+    return SR.read_success_ledger(spark, A.artifacts(spark, sf_dir)["status"])
+
+
+@register("pending_documents")
+def q_pending_documents(spark, sf_dir):
+    docs = X.docs_named(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("file_name").alias("document_name"))
+    done = SR.read_success_ledger(spark, A.artifacts(spark, sf_dir)["status"])
+    return LG.pending_documents(docs, done)
+
+
+@register("pending_files")
+def q_pending_files(spark, sf_dir):
+    files = X.docs_named(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.concat("file_name", F.lit(".npz")).alias("file_name"))
+    processed = SR.read_line_list(spark, A.artifacts(spark, sf_dir)["processed"], "file_name")
+    return LG.pending_files(files, processed)
+
+
+@register("merge_duplicates")
+def q_merge_duplicates(spark, sf_dir):
+    o = I.assign_batches(A.current_outcome(spark, sf_dir).select("file_name", "outcome"), ["file_name"], 100)
+    dups = I.outcome_names(o, I.DUPLICATE, extra=["batch_index"]).withColumn("list", F.lit("duplicate"))
+    unp = I.outcome_names(o, I.UNPROCESSED, extra=["batch_index"]).withColumn("list", F.lit("unprocessed"))
+    return LG.merge_lists(dups, unp)
+
+
+@register("row_counts_per_file")
+def q_row_counts_per_file(spark, sf_dir):
+    counts = SR.csv_row_counts(spark, A.artifacts(spark, sf_dir)["hash_ledger"])
+    batch = F.regexp_extract("path", r"batch_index=(\d+)", 1)
+    return counts.select(F.when(F.col("path").isNotNull(), batch.cast("long")).alias("batch_index"),
+                         "rows", "files")
+
+
+@register("scan_allowlist")
+def q_scan_allowlist(spark, sf_dir):
+    files = X.docs_named(table(spark, sf_dir, "documents")).select("doc_id", "file_name")
+    allow = files.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("file_name")
+    return SR.scan_allowlist(files, allow)
+
+
+# ------------------------------------------------------------ pages
+@register("assemble_pages")
+def q_assemble_pages(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return PG.assemble_pages(c, "conv_id", "turn", "text", "\n")
