@@ -37,9 +37,9 @@ def project_defaults(df: DataFrame, cols=("key", "content", "hash_id"), key_col:
     return df.select(*[F.col(c) if c == key_col else F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols])
 
 
-def project_hits(hits: DataFrame) -> DataFrame:
+def project_hits(hits: DataFrame, keep=()) -> DataFrame:
     """Payload fields and score of search hits."""
-    return hits.select("payload.text_id", "payload.text", "payload.document_name", "score")
+    return hits.select(*keep, "payload.text_id", "payload.text", "payload.document_name", "score")
 
 
 def split_by_dim(points: DataFrame, dim: int, vector_col: str = "vector") -> tuple[DataFrame, DataFrame]:

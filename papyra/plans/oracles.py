@@ -176,8 +176,10 @@ ORACLES["batch_counters"] = (
     "count(*) FILTER (WHERE outcome = 'duplicate') AS duplicates, "
     "count(*) FILTER (WHERE outcome = 'kept' AND is_resume) AS resumes, "
     "count(*) FILTER (WHERE outcome = 'unprocessed') AS unprocessed FROM b GROUP BY 1) "
-    "SELECT *, sum(files) OVER w AS total_files, sum(duplicates) OVER w AS total_duplicates, "
-    "sum(resumes) OVER w AS total_resumes, sum(unprocessed) OVER w AS total_unprocessed FROM per "
+    "SELECT *, CAST(sum(files) OVER w AS BIGINT) AS total_files, "
+    "CAST(sum(duplicates) OVER w AS BIGINT) AS total_duplicates, "
+    "CAST(sum(resumes) OVER w AS BIGINT) AS total_resumes, "
+    "CAST(sum(unprocessed) OVER w AS BIGINT) AS total_unprocessed FROM per "
     "WINDOW w AS (ORDER BY batch_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 
 # D14-D19
@@ -272,3 +274,47 @@ ORACLES["scan_allowlist"] = (f"WITH {NAMED} SELECT doc_id, file_name FROM named
                              "WHERE doc_id IN (SELECT doc_id FROM labels)")
 ORACLES["assemble_pages"] = ("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text "
                              "FROM conversations GROUP BY conv_id")
+
+# Vectors: label centroids are the query set; cosine in double, rounded to 6.
+_CENT = ("c AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, "
+         "generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i), "
+         "q AS (SELECT label AS query_id, list(m ORDER BY i) AS qv FROM c GROUP BY label)")
+ORACLES["cosine_similarity"] = (
+    f"WITH {_CENT} SELECT e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.qv), 6) AS score "
+    "FROM embeddings e JOIN q ON e.label = q.query_id")
+ORACLES["l2_normalize"] = (
+    "SELECT vec_id, CASE WHEN sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) > 0 "
+    "THEN list_transform(embedding, lambda x: round(((x::DOUBLE / sqrt(list_sum(list_transform(embedding, "
+    "lambda y: y::DOUBLE * y::DOUBLE))))::FLOAT)::DOUBLE, 6)) END AS vector FROM embeddings")
+ORACLES["validate_vector_dim"] = (
+    "SELECT vec_id, (embedding IS NOT NULL AND len(embedding) = 64 AND "
+    "len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0) AS valid FROM embeddings")
+ORACLES["vector_topk"] = (
+    "WITH c AS (SELECT i, avg(x::DOUBLE) AS m FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) "
+    "AS i FROM embeddings) GROUP BY i), q AS (SELECT list(m ORDER BY i) AS qv FROM c), "
+    "s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.qv), 6) AS score FROM embeddings, q) "
+    "SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 5")
+_TOPK = (f"WITH {_CENT}, s AS (SELECT q.query_id, e.vec_id, "
+         "round(list_cosine_similarity(e.embedding::DOUBLE[], q.qv), 6) AS score FROM embeddings e, q), "
+         "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) ")
+ORACLES["vector_topk_batch"] = _TOPK + "SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5"
+_PTS = (f"{NAMED}, pts AS (SELECT e.vec_id, e.label, e.embedding, n.file_name || '.npz' AS document_name, "
+        "sha256(concat_ws(chr(1), n.file_name || '.npz', '0')) AS id FROM embeddings e "
+        "JOIN named n ON e.vec_id = n.doc_id)")
+ORACLES["project_hits"] = (
+    f"WITH {_PTS}, c AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, "
+    "generate_subscripts(embedding, 1) AS i FROM pts) GROUP BY label, i), "
+    "q AS (SELECT label AS query_id, list(m ORDER BY i) AS qv FROM c GROUP BY label), "
+    "s AS (SELECT q.query_id, p.id, p.document_name, round(list_cosine_similarity(p.embedding::DOUBLE[], q.qv), 6) "
+    "AS score FROM pts p, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) "
+    "AS rank FROM s) SELECT query_id, id AS text_id, CAST(NULL AS VARCHAR) AS text, document_name, score "
+    "FROM r WHERE rank <= 5")
+_NORMV = ("list_transform(embedding, lambda x: round(((x::DOUBLE / sqrt(list_sum(list_transform(embedding, "
+          "lambda y: y::DOUBLE * y::DOUBLE))))::FLOAT)::DOUBLE, 6))")
+ORACLES["upsert_points"] = (
+    f"WITH {_PTS} SELECT vec_id, CASE WHEN vec_id IN (SELECT doc_id FROM labels) THEN {_NORMV} "
+    "ELSE list_transform(embedding, lambda x: round(x::DOUBLE, 6)) END AS vector FROM pts")
+ORACLES["delete_points"] = (f"WITH {_PTS} SELECT vec_id FROM pts WHERE vec_id NOT IN "
+                            "(SELECT doc_id FROM labels WHERE toxic = 1)")
+ORACLES["read_vectors"] = (f"WITH {_PTS} SELECT document_name, list_transform(embedding, lambda x: "
+                           "round(x::DOUBLE, 6)) AS vector FROM pts")

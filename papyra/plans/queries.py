@@ -328,3 +328,127 @@ def q_scan_allowlist(spark, sf_dir):
 def q_assemble_pages(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return PG.assemble_pages(c, "conv_id", "turn", "text", "\n")
+
+
+# ------------------------------------------------------------ vectors (2.6, 2.9)
+from papyra.functions import vectors as V  # noqa: E402
+from papyra.operators import vectors as VO  # noqa: E402
+from papyra.sinks import writers as W  # noqa: E402
+from papyra.session import scratch_dir  # noqa: E402
+
+
+def centroids(emb: DataFrame, group_col: str = "label", vec_col: str = "embedding") -> DataFrame:
+    """Mean vector per group: a partial (map-side) average per (group, position)."""
+    e = emb.select(group_col, F.posexplode(vec_col).alias("i", "x"))
+    m = e.groupBy(group_col, "i").agg(F.avg("x").alias("m"))
+    return (m.groupBy(group_col)
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector")))
+
+
+def _round_vec(col):
+    return F.transform(col, lambda x: F.round(x.cast("double"), 6))
+
+
+@register("cosine_similarity")
+def q_cosine_similarity(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    c = centroids(emb).withColumnRenamed("vector", "centroid")
+    j = emb.join(c, "label")
+    return j.select("vec_id", "label", F.round(V.cosine_similarity("embedding", "centroid"), 6).alias("score"))
+
+
+@register("l2_normalize")
+def q_l2_normalize(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    return emb.select("vec_id", _round_vec(V.l2_normalize("embedding")).alias("vector"))
+
+
+@register("validate_vector_dim")
+def q_validate_vector_dim(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    ok, bad = R.split_by_dim(emb, 64)
+    return ok.select("vec_id", F.lit(True).alias("valid")).unionByName(
+        bad.select("vec_id", F.lit(False).alias("valid")))
+
+
+def _corpus(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"),
+                                                      "label")
+
+
+@register("vector_topk")
+def q_vector_topk(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    # The query is the corpus mean direction: one vector of `dim` floats.
+    mean = centroids(corpus.withColumn("g", F.lit(0)), "g", "vector").first()["vector"]
+    top = VO.topk_single(corpus, mean, 5)
+    return top.select(F.col("id").alias("vec_id"), "score")
+
+
+@register("vector_topk_batch")
+def q_vector_topk_batch(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    queries = centroids(corpus, "label", "vector").withColumnRenamed("label", "query_id")
+    top = VO.exact_topk(corpus, queries, 5)
+    return top.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _points(spark, sf_dir):
+    """Each embedding is the vector of chunk 0 of the document with the same id."""
+    emb = table(spark, sf_dir, "embeddings")
+    docs = X.docs_named(table(spark, sf_dir, "documents")).select("doc_id", "file_name")
+    j = emb.join(docs, emb["vec_id"] == docs["doc_id"])
+    j = j.select("vec_id", "label", F.concat("file_name", F.lit(".npz")).alias("document_name"),
+                 F.lit(0).alias("chunk_index"), "embedding")
+    return VO.to_points(j, "document_name", "chunk_index", "embedding").join(
+        j.select(N.point_id("document_name", "chunk_index").alias("id"), "vec_id", "label"), "id")
+
+
+@register("project_hits")
+def q_project_hits(spark, sf_dir):
+    pts = _points(spark, sf_dir)
+    queries = centroids(pts, "label", "vector").withColumnRenamed("label", "query_id")
+    hits = VO.exact_topk(pts, queries, 5, carry=("payload",))
+    return R.project_hits(hits, keep=("query_id",))
+
+
+@register("upsert_points")
+def q_upsert_points(spark, sf_dir):
+    pts = _points(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"))
+    new = (pts.join(lab, "vec_id", "left_semi")
+              .withColumn("vector", V.l2_normalize("vector")))
+    cur = pts
+    out = VO.upsert_points(cur.select("id", "vector", "payload", "vec_id"),
+                           new.select("id", "vector", "payload", "vec_id"))
+    return out.select("vec_id", _round_vec(F.col("vector")).alias("vector"))
+
+
+@register("delete_points")
+def q_delete_points(spark, sf_dir):
+    pts = _points(spark, sf_dir)
+    toxic = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("vec_id"))
+    ids = pts.join(toxic, "vec_id", "left_semi").select("id")
+    return VO.delete_points(pts, ids).select("vec_id")
+
+
+@register("shard_layout")
+def q_shard_layout(spark, sf_dir):
+    pts = _points(spark, sf_dir)
+    return VO.shard_layout(pts).select("vec_id", "shard")
+
+
+@register("read_vectors")
+def q_read_vectors(spark, sf_dir):
+    path = scratch_dir(spark, "points")
+    W.write_vectors(_points(spark, sf_dir).select("id", "vector", "payload"), path)
+    back = SR.read_vectors(spark, path)
+    return back.select("payload.document_name", _round_vec(F.col("vector")).alias("vector"))
+
+
+@register("approx_vector_topk")
+def q_approx_vector_topk(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    queries = centroids(corpus, "label", "vector").withColumnRenamed("label", "query_id")
+    top = VO.approx_topk(corpus, queries, 5)
+    return top.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
