@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from papyra import lexicons as L
 from papyra.functions.names import point_id
 from papyra.functions.vectors import cosine_similarity, l2_normalize
-from papyra.session import BroadcastTooLarge, bounded_rows
+from papyra.session import BroadcastTooLarge
 
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -75,15 +75,34 @@ def _scorer(bq, k: int, id_col: str, vec_col: str, carry: list[str]):
     return run
 
 
-def _query_block(queries: DataFrame, dim_check: int | None):
-    rows = queries.collect()                 # caller has bounded the block size
+def _as_block(rows):
     qids = np.array([r[0] for r in rows], dtype=object)
     mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]).reshape(len(rows), -1)
-    if dim_check is not None and mat.shape[1] not in (0, dim_check):
-        raise ValueError(f"query dimension {mat.shape[1]} != {dim_check}")
     return qids, _unit_rows(mat)
 
 
+def _blocks(spark, q: DataFrame, max_block: int):
+    """Query blocks to broadcast, each checked against the row and byte bounds.
+
+    One bounded collect serves the common case; only a query set above the
+    bound is counted and split into hash blocks (one corpus pass per block).
+    """
+    rows = q.limit(max_block + 1).collect()
+    dim = len(rows[0][1]) if rows and rows[0][1] is not None else 0
+    cap = max(1, min(max_block, MAX_BROADCAST_BYTES // max(8 * dim, 1)))
+    if len(rows) <= cap:
+        return [spark.sparkContext.broadcast(_as_block(rows))]
+    n_blocks = math.ceil(q.count() / cap)
+    out = []
+    for b in range(n_blocks):
+        block = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
+        got = block.limit(2 * cap + 1).collect()
+        if len(got) > 2 * cap:
+            raise BroadcastTooLarge("query hash block above twice the bound; lower max_block")
+        out.append(spark.sparkContext.broadcast(_as_block(got)))
+    return out
+
+
 def exact_topk(corpus: DataFrame, queries: DataFrame, k: int = L.SEARCH_LIMIT, *,
                id_col: str = "id", vector_col: str = "vector", carry: tuple[str, ...] = (),
                query_id_col: str = "query_id", query_vector_col: str = "vector",
@@ -91,26 +110,14 @@ def exact_topk(corpus: DataFrame, queries: DataFrame, k: int = L.SEARCH_LIMIT, *
     """The k most cosine-similar corpus rows per query (query_id, id, score, rank, carry...)."""
     spark = corpus.sparkSession
     q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vector_col).alias("qv"))
-    n = q.count()
-    sample = q.select(F.size("qv")).limit(1).collect()
-    dim = int(sample[0][0]) if sample else 0
-    per_block = max(1, min(max_block, MAX_BROADCAST_BYTES // max(8 * dim, 1)))
-    n_blocks = max(1, math.ceil(n / per_block))
     qid_type = q.schema["query_id"].dataType
     id_type = corpus.schema[id_col].dataType
     out_schema = T.StructType([T.StructField(id_col, id_type)]
                               + [corpus.schema[c] for c in carry]
                               + [T.StructField("query_id", qid_type), T.StructField("score", T.DoubleType())])
     base = corpus.select(id_col, vector_col, *carry)
-    parts = []
-    for b in range(n_blocks):
-        block = q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        try:
-            bounded_rows(block, 2 * per_block)
-        except BroadcastTooLarge:
-            raise BroadcastTooLarge("query hash block unexpectedly large; raise max_block") from None
-        bq = spark.sparkContext.broadcast(_query_block(block, dim))
-        parts.append(base.mapInPandas(_scorer(bq, k, id_col, vector_col, list(carry)), out_schema))
+    parts = [base.mapInPandas(_scorer(bq, k, id_col, vector_col, list(carry)), out_schema)
+             for bq in _blocks(spark, q, max_block)]
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)

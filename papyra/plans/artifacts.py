@@ -49,13 +49,17 @@ def artifacts(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     if key in _CACHE:
         return _CACHE[key]
     root = scratch_dir(spark, "artifacts")
-    paths = {"hash_ledger": f"{root}/csv", "docmap": f"{root}/json",
+    paths = {"hash_ledger": f"{root}/csv", "docmaps": f"{root}/json", "docmap": f"{root}/json/run=0002",
+             "prior_docmap": f"{root}/json/run=0001",
              "status": f"{root}/embedding_tracking", "processed": f"{root}/processed_files"}
     prior = I.assign_batches(prior_outcome(spark, sf_dir), ["file_name"], FLUSH)
     W.write_hash_ledger(prior, paths["hash_ledger"], "batch_index", mode="overwrite")
+    no_time = F.lit(None).cast("string")
+    W.write_docmap(prior.filter(F.col("outcome") == "kept").withColumn("created_time", no_time),
+                   paths["prior_docmap"])
     cur = I.assign_batches(current_outcome(spark, sf_dir).filter(F.col("outcome") == "kept"),
                            ["file_name"], FLUSH)
-    W.write_docmap(cur.withColumn("created_time", F.lit(None).cast("string")), paths["docmap"])
+    W.write_docmap(cur.withColumn("created_time", no_time), paths["docmap"])
     W.append_status_ledger(status_rows(spark, sf_dir), paths["status"])
     lab = table(spark, sf_dir, "labels").filter(F.col("toxic") == 0).select("doc_id")
     done = (X.docs_named(table(spark, sf_dir, "documents")).join(lab, "doc_id", "left_semi")

@@ -318,3 +318,126 @@ ORACLES["delete_points"] = (f"WITH {_PTS} SELECT vec_id FROM pts WHERE vec_id NO
                             "(SELECT doc_id FROM labels WHERE toxic = 1)")
 ORACLES["read_vectors"] = (f"WITH {_PTS} SELECT document_name, list_transform(embedding, lambda x: "
                            "round(x::DOUBLE, 6)) AS vector FROM pts")
+
+# ------------------------------------------------------------------ search
+def _emb(bk: str, dim: int = 64) -> str:
+    return f"list_transform(range({dim}), lambda i: len(list_filter({bk}, lambda b: b = i))::FLOAT)"
+
+
+def _buckets(text: str, dim: int = 64) -> str:
+    return (f"list_transform(string_split(lower({text}), ' '), "
+            f"lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim})")
+
+
+_TERMS = r"list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}]+'))"
+
+
+def _cov(q: str, d: str) -> str:
+    return f"(CASE WHEN len({q}) > 0 THEN len(list_intersect({q}, {d})) / len({q}) ELSE 0.0 END)"
+
+
+_RES_CHUNKS = f"""res AS (SELECT key, content FROM kept WHERE NOT contains(key, '.html') AND {IS_RESUME_V1}),
+w AS MATERIALIZED (SELECT key AS doc_id, unnest(string_split(content, ' ')) t,
+                   generate_subscripts(string_split(content, ' '), 1) - 1 i FROM res WHERE content <> ''),
+p AS MATERIALIZED (SELECT doc_id, i, t, sum(length(t) + CASE WHEN i > 0 THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) hi FROM w),
+b AS MATERIALIZED (SELECT doc_id, i, hi, hi - length(t) - CASE WHEN i > 0 THEN 1 ELSE 0 END lo FROM p),
+ends AS MATERIALIZED (SELECT a.doc_id, a.i s, a.lo, x.i + 1 e, x.hi cum_e FROM b a
+                      ASOF JOIN b x ON a.doc_id = x.doc_id AND a.lo + {L.CHUNK_SIZE} >= x.hi),
+nxt AS MATERIALIZED (SELECT n.doc_id, n.s, n.e, greatest(n.s, f.i) s2 FROM (
+    SELECT m.doc_id, m.s, m.e, greatest(m.cum_e - {L.CHUNK_OVERLAP}, q.hi - {L.CHUNK_SIZE}) thr FROM ends m
+    JOIN b q ON q.doc_id = m.doc_id AND q.i = m.e) n
+    ASOF JOIN b f ON n.doc_id = f.doc_id AND n.thr <= f.lo),
+r AS (SELECT key AS doc_id, 0 ci, 0::BIGINT s FROM res WHERE content <> ''
+      UNION ALL SELECT r.doc_id, ci + 1, s2 FROM r JOIN nxt USING (doc_id, s)),
+ch AS (SELECT r.doc_id AS key, ci AS chunk_index, string_agg(p.t, ' ' ORDER BY p.i) AS chunk_text
+       FROM r JOIN ends USING (doc_id, s) JOIN p ON p.doc_id = r.doc_id AND p.i >= r.s AND p.i < ends.e
+       GROUP BY 1, 2),
+pv AS (SELECT key, chunk_index, sha256(concat_ws(chr(1), key || '.npz', CAST(chunk_index AS VARCHAR))) AS text_id,
+       {_buckets('chunk_text')} AS bk FROM ch)"""
+
+_SEARCH = f"""WITH RECURSIVE {PLANTED}, {_CUR}, {_RES_CHUNKS},
+jq AS (SELECT item_id AS query_id, {clean_sql('text')} AS jt FROM benchmark),
+qv AS (SELECT query_id, jt, {_buckets('jt')} AS bk FROM jq),
+s AS (SELECT qv.query_id, pv.key, pv.text_id,
+      round(list_cosine_similarity({_emb('pv.bk')}::DOUBLE[], {_emb('qv.bk')}::DOUBLE[]), 6) AS score FROM pv, qv),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, text_id) AS rank
+        FROM s WHERE score IS NOT NULL AND NOT isnan(score)) WHERE rank <= 5),
+req AS (SELECT query_id, jt, regexp_split_to_array(jt, '[.!?]') AS sents FROM jq),
+reqt AS (SELECT query_id, jt, {_TERMS.format(x='sents[1]')} AS sk, {_TERMS.format(x='sents[2]')} AS ex,
+         {_TERMS.format(x='sents[3]')} AS pr, {_TERMS.format(x='sents[4]')} AS ed FROM req),
+hit AS (SELECT top.*, res.content, {_TERMS.format(x='res.content')} AS dt FROM top JOIN res USING (key)),
+sc AS (SELECT hit.*, reqt.jt, reqt.sk, reqt.ex, reqt.pr, reqt.ed,
+       {_cov('reqt.sk', 'dt')} AS c_sk, {_cov('reqt.ex', 'dt')} AS c_ex,
+       {_cov('reqt.pr', 'dt')} AS c_pr, {_cov('reqt.ed', 'dt')} AS c_ed FROM hit JOIN reqt USING (query_id)),
+sc2 AS (SELECT *, (0.4::DOUBLE * c_sk + 0.3::DOUBLE * c_ex + 0.2::DOUBLE * c_pr + 0.1::DOUBLE * c_ed) * 100.0::DOUBLE
+        AS raw_score FROM sc),
+fin AS (SELECT *, round(raw_score, 6) AS match_score FROM sc2)"""
+
+ORACLES["embed_text"] = (f"WITH RECURSIVE {PLANTED}, {_CUR}, {_RES_CHUNKS} "
+                         f"SELECT key, chunk_index, {_emb('bk')} AS vector FROM pv")
+ORACLES["vectors_per_document"] = (
+    f"WITH RECURSIVE {PLANTED}, {_CUR}, {_RES_CHUNKS} SELECT key || '.npz' AS document_name, "
+    f"CAST(count(*) AS BIGINT) AS n_vectors, list(list_transform({_emb('bk')}, lambda x: round(x::DOUBLE, 6)) "
+    "ORDER BY chunk_index) AS vectors FROM pv GROUP BY key")
+# Index over both runs: the prior run's kept files (batches over all its files) and the current run's.
+ORACLES["build_index"] = (
+    f"WITH {_PRIOR}, {_CUR}, pb AS (SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY file_name) - 1) / 100) "
+    "+ 1 AS BIGINT) AS batch_index FROM prior), "
+    "l1 AS (SELECT file_name AS document_name, 1 AS run, batch_index FROM prior_kept JOIN pb USING (doc_id)), "
+    "l2 AS (SELECT key AS document_name, 2 AS run, CAST(floor((row_number() OVER (ORDER BY key) - 1) / 100) + 1 "
+    "AS BIGINT) AS batch_index FROM kept), u AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2) "
+    "SELECT document_name, CAST(max(run) AS BIGINT) AS run, "
+    "CAST(arg_max(batch_index, run * 1000000 + batch_index) AS BIGINT) AS batch_index FROM u GROUP BY 1")
+_B2 = ("kb AS (SELECT key, CAST(floor((row_number() OVER (ORDER BY key) - 1) / 100) + 1 AS BIGINT) AS batch_index "
+       "FROM kept)")
+ORACLES["hits_to_index"] = (
+    _SEARCH + f", {_B2} SELECT query_id, key AS document_name, text_id, score, CAST(rank AS BIGINT) AS rank, "
+    "CAST(2 AS BIGINT) AS run, batch_index FROM top JOIN kb USING (key)")
+ORACLES["index_to_content"] = (
+    _SEARCH + " SELECT query_id, key AS document_name, text_id, score, length(content) AS content_chars, "
+    "md5(content) AS content_md5 FROM hit WHERE content IS NOT NULL AND length(content) > 0")
+ORACLES["existing_files_semi"] = _SEARCH + " SELECT query_id, key AS document_name, text_id FROM hit"
+ORACLES["weighted_match_score"] = _SEARCH + " SELECT query_id, text_id, match_score FROM fin"
+ORACLES["search_ranked"] = (
+    _SEARCH + " SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, "
+    "score DESC, text_id) AS BIGINT) AS match_rank, key AS document_name, text_id, score, match_score FROM fin")
+_PROMPT = ("printf('Analyze and quantify the relevance between the provided job description and candidate''s "
+           "resume.' || chr(10) || chr(10) || 'Job Description: %s' || chr(10) || 'Resume: %s' || chr(10), "
+           "jt, content)")
+ORACLES["build_prompts"] = (_SEARCH + f" SELECT query_id, text_id, length({_PROMPT}) AS prompt_chars, "
+                            f"md5({_PROMPT}) AS prompt_md5 FROM fin")
+_ANA = (_SEARCH + f", an AS (SELECT *, length(content) > 12000 AS parse_error, "
+        "printf('%d%%', CAST(round(raw_score) AS INTEGER)) AS overall, "
+        "CASE WHEN c_ex >= 0.5 THEN 'High' WHEN c_ex >= 0.2 THEN 'Medium' ELSE 'Low' END AS quality FROM fin)")
+ORACLES["parse_match_json"] = (
+    _ANA + " SELECT query_id, text_id, parse_error, CASE WHEN NOT parse_error THEN overall END AS overall_match_score, "
+    "CASE WHEN NOT parse_error THEN quality END AS experience_quality FROM an")
+ORACLES["overall_score_numeric"] = (
+    _ANA + " SELECT query_id, text_id, CASE WHEN parse_error THEN 0.0 ELSE CAST(round(raw_score) AS INTEGER)::DOUBLE "
+    "END AS overall_score FROM an")
+ORACLES["rank_by_match"] = (
+    _ANA + ", o AS (SELECT *, CASE WHEN parse_error THEN 0.0 ELSE CAST(round(raw_score) AS INTEGER)::DOUBLE END "
+    "AS overall_score FROM an) SELECT query_id, text_id, overall_score, CAST(row_number() OVER (PARTITION BY query_id "
+    "ORDER BY overall_score DESC, score DESC, text_id) AS BIGINT) AS match_rank FROM o")
+_PCT = "printf('%d%%', CAST(round({x} * 100) AS INTEGER))"
+ORACLES["skill_rows"] = (
+    _ANA + " SELECT query_id, text_id, 'Technical Skills' AS skill_type, " + _PCT.format(x="c_sk") + " AS match "
+    "FROM an WHERE NOT parse_error UNION ALL SELECT query_id, text_id, 'Soft Skills', " + _PCT.format(x="c_ex")
+    + " FROM an WHERE NOT parse_error UNION ALL SELECT query_id, text_id, 'Certifications', "
+    + _PCT.format(x="c_ed") + " FROM an WHERE NOT parse_error")
+ORACLES["project_rows"] = (
+    _ANA + ", pj AS (SELECT query_id, text_id, c_pr, unnest(list_sort(list_intersect(pr, dt))[1:3]) AS t FROM an "
+    "WHERE NOT parse_error) SELECT query_id, text_id, t AS Project_Name, 'uses ' || t AS Description, "
+    "round(c_pr, 4) AS Relevance_Score FROM pj")
+ORACLES["strength_gap_rows"] = (
+    _ANA + " SELECT query_id, text_id, 'strength' AS kind, CAST(NULL AS VARCHAR) AS key, unnest(list_sort("
+    "list_intersect(sk, dt))[1:5]) AS value FROM an WHERE NOT parse_error "
+    "UNION ALL SELECT query_id, text_id, 'gap', NULL, unnest(list_sort(list_filter(sk, lambda x: NOT list_contains("
+    "dt, x)))[1:5]) FROM an WHERE NOT parse_error "
+    "UNION ALL SELECT query_id, text_id, 'recommendation', 'next_step', CASE WHEN raw_score >= 50 THEN 'interview' "
+    "ELSE 'review' END FROM an WHERE NOT parse_error")
+ORACLES["memo_lookup"] = (
+    _SEARCH + " SELECT sha256(concat_ws('|', jt, '5')) AS request_key, query_id, text_id, match_score, "
+    "CAST(row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, score DESC, text_id) AS BIGINT) "
+    "AS match_rank FROM fin")

@@ -452,3 +452,141 @@ def q_approx_vector_topk(spark, sf_dir):
     queries = centroids(corpus, "label", "vector").withColumnRenamed("label", "query_id")
     top = VO.approx_topk(corpus, queries, 5)
     return top.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+# ------------------------------------------------------------ search (2.4, 2.6, 2.7)
+from papyra.functions import scoring as SC  # noqa: E402
+from papyra.functions.embedding import hashing_embedding  # noqa: E402
+from papyra.operators import pages as PGS  # noqa: E402
+from papyra.operators import search as S  # noqa: E402
+from papyra.plans import search_plan as SP  # noqa: E402
+
+_RUN = F.regexp_extract("file_path", r"run=(\d+)", 1).cast("long")
+_BATCH = F.regexp_extract("file_path", r"batch_index=(\d+)", 1).cast("long")
+
+
+@register("embed_text")
+def q_embed_text(spark, sf_dir):
+    recs = R.resume_only(R.exclude_html_keys(SP.docmap_records(spark, sf_dir)))
+    ch = CH.chunk_documents(recs, "content", ["key"])
+    return ch.select("key", "chunk_index", hashing_embedding("chunk_text", SP.EMBED_DIM).alias("vector"))
+
+
+@register("vectors_per_document")
+def q_vectors_per_document(spark, sf_dir):
+    pts = SP.resume_points(spark, sf_dir)
+    per = pts.select(F.col("payload.document_name").alias("document_name"),
+                     F.col("payload.text_id").alias("text_id"), "vector")
+    recs = R.resume_only(R.exclude_html_keys(SP.docmap_records(spark, sf_dir)))
+    idx = CH.chunk_documents(recs, "content", ["key"]).select(
+        N.point_id(F.concat("key", F.lit(".npz")), "chunk_index").alias("text_id"), "chunk_index")
+    g = PGS.vectors_per_document(per.join(idx, "text_id"), "document_name", "chunk_index", "vector")
+    return g.select("document_name", F.col("n_vectors").cast("long").alias("n_vectors"),
+                    F.transform("vectors", lambda v: _round_vec(v)).alias("vectors"))
+
+
+@register("build_index")
+def q_build_index(spark, sf_dir):
+    ix = SP.index(spark, sf_dir)
+    return ix.select("document_name", _RUN.alias("run"), _BATCH.alias("batch_index"))
+
+
+@register("hits_to_index")
+def q_hits_to_index(spark, sf_dir):
+    h = SP.with_index(spark, sf_dir)
+    return h.select("query_id", "document_name", "text_id", "score", "rank", _RUN.alias("run"),
+                    _BATCH.alias("batch_index"))
+
+
+@register("index_to_content")
+def q_index_to_content(spark, sf_dir):
+    h = SP.with_content(spark, sf_dir)
+    return h.select("query_id", "document_name", "text_id", "score",
+                    F.length("content").alias("content_chars"), F.md5("content").alias("content_md5"))
+
+
+@register("existing_files_semi")
+def q_existing_files_semi(spark, sf_dir):
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(
+        A.artifacts(spark, sf_dir)["docmaps"]).select("path")
+    h = S.existing_files_semi(SP.with_content(spark, sf_dir), listing)
+    return h.select("query_id", "document_name", "text_id")
+
+
+@register("weighted_match_score")
+def q_weighted_match_score(spark, sf_dir):
+    return SP.scored(spark, sf_dir).select("query_id", "text_id", "match_score")
+
+
+@register("search_ranked")
+def q_search_ranked(spark, sf_dir):
+    r = SP.ranked(spark, sf_dir)
+    return r.select("query_id", "match_rank", "document_name", "text_id", "score", "match_score")
+
+
+@register("build_prompts")
+def q_build_prompts(spark, sf_dir):
+    s = SP.scored(spark, sf_dir).withColumn("prompt", S.build_prompts("job_text", "content"))
+    return s.select("query_id", "text_id", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+@register("parse_match_json")
+def q_parse_match_json(spark, sf_dir):
+    a = SP.analyses(spark, sf_dir)
+    return a.select("query_id", "text_id", "parse_error",
+                    F.col("analysis.Overall_Match_Score").alias("overall_match_score"),
+                    F.col("analysis.Experience_Relevance.Experience_Quality").alias("experience_quality"))
+
+
+@register("overall_score_numeric")
+def q_overall_score_numeric(spark, sf_dir):
+    a = SP.analyses(spark, sf_dir)
+    return a.select("query_id", "text_id",
+                    SC.overall_score_numeric(F.col("analysis.Overall_Match_Score")).alias("overall_score"))
+
+
+@register("rank_by_match")
+def q_rank_by_match(spark, sf_dir):
+    a = SP.analyses(spark, sf_dir).withColumn(
+        "overall_score", SC.overall_score_numeric(F.col("analysis.Overall_Match_Score")))
+    r = S.rank_by_match(a, "overall_score")
+    return r.select("query_id", "text_id", "overall_score", "match_rank")
+
+
+@register("skill_rows")
+def q_skill_rows(spark, sf_dir):
+    a = SP.analyses(spark, sf_dir).filter(~F.col("parse_error"))
+    return S.skill_rows(a, keys=("query_id", "text_id"))
+
+
+@register("project_rows")
+def q_project_rows(spark, sf_dir):
+    a = SP.analyses(spark, sf_dir).filter(~F.col("parse_error"))
+    return S.project_rows(a, keys=("query_id", "text_id"))
+
+
+@register("strength_gap_rows")
+def q_strength_gap_rows(spark, sf_dir):
+    a = SP.analyses(spark, sf_dir).filter(~F.col("parse_error"))
+    return S.strength_gap_rows(a, keys=("query_id", "text_id"))
+
+
+@register("memo_lookup")
+def q_memo_lookup(spark, sf_dir):
+    """Requests of all jobs; results of the long job texts were cached by an earlier session."""
+    jobs = SP.job_queries(spark, sf_dir).select("query_id", "job_text")
+    requests = jobs.withColumn("limit", F.lit(SP.TOP_K))
+    full = SP.ranked(spark, sf_dir).select("query_id", "text_id", "match_score", "match_rank")
+    cached_jobs = jobs.filter(F.size(S.terms("job_text")) > 30).withColumn("limit", F.lit(SP.TOP_K))
+    cache_path = scratch_dir(spark, "search-cache")
+    (full.join(cached_jobs, "query_id")
+         .withColumn("request_key", N.request_key("job_text", "limit"))
+         .select("request_key", "query_id", "text_id", "match_score", "match_rank")
+         .write.mode("overwrite").parquet(cache_path))
+    cache = spark.read.parquet(cache_path)
+
+    def compute(missing):
+        return (full.join(missing.select("query_id", "request_key"), "query_id")
+                    .select("request_key", "query_id", "text_id", "match_score", "match_rank"))
+
+    return S.memo_lookup(requests, cache, compute, ["job_text", "limit"])
