@@ -441,3 +441,23 @@ ORACLES["memo_lookup"] = (
     _SEARCH + " SELECT sha256(concat_ws('|', jt, '5')) AS request_key, query_id, text_id, match_score, "
     "CAST(row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, score DESC, text_id) AS BIGINT) "
     "AS match_rank FROM fin")
+
+# ------------------------------------------------------------------ features
+_STOP = "[" + ", ".join("'" + _sq(w) + "'" for w in L.ENGLISH_STOP_WORDS) + "]"
+_FEAT = (f"WITH {PLANTED}, {_CUR}, corp AS (SELECT key, coalesce(content, '') AS content FROM kept "
+         "WHERE NOT contains(key, '.html')), tok AS (SELECT key, string_split(lower(content), ' ') AS words FROM corp), "
+         f"flt AS (SELECT key, words, list_filter(words, lambda w: NOT list_contains({_STOP}, w)) AS f FROM tok), "
+         "ng AS (SELECT key, words, f, list_transform(range(len(f) - 1), lambda i: f[i + 1] || ' ' || f[i + 2]) AS bi, "
+         "list_transform(range(len(f) - 2), lambda i: f[i + 1] || ' ' || f[i + 2] || ' ' || f[i + 3]) AS tri FROM flt)")
+ORACLES["tokenize"] = _FEAT + (" SELECT key, CAST(len(words) AS BIGINT) AS n_words, "
+                               "array_to_string(words, '|') AS words FROM ng")
+ORACLES["remove_stopwords"] = _FEAT + " SELECT key, array_to_string(f, '|') AS filtered_words FROM ng"
+ORACLES["bigrams"] = _FEAT + " SELECT key, array_to_string(bi, '|') AS bigrams FROM ng"
+ORACLES["trigrams"] = _FEAT + " SELECT key, array_to_string(tri, '|') AS trigrams FROM ng"
+ORACLES["combined_terms"] = _FEAT + (" SELECT key, concat_ws(' ', nullif(array_to_string(f, ' '), ''), "
+                                     "nullif(array_to_string(bi, ' '), ''), nullif(array_to_string(tri, ' '), '')) "
+                                     "AS combined FROM ng")
+ORACLES["tfidf_terms"] = _FEAT + (
+    ", t AS (SELECT key, unnest(tri) AS term FROM ng), tf AS (SELECT key, term, count(*) AS tf FROM t GROUP BY 1, 2), "
+    "dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM corp) "
+    "SELECT key, term, tf, df, round(tf * ln((n + 1.0) / (df + 1.0)), 6) AS tfidf FROM tf JOIN dfq USING (term), n")

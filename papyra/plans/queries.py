@@ -590,3 +590,83 @@ def q_memo_lookup(spark, sf_dir):
                     .select("request_key", "query_id", "text_id", "match_score", "match_rank"))
 
     return S.memo_lookup(requests, cache, compute, ["job_text", "limit"])
+
+
+# ------------------------------------------------------------ features (2.8)
+from papyra.operators import features as FE  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+
+def _feature_corpus(spark, sf_dir):
+    """The flat document table of the clustering job: key, content, hash_id (no html keys)."""
+    return R.project_defaults(R.exclude_html_keys(SP.docmap_records(spark, sf_dir)))
+
+
+def _feature_frame(spark, sf_dir):
+    d = FE.tokenize(_feature_corpus(spark, sf_dir))
+    d = FE.remove_stopwords(d)
+    d = FE.ngrams(d, 2, out_col="bigrams")
+    return FE.ngrams(d, 3, out_col="trigrams")
+
+
+@register("tokenize")
+def q_tokenize(spark, sf_dir):
+    d = FE.tokenize(_feature_corpus(spark, sf_dir))
+    return d.select("key", F.size("words").cast("long").alias("n_words"), F.array_join("words", "|").alias("words"))
+
+
+@register("remove_stopwords")
+def q_remove_stopwords(spark, sf_dir):
+    d = FE.remove_stopwords(FE.tokenize(_feature_corpus(spark, sf_dir)))
+    return d.select("key", F.array_join("filtered_words", "|").alias("filtered_words"))
+
+
+@register("bigrams")
+def q_bigrams(spark, sf_dir):
+    return _feature_frame(spark, sf_dir).select("key", F.array_join("bigrams", "|").alias("bigrams"))
+
+
+@register("trigrams")
+def q_trigrams(spark, sf_dir):
+    return _feature_frame(spark, sf_dir).select("key", F.array_join("trigrams", "|").alias("trigrams"))
+
+
+@register("combined_terms")
+def q_combined_terms(spark, sf_dir):
+    return _feature_frame(spark, sf_dir).select("key", FE.combined_terms().alias("combined"))
+
+
+@register("tfidf_terms")
+def q_tfidf_terms(spark, sf_dir):
+    t = FE.tfidf_terms(_feature_frame(spark, sf_dir), "key", "trigrams")
+    return t.select("key", "term", "tf", "df", F.round("tfidf", 6).alias("tfidf"))
+
+
+@register("hashing_tf")
+def q_hashing_tf(spark, sf_dir):
+    _, d = FE.text_pipeline(_feature_corpus(spark, sf_dir))
+    counts = vector_to_array("rawFeatures")
+    return d.select("key", F.size(F.filter(counts, lambda x: x > 0)).alias("buckets_used"),
+                    F.aggregate(counts, F.lit(0.0), lambda a, x: a + x).alias("trigram_count"))
+
+
+def _clusters(spark, sf_dir):
+    _, feats = FE.text_pipeline(_feature_corpus(spark, sf_dir))
+    _, assigned = FE.kmeans(feats)
+    return assigned
+
+
+@register("kmeans_clusters")
+def q_kmeans_clusters(spark, sf_dir):
+    return _clusters(spark, sf_dir).select("key", "prediction")
+
+
+@register("cluster_sizes")
+def q_cluster_sizes(spark, sf_dir):
+    return FE.cluster_sizes(_clusters(spark, sf_dir))
+
+
+@register("kmeans_elbow")
+def q_kmeans_elbow(spark, sf_dir):
+    _, feats = FE.text_pipeline(_feature_corpus(spark, sf_dir))
+    return FE.kmeans_elbow(feats)
