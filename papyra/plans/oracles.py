@@ -461,3 +461,6 @@ ORACLES["tfidf_terms"] = _FEAT + (
     ", t AS (SELECT key, unnest(tri) AS term FROM ng), tf AS (SELECT key, term, count(*) AS tf FROM t GROUP BY 1, 2), "
     "dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM corp) "
     "SELECT key, term, tf, df, round(tf * ln((n + 1.0) / (df + 1.0)), 6) AS tfidf FROM tf JOIN dfq USING (term), n")
+
+# ------------------------------------------------------------------ streaming
+ORACLES["stream_dedup"] = "SELECT DISTINCT md5(text) AS hash_id FROM documents"

@@ -670,3 +670,50 @@ def q_cluster_sizes(spark, sf_dir):
 def q_kmeans_elbow(spark, sf_dir):
     _, feats = FE.text_pipeline(_feature_corpus(spark, sf_dir))
     return FE.kmeans_elbow(feats)
+
+
+# ------------------------------------------------------------ streaming (2.11)
+from papyra.streaming import ingest_stream as ST  # noqa: E402
+
+_STREAM_SHARDS = 4
+
+
+def _shards(spark, sf_dir, planted: bool = True):
+    docs = table(spark, sf_dir, "documents")
+    d = X.docs_planted(docs) if planted else X.docs_named(docs)
+    path = scratch_dir(spark, "stream-source")
+    d.select("doc_id", "file_name", "text").repartitionByRange(_STREAM_SHARDS, "file_name").write.parquet(path)
+    return path, "doc_id long, file_name string, text string"
+
+
+_STREAM_RUNS: dict = {}
+
+
+def _run_ingest_stream(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STREAM_RUNS:
+        src, schema = _shards(spark, sf_dir)
+        out = scratch_dir(spark, "stream-out")
+        q = ST.ingest_stream(spark, src, schema, out, scratch_dir(spark, "stream-ckpt"))
+        q.awaitTermination()
+        _STREAM_RUNS[key] = out
+    return _STREAM_RUNS[key]
+
+
+@register("ingest_stream")
+def q_ingest_stream(spark, sf_dir):
+    out = _run_ingest_stream(spark, sf_dir)
+    return spark.read.parquet(f"{out}/outcome").select("file_name", "outcome", "hash_id", "epoch")
+
+
+@register("batch_metrics")
+def q_batch_metrics(spark, sf_dir):
+    return ST.batch_metrics(spark, _run_ingest_stream(spark, sf_dir))
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    src, schema = _shards(spark, sf_dir, planted=False)
+    out = scratch_dir(spark, "dedup-out")
+    ST.stream_dedup(spark, src, schema, out, scratch_dir(spark, "dedup-ckpt")).awaitTermination()
+    return spark.read.parquet(out).select("hash_id")
