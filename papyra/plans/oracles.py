@@ -464,3 +464,23 @@ ORACLES["tfidf_terms"] = _FEAT + (
 
 # ------------------------------------------------------------------ streaming
 ORACLES["stream_dedup"] = "SELECT DISTINCT md5(text) AS hash_id FROM documents"
+
+# ------------------------------------------------------------------ remaining keyed rows
+ORACLES["write_hash_ledger"] = (
+    f"WITH {PLANTED}, {_CUR} SELECT key AS file_name, hash_id, CASE WHEN {IS_RESUME_V1} THEN 'True' "
+    "ELSE 'False' END AS is_resume FROM kept")
+ORACLES["point_ids"] = ORACLES["chunk_text"].replace(
+    "cl AS (SELECT doc_id, ", "cl AS (SELECT doc_id, file_name, ").replace(
+    "SELECT r.doc_id, ci AS chunk_index, string_agg(p.t, ' ' ORDER BY p.i) AS chunk_text\n"
+    "FROM r JOIN ends USING (doc_id, s) JOIN p ON p.doc_id = r.doc_id AND p.i >= r.s AND p.i < ends.e\n"
+    "GROUP BY 1, 2",
+    "SELECT r.doc_id, ci AS chunk_index, sha256(concat_ws(chr(1), cl.file_name || '.npz', CAST(ci AS VARCHAR))) "
+    "AS id FROM r JOIN cl USING (doc_id)")
+ORACLES["join_paths_by_name"] = (
+    f"WITH {NAMED}, done AS (SELECT file_name AS filenames FROM named WHERE doc_id IN "
+    "(SELECT doc_id FROM labels WHERE toxic = 0)) SELECT d.filenames, concat_ws('/', 'bucket', n.source, n.file_name) "
+    "AS filepaths FROM done d JOIN named n ON n.file_name = d.filenames")
+ORACLES["query_corpus_scores"] = (
+    "WITH c AS (SELECT i, avg(x::DOUBLE) AS m FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) "
+    "AS i FROM embeddings) GROUP BY i), q AS (SELECT list(m ORDER BY i) AS qv FROM c) "
+    "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.qv), 6) AS score FROM embeddings, q")

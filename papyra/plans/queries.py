@@ -717,3 +717,44 @@ def q_stream_dedup(spark, sf_dir):
     out = scratch_dir(spark, "dedup-out")
     ST.stream_dedup(spark, src, schema, out, scratch_dir(spark, "dedup-ckpt")).awaitTermination()
     return spark.read.parquet(out).select("hash_id")
+
+
+# ------------------------------------------------------------ remaining keyed rows
+@register("write_hash_ledger")
+def q_write_hash_ledger(spark, sf_dir):
+    path = scratch_dir(spark, "ledger-out")
+    W.write_hash_ledger(A.current_outcome(spark, sf_dir), path)
+    rows = SR.read_hash_ledger_rows(spark, path)
+    return rows.select(F.col("Filename").alias("file_name"), F.col("Hash ID").alias("hash_id"),
+                       F.col("Is Resume").alias("is_resume"))
+
+
+@register("point_ids")
+def q_point_ids(spark, sf_dir):
+    ch = CH.chunk_documents(_cleaned(spark, sf_dir), "content", ["doc_id", "file_name"])
+    return ch.select("doc_id", "chunk_index", N.point_id(F.concat("file_name", F.lit(".npz")), "chunk_index")
+                     .alias("id"))
+
+
+@register("throughput_eta")
+def q_throughput_eta(spark, sf_dir):
+    total = table(spark, sf_dir, "documents").count()
+    return ST.throughput_eta(ST.batch_metrics(spark, _run_ingest_stream(spark, sf_dir)), F.lit(total))
+
+
+@register("join_paths_by_name")
+def q_join_paths_by_name(spark, sf_dir):
+    """Processed vector files -> object paths of the source documents with the same base name."""
+    processed = SR.read_line_list(spark, A.artifacts(spark, sf_dir)["processed"], "name")
+    names = processed.select(N.remove_all("name", ".npz").alias("filenames"))
+    blobs = X.docs_named(table(spark, sf_dir, "documents")).select(
+        F.concat_ws("/", F.lit("bucket"), "source", "file_name").alias("filepaths"))
+    blobs = blobs.withColumn("filenames", N.file_basename("filepaths"))
+    return names.join(blobs, "filenames", "inner")
+
+
+@register("query_corpus_scores")
+def q_query_corpus_scores(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    mean = centroids(corpus.withColumn("g", F.lit(0)), "g", "vector").first()["vector"]
+    return VO.query_scores(corpus, mean).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))

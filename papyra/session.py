@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     # Documents can be 100k+ characters; keep Arrow batches to a bounded size.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # Lineage cuts are written to the shared checkpoint dir; drop them once unreferenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -10,6 +10,8 @@ restart or executor loss) rewrites its own output instead of appending twice.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,8 +38,8 @@ def ingest_stream(spark: SparkSession, source_dir: str, source_schema, out_dir:
                 .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
+        started = time.time()
         s = batch.sparkSession
-        s.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         known = _known_hashes(s, f"{out_dir}/ledger", epoch)
         obs = Observation(f"ingest_{epoch}")
         o = F.col("outcome")
@@ -49,15 +51,17 @@ def ingest_stream(spark: SparkSession, source_dir: str, source_schema, out_dir:
                          F.count_if(o == I.UNPROCESSED).alias("unprocessed")))
         # One job computes the outcome; the ledger and counters are read from its output.
         (out.select(name_col, "outcome", "hash_id", "is_resume", "content", "epoch")
-            .write.mode("overwrite").partitionBy("epoch").parquet(f"{out_dir}/outcome"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{out_dir}/outcome"))
         written = s.read.parquet(f"{out_dir}/outcome").filter(F.col("epoch") == epoch)
         (written.filter(F.col("outcome") == I.KEPT)
                 .select(F.col(name_col).alias("file_name"), "hash_id", "is_resume", "epoch")
-                .write.mode("overwrite").partitionBy("epoch").parquet(f"{out_dir}/ledger"))
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{out_dir}/ledger"))
         m = obs.get
-        (s.createDataFrame([(epoch, m["files"], m["duplicates"], m["resumes"], m["unprocessed"])],
-                           "epoch long, files long, duplicates long, resumes long, unprocessed long")
-          .write.mode("overwrite").partitionBy("epoch").parquet(f"{out_dir}/metrics"))
+        elapsed = time.time() - started
+        (s.createDataFrame([(epoch, m["files"], m["duplicates"], m["resumes"], m["unprocessed"], elapsed)],
+                           "epoch long, files long, duplicates long, resumes long, unprocessed long, "
+                           "seconds double")
+          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{out_dir}/metrics"))
 
     w = src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -88,4 +92,14 @@ def batch_metrics(spark: SparkSession, out_dir: str) -> DataFrame:
 
     m = spark.read.parquet(f"{out_dir}/metrics")
     dense = m.withColumn("batch_index", F.col("epoch") + 1)
-    return running_sums(dense, "batch_index", ["files", "duplicates", "resumes", "unprocessed"], prefix="total_")
+    return running_sums(dense, "batch_index", ["files", "duplicates", "resumes", "unprocessed", "seconds"],
+                        prefix="total_")
+
+
+def throughput_eta(metrics: DataFrame, total_files) -> DataFrame:
+    """Files per second and estimated seconds left after each batch."""
+    from papyra.functions.scoring import eta_seconds, throughput
+
+    return metrics.select("epoch", "total_files", "total_seconds",
+                          throughput("total_files", "total_seconds").alias("files_per_second"),
+                          eta_seconds(total_files, "total_files", "total_seconds").alias("eta_seconds"))
