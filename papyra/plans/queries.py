@@ -461,8 +461,12 @@ from papyra.operators import pages as PGS  # noqa: E402
 from papyra.operators import search as S  # noqa: E402
 from papyra.plans import search_plan as SP  # noqa: E402
 
-_RUN = F.regexp_extract("file_path", r"run=(\d+)", 1).cast("long")
-_BATCH = F.regexp_extract("file_path", r"batch_index=(\d+)", 1).cast("long")
+def _run_of(col="file_path"):
+    return F.regexp_extract(col, r"run=(\d+)", 1).cast("long")
+
+
+def _batch_of(col="file_path"):
+    return F.regexp_extract(col, r"batch_index=(\d+)", 1).cast("long")
 
 
 @register("embed_text")
@@ -488,14 +492,14 @@ def q_vectors_per_document(spark, sf_dir):
 @register("build_index")
 def q_build_index(spark, sf_dir):
     ix = SP.index(spark, sf_dir)
-    return ix.select("document_name", _RUN.alias("run"), _BATCH.alias("batch_index"))
+    return ix.select("document_name", _run_of().alias("run"), _batch_of().alias("batch_index"))
 
 
 @register("hits_to_index")
 def q_hits_to_index(spark, sf_dir):
     h = SP.with_index(spark, sf_dir)
-    return h.select("query_id", "document_name", "text_id", "score", "rank", _RUN.alias("run"),
-                    _BATCH.alias("batch_index"))
+    return h.select("query_id", "document_name", "text_id", "score", "rank", _run_of().alias("run"),
+                    _batch_of().alias("batch_index"))
 
 
 @register("index_to_content")

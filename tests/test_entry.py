@@ -38,3 +38,13 @@ def test_query_matches_oracle(spark, con, key):
 @pytest.mark.parametrize("key", sorted(set(E.queries()) - set(E.oracle_sql())))
 def test_rows_only_queries_run(spark, key):
     assert E.queries()[key](spark, SF_SMALL).count() >= 0
+
+
+def test_import_needs_no_session():
+    """The driver may import the entry module before it builds a SparkSession."""
+    import subprocess
+    import sys
+    code = "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()))"
+    r = subprocess.run([sys.executable, "-c", code], cwd=E.__file__.rsplit("/", 1)[0],
+                       capture_output=True, text=True, timeout=120)
+    assert r.returncode == 0, r.stderr[-2000:]
