@@ -110,10 +110,29 @@ def extract_emails(col) -> Column:
 PHONE_TYPE = "array<struct<country:string,area:string,prefix:string,line:string>>"
 
 
+def _anchored(py_pattern: str) -> str:
+    """The pattern matched against one of its own matches: edge ``\\b`` become anchors."""
+    p = py_pattern
+    if p.startswith(r"\b"):
+        p = p[2:]
+    if p.endswith(r"\b"):
+        p = p[:-2]
+    return java_regex("^(?:" + p + ")$")
+
+
 def extract_phones(col) -> Column:
-    """``re.findall`` of the 4-group phone pattern -> array of (country, area, prefix, line)."""
-    groups = [extract_all(col, L.PHONE_PATTERN, g) for g in (1, 2, 3, 4)]
-    return F.arrays_zip(*groups).cast(PHONE_TYPE)
+    """``re.findall`` of the 4-group phone pattern -> array of (country, area, prefix, line).
+
+    One scan of the text finds the matches; each (short) match is then re-matched
+    with the pattern anchored to read its groups.  The engine tries the same
+    alternatives in the same order, and the boundary tests already held for the
+    matched span, so the groups equal those of the full-text match.
+    """
+    whole = F.regexp_extract_all(_c(col), F.lit(java_regex(L.PHONE_PATTERN)), 0)
+    anchored = _anchored(L.PHONE_PATTERN)
+    return F.transform(whole, lambda m: F.struct(
+        *[F.regexp_extract(m, anchored, g).alias(n)
+          for g, n in ((1, "country"), (2, "area"), (3, "prefix"), (4, "line"))]))
 
 
 def extract_linkedin(col) -> Column:

@@ -52,11 +52,13 @@ def artifacts(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     paths = {"hash_ledger": f"{root}/csv", "docmaps": f"{root}/json", "docmap": f"{root}/json/run=0002",
              "prior_docmap": f"{root}/json/run=0001",
              "status": f"{root}/embedding_tracking", "processed": f"{root}/processed_files"}
-    prior = I.assign_batches(prior_outcome(spark, sf_dir), ["file_name"], FLUSH)
+    # Each run's outcome feeds two sinks: persist it so the regex work runs once.
+    prior = I.assign_batches(prior_outcome(spark, sf_dir), ["file_name"], FLUSH).persist()
     W.write_hash_ledger(prior, paths["hash_ledger"], "batch_index", mode="overwrite")
     no_time = F.lit(None).cast("string")
     W.write_docmap(prior.filter(F.col("outcome") == "kept").withColumn("created_time", no_time),
                    paths["prior_docmap"])
+    prior.unpersist()
     cur = I.assign_batches(current_outcome(spark, sf_dir).filter(F.col("outcome") == "kept"),
                            ["file_name"], FLUSH)
     W.write_docmap(cur.withColumn("created_time", no_time), paths["docmap"])

@@ -1,9 +1,9 @@
 """Distributed row numbering and running sums without a single-partition window.
 
 ``row_number()`` over an un-partitioned window moves every row into one task.
-Here the rows are range-partitioned on the order key, numbered inside their
-partition, and shifted by the row count of all earlier partitions; only one
-row per partition ever meets on the driver side of a broadcast.
+Here the keys are range-partitioned on the order columns, numbered inside
+their partition, and shifted by the row count of all earlier partitions; only
+one row per partition is ever broadcast.
 """
 
 from __future__ import annotations
@@ -16,18 +16,12 @@ from papyra.session import cut_lineage
 _POS_BITS = 33   # monotonically_increasing_id = partition_index << 33 | position
 
 
-def global_ordinal(df: DataFrame, order_cols: list[str], name: str = "ordinal",
-                   num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based dense position of each row in ``order_cols`` order.
-
-    ``order_cols`` must be unique per row for a deterministic result.  The
-    range-sorted rows are checkpointed (reliable, shared dir) so both passes see
-    the same partitions even after an executor loss.
-    """
+def _ordinal_of_keys(keys: DataFrame, order_cols: list[str], name: str,
+                     num_partitions: int | None) -> DataFrame:
     parts = [num_partitions] if num_partitions else []
-    ranged = (df.repartitionByRange(*parts, *order_cols)
-                .sortWithinPartitions(*order_cols)
-                .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = (keys.repartitionByRange(*parts, *order_cols)
+                  .sortWithinPartitions(*order_cols)
+                  .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = cut_lineage(ranged)
     tagged = (ranged.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
                     .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
@@ -36,8 +30,22 @@ def global_ordinal(df: DataFrame, order_cols: list[str], name: str = "ordinal",
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (tagged.join(F.broadcast(offsets), "_pid")
-                  .withColumn(name, F.col("_off") + F.col("_pos"))
-                  .drop("_mid", "_pid", "_pos", "_off"))
+                  .select(*order_cols, (F.col("_off") + F.col("_pos")).alias(name)))
+
+
+def global_ordinal(df: DataFrame, order_cols: list[str], name: str = "ordinal",
+                   num_partitions: int | None = None) -> DataFrame:
+    """Add a 0-based dense position of each row in ``order_cols`` order.
+
+    ``order_cols`` must be unique per row.  Only the key columns are ranked:
+    column pruning keeps the upstream work of ``df`` out of the ranking jobs,
+    and only the narrow keys are range-partitioned and checkpointed (reliable,
+    shared dir, so both passes see the same partitions after an executor
+    loss).  The ordinal is then equi-joined back to ``df`` on the keys; AQE
+    broadcasts the key table when it is small at run time.
+    """
+    ranked = _ordinal_of_keys(df.select(*order_cols), order_cols, name, num_partitions)
+    return df.join(ranked, order_cols)
 
 
 def running_sums(df: DataFrame, order_col: str, value_cols: list[str],
