@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from papyra import lexicons as L
 
 
+_OTHER_SPACE = re.compile(r"[^\S ]")      # any whitespace character except the plain space
+
+
 def _split_keep_start(text: str, sep: str) -> list[str]:
     if not sep:
         return list(text)
@@ -45,9 +48,12 @@ def _merge(pieces: list[str], sep: str, size: int, overlap: int) -> list[str]:
                 doc = _join(window, sep)
                 if doc is not None:
                     chunks.append(doc)
-                while total > overlap or (total + n + (sep_len if window else 0) > size and total > 0):
-                    total -= len(window[0]) + (sep_len if len(window) > 1 else 0)
-                    window = window[1:]
+                drop = 0
+                while total > overlap or (total + n + (sep_len if len(window) > drop else 0) > size
+                                          and total > 0):
+                    total -= len(window[drop]) + (sep_len if len(window) - drop > 1 else 0)
+                    drop += 1
+                window = window[drop:]
         window.append(p)
         total += n + (sep_len if len(window) > 1 else 0)
     doc = _join(window, sep)
@@ -56,6 +62,31 @@ def _merge(pieces: list[str], sep: str, size: int, overlap: int) -> list[str]:
     return chunks
 
 
+def _single_space_windows(words: list[str], size: int, overlap: int) -> list[str]:
+    """Closed form of the merge for text split on single spaces, all words shorter than ``size``.
+
+    cum[i] = length of words[:i] joined with their leading spaces; a window
+    [s, e) holds while cum[e] - cum[s] <= size; the next window starts at the
+    first word after which at most ``overlap`` characters remain and the next
+    word still fits.  O(words) per text.
+    """
+    import bisect
+
+    cum = [0]
+    for i, w in enumerate(words):
+        cum.append(cum[-1] + len(w) + (1 if i > 0 else 0))
+    n = len(words)
+    out: list[str] = []
+    s = 0
+    while True:
+        e = bisect.bisect_right(cum, cum[s] + size, lo=s) - 1
+        out.append(" ".join(words[s:e]))
+        if e == n:
+            return out
+        thr = max(cum[e] - overlap, cum[e + 1] - size)
+        s = bisect.bisect_left(cum, thr, lo=s)
+
+
 def split_text(text: str | None, size: int = L.CHUNK_SIZE, overlap: int = L.CHUNK_OVERLAP,
                separators: list[str] | None = None) -> list[str]:
     """Chunks of one text; empty or null text gives no chunks."""
@@ -63,7 +94,13 @@ def split_text(text: str | None, size: int = L.CHUNK_SIZE, overlap: int = L.CHUN
         return []
     if overlap > size:
         raise ValueError("overlap larger than chunk size")
-    return _split(text, list(separators or L.CHUNK_SEPARATORS), size, overlap)
+    seps = list(separators or L.CHUNK_SEPARATORS)
+    if (seps == L.CHUNK_SEPARATORS and _OTHER_SPACE.search(text) is None and text == text.strip()
+            and "  " not in text):
+        words = text.split(" ")
+        if max(map(len, words)) < size:
+            return _single_space_windows(words, size, overlap)
+    return _split(text, seps, size, overlap)
 
 
 def _split(text: str, separators: list[str], size: int, overlap: int) -> list[str]:

@@ -3,7 +3,8 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from papyra.operators.chunking import chunk_documents, split_text
+from papyra import lexicons as L
+from papyra.operators.chunking import _split, chunk_documents, split_text
 
 
 def closed_form(text, size, overlap):
@@ -42,6 +43,8 @@ def test_chunks_bounded_and_covering(ws, params):
     assert chunks[0] == text[:len(chunks[0])]
     assert text.endswith(chunks[-1])
     assert chunks == closed_form(text, size, overlap)
+    # the O(n) fast path equals the general recursive splitter
+    assert chunks == _split(text, list(L.CHUNK_SEPARATORS), size, overlap)
 
 
 def test_empty_and_null():
@@ -73,3 +76,11 @@ def test_spark_chunks_equal_python(spark):
     got = {(r.id, r.chunk_index): r.chunk_text for r in chunk_documents(df, "t", ["id"], 200, 50).collect()}
     want = {(i, k): c for i, t in texts for k, c in enumerate(split_text(t, 200, 50))}
     assert got == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab \n\té", max_size=400), st.sampled_from([(50, 10), (30, 0), (80, 40)]))
+def test_general_path_bounds(text, params):
+    size, overlap = params
+    for c in split_text(text, size, overlap):
+        assert 0 < len(c) <= size and c == c.strip()
