@@ -54,20 +54,32 @@ def combined_terms(words="filtered_words", bigrams="bigrams", trigrams="trigrams
     return F.concat_ws(" ", F.col(words), F.col(bigrams), F.col(trigrams))
 
 
+def term_frequencies(df: DataFrame, key_col: str, terms_col: str = "trigrams") -> DataFrame:
+    """(document, term) -> occurrences; combined map-side."""
+    return (df.select(key_col, F.explode(terms_col).alias("term"))
+              .groupBy(key_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def idf_of(tf: DataFrame, n_docs: int) -> DataFrame:
+    """term -> document frequency and ln((N + 1) / (df + 1)); combined map-side."""
+    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return dfreq.withColumn("idf", F.log((F.lit(n_docs) + 1.0) / (F.col("df") + 1.0)))
+
+
 def tfidf_terms(df: DataFrame, key_col: str, terms_col: str = "trigrams") -> DataFrame:
     """H7 keyed by term: tf x ln((N + 1) / (df + 1)), N = number of documents.
 
     Two aggregates (per (doc, term), per term), both combined map-side, so a
-    term that occurs in a third of all documents is still one partial row per task.
+    term that occurs in a third of all documents is still one partial row per
+    task; the join back is on the term (AQE splits a skewed term's partition).
     """
-    n_docs = df.count()
-    tf = (df.select(key_col, F.explode(terms_col).alias("term"))
-            .groupBy(key_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.lit(n_docs) + 1.0) / (F.col("df") + 1.0))
-    return (tf.join(dfreq, "term")
-              .withColumn("idf", idf)
-              .withColumn("tfidf", F.col("tf") * F.col("idf")))
+    tf = term_frequencies(df, key_col, terms_col)
+    return tf.join(idf_of(tf, df.count()), "term").withColumn("tfidf", F.col("tf") * F.col("idf"))
+
+
+def idf_table(df: DataFrame, key_col: str, terms_col: str = "trigrams") -> DataFrame:
+    """H7 per term."""
+    return idf_of(term_frequencies(df, key_col, terms_col), df.count())
 
 
 def kmeans(features: DataFrame, k: int = L.KMEANS_K, seed: int = L.KMEANS_SEED,
@@ -77,6 +89,11 @@ def kmeans(features: DataFrame, k: int = L.KMEANS_K, seed: int = L.KMEANS_SEED,
     return model, model.transform(features)
 
 
+def project_clusters(assigned: DataFrame, key_col: str = "key") -> DataFrame:
+    """The columns the clustering report keeps."""
+    return assigned.select(key_col, "filtered_words", "bigrams", "trigrams", "prediction")
+
+
 def cluster_sizes(assigned: DataFrame, pred_col: str = "prediction") -> DataFrame:
     """Rows per cluster."""
     return assigned.groupBy(pred_col).agg(F.count(F.lit(1)).alias("size"))

@@ -484,3 +484,7 @@ ORACLES["query_corpus_scores"] = (
     "WITH c AS (SELECT i, avg(x::DOUBLE) AS m FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) "
     "AS i FROM embeddings) GROUP BY i), q AS (SELECT list(m ORDER BY i) AS qv FROM c) "
     "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.qv), 6) AS score FROM embeddings, q")
+ORACLES["idf"] = _FEAT + (
+    ", t AS (SELECT key, unnest(tri) AS term FROM ng), tf AS (SELECT key, term, count(*) AS tf FROM t GROUP BY 1, 2), "
+    "dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM corp) "
+    "SELECT term, df, round(ln((n + 1.0) / (df + 1.0)), 6) AS idf FROM dfq, n")

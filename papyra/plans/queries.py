@@ -646,6 +646,12 @@ def q_tfidf_terms(spark, sf_dir):
     return t.select("key", "term", "tf", "df", F.round("tfidf", 6).alias("tfidf"))
 
 
+@register("idf")
+def q_idf(spark, sf_dir):
+    t = FE.idf_table(_feature_frame(spark, sf_dir), "key", "trigrams")
+    return t.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 @register("hashing_tf")
 def q_hashing_tf(spark, sf_dir):
     _, d = FE.text_pipeline(_feature_corpus(spark, sf_dir))

@@ -73,7 +73,8 @@ def with_content(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
     q = job_queries(spark, sf_dir).select("query_id", "job_text", "req")
-    h = with_content(spark, sf_dir, k).join(F.broadcast(q), "query_id")
+    # Both sides are O(queries); AQE broadcasts the job table only if its runtime size is small.
+    h = with_content(spark, sf_dir, k).join(q, "query_id")
     h = h.withColumn("doc_terms", S.terms("content"))
     return h.withColumn("match_score", F.round(S.weighted_score("req", "doc_terms"), 6))
 

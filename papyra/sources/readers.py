@@ -31,6 +31,16 @@ def scan_files(spark: SparkSession, path: str, recursive: bool = False, with_con
     return df.select(*cols)
 
 
+# -- A9 -----------------------------------------------------------------------
+def list_files(spark: SparkSession, path: str, suffix: str, recursive: bool = False) -> DataFrame:
+    """Names of the files under ``path`` ending in ``suffix`` (content pruned from the scan)."""
+    r = spark.read.format("binaryFile")
+    if recursive:
+        r = r.option("recursiveFileLookup", True)
+    df = r.load(path).select("path", "modificationTime", "length")
+    return df.withColumn("file_name", file_basename("path")).filter(F.col("file_name").endswith(suffix))
+
+
 # -- A3 -----------------------------------------------------------------------
 def scan_allowlist(files: DataFrame, allow: DataFrame, name_col: str = "file_name") -> DataFrame:
     """Only listed names that exist; no extension filter (unsupported ones become unprocessed)."""

@@ -13,7 +13,7 @@ from papyra.operators import ingest as I
 from papyra.streaming import ingest_stream as ST
 
 
-def test_stop_words_equal_spark_default():
+def test_stop_words_equal_spark_default(spark):
     assert L.ENGLISH_STOP_WORDS == list(StopWordsRemover.loadDefaultStopWords("english"))
 
 

@@ -82,3 +82,22 @@ def test_summary_and_parquet_sinks(spark, tmp_dir):
     assert spark.read.parquet(os.path.join(tmp_dir, "pq2")).count() == 12
     W.write_docs(out, os.path.join(tmp_dir, "docs"), "r1")
     assert spark.read.json(os.path.join(tmp_dir, "docs")).filter("run_id = 'r1'").count() == 12
+
+
+def test_collections_catalog(spark, tmp_dir):
+    from papyra.sinks import collections as C
+    name = "papyra_test_points"
+    C.delete_collection(spark, name)
+    C.create_collection(spark, name, os.path.join(tmp_dir, "coll"), dim=64)
+    assert C.collection_exists(spark, name) and name in C.list_collections(spark)
+    assert C.collection_dim(spark, name) == 64
+    C.delete_collection(spark, name)
+    assert not C.collection_exists(spark, name)
+
+
+def test_list_files_by_suffix(spark, tmp_dir):
+    for n in ["a.npz", "b.npz", "c.csv"]:
+        with open(os.path.join(tmp_dir, n), "wb") as f:
+            f.write(b"x")
+    got = sorted(r.file_name for r in SR.list_files(spark, tmp_dir, ".npz").collect())
+    assert got == ["a.npz", "b.npz"]
