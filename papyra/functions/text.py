@@ -25,9 +25,15 @@ _ESCAPED_UNICODE = java_regex(r"\\u\w{4}")
 _WHITESPACE_RUN = java_regex(r"\s+")
 
 
+def _unless_contains(c: Column, needle: str, expr: Column, otherwise: Column) -> Column:
+    """``expr`` only where ``needle`` occurs (a necessary condition for a match)."""
+    return F.when(~c.contains(needle), otherwise).otherwise(expr)
+
+
 def clean_text(col) -> Column:
     """Literal backslash-u + 4 word chars -> space, whitespace runs -> one space, trim."""
-    c = F.regexp_replace(_c(col), _ESCAPED_UNICODE, " ")
+    c = _c(col)
+    c = _unless_contains(c, "\\u", F.regexp_replace(c, _ESCAPED_UNICODE, " "), c)
     c = F.regexp_replace(c, _WHITESPACE_RUN, " ")
     return F.trim(c)
 
@@ -72,20 +78,17 @@ def _any_substring(lowered: Column, words) -> Column:
     return cond
 
 
-def _word_alternation(words, ignore_case=True) -> str:
-    return java_regex(r"\b(" + "|".join(words) + r")\b", "i" if ignore_case else "")
-
-
 def is_resume(col, keywords, sections, titles, company_words=None,
               date_pattern: str = L.DATE_PATTERN) -> Column:
     """(keyword or section as lower-case substring) and (date or title word [or company word])."""
     c = _c(col)
     lowered = F.lower(c)
     text_hit = _any_substring(lowered, list(keywords) + list(sections))
-    evidence = c.rlike(java_regex(date_pattern)) | c.rlike(_word_alternation(titles))
-    if company_words:
-        evidence = evidence | c.rlike(_word_alternation(company_words))
-    return text_hit & evidence
+    # date OR title OR company: a disjunction of searches is one search of the
+    # union pattern, so a single regex pass decides all three.
+    words = list(titles) + list(company_words or [])
+    evidence = c.rlike(java_regex("(?:" + date_pattern + r")|\b(?i:" + "|".join(words) + r")\b"))
+    return text_hit & evidence          # And short-circuits: no regex when no keyword
 
 
 def is_resume_v1(col) -> Column:
@@ -103,8 +106,12 @@ def extract_all(col, py_pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(java_regex(py_pattern)), group)
 
 
+def _empty_strings() -> Column:
+    return F.array().cast("array<string>")
+
+
 def extract_emails(col) -> Column:
-    return extract_all(col, L.EMAIL_PATTERN)
+    return _unless_contains(_c(col), "@", extract_all(col, L.EMAIL_PATTERN), _empty_strings())
 
 
 PHONE_TYPE = "array<struct<country:string,area:string,prefix:string,line:string>>"
@@ -128,7 +135,10 @@ def extract_phones(col) -> Column:
     alternatives in the same order, and the boundary tests already held for the
     matched span, so the groups equal those of the full-text match.
     """
-    whole = F.regexp_extract_all(_c(col), F.lit(java_regex(L.PHONE_PATTERN)), 0)
+    c = _c(col)
+    whole = F.regexp_extract_all(c, F.lit(java_regex(L.PHONE_PATTERN)), 0)
+    # every phone has digits: texts without one skip the (costly) pattern
+    whole = F.when(~c.rlike(java_regex(r"\d")), F.array().cast("array<string>")).otherwise(whole)
     anchored = _anchored(L.PHONE_PATTERN)
     return F.transform(whole, lambda m: F.struct(
         *[F.regexp_extract(m, anchored, g).alias(n)
@@ -136,15 +146,15 @@ def extract_phones(col) -> Column:
 
 
 def extract_linkedin(col) -> Column:
-    return extract_all(col, L.LINKEDIN_PATTERN)
+    return _unless_contains(_c(col), "http", extract_all(col, L.LINKEDIN_PATTERN), _empty_strings())
 
 
 def extract_github(col) -> Column:
-    return extract_all(col, L.GITHUB_PATTERN)
+    return _unless_contains(_c(col), "http", extract_all(col, L.GITHUB_PATTERN), _empty_strings())
 
 
 def extract_urls(col) -> Column:
-    return extract_all(col, L.URL_PATTERN)
+    return _unless_contains(_c(col), "http", extract_all(col, L.URL_PATTERN), _empty_strings())
 
 
 def contact_info(col) -> Column:

@@ -123,5 +123,22 @@ def bounded_rows(df: DataFrame, max_rows: int) -> int:
     return n
 
 
+def spread_small_input(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Give a small input as many partitions as there are task slots.
+
+    Parquet splits at row-group boundaries, so a table that arrives as a few
+    single-row-group files is scanned by a few tasks while the rest of the
+    cluster idles through the regex-heavy per-document work.  When the input
+    has fewer files than task slots, hash-partition it on ``key`` (default:
+    the first column, the table's id): deterministic on retry and no local
+    sort.  Large inputs (many files, many row groups) keep their scan splits
+    and pay no shuffle.  Filters and column pruning still reach the scan.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= slots:
+        return df
+    return df.repartition(slots, key or df.columns[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread_small_input(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))

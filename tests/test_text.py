@@ -94,11 +94,15 @@ def test_html_to_text(spark):
     assert got == "T & U\nOne \u00a9\nTwo\nThree \"q\""
 
 
-def test_java_regex_translation():
+def test_java_regex_translation(spark):
     from papyra.functions.regex import java_regex
     assert java_regex(r"\s+") == r"(?Ud)[\s\x1c-\x1f]+"
     assert java_regex(r"[^a\s]") == r"(?Ud)[^a\s\x1c-\x1f]"
     assert java_regex(r"\S", "i") == r"(?iUd)[^\s\x1c-\x1f]"
+    # the translated \s matches exactly Python's whitespace set
+    chars = spark.createDataFrame([(c, chr(c)) for c in range(0x3100)], "c int, ch string")
+    got = {r.c for r in chars.filter(F.col("ch").rlike(java_regex(r"^\s$"))).collect()}
+    assert got == {c for c in range(0x3100) if chr(c).isspace()}
 
 
 def test_names(spark):
