@@ -62,7 +62,10 @@ def term_frequencies(df: DataFrame, key_col: str, terms_col: str = "trigrams") -
 
 def idf_of(tf: DataFrame, n_docs: int) -> DataFrame:
     """term -> document frequency and ln((N + 1) / (df + 1)); combined map-side."""
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # df = documents with tf > 0.  Referencing tf keeps the (doc, term) aggregate
+    # whole, so this branch and the tf side of the join are one plan and Spark
+    # reuses their exchange instead of parsing and tokenising the corpus twice.
+    dfreq = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     return dfreq.withColumn("idf", F.log((F.lit(n_docs) + 1.0) / (F.col("df") + 1.0)))
 
 
