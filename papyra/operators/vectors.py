@@ -38,40 +38,44 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
         return np.where(n > 0, m / n, np.nan)
 
 
-def _best_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k best rows by (score desc, id asc); NaN scores never win."""
-    valid = np.flatnonzero(~np.isnan(scores))
-    if valid.size == 0:
-        return valid
-    if valid.size > k:
-        s = scores[valid]
-        kth = np.partition(-s, k - 1)[k - 1]
-        valid = valid[-s <= kth]            # the k best plus anything tied with the k-th
-    order = np.lexsort((ids[valid], -scores[valid]))
-    return valid[order[:k]]
+def _batch_topk(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact k best rows of one batch for every query at once.
+
+    Order: rounded score descending, then id ascending.  Both go into one
+    integer key (score in millionths x (rows + 1) + rank of the id in the
+    batch), so a single ``argpartition`` along the rows decides all queries,
+    ties included.  NaN scores (zero vectors) sort last and are dropped.
+    Returns (row index, query index) pairs.
+    """
+    b, q = scores.shape
+    kk = min(k, b)
+    rank = np.empty(b, dtype=np.int64)
+    rank[np.argsort(ids, kind="stable")] = np.arange(b)
+    micro = np.where(np.isnan(scores), -2_000_000, np.rint(scores * 1e6)).astype(np.int64)
+    key = -micro * (b + 1) + rank[:, None]
+    rows = np.argpartition(key, kk - 1, axis=0)[:kk] if kk < b else np.tile(np.arange(b)[:, None], (1, q))
+    cols = np.broadcast_to(np.arange(q), rows.shape)
+    keep = ~np.isnan(scores[rows, cols])
+    return rows[keep], cols[keep]
 
 
 def _scorer(bq, k: int, id_col: str, vec_col: str, carry: list[str]):
+    """Per Arrow batch: one matrix product, then the exact k best rows per query.
+
+    Spark's partial WindowGroupLimit right after this operator merges the
+    batches of a partition on the JVM, so Python never holds more than one
+    batch of scores.
+    """
     def run(batches):
         qids, qmat = bq.value
-        keep: dict[int, pd.DataFrame] = {}
         for pdf in batches:
             if pdf.empty:
                 continue
             vecs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].values])
             scores = round6(_unit_rows(vecs) @ qmat.T)            # (rows, queries)
-            ids = pdf[id_col].to_numpy()
-            for j in range(len(qids)):
-                idx = _best_k(scores[:, j], ids, k)
-                part = pdf.iloc[idx][[id_col] + carry].assign(query_id=qids[j], score=scores[idx, j])
-                if j in keep:
-                    both = pd.concat([keep[j], part], ignore_index=True)
-                    sel = _best_k(both["score"].to_numpy(), both[id_col].to_numpy(), k)
-                    keep[j] = both.iloc[sel].reset_index(drop=True)
-                else:
-                    keep[j] = part.reset_index(drop=True)
-        if keep:
-            yield pd.concat(keep.values(), ignore_index=True)
+            r, c = _batch_topk(scores, pdf[id_col].to_numpy(), k)
+            out = pdf.iloc[r][[id_col] + carry].reset_index(drop=True)
+            yield out.assign(query_id=qids[c], score=scores[r, c])
     return run
 
 
@@ -139,15 +143,15 @@ def query_scores(corpus: DataFrame, query_vector: list[float], *, vector_col: st
     return corpus.withColumn("score", cosine_similarity(vector_col, q))
 
 
-def approx_topk(corpus: DataFrame, queries: DataFrame, k: int = L.SEARCH_LIMIT, *,
-                id_col: str = "id", vector_col: str = "vector", query_id_col: str = "query_id",
-                query_vector_col: str = "vector", bucket_length: float = 0.05, num_tables: int = 3,
-                seed: int = 7) -> DataFrame:
-    """LSH candidates (random projections of unit vectors) re-ranked by exact cosine.
-
-    Candidates come from an equi-join on (table, bucket); a query only meets
-    corpus rows that share a bucket, never the whole corpus.  Recall is below
-    1 by design; ``tests`` report recall together with the candidate share.
+def approx_candidates(corpus: DataFrame, queries: DataFrame, *, id_col: str = "id",
+                      vector_col: str = "vector", query_id_col: str = "query_id",
+                      query_vector_col: str = "vector", bucket_length: float = 0.05,
+                      num_tables: int = 3, seed: int = 7) -> DataFrame:
+    """G5 candidates: (id, query_id, score) for corpus rows sharing an LSH bucket with a query.
+
+    Random projections of unit vectors; candidates come from an equi-join on
+    (table, bucket), so a query only meets rows of its own buckets, never the
+    whole corpus.  Every candidate is re-scored with the exact cosine.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
@@ -160,8 +164,16 @@ def approx_topk(corpus: DataFrame, queries: DataFrame, k: int = L.SEARCH_LIMIT,
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
                                         numHashTables=num_tables, seed=seed).fit(c)
     pairs = model.approxSimilarityJoin(c, q, 2.0, distCol="dist")  # unit vectors: distance <= 2
-    cand = pairs.select(F.col("datasetA.cid").alias(id_col), F.col("datasetB.query_id").alias("query_id"),
-                        F.round(cosine_similarity(F.col("datasetA.cvec"), F.col("datasetB.qvec")), 6).alias("score"))
+    return pairs.select(F.col("datasetA.cid").alias(id_col), F.col("datasetB.query_id").alias("query_id"),
+                        F.round(cosine_similarity(F.col("datasetA.cvec"), F.col("datasetB.qvec")), 6)
+                        .alias("score"))
+
+
+def approx_topk(corpus: DataFrame, queries: DataFrame, k: int = L.SEARCH_LIMIT, *,
+                id_col: str = "id", **lsh) -> DataFrame:
+    """The k best LSH candidates per query.  Recall is below 1 by design; the
+    tests report it together with the share of (query, row) pairs scored."""
+    cand = approx_candidates(corpus, queries, id_col=id_col, **lsh)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
