@@ -180,13 +180,15 @@ def approx_topk(corpus: DataFrame, queries: DataFrame, k: int = L.SEARCH_LIMIT,
 
 # -- points, upsert, delete, shards ------------------------------------------
 def to_points(df: DataFrame, document_col: str, chunk_col: str, vector_col: str,
-              text_col: str | None = None) -> DataFrame:
-    """Rows -> points (id, vector, payload{text_id, text, document_name}); id is deterministic."""
+              text_col: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows -> points (id, vector, payload{text_id, text, document_name}, keep...); id is deterministic."""
     pid = point_id(document_col, chunk_col)
     text = F.col(text_col) if text_col else F.lit(None).cast("string")
-    return df.select(pid.alias("id"), F.col(vector_col).cast("array<float>").alias("vector"),
-                     F.struct(pid.alias("text_id"), text.alias("text"),
-                              F.col(document_col).alias("document_name")).alias("payload"))
+    return (df.withColumn("_pid", pid)
+              .select(F.col("_pid").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"),
+                      F.struct(F.col("_pid").alias("text_id"), text.alias("text"),
+                               F.col(document_col).alias("document_name")).alias("payload"),
+                      *keep))
 
 
 def upsert_points(current: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:

@@ -400,8 +400,7 @@ def _points(spark, sf_dir):
     j = emb.join(docs, emb["vec_id"] == docs["doc_id"])
     j = j.select("vec_id", "label", F.concat("file_name", F.lit(".npz")).alias("document_name"),
                  F.lit(0).alias("chunk_index"), "embedding")
-    return VO.to_points(j, "document_name", "chunk_index", "embedding").join(
-        j.select(N.point_id("document_name", "chunk_index").alias("id"), "vec_id", "label"), "id")
+    return VO.to_points(j, "document_name", "chunk_index", "embedding", keep=("vec_id", "label"))
 
 
 @register("project_hits")
@@ -479,12 +478,8 @@ def q_embed_text(spark, sf_dir):
 @register("vectors_per_document")
 def q_vectors_per_document(spark, sf_dir):
     pts = SP.resume_points(spark, sf_dir)
-    per = pts.select(F.col("payload.document_name").alias("document_name"),
-                     F.col("payload.text_id").alias("text_id"), "vector")
-    recs = R.resume_only(R.exclude_html_keys(SP.docmap_records(spark, sf_dir)))
-    idx = CH.chunk_documents(recs, "content", ["key"]).select(
-        N.point_id(F.concat("key", F.lit(".npz")), "chunk_index").alias("text_id"), "chunk_index")
-    g = PGS.vectors_per_document(per.join(idx, "text_id"), "document_name", "chunk_index", "vector")
+    per = pts.select(F.col("payload.document_name").alias("document_name"), "chunk_index", "vector")
+    g = PGS.vectors_per_document(per, "document_name", "chunk_index", "vector")
     return g.select("document_name", F.col("n_vectors").cast("long").alias("n_vectors"),
                     F.transform("vectors", lambda v: _round_vec(v)).alias("vectors"))
 

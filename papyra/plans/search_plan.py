@@ -29,13 +29,19 @@ def docmap_records(spark: SparkSession, sf_dir: str, all_runs: bool = False) ->
     return SR.read_docmap(spark, paths["docmaps" if all_runs else "docmap"])
 
 
-def resume_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embed job: html keys and non-resumes are skipped, the rest chunked and embedded."""
-    recs = R.resume_only(R.exclude_html_keys(docmap_records(spark, sf_dir)))
+def resume_points(spark: SparkSession, sf_dir: str, skip_html: bool = True,
+                  resumes_only: bool = True) -> DataFrame:
+    """The embed job: (by default) html keys and non-resumes are skipped, the rest chunked
+    and embedded.  The two filters are flags because one reference variant embeds everything."""
+    recs = docmap_records(spark, sf_dir)
+    if skip_html:
+        recs = R.exclude_html_keys(recs)
+    if resumes_only:
+        recs = R.resume_only(recs)
     chunks = CH.chunk_documents(recs, "content", ["key"])
     chunks = (chunks.withColumn("document_name", F.concat("key", F.lit(".npz")))
                     .withColumn("vector", hashing_embedding("chunk_text", EMBED_DIM)))
-    return VO.to_points(chunks, "document_name", "chunk_index", "vector", "chunk_text")
+    return VO.to_points(chunks, "document_name", "chunk_index", "vector", "chunk_text", keep=("chunk_index",))
 
 
 def job_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,29 +16,45 @@ _EXT_RE = r"(?i)\.(" + "|".join(e.lstrip(".").replace(".", r"\.") for e in L.SUP
 
 
 # -- A1 / A2 ------------------------------------------------------------------
+def _parent_is(path_col: str, base: str):
+    """File sits directly in ``base`` (compared without a ``file:`` scheme for local paths)."""
+    parent = F.regexp_replace(F.col(path_col), r"/[^/]*$", "")
+    if "://" not in base and not base.startswith("file:"):
+        import os
+        parent = F.regexp_replace(parent, r"^file:", "")
+        base = os.path.abspath(base)
+    return parent == F.lit(base.rstrip("/"))
+
+
 def scan_files(spark: SparkSession, path: str, recursive: bool = False, with_content: bool = True) -> DataFrame:
     """Supported documents under ``path`` (case-insensitive suffix), as binary rows.
 
     ``pathGlobFilter`` is case-sensitive, so the suffix test is a column filter.
-    When ``with_content`` is false the content column is pruned from the scan.
+    The listing always uses ``recursiveFileLookup`` (no partition inference, so
+    arbitrary sub-folders are fine); the flat variant keeps files directly in
+    ``path``.  Without ``with_content`` the content column is pruned from the scan.
     """
-    r = spark.read.format("binaryFile")
-    if recursive:
-        r = r.option("recursiveFileLookup", True)
-    df = r.load(path).withColumn("file_name", file_basename("path"))
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+               .withColumn("file_name", file_basename("path")))
     df = df.filter(F.col("file_name").rlike(_EXT_RE))
+    if not recursive:
+        df = df.filter(_parent_is("path", path))
     cols = ["path", "file_name", "modificationTime", "length"] + (["content"] if with_content else [])
     return df.select(*cols)
 
 
+def list_all_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """Every file under ``path`` (no suffix filter), content included."""
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+               .withColumn("file_name", file_basename("path")))
+    return df if recursive else df.filter(_parent_is("path", path))
+
+
 # -- A9 -----------------------------------------------------------------------
 def list_files(spark: SparkSession, path: str, suffix: str, recursive: bool = False) -> DataFrame:
     """Names of the files under ``path`` ending in ``suffix`` (content pruned from the scan)."""
-    r = spark.read.format("binaryFile")
-    if recursive:
-        r = r.option("recursiveFileLookup", True)
-    df = r.load(path).select("path", "modificationTime", "length")
-    return df.withColumn("file_name", file_basename("path")).filter(F.col("file_name").endswith(suffix))
+    df = list_all_files(spark, path, recursive).select("path", "file_name", "modificationTime", "length")
+    return df.filter(F.col("file_name").endswith(suffix))
 
 
 # -- A3 -----------------------------------------------------------------------
