@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def pending_documents(docs: DataFrame, done_names: DataFrame, name_col: str = "document_name") -> DataFrame:

@@ -9,14 +9,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions import names as N
+from papyra.functions import scoring as SC
 from papyra.functions import text as T
+from papyra.functions import vectors as V
+from papyra.functions.embedding import hashing_embedding
+from papyra.operators import chunking as CH
+from papyra.operators import features as FE
 from papyra.operators import ingest as I
+from papyra.operators import ledger as LG
+from papyra.operators import pages as PG
+from papyra.operators import routing as R
+from papyra.operators import search as S
+from papyra.operators import vectors as VO
+from papyra.plans import artifacts as A
 from papyra.plans import fixtures as X
-from papyra.session import table
+from papyra.plans import search_plan as SP
+from papyra.session import scratch_dir, table
+from papyra.sinks import writers as W
+from papyra.sources import readers as SR
+from papyra.streaming import ingest_stream as ST
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -200,7 +216,6 @@ def q_request_key(spark, sf_dir):
 
 
 # ------------------------------------------------------------ chunking
-from papyra.operators import chunking as CH  # noqa: E402
 
 
 @register("chunk_text")
@@ -209,11 +224,6 @@ def q_chunk_text(spark, sf_dir):
 
 
 # ------------------------------------------------------------ routing (2.3)
-from papyra.operators import routing as R  # noqa: E402
-from papyra.operators import ledger as LG  # noqa: E402
-from papyra.operators import pages as PG  # noqa: E402
-from papyra.plans import artifacts as A  # noqa: E402
-from papyra.sources import readers as SR  # noqa: E402
 
 CANDIDATES = ["doc_id",
               "CASE lang WHEN 'de' THEN NULL WHEN 'fr' THEN '' ELSE text END AS c1",
@@ -331,10 +341,6 @@ def q_assemble_pages(spark, sf_dir):
 
 
 # ------------------------------------------------------------ vectors (2.6, 2.9)
-from papyra.functions import vectors as V  # noqa: E402
-from papyra.operators import vectors as VO  # noqa: E402
-from papyra.sinks import writers as W  # noqa: E402
-from papyra.session import scratch_dir  # noqa: E402
 
 
 def centroids(emb: DataFrame, group_col: str = "label", vec_col: str = "embedding") -> DataFrame:
@@ -454,11 +460,6 @@ def q_approx_vector_topk(spark, sf_dir):
 
 
 # ------------------------------------------------------------ search (2.4, 2.6, 2.7)
-from papyra.functions import scoring as SC  # noqa: E402
-from papyra.functions.embedding import hashing_embedding  # noqa: E402
-from papyra.operators import pages as PGS  # noqa: E402
-from papyra.operators import search as S  # noqa: E402
-from papyra.plans import search_plan as SP  # noqa: E402
 
 def _run_of(col="file_path"):
     return F.regexp_extract(col, r"run=(\d+)", 1).cast("long")
@@ -479,7 +480,7 @@ def q_embed_text(spark, sf_dir):
 def q_vectors_per_document(spark, sf_dir):
     pts = SP.resume_points(spark, sf_dir)
     per = pts.select(F.col("payload.document_name").alias("document_name"), "chunk_index", "vector")
-    g = PGS.vectors_per_document(per, "document_name", "chunk_index", "vector")
+    g = PG.vectors_per_document(per, "document_name", "chunk_index", "vector")
     return g.select("document_name", F.col("n_vectors").cast("long").alias("n_vectors"),
                     F.transform("vectors", lambda v: _round_vec(v)).alias("vectors"))
 
@@ -592,8 +593,6 @@ def q_memo_lookup(spark, sf_dir):
 
 
 # ------------------------------------------------------------ features (2.8)
-from papyra.operators import features as FE  # noqa: E402
-from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 
 def _feature_corpus(spark, sf_dir):
@@ -678,7 +677,6 @@ def q_kmeans_elbow(spark, sf_dir):
 
 
 # ------------------------------------------------------------ streaming (2.11)
-from papyra.streaming import ingest_stream as ST  # noqa: E402
 
 _STREAM_SHARDS = 4
 

@@ -3,7 +3,6 @@
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from papyra.functions import vectors as V
 from papyra.operators import vectors as VO
