@@ -116,7 +116,7 @@ def rank_by_match(results: DataFrame, score_col: str, group_col: str = "query_id
 # -- analysis records (D24, D26-D29) -----------------------------------------
 def analysis_json(req_col: str, doc_terms_col: str, max_chars: int | None = None,
                   truncate_when: Column | None = None) -> Column:
-    """A match-analysis JSON document (the reference's LLM output shape), built deterministically.
+    """A match-analysis JSON document (the shape of the reference's model output), built deterministically.
 
     ``truncate_when`` cuts the JSON to ``max_chars`` (an output-limit failure) so
     the parser's quarantine path is exercised by real rows.
