@@ -65,11 +65,36 @@ def html_to_text(col, entities=None) -> Column:
     c = F.regexp_replace(_c(col), _HTML_DROP, "\n")
     c = F.regexp_replace(c, _HTML_TAG, "\n")
     for ent, ch in (entities or L.HTML_ENTITIES):
+        if ent == "&amp;":                      # numeric references before the final &amp;
+            c = decode_numeric_entities(c)
         c = F.replace(c, F.lit(ent), F.lit(ch))
     lines = F.transform(F.split(c, _LINE_BREAK), lambda x: F.regexp_replace(x, _EDGE_SPACE, ""))
     return F.array_join(F.filter(lines, lambda x: x != F.lit("")), "\n")
 
 
+_NUMERIC_ENTITY = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _code_point_char(cp: Column) -> Column:
+    """One character for a code point (U+FFFD when not a valid scalar value)."""
+    valid = (cp >= 1) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
+    ch = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+    return F.when(valid, ch).otherwise(F.lit("\ufffd"))
+
+
+def decode_numeric_entities(col) -> Column:
+    """``&#NNN;`` / ``&#xHH;`` -> the character, natively (split pieces + decoded codes, re-joined)."""
+    c = _c(col)
+    pieces = F.split(c, _NUMERIC_ENTITY)
+    codes = F.regexp_extract_all(c, F.lit(_NUMERIC_ENTITY), 1)
+    chars = F.transform(codes, lambda x: _code_point_char(
+        F.when(F.lower(x).startswith("x"), F.conv(F.substring(x, 2, 8), 16, 10)).otherwise(x).cast("long")))
+    n = F.size(chars)
+    joined = F.array_join(F.zip_with(F.slice(pieces, 1, n), chars, lambda p, ch: F.concat(p, ch)), "")
+    decoded = F.concat(joined, F.element_at(pieces, -1))
+    return _unless_contains(c, "&#", F.when(n > 0, decoded).otherwise(c), c)
+
+
 # -- D5 / D6 ------------------------------------------------------------------
 def _any_substring(lowered: Column, words) -> Column:
     cond = F.lit(False)
