@@ -38,10 +38,15 @@ def job_requirements(text_col) -> Column:
 
 # -- F7 -----------------------------------------------------------------------
 def build_index(listing: DataFrame, name_col: str = "document_name", file_col: str = "file_path",
-                order_col: str | None = None) -> DataFrame:
-    """document_name -> file of its latest record (greatest order, then path): a keyed aggregate."""
+                order_col: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """document_name -> file of its latest record (greatest order, then path): a keyed aggregate.
+
+    ``carry`` columns (e.g. the file's partition values) come from the same latest record.
+    """
     order = F.struct(F.col(order_col), F.col(file_col)) if order_col else F.col(file_col)
-    return listing.groupBy(name_col).agg(F.max_by(F.col(file_col), order).alias(file_col))
+    latest = F.max_by(F.struct(F.col(file_col), *[F.col(c) for c in carry]), order)
+    return (listing.groupBy(name_col).agg(latest.alias("_l"))
+                   .select(name_col, *[F.col(f"_l.{c}").alias(c) for c in (file_col, *carry)]))
 
 
 # -- D15 + E5 -----------------------------------------------------------------
@@ -53,11 +58,20 @@ def hits_to_index(hits: DataFrame, index: DataFrame, stored_name_col: str = "doc
 
 # -- E6 -----------------------------------------------------------------------
 def index_to_content(hits: DataFrame, records: DataFrame, file_col: str = "file_path",
-                     key_col: str = "key", content_col: str = "content") -> DataFrame:
-    """Fetch each hit's content from the file the index names; null or empty content is dropped."""
-    r = records.select(F.col("source_file").alias(file_col), F.col(key_col).alias("document_name"),
-                       F.col(content_col).alias("content"))
-    out = hits.join(r, [file_col, "document_name"])
+                     key_col: str = "key", content_col: str = "content",
+                     partition_cols: tuple[str, ...] = (), hits_bounded: bool = False) -> DataFrame:
+    """Fetch each hit's content from the file the index names; null or empty content is dropped.
+
+    When the records are a partitioned table and the hits carry its partition
+    values, the equi-join on them lets Spark prune the record files at run time
+    (dynamic partition pruning): only the batches that hold a hit are read.
+    ``hits_bounded`` says the hit table has a proven size bound (k x a checked
+    query block), so it is broadcast, which is what enables the pruning.
+    """
+    r = records.select(*partition_cols, F.col("source_file").alias(file_col),
+                       F.col(key_col).alias("document_name"), F.col(content_col).alias("content"))
+    h = F.broadcast(hits) if hits_bounded else hits
+    out = r.join(h, [*partition_cols, file_col, "document_name"])
     return out.filter(F.col("content").isNotNull() & (F.length("content") > 0))
 
 

@@ -44,6 +44,17 @@ def status_rows(spark: SparkSession, sf_dir: str):
                         F.when(F.col("quality") == 1, "").otherwise("encoder error").alias("error_message")))
 
 
+def build_document_index(spark: SparkSession, docmaps_root: str):
+    """document_name -> (file_path, run, batch_index) of its latest record, over all runs."""
+    from papyra.operators.search import build_index
+    from papyra.sources.readers import read_docmap
+
+    recs = read_docmap(spark, docmaps_root, partitioned=True)
+    listing = recs.select(F.col("key").alias("document_name"), F.col("source_file").alias("file_path"),
+                          "run", "batch_index", F.struct("run", "batch_index").alias("order"))
+    return build_index(listing, order_col="order", carry=("run", "batch_index"))
+
+
 def artifacts(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _CACHE:
@@ -51,7 +62,8 @@ def artifacts(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     root = scratch_dir(spark, "artifacts")
     paths = {"hash_ledger": f"{root}/csv", "docmaps": f"{root}/json", "docmap": f"{root}/json/run=0002",
              "prior_docmap": f"{root}/json/run=0001",
-             "status": f"{root}/embedding_tracking", "processed": f"{root}/processed_files"}
+             "status": f"{root}/embedding_tracking", "processed": f"{root}/processed_files",
+             "index": f"{root}/document_index", "points": f"{root}/points"}
     # Each run's outcome feeds two sinks: persist it so the regex work runs once.
     prior = I.assign_batches(prior_outcome(spark, sf_dir), ["file_name"], FLUSH).persist()
     W.write_hash_ledger(prior, paths["hash_ledger"], "batch_index", mode="overwrite")
@@ -62,6 +74,14 @@ def artifacts(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     cur = I.assign_batches(current_outcome(spark, sf_dir).filter(F.col("outcome") == "kept"),
                            ["file_name"], FLUSH)
     W.write_docmap(cur.withColumn("created_time", no_time), paths["docmap"])
+    # The document index is built once per ingest (the reference's build step) and stored
+    # as a narrow table; searches look names up in it instead of re-reading every doc-map.
+    build_document_index(spark, paths["docmaps"]).write.mode("overwrite").parquet(paths["index"])
+    # The embed job runs once per ingest; searches read the stored collection.
+    from papyra.plans.embed_job import resume_points
+    from papyra.sources.readers import read_docmap
+    pts = resume_points(read_docmap(spark, paths["docmap"])).select("id", "vector", "payload")
+    W.write_vectors(pts, paths["points"], mode="overwrite")
     W.append_status_ledger(status_rows(spark, sf_dir), paths["status"])
     lab = table(spark, sf_dir, "labels").filter(F.col("toxic") == 0).select("doc_id")
     done = (X.docs_named(table(spark, sf_dir, "documents")).join(lab, "doc_id", "left_semi")

@@ -461,14 +461,6 @@ def q_approx_vector_topk(spark, sf_dir):
 
 # ------------------------------------------------------------ search (2.4, 2.6, 2.7)
 
-def _run_of(col="file_path"):
-    return F.regexp_extract(col, r"run=(\d+)", 1).cast("long")
-
-
-def _batch_of(col="file_path"):
-    return F.regexp_extract(col, r"batch_index=(\d+)", 1).cast("long")
-
-
 @register("embed_text")
 def q_embed_text(spark, sf_dir):
     recs = R.resume_only(R.exclude_html_keys(SP.docmap_records(spark, sf_dir)))
@@ -478,7 +470,7 @@ def q_embed_text(spark, sf_dir):
 
 @register("vectors_per_document")
 def q_vectors_per_document(spark, sf_dir):
-    pts = SP.resume_points(spark, sf_dir)
+    pts = SP.resume_points(spark, sf_dir, stored=False)
     per = pts.select(F.col("payload.document_name").alias("document_name"), "chunk_index", "vector")
     g = PG.vectors_per_document(per, "document_name", "chunk_index", "vector")
     return g.select("document_name", F.col("n_vectors").cast("long").alias("n_vectors"),
@@ -487,15 +479,16 @@ def q_vectors_per_document(spark, sf_dir):
 
 @register("build_index")
 def q_build_index(spark, sf_dir):
-    ix = SP.index(spark, sf_dir)
-    return ix.select("document_name", _run_of().alias("run"), _batch_of().alias("batch_index"))
+    ix = SP.index(spark, sf_dir, stored=False)
+    return ix.select("document_name", F.col("run").cast("long").alias("run"),
+                     F.col("batch_index").cast("long").alias("batch_index"))
 
 
 @register("hits_to_index")
 def q_hits_to_index(spark, sf_dir):
     h = SP.with_index(spark, sf_dir)
-    return h.select("query_id", "document_name", "text_id", "score", "rank", _run_of().alias("run"),
-                    _batch_of().alias("batch_index"))
+    return h.select("query_id", "document_name", "text_id", "score", "rank",
+                    F.col("run").cast("long").alias("run"), F.col("batch_index").cast("long").alias("batch_index"))
 
 
 @register("index_to_content")

@@ -12,36 +12,31 @@ from pyspark.sql import functions as F
 
 from papyra.functions import text as T
 from papyra.functions.embedding import hashing_embedding
-from papyra.operators import chunking as CH
-from papyra.operators import routing as R
 from papyra.operators import search as S
 from papyra.operators import vectors as VO
 from papyra.plans import artifacts as A
+from papyra.plans import embed_job as EJ
 from papyra.session import table
 from papyra.sources import readers as SR
 
-EMBED_DIM = 64
+EMBED_DIM = EJ.EMBED_DIM
 TOP_K = 5
 
 
 def docmap_records(spark: SparkSession, sf_dir: str, all_runs: bool = False) -> DataFrame:
+    """Current-run records, or every run's records as a table partitioned by (run, batch_index)."""
     paths = A.artifacts(spark, sf_dir)
-    return SR.read_docmap(spark, paths["docmaps" if all_runs else "docmap"])
+    if all_runs:
+        return SR.read_docmap(spark, paths["docmaps"], partitioned=True)
+    return SR.read_docmap(spark, paths["docmap"])
 
 
-def resume_points(spark: SparkSession, sf_dir: str, skip_html: bool = True,
+def resume_points(spark: SparkSession, sf_dir: str, stored: bool = True, skip_html: bool = True,
                   resumes_only: bool = True) -> DataFrame:
-    """The embed job: (by default) html keys and non-resumes are skipped, the rest chunked
-    and embedded.  The two filters are flags because one reference variant embeds everything."""
-    recs = docmap_records(spark, sf_dir)
-    if skip_html:
-        recs = R.exclude_html_keys(recs)
-    if resumes_only:
-        recs = R.resume_only(recs)
-    chunks = CH.chunk_documents(recs, "content", ["key"])
-    chunks = (chunks.withColumn("document_name", F.concat("key", F.lit(".npz")))
-                    .withColumn("vector", hashing_embedding("chunk_text", EMBED_DIM)))
-    return VO.to_points(chunks, "document_name", "chunk_index", "vector", "chunk_text", keep=("chunk_index",))
+    """The vector collection: read as stored by the ingest-time embed job, or computed."""
+    if stored and skip_html and resumes_only:
+        return SR.read_vectors(spark, A.artifacts(spark, sf_dir)["points"])
+    return EJ.resume_points(docmap_records(spark, sf_dir), skip_html, resumes_only)
 
 
 def job_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,14 +46,16 @@ def job_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
              .withColumn("req", S.job_requirements("job_text")))
 
 
-def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index over the doc-map files of every run; the latest (run, batch) file wins."""
-    recs = docmap_records(spark, sf_dir, all_runs=True)
-    run = F.regexp_extract("source_file", r"run=(\d+)", 1).cast("long")
-    batch = F.regexp_extract("source_file", r"batch_index=(\d+)", 1).cast("long")
-    listing = recs.select(F.col("key").alias("document_name"), F.col("source_file").alias("file_path"),
-                          F.struct(run.alias("run"), batch.alias("batch")).alias("order"))
-    return S.build_index(listing, order_col="order")
+def index(spark: SparkSession, sf_dir: str, stored: bool = True) -> DataFrame:
+    """Index over the doc-map files of every run; the latest (run, batch) file wins.
+
+    ``stored`` reads the table written at ingest time (a narrow Parquet lookup);
+    otherwise it is built from the doc-maps (the build step itself).
+    """
+    paths = A.artifacts(spark, sf_dir)
+    if stored:
+        return spark.read.parquet(paths["index"])
+    return A.build_document_index(spark, paths["docmaps"])
 
 
 def hits(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
@@ -74,7 +71,11 @@ def with_index(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
 
 
 def with_content(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
-    return S.index_to_content(with_index(spark, sf_dir, k), docmap_records(spark, sf_dir, all_runs=True))
+    # hits: k rows per job query, and the job queries passed the broadcast-block check
+    n_jobs = job_queries(spark, sf_dir).limit(VO.MAX_BROADCAST_QUERIES + 1).count()
+    return S.index_to_content(with_index(spark, sf_dir, k), docmap_records(spark, sf_dir, all_runs=True),
+                              partition_cols=("run", "batch_index"),
+                              hits_bounded=n_jobs <= VO.MAX_BROADCAST_QUERIES)
 
 
 def scored(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:

@@ -64,23 +64,29 @@ def scan_allowlist(files: DataFrame, allow: DataFrame, name_col: str = "file_nam
 
 
 # -- A4 -----------------------------------------------------------------------
-def read_docmap(spark: SparkSession, path: str) -> DataFrame:
+def read_docmap(spark: SparkSession, path: str, partitioned: bool = False) -> DataFrame:
     """Doc-map JSON files ``{file_name: record}`` -> one row per record.
 
     Each file is one value (a flush batch, bounded by the flush size).  A file
-    that does not parse yields one row with ``error`` set and no key.
+    that does not parse yields one row with ``error`` set and no key.  With
+    ``partitioned`` the ``run=.../batch_index=...`` folders become partition
+    columns, so a join on them prunes files at run time (point lookups).
     """
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-                .select(F.col("_metadata.file_path").alias("source_file"),
-                        F.from_json("value", S.DOCMAP).alias("m")))
-    rows = raw.select("source_file", F.explode_outer("m").alias("key", "r"),
+    r = spark.read.option("wholetext", True)
+    if not partitioned:
+        r = r.option("recursiveFileLookup", True)
+    raw = r.text(path)
+    parts = [c for c in ("run", "batch_index") if partitioned and c in raw.columns]
+    raw = raw.select(F.col("_metadata.file_path").alias("source_file"), *parts,
+                     F.from_json("value", S.DOCMAP).alias("m"))
+    rows = raw.select("source_file", *parts, F.explode_outer("m").alias("key", "r"),
                       F.col("m").isNull().alias("_bad"))
     ci = F.col("r.contact_info")
     phones = F.transform(ci["phone_numbers"], lambda p: F.struct(
         F.coalesce(p[0], F.lit("")).alias("country"), F.coalesce(p[1], F.lit("")).alias("area"),
         F.coalesce(p[2], F.lit("")).alias("prefix"), F.coalesce(p[3], F.lit("")).alias("line")))
     return rows.select(
-        "source_file", "key",
+        "source_file", *parts, "key",
         F.col("r.content").alias("content"), F.col("r.is_resume").alias("is_resume"),
         F.when(ci.isNotNull(), F.struct(ci["emails"].alias("emails"), phones.alias("phone_numbers"),
                                         ci["linkedin"].alias("linkedin"), ci["github"].alias("github"),
