@@ -67,11 +67,18 @@ def _scorer(bq, k: int, id_col: str, vec_col: str, carry: list[str]):
     """
     def run(batches):
         qids, qmat = bq.value
+        if len(qids) == 0:
+            return
+        dim = qmat.shape[1]
         for pdf in batches:
             if pdf.empty:
                 continue
-            vecs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].values])
-            scores = round6(_unit_rows(vecs) @ qmat.T)            # (rows, queries)
+            # a missing or wrong-sized vector never matches (C10 is the operator that rejects it)
+            ok = np.array([v is not None and len(v) == dim for v in pdf[vec_col].values])
+            vecs = np.zeros((len(pdf), dim))
+            if ok.any():
+                vecs[ok] = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].values[ok]])
+            scores = round6(_unit_rows(vecs) @ qmat.T)            # (rows, queries); zero rows -> NaN
             r, c = _batch_topk(scores, pdf[id_col].to_numpy(), k)
             out = pdf.iloc[r][[id_col] + carry].reset_index(drop=True)
             yield out.assign(query_id=qids[c], score=scores[r, c])
@@ -80,6 +87,8 @@ def _scorer(bq, k: int, id_col: str, vec_col: str, carry: list[str]):
 
 def _as_block(rows):
     qids = np.array([r[0] for r in rows], dtype=object)
+    if not rows:
+        return qids, np.zeros((0, 0))
     mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]).reshape(len(rows), -1)
     return qids, _unit_rows(mat)
 

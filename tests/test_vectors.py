@@ -132,3 +132,13 @@ def test_batch_topk_kernel_exact():
             want = sorted([(-s[i, j], ids[i]) for i in range(b) if not np.isnan(s[i, j])])[:k]
             got = sorted((-s[i, j], ids[i]) for i, cc in zip(r, c) if cc == j)
             assert got == want
+
+
+def test_topk_edge_cases(spark):
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0, 5.0]), (4, [0.6, 0.8])],
+                              "id long, vector array<float>")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vector array<float>")
+    got = [(r.id, r.score) for r in VO.exact_topk(c, q, 5).orderBy("rank").collect()]
+    assert got == [(1, 1.0), (4, 0.6)]                     # null and wrong-sized vectors never match
+    empty = spark.createDataFrame([], "query_id long, vector array<float>")
+    assert VO.exact_topk(c, empty, 5).count() == 0
