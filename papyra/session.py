@@ -111,18 +111,6 @@ class BroadcastTooLarge(ValueError):
     pass
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> int:
-    """Count ``df`` but stop scanning once ``max_rows`` is exceeded.
-
-    Returns the row count, or raises BroadcastTooLarge.  ``limit(max_rows + 1)``
-    lets Spark stop early, so the check costs at most max_rows + 1 rows.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise BroadcastTooLarge(f"more than {max_rows} rows; refusing to broadcast")
-    return n
-
-
 def spread_small_input(df: DataFrame, key: str | None = None) -> DataFrame:
     """Give a small input as many partitions as there are task slots.
 
