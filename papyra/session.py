@@ -123,7 +123,11 @@ def spread_small_input(df: DataFrame, key: str | None = None) -> DataFrame:
     and pay no shuffle.  Filters and column pruning still reach the scan.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= slots:
+    try:        # count on the JVM side: no copy of a million paths into Python
+        n_files = len(df._jdf.inputFiles())
+    except Exception:
+        n_files = len(df.inputFiles())
+    if n_files >= slots:
         return df
     return df.repartition(slots, key or df.columns[0])
 
