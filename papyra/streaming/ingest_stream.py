@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from papyra.operators import ingest as I
 
 LEDGER_SCHEMA = "file_name string, hash_id string, is_resume boolean, epoch long"
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _known_hashes(spark: SparkSession, ledger_dir: str, epoch: int) -> DataFrame:
@@ -29,43 +30,79 @@ def _known_hashes(spark: SparkSession, ledger_dir: str, epoch: int) -> DataFrame
     return led.filter(F.col("epoch") < epoch).select("hash_id")
 
 
+def _ingest_batch(batch: DataFrame, epoch: int, out_dir: str, name_col: str, text_col: str) -> None:
+    """One micro-batch: outcome against the ledger of earlier epochs, then the epoch's sinks."""
+    started = time.time()
+    s = batch.sparkSession
+    known = _known_hashes(s, f"{out_dir}/ledger", epoch)
+    obs = Observation(f"ingest_{epoch}")
+    o = F.col("outcome")
+    out = (I.ingest_outcome(batch, known, name_col=name_col, text_col=text_col)
+            .withColumn("epoch", F.lit(epoch).cast("long"))
+            .observe(obs, F.count(F.lit(1)).alias("files"),
+                     F.count_if(o == I.DUPLICATE).alias("duplicates"),
+                     F.count_if((o == I.KEPT) & F.col("is_resume")).alias("resumes"),
+                     F.count_if(o == I.UNPROCESSED).alias("unprocessed")))
+    # One job computes the outcome; the ledger and counters are read from its output.
+    (out.select(name_col, "outcome", "hash_id", "is_resume", "content", "epoch")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch")
+        .parquet(f"{out_dir}/outcome"))
+    written = s.read.parquet(f"{out_dir}/outcome").filter(F.col("epoch") == epoch)
+    (written.filter(F.col("outcome") == I.KEPT)
+            .select(F.col(name_col).alias("file_name"), "hash_id", "is_resume", "epoch")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch")
+            .parquet(f"{out_dir}/ledger"))
+    m = obs.get
+    elapsed = time.time() - started
+    (s.createDataFrame([(epoch, m["files"], m["duplicates"], m["resumes"], m["unprocessed"], elapsed)],
+                       "epoch long, files long, duplicates long, resumes long, unprocessed long, "
+                       "seconds double")
+      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch")
+      .parquet(f"{out_dir}/metrics"))
+
+
+def _start(stream: DataFrame, per_batch, checkpoint_dir: str, available_now: bool) -> StreamingQuery:
+    w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
 def ingest_stream(spark: SparkSession, source_dir: str, source_schema, out_dir: str,
                   checkpoint_dir: str, *, max_files_per_trigger: int = 1,
                   name_col: str = "file_name", text_col: str = "text",
                   available_now: bool = True) -> StreamingQuery:
-    """Start the stream; outputs under ``out_dir``: ledger/, outcome/, metrics/ (all by epoch)."""
+    """Extracted-text records arriving as Parquet files; outputs under ``out_dir``:
+    ledger/, outcome/, metrics/ (all partitioned by epoch)."""
     src = (spark.readStream.schema(source_schema)
                 .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
+    return _start(src, lambda b, e: _ingest_batch(b, e, out_dir, name_col, text_col),
+                  checkpoint_dir, available_now)
+
+
+def ingest_file_stream(spark: SparkSession, folder: str, out_dir: str, checkpoint_dir: str, *,
+                       max_files_per_trigger: int = 1000, pdf_extractors=(), doc_extractors=(),
+                       available_now: bool = True) -> StreamingQuery:
+    """S1 on raw documents: a ``binaryFile`` stream picks up only files not seen before.
+
+    Each micro-batch (at most ``max_files_per_trigger`` files, the reference's
+    batch of 1000) keeps the supported suffixes, extracts text like
+    ``ingest_folder`` and runs the same per-batch ingest as ``ingest_stream``.
+    """
+    from papyra.functions.names import file_basename
+    from papyra.operators.ingest import has_supported_extension
+    from papyra.plans.ingest_plan import extracted_text
+
+    src = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+                .option("recursiveFileLookup", True)
+                .option("maxFilesPerTrigger", max_files_per_trigger).load(folder))
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        started = time.time()
-        s = batch.sparkSession
-        known = _known_hashes(s, f"{out_dir}/ledger", epoch)
-        obs = Observation(f"ingest_{epoch}")
-        o = F.col("outcome")
-        out = (I.ingest_outcome(batch, known, name_col=name_col, text_col=text_col)
-                .withColumn("epoch", F.lit(epoch).cast("long"))
-                .observe(obs, F.count(F.lit(1)).alias("files"),
-                         F.count_if(o == I.DUPLICATE).alias("duplicates"),
-                         F.count_if((o == I.KEPT) & F.col("is_resume")).alias("resumes"),
-                         F.count_if(o == I.UNPROCESSED).alias("unprocessed")))
-        # One job computes the outcome; the ledger and counters are read from its output.
-        (out.select(name_col, "outcome", "hash_id", "is_resume", "content", "epoch")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{out_dir}/outcome"))
-        written = s.read.parquet(f"{out_dir}/outcome").filter(F.col("epoch") == epoch)
-        (written.filter(F.col("outcome") == I.KEPT)
-                .select(F.col(name_col).alias("file_name"), "hash_id", "is_resume", "epoch")
-                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{out_dir}/ledger"))
-        m = obs.get
-        elapsed = time.time() - started
-        (s.createDataFrame([(epoch, m["files"], m["duplicates"], m["resumes"], m["unprocessed"], elapsed)],
-                           "epoch long, files long, duplicates long, resumes long, unprocessed long, "
-                           "seconds double")
-          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{out_dir}/metrics"))
-
-    w = src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+        files = (batch.withColumn("file_name", file_basename("path"))
+                      .filter(has_supported_extension("file_name")))
+        with_text = extracted_text(files, list(pdf_extractors), list(doc_extractors)).drop("content")
+        _ingest_batch(with_text, epoch, out_dir, "file_name", "text")
+
+    return _start(src, per_batch, checkpoint_dir, available_now)
 
 
 def stream_dedup(spark: SparkSession, source_dir: str, source_schema, out_dir: str, checkpoint_dir: str,

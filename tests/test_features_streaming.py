@@ -90,3 +90,27 @@ def test_outcome_unchanged_by_in_run_flag_without_copies(spark):
     a = sorted(tuple(r) for r in I.ingest_outcome(files, e).select("file_name", "outcome").collect())
     b = sorted(tuple(r) for r in I.ingest_outcome(files, e, in_run_dedup=True).select("file_name", "outcome").collect())
     assert a == b
+
+
+def test_file_stream_picks_up_only_new_files(spark, tmp_dir):
+    page = "<html><body><p>Resume</p><p>Software engineer {n} since 2019</p></body></html>"
+    src = os.path.join(tmp_dir, "incoming")
+    os.makedirs(src)
+    for n in range(3):
+        with open(os.path.join(src, f"p{n}.html"), "w") as f:
+            f.write(page.format(n=n))
+    with open(os.path.join(src, "skip.txt"), "w") as f:
+        f.write("ignored")
+    out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ckpt")
+    ST.ingest_file_stream(spark, src, out, ck).awaitTermination()
+    first = spark.read.parquet(os.path.join(out, "outcome"))
+    assert sorted(r.file_name for r in first.collect()) == ["p0.html", "p1.html", "p2.html"]
+    # new arrivals: one copy of an old page and one new page; old files are not read again
+    with open(os.path.join(src, "p9.html"), "w") as f:
+        f.write(page.format(n=0))
+    with open(os.path.join(src, "p3.html"), "w") as f:
+        f.write(page.format(n=3))
+    ST.ingest_file_stream(spark, src, out, ck).awaitTermination()
+    allrows = {r.file_name: r.outcome for r in spark.read.parquet(os.path.join(out, "outcome")).collect()}
+    assert allrows == {"p0.html": "kept", "p1.html": "kept", "p2.html": "kept",
+                       "p9.html": "duplicate", "p3.html": "kept"}
