@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from papyra.llm import mixing, sharding, url_filter
-from papyra.llm.common import read
+from papyra.llm import langid, mixing, packing, sharding, url_filter
+from papyra.llm.common import crc_fold, read
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -24,9 +25,22 @@ def op4_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.selectExpr("doc_id", "size", "text_crc32", "'key' AS law", "shard", "slot", "grown_shard")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.poisson_mix(docs).select("doc_id", "source", "text", "copy", "n_copies", "rate", "order_key")
 
 
-REGISTRY = {f.__name__: f for f in (op3_url_filter, op4_rendezvous, op8_poisson_mix)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 4) == 2
+    profiles = langid.learn_profiles(docs.where(~held_out))
+    judged = langid.predict_languages(docs.select("doc_id", "text", held_out.alias("held_out")), profiles)
+    return judged.select("doc_id", "held_out", "lang_pred", "score")
+
+
+REGISTRY = {f.__name__: f for f in (op3_url_filter, op4_rendezvous, op6_best_fit_packing, op8_poisson_mix,
+                                    op9_language_id)}
