@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import langid, mixing, packing, sharding, url_filter
+from papyra.llm import langid, mixing, packing, sharding, toxicity, url_filter
 from papyra.llm.common import crc_fold, read
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -42,5 +42,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 5) == 0
+    labels = read(spark, sf_dir, "labels").where(~held_out)
+    model = toxicity.learn_field(docs, labels)
+    judged = toxicity.score_toxicity(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return judged.select("doc_id", "held_out", "score", "predicted", "spans")
+
+
 REGISTRY = {f.__name__: f for f in (op3_url_filter, op4_rendezvous, op6_best_fit_packing, op8_poisson_mix,
-                                    op9_language_id)}
+                                    op9_language_id, op10_toxicity)}
