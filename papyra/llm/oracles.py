@@ -27,6 +27,17 @@ fits AS (
     ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY 1, 2)
 SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM parts LEFT JOIN fits USING (host, path)"""
 
+OP5 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20"""
+
 OP8 = f"""
 WITH sizes AS (
   SELECT source, sum(strlen(coalesce(text, '')) + 1) AS bytes FROM documents GROUP BY 1),
@@ -47,4 +58,4 @@ SELECT doc_id, source, text, CAST(copy AS INTEGER) AS copy, CAST(n_copies AS INT
   {_unit("'order8'", 'doc_id', 'copy')} AS order_key
 FROM (SELECT *, unnest(range(n_copies)) AS copy FROM drawn)"""
 
-ORACLES = {"op3_url_filter": OP3, "op8_poisson_mix": OP8}
+ORACLES = {"op5_block_topk": OP5, "op3_url_filter": OP3, "op8_poisson_mix": OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import langid, mixing, packing, sharding, toxicity, url_filter
+from papyra.llm import fingerprints, langid, mixing, packing, sharding, topk, toxicity, url_filter
 from papyra.llm.common import crc_fold, read
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -13,6 +13,18 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 SHARDS = 24
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = fingerprints.with_edited(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = fingerprints.with_sketch(texts, text_col="edited", name="edited_sketch")
+    own = F.col("sketch")
+    return both.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(own).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, F.col("edited_sketch")).alias("near_edited"),
+        F.coalesce(fingerprints.resemblance(own, F.col("next_sketch")), F.lit(0.0)).alias("near_next"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -25,6 +37,11 @@ def op4_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.selectExpr("doc_id", "size", "text_crc32", "'key' AS law", "shard", "slot", "grown_shard")
 
 
+def op5_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(read(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("id") % 20 == 0), k=20)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -51,5 +68,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "score", "predicted", "spans")
 
 
-REGISTRY = {f.__name__: f for f in (op3_url_filter, op4_rendezvous, op6_best_fit_packing, op8_poisson_mix,
+REGISTRY = {f.__name__: f for f in (op1_fingerprints, op3_url_filter, op4_rendezvous, op5_block_topk,
+                                    op6_best_fit_packing, op8_poisson_mix,
                                     op9_language_id, op10_toxicity)}
