@@ -102,16 +102,18 @@ def with_edited(docs: DataFrame, k: int = K) -> DataFrame:
     id has none, so it loses its last third and is not like it.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = docs.repartition("doc_id")
+    known = docs.where("doc_id IS NOT NULL")
+    dealt = known.repartition("doc_id")            # one exchange serves both uses
     third = F.floor(F.length("text") / 3)
-    ids = (docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(third).cast("int").alias("take")))
+    ids = known.groupBy("doc_id").agg(F.max(third).cast("int").alias("take"))
     one = Window.partitionBy("doc_id").orderBy("text")
     lent = (dealt.withColumn("_before", F.lag("doc_id").over(one)).where("_before IS NULL").drop("_before")
             .join(_with_next(ids), "doc_id"))
     lent = (with_sketch(lent, name="next_sketch", k=k)
             .select(F.col("before").alias("doc_id"), F.substring("text", F.lit(1), F.col("take")).alias("_lent"),
                     "next_sketch"))
-    joined = dealt.join(lent, "doc_id", "left")
+    joined = (dealt.join(lent, "doc_id", "left")
+              .unionByName(docs.where("doc_id IS NULL"), allowMissingColumns=True))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), (n - third).cast("int")),
                       F.substring(F.coalesce("_lent", F.lit("")), F.lit(1), third.cast("int")))

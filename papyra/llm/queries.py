@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import fingerprints, langid, mixing, packing, sharding, topk, toxicity, url_filter
+from papyra.llm import (fingerprints, jaccard_join, langid, lm_scoring, mixing, packing, sharding, topk, toxicity,
+                        url_filter)
 from papyra.llm.common import crc_fold, read
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -25,6 +26,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(fingerprints.resemblance(own, F.col("next_sketch")), F.lit(0.0)).alias("near_next"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -46,6 +51,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 7) == 2
+    model, counts = lm_scoring.learn_model(docs.where(~held_out))
+    scored = lm_scoring.score_texts(docs.select("doc_id", "text", held_out.alias("held_out")), model, counts)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
+                         "base_score", "score")
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.poisson_mix(docs).select("doc_id", "source", "text", "copy", "n_copies", "rate", "order_key")
@@ -68,6 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "score", "predicted", "spans")
 
 
-REGISTRY = {f.__name__: f for f in (op1_fingerprints, op3_url_filter, op4_rendezvous, op5_block_topk,
-                                    op6_best_fit_packing, op8_poisson_mix,
+REGISTRY = {f.__name__: f for f in (op1_fingerprints, op2_jaccard_join, op3_url_filter, op4_rendezvous, op5_block_topk,
+                                    op6_best_fit_packing, op7_lm_scoring,
+                                    op8_poisson_mix,
                                     op9_language_id, op10_toxicity)}
