@@ -101,15 +101,14 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def common_shingles(texts: DataFrame, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and counts of the common shingles, the ``limit`` most frequent at most.
 
     They only order the prefixes and size the blocks: any order gives the same links.
     """
     found = (texts.mapInArrow(_common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "h").limit(limit).toPandas())
-    order = np.argsort(found["h"].to_numpy(np.int64))
-    return found["h"].to_numpy(np.int64)[order], found["n"].to_numpy(np.int64)[order]
+             .orderBy(F.desc("n"), "h").limit(limit).toArrow().sort_by("h"))
+    return found["h"].to_numpy(), found["n"].to_numpy()
 
 
 def _ceil_div(a, b: int):
