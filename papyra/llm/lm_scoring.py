@@ -41,7 +41,7 @@ from papyra.session import cut_lineage
 BASE = 1.3                     # ratio of neighbouring levels
 PROBES = 4
 BITS_PER_ENTRY = 12
-MAX_FREQUENT = 1 << 20         # words with counts in the broadcast table: 16 bytes each
+MAX_FREQUENT = 1 << 17         # words with counts in the broadcast table: 16 bytes each
 RANGE_BYTES = 1 << 24          # text per hash range
 END = np.uint64(1)
 _BLOCK = 1 << 21               # n-grams sorted together in a task
@@ -176,11 +176,11 @@ def learn_model(training: DataFrame, text_col: str = "text", mix_pairs: float =
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 << max(0, (size // RANGE_BYTES).bit_length())
     words = cut_lineage(_counted(texts, _same, ranges, 1))
-    kept = cut_lineage(words.unionByName(_counted(texts, pairs, ranges, min_pair))
-                       .select("part", "h", F.transform("n", lambda c: c.cast("double")).alias("n")))
+    twos = cut_lineage(_counted(texts, pairs, ranges, min_pair))
+    kept = words.unionByName(twos).select("part", "h", F.transform("n", lambda c: c.cast("double")).alias("n"))
     counts = words.select(F.explode(F.arrays_zip("h", "n")).alias("x")).select("x.h", "x.n")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    frequent = counts.orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).toPandas().sort_values("h")
+    frequent = counts.orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).toArrow().sort_by("h")
     # each count stands for as many entries as its level
     entry = F.aggregate("n", F.lit(0.0), lambda s, c: s + 1 + F.floor(F.log(c) / F.log(F.lit(BASE)) + 1e-9))
     entries = kept.agg(F.sum(entry)).first()[0] or 0
@@ -196,11 +196,12 @@ def learn_model(training: DataFrame, text_col: str = "text", mix_pairs: float =
                                      np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
         return pd.DataFrame({"part": [key[0]], "bits": [bits.tobytes()]})
 
-    segments = dict(map(tuple, kept.groupBy("part").applyInPandas(build, "part int, bits binary").collect()))
+    built = kept.groupBy("part").applyInPandas(build, "part int, bits binary").toArrow()
+    segments = dict(zip(built["part"].to_pylist(), built["bits"].to_pylist(), strict=True))
     empty = bytes(per_range)
     bits = np.frombuffer(b"".join(segments.get(i, empty) for i in range(ranges)), np.uint8)
     model = Model(Filter(bits, ranges), int(n), int(v), mix_pairs,
-                  (frequent["h"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
+                  (frequent["h"].to_numpy(), frequent["n"].to_numpy()))
     return model, counts
 
 
@@ -256,9 +257,9 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text_col: str
                  ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))]))
 
     scored = cut_lineage(plain.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()))
-    rest = (scored.select("_row", F.explode("rare").alias("h")).groupBy("_row", "h").agg(F.count(F.lit(1)).alias("k"))
+    rest = (scored.select("_row", F.explode("rare").alias("h"))
             .join(counts, "h").groupBy("_row")
-            .agg(F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("_more"), F.sum("k").alias("_seen")))
+            .agg(F.sum(F.log10(F.col("n") + 1.0)).alias("_more"), F.count("n").alias("_seen")))
     return (scored.join(rest, "_row", "left")
             .select(*[F.col(f"`{c}`") for c in kept], "n_tokens",
                     (F.col("known") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
