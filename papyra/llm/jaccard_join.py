@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.llm.common import fits
-from papyra.llm.words import chain, word_hashes
+from papyra.llm.words import chain, some_at_a_time, words_of
 from papyra.session import cut_lineage
 
 SHINGLE = 5
@@ -46,16 +46,25 @@ COUNT_BLOCK = 1 << 20  # shingles counted together
 MAX_BROADCAST_IDS = 1 << 20      # 8 bytes each; more are joined by shuffle
 LIST_BLOCK = 4096      # common lists are dealt by hash into blocks of about so many entries
 
+def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its five-word shingles, A-Z lower-cased."""
+    for some in some_at_a_time(texts):
+        words, ends = words_of(some)
+        runs = np.full(max(0, len(words) - SHINGLE + 1), np.uint64(SHINGLE))
+        for i in range(SHINGLE):
+            runs = chain(runs, words[i:i + len(runs)])
+        for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            if end - begin >= SHINGLE:
+                yield np.unique(runs[begin:end - SHINGLE + 1])
+            else:                                    # all words as one shingle, or none
+                short = np.full(min(1, end - begin), np.uint64(end - begin))
+                for i in range(begin, end):
+                    short = chain(short, words[i:i + 1])
+                yield short
+
+
 def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the five-word shingles of a text, A-Z lower-cased."""
-    words = word_hashes(text)
-    if not len(words):
-        return words
-    width = min(SHINGLE, len(words))
-    out = np.full(len(words) - width + 1, np.uint64(width))
-    for i in range(width):
-        out = chain(out, words[i:len(words) - width + 1 + i])
-    return np.unique(out)
+    return next(shingle_sets([text]))
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -67,48 +76,48 @@ def _class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64())],
-            ["doc_id", "n", "id"])
-
-
-def _set_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingle_set(t) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()),
-                                          pa.array([_signed(s) for s in sets], pa.list_(pa.int64()))], ["id", "items"])
-
-
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that occur in COMMON or more sets of a block, with their counts."""
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, n, id) of documents; and rows (null, count, shingle) of what is common in a block of sets."""
     held: list[np.ndarray] = []
+    size = 0
 
-    def emit():
+    def common():
         h, n = np.unique(np.concatenate(held), return_counts=True)
         keep = n >= COMMON
-        return pa.RecordBatch.from_arrays([pa.array(_signed(h[keep])), pa.array(n[keep], pa.int64())], ["h", "n"])
+        return pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.array(n[keep], pa.int64()),
+                                           pa.array(_signed(h[keep]))], ["doc_id", "n", "id"])
 
     for b in batches:
-        for t in b.column(1).to_pylist():
-            held.append(shingle_set(t))
-            if sum(map(len, held[-1:])) and len(held) % 256 == 0 and sum(map(len, held)) > COUNT_BLOCK:
-                yield emit()
-                held = []
+        n, names = [], []
+        for s in shingle_sets(b.column(1).to_pylist()):
+            n.append(len(s))
+            names.append(_class_of(s))
+            held.append(s)
+            size += len(s)
+            if size > COUNT_BLOCK:
+                yield common()
+                held, size = [], 0
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64())],
+                                         ["doc_id", "n", "id"])
     if held:
-        yield emit()
+        yield common()
 
 
-def common_shingles(texts: DataFrame, limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def _set_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = list(shingle_sets(b.column(0).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()),
+                                          pa.array([_signed(s) for s in sets], pa.list_(pa.int64()))], ["id", "items"])
+
+
+def common_shingles(counted: DataFrame, limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and counts of the common shingles, the ``limit`` most frequent at most.
 
     They only order the prefixes and size the blocks: any order gives the same links.
     """
-    found = (texts.mapInArrow(_common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "h").limit(limit).toArrow().sort_by("h"))
-    return found["h"].to_numpy(), found["n"].to_numpy()
+    found = (counted.groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(limit).toArrow()
+             .sort_by("id"))
+    return found["id"].to_numpy(), found["n"].to_numpy()
 
 
 def _ceil_div(a, b: int):
@@ -124,8 +133,7 @@ def _entries(hot: tuple[np.ndarray, np.ndarray], num: int, den: int):
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             if len(listed) > COUNT_BLOCK:
                 listed.clear()
-            for text in b.column(0).to_pylist():
-                s = shingle_set(text)
+            for s in shingle_sets(b.column(0).to_pylist()):
                 n, name = len(s), _class_of(s)
                 if not n or name in listed:
                     continue
@@ -182,8 +190,13 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels.select(*nodes.columns, "root")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) -> a, b, na, nb, overlap, from whole sets."""
+def _compared(pairs: DataFrame, texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b) -> a, b, na, nb, overlap, from the whole sets of one document of each class."""
+    wanted = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    ids = cut_lineage(members.join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    chosen = texts.join(F.broadcast(ids) if fits(ids, MAX_BROADCAST_IDS) else ids, "doc_id", "left_semi")
+    sets = cut_lineage(chosen.select("text").mapInArrow(_set_arrays, "id long, items array<long>")
+                       .join(wanted, "id", "left_semi").dropDuplicates(["id"]))
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("ia"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("ib"))
     return (pairs.join(left, "a").join(right, "b")
@@ -196,9 +209,9 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
     """doc_id, n_shingles, class_id (smallest id with an equal set) and component_id of every document."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                         F.col(f"`{text_col}`").alias("text")).where("doc_id IS NOT NULL")
-    members = cut_lineage(texts.mapInArrow(_set_rows, "doc_id long, n long, id long"))
+    rows = cut_lineage(texts.mapInArrow(_documents, "doc_id long, n long, id long"))
+    members, hot = rows.where("doc_id IS NOT NULL"), common_shingles(rows.where("doc_id IS NULL"))
 
-    hot = common_shingles(texts)
     entries = texts.select("text").mapInArrow(_entries(hot, num, den), "h long, salt int, id long, n int, p int")
     # a list that is not split must hold two classes to matter
     one_list = Window.partitionBy("h", "salt")
@@ -209,27 +222,30 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
     listed = cut_lineage(listed.select("h", block.alias("block"), "id", "n", "wide").distinct())
 
     # first answers: every entry against the leader of its block, and block leaders against each other in a chain of two
-    widest = F.struct(F.col("wide"), (-F.col("id")).alias("id"))
-    heads = listed.groupBy("h", "block").agg(F.max(widest).alias("head"))
-    heads = cut_lineage(heads.select("h", "block", (-F.col("head.id")).alias("head")))
-    tops = heads.groupBy("h").agg(F.min("head").alias("top"))
-    starts = (listed.join(heads, ["h", "block"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
-              .union(heads.join(tops, "h").select("head", "top")))
-    pairs = cut_lineage(starts.where("a <> b").distinct())
+    heads = (listed.groupBy("h", "block").agg(F.max(F.struct("wide", "id", "n")).alias("x"))
+             .select("h", "block", F.col("x.id").alias("head"), F.col("x.n").alias("m"), F.col("x.wide").alias("reach")))
+    heads = cut_lineage(heads)
+    tops = (heads.groupBy("h").agg(F.max(F.struct("reach", "head", "m")).alias("x"))
+            .select("h", F.col("x.head").alias("head"), F.col("x.m").alias("m"), F.col("x.reach").alias("reach")))
+    inner = heads.select("h", F.col("head").alias("id"), F.col("m").alias("n"), F.col("reach").alias("wide"))
+    starts = (listed.join(heads, ["h", "block"]).select("id", "n", "wide", "head", "m", "reach")
+              .union(inner.join(tops, "h").select("id", "n", "wide", "head", "m", "reach")))
+    pairs = cut_lineage(starts.where("id <> head AND m <= wide AND n <= reach")
+                        .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct())
     active = cut_lineage(listed.select("id").distinct())
-    ids = cut_lineage(members.join(active, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
-    chosen = texts.join(F.broadcast(ids) if fits(ids, MAX_BROADCAST_IDS) else ids, "doc_id", "left_semi")
-    sets = cut_lineage(chosen.select("text").mapInArrow(_set_arrays, "id long, items array<long>")
-                       .join(active, "id", "left_semi").dropDuplicates(["id"]))
-    answers = cut_lineage(_compared(pairs, sets))
+    answers = cut_lineage(_compared(pairs, texts, members))
     links = answers.where(F.col("overlap") >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")
     first = cut_lineage(components(links, active))
 
     # the rest: pairs of entries in different components that no bound rules out
-    best = (answers.groupBy("a").agg(F.max_by(F.struct("b", "overlap"), "overlap").alias("x"))
-            .select(F.col("a").alias("id"), F.col("x.b").alias("guide"), F.col("x.overlap").alias("o")))
-    best = best.unionByName(answers.select(F.col("b").alias("id"), F.col("b").alias("guide"), F.col("nb").alias("o"))
-                            .distinct().join(best, "id", "left_anti"))
+    seen = (answers.select(F.col("a").alias("id"), F.col("b").alias("guide"), "overlap")
+            .union(answers.select("b", "a", "overlap"))
+            .union(answers.select("a", "a", "na")).union(answers.select("b", "b", "nb")))
+    # the guide is the most often compared set among those a set was compared with, itself included
+    weight = F.count(F.lit(1)).over(Window.partitionBy("guide"))
+    best = (seen.distinct().withColumn("w", weight).groupBy("id")
+            .agg(F.max_by(F.struct("guide", "overlap"), F.struct("w", "guide")).alias("x"))
+            .select("id", F.col("x.guide").alias("guide"), F.col("x.overlap").alias("o")))
     rest = cut_lineage(listed.join(first, "id").join(best, "id", "left")
                        .select("h", "block", "id", "n", "wide", "root", "guide", "o"))
     stats = (rest.groupBy("h", "block").agg(F.min("n").alias("small"), F.max("wide").alias("reach"),
@@ -247,8 +263,8 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
                   .where(~F.coalesce((F.col("guide") == F.col("guide_2"))
                                      & (overlap_most < _need(F.col("n"), F.col("n_2"), num, den)), F.lit(False)))
                   .select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct())
-    done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = cut_lineage(_compared((open_pairs.join(done, ["a", "b"], "left_anti")), sets))
+    fresh = cut_lineage(open_pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti"))
+    late = cut_lineage(_compared(fresh, texts, members))
     more = late.where(F.col("overlap") >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")
     roots = first.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)
     final = components(roots, active)

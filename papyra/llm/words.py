@@ -42,16 +42,34 @@ def _scales(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _INVERSES[0]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)    # bytes.lower is A-Z only
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in turn, and the position after each text's last word."""
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b"\n".join(raws).lower(), np.uint8)               # bytes.lower is A-Z only
     inside = (raw != 32) & ((raw < 9) | (raw > 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False]))))
     begin, end = edge[::2], edge[1::2]
+    ends = np.searchsorted(begin, np.cumsum([len(r) + 1 for r in raws]))
     if not len(begin):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), ends
     up, down = _scales(len(raw) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up[:len(raw)], dtype=np.uint64)))
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)), ends
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    return words_of([text])[0]
+
+
+def some_at_a_time(texts: list[str | None], size: int = 1 << 18):
+    """Slices of ``texts`` of about ``size`` characters, or of one longer text."""
+    at = 0
+    while at < len(texts):
+        begin, n = at, 0
+        while at < len(texts) and (n < size or at == begin):
+            n += len(texts[at] or "") + 1
+            at += 1
+        yield texts[begin:at]
 
 
 def chain(before: np.ndarray, word: np.ndarray) -> np.ndarray:
