@@ -45,8 +45,9 @@ def merge_sketches(df: DataFrame, key: str, sketch: str = "sketch", k: int = K)
     least = Window.partitionBy(key).orderBy("h")
     merged = (hashes.withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= k)
               .groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(sketch)))
-    return (df.select(key).distinct().join(merged, df[key].eqNullSafe(merged[key]), "left")
-            .select(df[key], F.coalesce(sketch, F.array().cast("array<bigint>")).alias(sketch)))
+    keys = df.select(F.col(key).alias("_key")).distinct()
+    return (keys.join(merged, F.col("_key").eqNullSafe(F.col(key)), "left")
+            .select(F.col("_key").alias(key), F.coalesce(sketch, F.array().cast("array<bigint>")).alias(sketch)))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
