@@ -219,7 +219,8 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
               .where("salt > 0 OR _lo <> _hi").withColumn("wide", _widest(F.col("n"), F.col("p"), num, den).cast("int")))
     # blocks by size step and by whether the entry can still reach its own size
     block = F.hash("salt", F.floor(F.log("n") / F.log(F.lit(1.25))), F.col("wide") >= F.col("n"))
-    listed = cut_lineage(listed.select("h", block.alias("block"), "id", "n", "wide").distinct())
+    listed = cut_lineage(listed.select("h", (F.col("salt") > 0).alias("split"), block.alias("block"), "id", "n",
+                                       "wide").distinct())
 
     # first answers: every entry against the leader of its block, and block leaders against each other in a chain of two
     heads = (listed.groupBy("h", "block").agg(F.max(F.struct("wide", "id", "n")).alias("x"))
@@ -247,18 +248,24 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
             .agg(F.max_by(F.struct("guide", "overlap"), F.struct("w", "guide")).alias("x"))
             .select("id", F.col("x.guide").alias("guide"), F.col("x.overlap").alias("o")))
     rest = cut_lineage(listed.join(first, "id").join(best, "id", "left")
-                       .select("h", "block", "id", "n", "wide", "root", "guide", "o"))
-    stats = (rest.groupBy("h", "block").agg(F.min("n").alias("small"), F.max("wide").alias("reach"),
-                                            F.min("root").alias("r0"), F.max("root").alias("r1")))
-    stats = cut_lineage(stats.join(rest.groupBy("h").agg(F.min("root").alias("m0"), F.max("root").alias("m1"))
-                                   .where("m0 <> m1").select("h"), "h"))
+                       .select("h", "split", "block", "id", "n", "wide", "root", "guide", "o"))
+    mixed = (rest.groupBy("h").agg(F.min("root").alias("m0"), F.max("root").alias("m1"), F.min("n").alias("s0"),
+                                   F.max("wide").alias("w0")).where("m0 <> m1").select("h", "s0", "w0"))
+    rest = cut_lineage(rest.join(mixed, "h").where("s0 <= wide AND n <= w0").drop("s0", "w0"))
+    two = rest.select("h", *[F.col(c).alias(f"{c}_2") for c in rest.columns if c != "h"])
+    whole_lists = rest.where("NOT split").join(two.where("NOT split_2"), "h").where("id < id_2")
+    # a split list meets itself block by block, but for the pairs of blocks that bounds or components rule out
+    stats = (rest.where("split").groupBy("h", "block")
+             .agg(F.min("n").alias("small"), F.max("wide").alias("reach"), F.min("root").alias("r0"),
+                  F.max("root").alias("r1")))
     other = stats.select("h", *[F.col(c).alias(f"{c}_2") for c in ("block", "small", "reach", "r0", "r1")])
     cells = (stats.join(other, "h").where("block <= block_2 AND small_2 <= reach AND small <= reach_2 "
                                           "AND NOT (r0 = r1 AND r0_2 = r1_2 AND r0 = r0_2)")
              .select("h", "block", "block_2"))
-    two = rest.select("h", *[F.col(c).alias(f"{c}_2") for c in rest.columns if c != "h"])
+    split_lists = (rest.where("split").join(cells, ["h", "block"]).join(two.where("split_2"), ["h", "block_2"])
+                   .select(whole_lists.columns))
     overlap_most = (F.least("o", "o_2") + F.least(F.col("n") - F.col("o"), F.col("n_2") - F.col("o_2")))
-    open_pairs = (rest.join(cells, ["h", "block"]).join(two, ["h", "block_2"])
+    open_pairs = (whole_lists.union(split_lists)
                   .where("root <> root_2 AND n_2 <= wide AND n <= wide_2")
                   .where(~F.coalesce((F.col("guide") == F.col("guide_2"))
                                      & (overlap_most < _need(F.col("n"), F.col("n_2"), num, den)), F.lit(False)))
