@@ -14,7 +14,8 @@ blocks is skipped when the bounds of the one rule out every size of the other,
 or when both lie in one component.
 
 Answers from similar sets.  The entry with the widest bound leads its block.
-Every member is checked against its leader first; a member that links shares the
+Bitmaps of the sets rule out most pairs; of the rest,
+every member is checked against its leader first; a member that links shares the
 leader's component, and pairs inside a component need no check.  For the rest
 the overlaps with a common leader bound the overlap of the pair: it is at most
 min(o1, o2) + min(n1 - o1, n2 - o2).  Only pairs that pass are compared, on
@@ -44,6 +45,7 @@ SHINGLE = 5
 COMMON = 16            # a shingle counts as common from so many sets within one block of shingles
 COUNT_BLOCK = 1 << 20  # shingles counted together
 MAX_BROADCAST_IDS = 1 << 20      # 8 bytes each; more are joined by shuffle
+BITMAP = 4096          # bits of the set summary that rules out most pairs
 LIST_BLOCK = 4096      # common lists are dealt by hash into blocks of about so many entries
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -76,8 +78,15 @@ def _class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """One bit per hash of the set, in BITMAP bits as 64-bit words."""
+    bits = np.zeros(BITMAP, np.uint8)
+    bits[(s % np.uint64(BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n, id) of documents; and rows (null, count, shingle) of what is common in a block of sets."""
+    """Rows (doc_id, n, id, bits) of documents; and rows (null, count, shingle, null) of what is common in a block of sets."""
     held: list[np.ndarray] = []
     size = 0
 
@@ -85,29 +94,38 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, n = np.unique(np.concatenate(held), return_counts=True)
         keep = n >= COMMON
         return pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.array(n[keep], pa.int64()),
-                                           pa.array(_signed(h[keep]))], ["doc_id", "n", "id"])
+                                           pa.array(_signed(h[keep])), pa.nulls(int(keep.sum()), pa.list_(pa.int64()))],
+                                          ["doc_id", "n", "id", "bits"])
 
     for b in batches:
-        n, names = [], []
+        n, names, maps = [], [], []
         for s in shingle_sets(b.column(1).to_pylist()):
             n.append(len(s))
             names.append(_class_of(s))
+            maps.append(_bitmap(s))
             held.append(s)
             size += len(s)
             if size > COUNT_BLOCK:
                 yield common()
                 held, size = [], 0
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64())],
-                                         ["doc_id", "n", "id"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()),
+                                          pa.array(maps, pa.list_(pa.int64()))], ["doc_id", "n", "id", "bits"])
     if held:
         yield common()
 
 
 def _set_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole sets with their class; mostly once per class and task, and a set twice does no harm."""
+    given: set[int] = set()
     for b in batches:
-        sets = list(shingle_sets(b.column(0).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()),
-                                          pa.array([_signed(s) for s in sets], pa.list_(pa.int64()))], ["id", "items"])
+        if len(given) > COUNT_BLOCK:
+            given.clear()
+        sets = {_class_of(s): s for s in shingle_sets(b.column(0).to_pylist())}
+        fresh = [k for k in sets if k not in given]
+        given.update(fresh)
+        yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()),
+                                          pa.array([_signed(sets[k]) for k in fresh], pa.list_(pa.int64()))],
+                                         ["id", "items"])
 
 
 def common_shingles(counted: DataFrame, limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
@@ -190,13 +208,26 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels.select(*nodes.columns, "root")
 
 
+def _possible(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that the bitmaps leave open: a bit of one set that the other lacks is a shingle it lacks."""
+    sides = [maps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"m{c}")) for c in "ab"]
+
+    def lacking(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0),
+                           lambda s, v: s + v)
+
+    most = F.least(F.col("na") - lacking("ma", "mb"), F.col("nb") - lacking("mb", "ma"))
+    return (pairs.join(sides[0], "a").join(sides[1], "b").where(most >= _need(F.col("na"), F.col("nb"), num, den))
+            .select("a", "b"))
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b) -> a, b, na, nb, overlap, from the whole sets of one document of each class."""
     wanted = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     ids = cut_lineage(members.join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
     chosen = texts.join(F.broadcast(ids) if fits(ids, MAX_BROADCAST_IDS) else ids, "doc_id", "left_semi")
-    sets = cut_lineage(chosen.select("text").mapInArrow(_set_arrays, "id long, items array<long>")
-                       .join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    sets = (chosen.select("text")
+            .mapInArrow(_set_arrays, "id long, items array<long>").join(wanted, "id", "left_semi"))
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("ia"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("ib"))
     return (pairs.join(left, "a").join(right, "b")
@@ -209,7 +240,7 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
     """doc_id, n_shingles, class_id (smallest id with an equal set) and component_id of every document."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                         F.col(f"`{text_col}`").alias("text")).where("doc_id IS NOT NULL")
-    rows = cut_lineage(texts.mapInArrow(_documents, "doc_id long, n long, id long"))
+    rows = cut_lineage(texts.mapInArrow(_documents, "doc_id long, n long, id long, bits array<long>"))
     members, hot = rows.where("doc_id IS NOT NULL"), common_shingles(rows.where("doc_id IS NULL"))
 
     entries = texts.select("text").mapInArrow(_entries(hot, num, den), "h long, salt int, id long, n int, p int")
@@ -231,9 +262,11 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
     inner = heads.select("h", F.col("head").alias("id"), F.col("m").alias("n"), F.col("reach").alias("wide"))
     starts = (listed.join(heads, ["h", "block"]).select("id", "n", "wide", "head", "m", "reach")
               .union(inner.join(tops, "h").select("id", "n", "wide", "head", "m", "reach")))
-    pairs = cut_lineage(starts.where("id <> head AND m <= wide AND n <= reach")
-                        .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct())
+    pairs = (starts.where("id <> head AND m <= wide AND n <= reach")
+             .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct())
     active = cut_lineage(listed.select("id").distinct())
+    maps = cut_lineage(members.join(active, "id").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
+    pairs = cut_lineage(_possible(pairs, maps, num, den))
     answers = cut_lineage(_compared(pairs, texts, members))
     links = answers.where(F.col("overlap") >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")
     first = cut_lineage(components(links, active))
@@ -270,7 +303,7 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
                   .where(~F.coalesce((F.col("guide") == F.col("guide_2"))
                                      & (overlap_most < _need(F.col("n"), F.col("n_2"), num, den)), F.lit(False)))
                   .select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct())
-    fresh = cut_lineage(open_pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti"))
+    fresh = cut_lineage(_possible(open_pairs.join(pairs, ["a", "b"], "left_anti"), maps, num, den))
     late = cut_lineage(_compared(fresh, texts, members))
     more = late.where(F.col("overlap") >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")
     roots = first.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)
