@@ -33,7 +33,7 @@ def file_extension(col) -> Column:
 
 def swap_extension(col, new_ext: str = ".parquet") -> Column:
     """``splitext(p)[0] + new_ext``."""
-    stem = F.regexp_replace(_c(col), r"(?<=[^./])\.[^./]*$", "")
+    stem = F.regexp_replace(_c(col), r"^((?:.*/)?\.*[^./][^/]*?)\.[^./]*$", "$1")
     return F.concat(stem, F.lit(new_ext))
 
 

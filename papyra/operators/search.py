@@ -140,9 +140,9 @@ def analysis_json(req_col: str, doc_terms_col: str, max_chars: int | None = None
     r = F.col(req_col)
     d = F.col(doc_terms_col)
     overall = weighted_score(req_col, doc_terms_col)
-    strengths = F.slice(F.array_sort(F.array_intersect(r["skills"], d)), 1, 5)
-    gaps = F.slice(F.array_sort(F.array_except(r["skills"], d)), 1, 5)
-    projects = F.transform(F.slice(F.array_sort(F.array_intersect(r["projects"], d)), 1, 3),
+    strengths = F.array_sort(F.array_intersect(r["skills"], d))
+    gaps = F.array_sort(F.array_except(r["skills"], d))
+    projects = F.transform(F.array_sort(F.array_intersect(r["projects"], d)),
                            lambda t: F.struct(t.alias("Project_Name"),
                                               F.concat(F.lit("uses "), t).alias("Description"),
                                               F.round(comp["projects"], 4).alias("Relevance_Score")))

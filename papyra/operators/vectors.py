@@ -199,8 +199,18 @@ def to_points(df: DataFrame, document_col: str, chunk_col: str, vector_col: str,
                       *keep))
 
 
-def upsert_points(current: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
-    """Insert-or-replace by id (new rows win); write the result as a new version."""
+def upsert_points(current: DataFrame, new: DataFrame, id_col: str = "id",
+                  version_col: str | None = None) -> DataFrame:
+    """Insert-or-replace by id (new rows win); write the result as a new version.
+
+    An id that ``new`` holds several times keeps its row of the largest ``version_col``,
+    or any one of them where no version is named.
+    """
+    if version_col:
+        row = F.struct(*[F.col(f"`{c}`") for c in new.columns])
+        new = new.groupBy(id_col).agg(F.max_by(row, version_col).alias("_row")).select("_row.*")
+    else:
+        new = new.dropDuplicates([id_col])
     return current.join(new.select(id_col), id_col, "left_anti").unionByName(new)
 
 

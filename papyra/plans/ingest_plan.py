@@ -30,7 +30,8 @@ def extracted_text(files: DataFrame, pdf_extractors: list[Extractor] = (),
     """Add ``text`` per routed kind; null when no extractor produced text."""
     kind = I.route_by_extension("file_name")
     content = F.col("content")
-    html = html_to_text(F.decode(content, "UTF-8"))
+    # bytes that are no UTF-8 give null, so the file counts as unprocessed and the run goes on
+    html = html_to_text(F.try_validate_utf8(content.cast("string")))
     pdf = first_success_nonempty(*[e(content) for e in pdf_extractors]) if pdf_extractors else F.lit(None)
     doc = first_success(*[e(content) for e in doc_extractors]) if doc_extractors else F.lit(None)
     text = (F.when(kind == "html", html).when(kind == "pdf", pdf).when(kind == "doc", doc)

@@ -407,7 +407,7 @@ _PROMPT = ("printf('Analyze and quantify the relevance between the provided job
            "jt, content)")
 ORACLES["build_prompts"] = (_SEARCH + f" SELECT query_id, text_id, length({_PROMPT}) AS prompt_chars, "
                             f"md5({_PROMPT}) AS prompt_md5 FROM fin")
-_ANA = (_SEARCH + f", an AS (SELECT *, length(content) > 12000 AS parse_error, "
+_ANA = (_SEARCH + f", an AS (SELECT *, false AS parse_error, "
         "printf('%d%%', CAST(round(raw_score) AS INTEGER)) AS overall, "
         "CASE WHEN c_ex >= 0.5 THEN 'High' WHEN c_ex >= 0.2 THEN 'Medium' ELSE 'Low' END AS quality FROM fin)")
 ORACLES["parse_match_json"] = (
@@ -427,14 +427,14 @@ ORACLES["skill_rows"] = (
     + " FROM an WHERE NOT parse_error UNION ALL SELECT query_id, text_id, 'Certifications', "
     + _PCT.format(x="c_ed") + " FROM an WHERE NOT parse_error")
 ORACLES["project_rows"] = (
-    _ANA + ", pj AS (SELECT query_id, text_id, c_pr, unnest(list_sort(list_intersect(pr, dt))[1:3]) AS t FROM an "
+    _ANA + ", pj AS (SELECT query_id, text_id, c_pr, unnest(list_sort(list_intersect(pr, dt))) AS t FROM an "
     "WHERE NOT parse_error) SELECT query_id, text_id, t AS Project_Name, 'uses ' || t AS Description, "
     "round(c_pr, 4) AS Relevance_Score FROM pj")
 ORACLES["strength_gap_rows"] = (
     _ANA + " SELECT query_id, text_id, 'strength' AS kind, CAST(NULL AS VARCHAR) AS key, unnest(list_sort("
-    "list_intersect(sk, dt))[1:5]) AS value FROM an WHERE NOT parse_error "
+    "list_intersect(sk, dt))) AS value FROM an WHERE NOT parse_error "
     "UNION ALL SELECT query_id, text_id, 'gap', NULL, unnest(list_sort(list_filter(sk, lambda x: NOT list_contains("
-    "dt, x)))[1:5]) FROM an WHERE NOT parse_error "
+    "dt, x)))) FROM an WHERE NOT parse_error "
     "UNION ALL SELECT query_id, text_id, 'recommendation', 'next_step', CASE WHEN raw_score >= 50 THEN 'interview' "
     "ELSE 'review' END FROM an WHERE NOT parse_error")
 ORACLES["memo_lookup"] = (

@@ -90,12 +90,7 @@ def ranked(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
     return S.rank_by_match(scored(spark, sf_dir, k), "match_score")
 
 
-# Analyses longer than the model's output limit arrive cut off; a long resume triggers it here.
-LONG_RESUME_CHARS = 12000
-CUT_AT = 60
-
-
 def analyses(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
     s = scored(spark, sf_dir, k)
-    js = S.analysis_json("req", "doc_terms", CUT_AT, F.length("content") > LONG_RESUME_CHARS)
+    js = S.analysis_json("req", "doc_terms")
     return S.parse_match_json(s.withColumn("analysis_json", js), "analysis_json")

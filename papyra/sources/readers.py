@@ -99,6 +99,7 @@ def read_docmap(spark: SparkSession, path: str, partitioned: bool = False) -> Da
 def read_hash_ledger_rows(spark: SparkSession, path: str) -> DataFrame:
     """All ledger CSV rows under ``path`` (header skipped, schema fixed)."""
     return (spark.read.schema(S.HASH_LEDGER).option("header", True)
+                 .option("escape", '"').option("multiLine", True)
                  .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path))
 
 
@@ -110,6 +111,7 @@ def read_hash_ledger(spark: SparkSession, path: str) -> DataFrame:
 # -- A6 -----------------------------------------------------------------------
 def read_status_ledger(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.schema(S.STATUS_LEDGER).option("header", True)
+                 .option("escape", '"').option("multiLine", True)
                  .option("recursiveFileLookup", True).csv(path))
 
 
