@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.session import cut_lineage
+from papyra.session import cut_lineage, scratch_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _POS_BITS = 33   # monotonically_increasing_id = partition index << 33 | position in it
@@ -42,6 +42,18 @@ def in_order(df: DataFrame, *cols: str) -> DataFrame:
     return ranged.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back.
+
+    A checkpoint keeps the size estimate of its plan.  In a loop of joins that is a
+    product of products, a number of millions of digits after a few rounds; a
+    written table has the size of its files.  For narrow rows: nothing removes them.
+    """
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether a (checkpointed or otherwise cheap) frame has at most ``rows`` rows."""
     return df.limit(rows + 1).count() <= rows

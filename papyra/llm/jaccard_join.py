@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm.common import fits
+from papyra.llm.common import fits, written
 from papyra.llm.words import chain, some_at_a_time, words_of
 from papyra.session import cut_lineage
 
@@ -191,18 +191,18 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     Each round hooks every root to its smallest neighbour root, shortens the chains
     by pointer doubling and keeps the links between different roots.
     """
-    edges = cut_lineage(links.where("a <> b").distinct())
+    edges = written(links.where("a <> b").distinct(), "edges")
     labels = nodes.withColumn("root", F.col("id"))
     while not edges.isEmpty():
-        hooks = cut_lineage(edges.union(edges.select("b", "a")).groupBy("a")
-                            .agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
+        hooks = written(edges.union(edges.select("b", "a")).groupBy("a")
+                        .agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")), "hooks")
         for _ in range(3):                       # a hook may now skip up to eight steps of its chain
             hooks = hooks.join(hooks.select(F.col("a").alias("to"), F.col("to").alias("up")), "to").select(
                 "a", F.col("up").alias("to"))
-        hooks = cut_lineage(hooks)
+        hooks = written(hooks, "hooks")
         ends = [hooks.select(F.col("a").alias(c), F.col("to").alias(f"r{c}")) for c in "ab"]
-        edges = cut_lineage(edges.join(ends[0], "a").join(ends[1], "b").where("ra <> rb")
-                            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        edges = written(edges.join(ends[0], "a").join(ends[1], "b").where("ra <> rb")
+                        .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         labels = (labels.join(hooks.select(F.col("a").alias("root"), F.col("to").alias("_to")), "root", "left")
                   .withColumn("root", F.coalesce("_to", "root")).drop("_to"))
     return labels.select(*nodes.columns, "root")
@@ -269,7 +269,7 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
     pairs = cut_lineage(_possible(pairs, maps, num, den))
     answers = cut_lineage(_compared(pairs, texts, members))
     links = answers.where(F.col("overlap") >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")
-    first = cut_lineage(components(links, active))
+    first = written(components(links, active), "components")
 
     # the rest: pairs of entries in different components that no bound rules out
     seen = (answers.select(F.col("a").alias("id"), F.col("b").alias("guide"), "overlap")
