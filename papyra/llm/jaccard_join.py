@@ -45,7 +45,6 @@ SHINGLE = 5
 COMMON = 16            # a shingle counts as common from so many sets within one block of shingles
 COUNT_BLOCK = 1 << 20  # shingles counted together
 MAX_BROADCAST_IDS = 1 << 20      # 8 bytes each; more are joined by shuffle
-BITMAP = 4096          # bits of the set summary that rules out most pairs
 LIST_BLOCK = 4096      # common lists are dealt by hash into blocks of about so many entries
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -79,9 +78,10 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
-    """One bit per hash of the set, in BITMAP bits as 64-bit words."""
-    bits = np.zeros(BITMAP, np.uint8)
-    bits[(s % np.uint64(BITMAP)).astype(np.int64)] = 1
+    """One bit per hash of the set as 64-bit words; the bits are a power of two, two to four for each hash."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    bits = np.zeros(size, np.uint8)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -212,19 +212,25 @@ def _possible(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFram
     """Pairs (a, b) that the bitmaps leave open: a bit of one set that the other lacks is a shingle it lacks."""
     sides = [maps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"m{c}")) for c in "ab"]
 
-    def lacking(x: str, y: str) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0),
-                           lambda s, v: s + v)
+    def folded(x: str, y: str) -> Column:        # half as many bits: each word with the one half the map further on
+        half = F.expr(f"size({x}) div 2")
+        both = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))
+        return F.when(F.size(x) > F.size(y), both).otherwise(F.col(x))
 
-    most = F.least(F.col("na") - lacking("ma", "mb"), F.col("nb") - lacking("mb", "ma"))
-    return (pairs.join(sides[0], "a").join(sides[1], "b").where(most >= _need(F.col("na"), F.col("nb"), num, den))
-            .select("a", "b"))
+    def lacking(x: str, y: str) -> Column:       # maps that differ in size after one fold tell nothing
+        count = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0),
+                            lambda s, v: s + v)
+        return F.coalesce(count, F.lit(0))
 
+    met = pairs.join(sides[0], "a").join(sides[1], "b").withColumns({"fa": folded("ma", "mb"), "fb": folded("mb", "ma")})
+    most = F.least(F.col("na") - lacking("fa", "fb"), F.col("nb") - lacking("fb", "fa"))
+    return met.where(most >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")
 
-def _compared(pairs: DataFrame, texts: DataFrame, members: DataFrame) -> DataFrame:
+
+def _compared(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) -> a, b, na, nb, overlap, from the whole sets of one document of each class."""
     wanted = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    ids = cut_lineage(members.join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    ids = cut_lineage(classes.join(wanted, "id").select(F.col("class_id").alias("doc_id")))
     chosen = texts.join(F.broadcast(ids) if fits(ids, MAX_BROADCAST_IDS) else ids, "doc_id", "left_semi")
     sets = (chosen.select("text")
             .mapInArrow(_set_arrays, "id long, items array<long>").join(wanted, "id", "left_semi"))
@@ -242,6 +248,9 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
                         F.col(f"`{text_col}`").alias("text")).where("doc_id IS NOT NULL")
     rows = cut_lineage(texts.mapInArrow(_documents, "doc_id long, n long, id long, bits array<long>"))
     members, hot = rows.where("doc_id IS NOT NULL"), common_shingles(rows.where("doc_id IS NULL"))
+    classes = written(members.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"),
+                                                               F.first("bits").alias("bits")), "classes")
+    members = members.select("doc_id", "n", "id")
 
     entries = texts.select("text").mapInArrow(_entries(hot, num, den), "h long, salt int, id long, n int, p int")
     # a list that is not split must hold two classes to matter
@@ -250,24 +259,27 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
               .where("salt > 0 OR _lo <> _hi").withColumn("wide", _widest(F.col("n"), F.col("p"), num, den).cast("int")))
     # blocks by size step and by whether the entry can still reach its own size
     block = F.hash("salt", F.floor(F.log("n") / F.log(F.lit(1.25))), F.col("wide") >= F.col("n"))
-    listed = cut_lineage(listed.select("h", (F.col("salt") > 0).alias("split"), block.alias("block"), "id", "n",
-                                       "wide").distinct())
-
-    # first answers: every entry against the leader of its block, and block leaders against each other in a chain of two
-    heads = (listed.groupBy("h", "block").agg(F.max(F.struct("wide", "id", "n")).alias("x"))
-             .select("h", "block", F.col("x.id").alias("head"), F.col("x.n").alias("m"), F.col("x.wide").alias("reach")))
-    heads = cut_lineage(heads)
-    tops = (heads.groupBy("h").agg(F.max(F.struct("reach", "head", "m")).alias("x"))
-            .select("h", F.col("x.head").alias("head"), F.col("x.m").alias("m"), F.col("x.reach").alias("reach")))
-    inner = heads.select("h", F.col("head").alias("id"), F.col("m").alias("n"), F.col("reach").alias("wide"))
-    starts = (listed.join(heads, ["h", "block"]).select("id", "n", "wide", "head", "m", "reach")
-              .union(inner.join(tops, "h").select("id", "n", "wide", "head", "m", "reach")))
-    pairs = (starts.where("id <> head AND m <= wide AND n <= reach")
-             .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct())
+    listed = listed.select("h", "salt", block.alias("block"), "id", "n", "wide").distinct()
+    # the leader of each block and of each list: rows of a list lie together already, so none moves again
+    widest = F.struct("wide", "id", "n")
+    listed = listed.withColumns({"head": F.max(widest).over(Window.partitionBy("h", "salt", "block")),
+                                 "top": F.max(widest).over(one_list)})
+    listed = written(listed.withColumn("split", F.col("salt") > 0), "listed")
+
+    # first answers: every entry against the leader of its block, block leaders against the list's, and these
+    # against each other where a list is split
+    parts = listed.where("split").groupBy("h", "salt").agg(F.max("top").alias("head"))
+    tops = parts.groupBy("h").agg(F.max("head").alias("top"))
+    of_head = [F.col("head.id").alias("id"), F.col("head.n").alias("n"), F.col("head.wide").alias("wide"), "top"]
+    starts = (listed.select("id", "n", "wide", F.col("head").alias("top")).union(listed.select(*of_head))
+              .union(parts.join(tops, "h").select(*of_head)))
+    pairs = (starts.where("id <> top.id AND top.n <= wide AND n <= top.wide")
+             .select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct())
+    listed = listed.drop("salt", "head", "top")
     active = cut_lineage(listed.select("id").distinct())
-    maps = cut_lineage(members.join(active, "id").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
+    maps = classes.join(active, "id", "left_semi").select("id", "n", "bits")
     pairs = cut_lineage(_possible(pairs, maps, num, den))
-    answers = cut_lineage(_compared(pairs, texts, members))
+    answers = cut_lineage(_compared(pairs, texts, classes))
     links = answers.where(F.col("overlap") >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")
     first = written(components(links, active), "components")
 
@@ -280,11 +292,11 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
     best = (seen.distinct().withColumn("w", weight).groupBy("id")
             .agg(F.max_by(F.struct("guide", "overlap"), F.struct("w", "guide")).alias("x"))
             .select("id", F.col("x.guide").alias("guide"), F.col("x.overlap").alias("o")))
-    rest = cut_lineage(listed.join(first, "id").join(best, "id", "left")
-                       .select("h", "split", "block", "id", "n", "wide", "root", "guide", "o"))
+    rest = written(listed.join(first, "id").join(best, "id", "left")
+                   .select("h", "split", "block", "id", "n", "wide", "root", "guide", "o"), "rest")
     mixed = (rest.groupBy("h").agg(F.min("root").alias("m0"), F.max("root").alias("m1"), F.min("n").alias("s0"),
                                    F.max("wide").alias("w0")).where("m0 <> m1").select("h", "s0", "w0"))
-    rest = cut_lineage(rest.join(mixed, "h").where("s0 <= wide AND n <= w0").drop("s0", "w0"))
+    rest = written(rest.join(mixed, "h").where("s0 <= wide AND n <= w0").drop("s0", "w0"), "mixed")
     two = rest.select("h", *[F.col(c).alias(f"{c}_2") for c in rest.columns if c != "h"])
     whole_lists = rest.where("NOT split").join(two.where("NOT split_2"), "h").where("id < id_2")
     # a split list meets itself block by block, but for the pairs of blocks that bounds or components rule out
@@ -304,13 +316,12 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
                                      & (overlap_most < _need(F.col("n"), F.col("n_2"), num, den)), F.lit(False)))
                   .select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct())
     fresh = cut_lineage(_possible(open_pairs.join(pairs, ["a", "b"], "left_anti"), maps, num, den))
-    late = cut_lineage(_compared(fresh, texts, members))
+    late = cut_lineage(_compared(fresh, texts, classes))
     more = late.where(F.col("overlap") >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")
     roots = first.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)
     final = components(roots, active)
-    classes = (members.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("class_id"))
-               .join(final, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    classes = cut_lineage(classes)
+    classes = cut_lineage(classes.select("id", "class_id").join(final, "id", "left")
+                          .withColumn("root", F.coalesce("root", "id")))
     whole = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = classes.join(whole, "root").select("id", "class_id", "component_id")
     return (members.withColumn("id", F.when(F.col("n") > 0, F.col("id"))).join(named, "id", "left")
