@@ -11,9 +11,11 @@ count with the word's own add-one probability:
 
 Counting moves sorted arrays of (hash, count) per task and hash range, merged per
 range; ranges are as many as the text needs to keep each merge bounded.  The
-filter is built per range and broadcast.  Its size follows the entries up to
-``max_bytes``; beyond, entries are still all held and more of them are read
-a level too high.  Pairs seen ``min_pair`` times or more are held.
+filter is built per range, words and pairs apart, each range as large as its
+entries need at ``BITS_PER_ENTRY``.  Up to ``max_bytes`` it is broadcast; a larger
+one stays a table, and the n-grams of blocks of texts go to their ranges and come
+back with their levels.  Both ways read the same levels.  Pairs seen ``min_pair``
+times or more are held.
 
 The unigram base score needs exact counts of all words: those of the most frequent
 words (``MAX_FREQUENT``, broadcast) are looked up in place, all others by a join.
@@ -26,11 +28,13 @@ word is new (N = V = 0); an empty table gives no rows.  Words are told apart by
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -68,14 +72,31 @@ def pairs(t: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Bits in ranges of equal size; an n-gram's range is given by the top bits of its hash."""
+    """Bits in ranges, of equal size if not given; an n-gram's range is given by the top bits of its hash."""
 
-    def __init__(self, bits: np.ndarray, ranges: int):
+    def __init__(self, bits: np.ndarray, ranges: int, sizes: np.ndarray | None = None):
         self.bits, self.shift = bits, np.uint64(64 - (ranges.bit_length() - 1))
-        self.size = np.uint64(len(bits) * 8 // ranges)
+        self.sizes = np.full(ranges, len(bits) * 8 // ranges, np.uint64) if sizes is None else sizes
+        self.size = self.sizes[0]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    @classmethod
+    def joined(cls, segments: list[bytes]) -> Filter:
+        return cls(np.frombuffer(b"".join(segments), np.uint8), len(segments),
+                   np.array([8 * len(x) for x in segments], np.uint64))
+
+    @classmethod
+    def segment(cls, h: np.ndarray, n: np.ndarray) -> bytes:
+        """The bits of one range: a count stands for as many entries as its level."""
+        top = levels(n)
+        bits = np.zeros((int(top.sum()) * BITS_PER_ENTRY // 64 + 1) * 64, bool)
+        for level in range(1, int(top.max(initial=0)) + 1):
+            for place in cls.places(h[top >= level], level, np.uint64(len(bits))):
+                bits[place.astype(np.int64)] = True
+        return np.packbits(bits, bitorder="little").tobytes()
 
     @staticmethod
-    def places(h: np.ndarray, level: int, size: np.uint64):
+    def places(h: np.ndarray, level: int, size):
         a = mix(h + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
         b = mix(a) | np.uint64(1)
         for j in range(PROBES):
@@ -84,11 +105,12 @@ class Filter:
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Highest level held without a gap, by probing levels 1, 2, ... of the n-grams still found."""
         out = np.zeros(len(h), np.int64)
-        start = np.zeros(len(h), np.uint64) if self.shift == 64 else (h >> self.shift) * self.size
+        part = np.zeros(len(h), np.int64) if self.shift == 64 else (h >> self.shift).astype(np.int64)
+        start, size = self.starts[part], self.sizes[part]
         live, level = np.arange(len(h)), 1
         while len(live):
             hit = np.ones(len(live), bool)
-            for place in self.places(h[live], level, self.size):
+            for place in self.places(h[live], level, size[live]):
                 at = start[live] + place
                 hit &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             live = live[hit]
@@ -147,17 +169,19 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return h[first], np.add.reduceat(n, first)
 
 
-def _counted(texts: DataFrame, ngrams, ranges: int, least: int) -> DataFrame:
-    """(part, h, n): per hash range the n-grams with at least ``least`` occurrences, as arrays."""
+def _counted(texts: DataFrame, ngrams, ranges: int, least: int, exact: bool) -> DataFrame:
+    """(part, bits): per hash range the filter of the n-grams with at least ``least`` occurrences; if ``exact``, h and n too."""
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         h, n = _merged([(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32))
                         for a, b in zip(table["h"].to_pylist(), table["n"].to_pylist(), strict=True)])
         h, n = h[n >= least], n[n >= least]
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()),
-                         "h": pa.array([h.view(np.int64)], pa.list_(pa.int64())), "n": pa.array([n], pa.list_(pa.int64()))})
+        cols = {"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([Filter.segment(h, n)], pa.binary())}
+        if exact:
+            cols |= {"h": pa.array([h.view(np.int64)], pa.list_(pa.int64())), "n": pa.array([n], pa.list_(pa.int64()))}
+        return pa.table(cols)
 
     return (texts.mapInArrow(_blobs(ngrams, ranges), "part int, h binary, n binary").groupBy("part")
-            .applyInArrow(merge, "part int, h array<long>, n array<long>"))
+            .applyInArrow(merge, "part int, bits binary" + (", h array<long>, n array<long>" if exact else "")))
 
 
 def _same(t: np.ndarray) -> np.ndarray:
@@ -165,49 +189,84 @@ def _same(t: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, table: Filter, n: int, v: int, mix_pairs: float, frequent: tuple[np.ndarray, np.ndarray]):
-        self.table, self.n, self.v, self.mix_pairs, self.frequent = table, n, v, mix_pairs, frequent
+    """``filters``: of words and of pairs, to broadcast; None above the bound, then ``held`` has their bits by kind and range."""
+
+    def __init__(self, filters: tuple[Filter, Filter] | None, held: DataFrame, ranges: int, n: int, v: int,
+                 mix_pairs: float, frequent: tuple[np.ndarray, np.ndarray]):
+        self.filters, self.held, self.ranges = filters, held, ranges
+        self.n, self.v, self.mix_pairs, self.frequent = n, v, mix_pairs, frequent
 
 
 def learn_model(training: DataFrame, text_col: str = "text", mix_pairs: float = 0.3, min_pair: int = 2,
                 max_bytes: int = 1 << 26) -> tuple[Model, DataFrame]:
-    """The model to broadcast, and the exact counts (h, n) of all words."""
+    """The model, and the exact counts (h, n) of all words.  A filter above ``max_bytes`` is not broadcast."""
     texts = training.select(F.col(f"`{text_col}`").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 << max(0, (size // RANGE_BYTES).bit_length())
-    words = cut_lineage(_counted(texts, _same, ranges, 1))
-    twos = cut_lineage(_counted(texts, pairs, ranges, min_pair))
-    kept = words.unionByName(twos).select("part", "h", F.transform("n", lambda c: c.cast("double")).alias("n"))
+    words = cut_lineage(_counted(texts, _same, ranges, 1, True))
+    twos = cut_lineage(_counted(texts, pairs, ranges, min_pair, False))
+    held = (words.select(F.lit(0).alias("kind"), "part", "bits")
+            .unionByName(twos.select(F.lit(1).alias("kind"), "part", "bits")))
     counts = words.select(F.explode(F.arrays_zip("h", "n")).alias("x")).select("x.h", "x.n")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     frequent = counts.orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).toArrow().sort_by("h")
-    # each count stands for as many entries as its level
-    entry = F.aggregate("n", F.lit(0.0), lambda s, c: s + 1 + F.floor(F.log(c) / F.log(F.lit(BASE)) + 1e-9))
-    entries = kept.agg(F.sum(entry)).first()[0] or 0
-    per_range = int(min(max_bytes * 8, max(1024, entries * BITS_PER_ENTRY))) // ranges // 64 * 8 + 8
-
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bits, total = np.zeros(per_range, np.uint8), np.uint64(per_range * 8)
-        for h, c in zip(pdf["h"], pdf["n"], strict=True):
-            h, top = np.asarray(h, np.int64).view(np.uint64), levels(np.asarray(c)) if len(c) else np.empty(0, np.int64)
-            for level in range(1, int(top.max(initial=0)) + 1):
-                for place in Filter.places(h[top >= level], level, total):
-                    np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64),
-                                     np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
-        return pd.DataFrame({"part": [key[0]], "bits": [bits.tobytes()]})
-
-    built = kept.groupBy("part").applyInPandas(build, "part int, bits binary").toArrow()
-    segments = dict(zip(built["part"].to_pylist(), built["bits"].to_pylist(), strict=True))
-    empty = bytes(per_range)
-    bits = np.frombuffer(b"".join(segments.get(i, empty) for i in range(ranges)), np.uint8)
-    model = Model(Filter(bits, ranges), int(n), int(v), mix_pairs,
-                  (frequent["h"].to_numpy(), frequent["n"].to_numpy()))
-    return model, counts
+    filters = None
+    if (held.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= max_bytes:
+        found = {(r["kind"], r["part"]): r["bits"] for r in held.toArrow().to_pylist()}
+        filters = tuple(Filter.joined([found.get((kind, i), bytes(8)) for i in range(ranges)]) for kind in (0, 1))
+    return Model(filters, held, ranges, int(n), int(v), mix_pairs,
+                 (frequent["h"].to_numpy(), frequent["n"].to_numpy())), counts
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their block: neighbours of about ``RANGE_BYTES`` of text, or one longer text."""
+    task, size = TaskContext.get().partitionId(), 0
+    for b in batches:
+        lengths = pc.add(pc.fill_null(pc.binary_length(b.column("_text")), 0), 1).to_numpy(zero_copy_only=False)
+        ends = size + np.cumsum(lengths.astype(np.int64))
+        size = int(ends[-1]) if len(ends) else size
+        yield b.append_column("_block", pa.array((task << 33) + (ends - lengths) // RANGE_BYTES, pa.int64()))
+
+
+def _ngrams(some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All words of tokenised texts with the end, and all their pairs, by hash."""
+    return np.unique(np.concatenate([*some, [END]])), np.unique(np.concatenate([pairs(t) for t in some]))
+
+
+def _probes(ranges: int, copies: int):
+    """Task: per block and range of the filter, the n-grams to look up; a block in two batches is looked up by halves."""
+    shift = 64 - (ranges.bit_length() - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blocks = b.column("_block").to_numpy()
+            for rows in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1) if len(blocks) else []:
+                name = int(blocks[rows[0]])
+                some = [tokens(t) for t in b.column("_text").slice(rows[0], len(rows)).to_pylist()]
+                for kind, h in enumerate(_ngrams(some)):
+                    cuts = np.searchsorted(h, np.arange(1, ranges, dtype=np.uint64) << np.uint64(shift)) if ranges > 1 else []
+                    out = [(name, kind, i, zlib.crc32(b"%d" % name) % copies, x.tobytes())
+                           for i, x in enumerate(np.split(h, cuts)) if len(x)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (
+                            pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
+                        ["_block", "kind", "part", "copy", "h"])
+
+    return run
+
+
+def _looked_up(probes: pa.Table, held: pa.Table) -> pa.Table:
+    """The levels of the n-grams of one range, as bytes."""
+    table = Filter.joined(held["bits"].to_pylist() or [bytes(8)])
+    found = [table.levels(np.frombuffer(h, np.uint64)).astype(np.uint8).tobytes() for h in probes["h"].to_pylist()]
+    return pa.table({"_block": probes["_block"], "kind": probes["kind"], "h": probes["h"],
+                     "level": pa.array(found, pa.binary())})
 
 
 def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "text") -> DataFrame:
     """Every column of ``docs`` but the text, plus n_tokens, n_known, base_score and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (model.filters, model.n, model.v, model.mix_pairs, model.frequent))
     names = ("n_tokens", "n_known", "base_score", "score")
     kept = [c for c in docs.columns if c != text_col and c.lower() not in names]
     extra = StructType.fromDDL("n_tokens long, known long, base double, score double, rare array<long>")
@@ -215,40 +274,58 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text_col: str
     schema = StructType([*plain.drop("_text").schema.fields, *extra.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        keys, often = m.frequent
+        filters = shared.value[0]
         for b in batches:
-            texts = b.column("_text").to_pylist()
-            at = 0
-            while at < len(texts):
-                some: list[np.ndarray] = []
-                begin, size = at, 0
-                while at < len(texts) and size < _BLOCK:
-                    some.append(tokens(texts[at]))
-                    size += len(some[-1])
-                    at += 1
-                yield block(b.slice(begin, at - begin), some, m, keys, often)
-
-    def block(b, some, m, keys, often):
+            yield from scored_rows(b, lambda kind, h: filters[kind].levels(h))
+
+    def of_block(rows: pa.Table, found: pa.Table) -> pa.Table:
+        known = []
+        for kind in (0, 1):
+            some = found.filter(pc.equal(found["kind"], kind))
+            h = np.frombuffer(b"".join(some["h"].to_pylist()), np.uint64)
+            order = np.argsort(h)
+            known.append((h[order], np.frombuffer(b"".join(some["level"].to_pylist()), np.uint8)[order].astype(np.int64)))
+        rows = rows.drop_columns("_block").combine_chunks()
+        return pa.Table.from_batches([x for b in rows.to_batches() for x in scored_rows(
+            b, lambda kind, h: known[kind][1][np.searchsorted(known[kind][0], h)])])
+
+    def scored_rows(b: pa.RecordBatch, find) -> Iterator[pa.RecordBatch]:
+        texts = b.column("_text").to_pylist()
+        at = 0
+        while at < len(texts):
+            some: list[np.ndarray] = []
+            begin, size = at, 0
+            while at < len(texts) and size < _BLOCK:
+                some.append(tokens(texts[at]))
+                size += len(some[-1])
+                at += 1
+            yield block(b.slice(begin, at - begin), some, find)
+
+    def block(b, some, find):
+        _, total, kinds, mix_pairs, (keys, often) = shared.value
+
+        def count(kind, h):                      # no n-gram occurs more often than there are tokens
+            return np.minimum(expected(find(kind, h)), total)
+
         sizes = np.array([len(t) for t in some])
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         t = np.concatenate(some)
         words, which = np.unique(t, return_inverse=True)
-        c = expected(m.table.levels(words))
+        c = count(0, words)
         both, pair = np.unique(np.concatenate([pairs(x) for x in some]), return_inverse=True)
-        cb = expected(m.table.levels(both))[pair]
+        cb = count(1, both)[pair]
         before = np.roll(c[which], 1)
-        before[first] = expected(m.table.levels(np.array([END])))[0]
-        single = (c[which] + 1) / (m.n + m.v + 1)
+        before[first] = count(0, np.array([END]))[0]
+        single = (c[which] + 1) / (total + kinds + 1)
         share = np.minimum(1.0, cb / np.maximum(before, 1))
-        p = np.where(before > 0, m.mix_pairs * share + (1 - m.mix_pairs) * single, single)
+        p = np.where(before > 0, mix_pairs * share + (1 - mix_pairs) * single, single)
         score = np.add.reduceat(np.log10(p), first)
         place = np.minimum(np.searchsorted(keys, words.view(np.int64)), max(len(keys) - 1, 0))
         found = keys[place] == words.view(np.int64) if len(keys) else np.zeros(len(words), bool)
         exact = np.where(found, np.log10((often[place] if len(keys) else 0) + 1.0), 0.0)[which]
         known = found[which]
         rare = [x[~k].view(np.int64) for x, k in zip(some, np.split(known, first[1:]), strict=True)]
-        base = np.add.reduceat(exact, first) - sizes * np.log10(m.n + m.v + 1.0)
+        base = np.add.reduceat(exact, first) - sizes * np.log10(total + kinds + 1.0)
         cols = [b.column(i) for i, n in enumerate(b.schema.names) if n != "_text"]
         return pa.RecordBatch.from_arrays(
             [*cols, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(known.astype(np.int64), first)),
@@ -256,7 +333,20 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text_col: str
                 [*[f for f in b.schema if f.name != "_text"], ("n_tokens", pa.int64()), ("known", pa.int64()),
                  ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))]))
 
-    scored = cut_lineage(plain.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()))
+    if model.filters is not None:
+        judged = plain.mapInArrow(run, schema)
+    else:
+        blocked = StructType([*plain.schema.fields, *StructType.fromDDL("_block long").fields])
+        plain = cut_lineage(plain.mapInArrow(_blocks, blocked))
+        size = plain.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+        copies = 1 + size // (model.ranges * RANGE_BYTES)        # of a range, where far more is scored than was learned
+        probes = plain.select("_text", "_block").mapInArrow(
+            _probes(model.ranges, copies), "_block long, kind int, part int, copy int, h binary")
+        held = model.held.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        found = (probes.groupBy("kind", "part", "copy").cogroup(held.groupBy("kind", "part", "copy"))
+                 .applyInArrow(_looked_up, "_block long, kind int, h binary, level binary"))
+        judged = plain.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(of_block, schema)
+    scored = cut_lineage(judged.withColumn("_row", F.monotonically_increasing_id()))
     rest = (scored.select("_row", F.explode("rare").alias("h"))
             .join(counts, "h").groupBy("_row")
             .agg(F.sum(F.log10(F.col("n") + 1.0)).alias("_more"), F.count("n").alias("_seen")))

@@ -254,3 +254,26 @@ def test_pipeline(spark):
         kept = stage(spark, docs, SF)
         assert kept.columns == docs.columns and 0 < kept.count() <= docs.count(), name
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_filter_grows_and_reads_the_same_by_ranges(spark, edges, monkeypatch):
+    from collections import Counter
+    monkeypatch.setattr(lm_scoring, "RANGE_BYTES", 1 << 12)                  # many ranges and blocks
+    docs = read(spark, SF, "documents").select("doc_id", "text").unionByName(edges.select("doc_id", "text"))
+    columns = ("doc_id", "n_tokens", "n_known", "base_score", "score")
+    small, counts = lm_scoring.learn_model(docs, max_bytes=1 << 10)          # far below what the entries need
+    large, _ = lm_scoring.learn_model(docs)
+    assert small.filters is None and large.filters is not None
+    a, b = (Counter(tuple(r) for r in lm_scoring.score_texts(docs, m, counts).select(
+        *columns[:3], F.round("base_score", 6), F.round("score", 6)).collect()) for m in (small, large))
+    assert a == b and sum(a.values()) == docs.count()
+    unseen = lm_scoring.mix(np.arange(1, 20001, dtype=np.uint64) * np.uint64(7919))
+    for f in large.filters:
+        assert (f.levels(unseen) > 0).mean() < 0.03
+
+
+def test_no_probability_above_one(spark):
+    texts = spark.createDataFrame([(1, "a " * 5000)], "doc_id long, text string")
+    model, counts = lm_scoring.learn_model(texts)
+    model.mix_pairs = 0.0
+    assert lm_scoring.score_texts(texts, model, counts).first()["score"] <= 0
