@@ -14,8 +14,8 @@ range; ranges are as many as the text needs to keep each merge bounded.  The
 filter is built per range, words and pairs apart, each range as large as its
 entries need at ``BITS_PER_ENTRY``.  Up to ``max_bytes`` it is broadcast; a larger
 one stays a table, and the n-grams of blocks of texts go to their ranges and come
-back with their levels.  Both ways read the same levels.  Pairs seen ``min_pair``
-times or more are held.
+back with their levels.  Both ways read the same levels.  All pairs are held, unless
+``min_pair`` asks for more than one occurrence.
 
 The unigram base score needs exact counts of all words: those of the most frequent
 words (``MAX_FREQUENT``, broadcast) are looked up in place, all others by a join.
@@ -197,7 +197,7 @@ class Model:
         self.n, self.v, self.mix_pairs, self.frequent = n, v, mix_pairs, frequent
 
 
-def learn_model(training: DataFrame, text_col: str = "text", mix_pairs: float = 0.3, min_pair: int = 2,
+def learn_model(training: DataFrame, text_col: str = "text", mix_pairs: float = 0.3, min_pair: int = 1,
                 max_bytes: int = 1 << 26) -> tuple[Model, DataFrame]:
     """The model, and the exact counts (h, n) of all words.  A filter above ``max_bytes`` is not broadcast."""
     texts = training.select(F.col(f"`{text_col}`").alias("text"))

@@ -277,3 +277,12 @@ def test_no_probability_above_one(spark):
     model, counts = lm_scoring.learn_model(texts)
     model.mix_pairs = 0.0
     assert lm_scoring.score_texts(texts, model, counts).first()["score"] <= 0
+
+
+def test_pairs_seen_once_count(spark):
+    texts = spark.createDataFrame([(1, "a b c d"), (2, "b a d c")], "doc_id long, text string")
+    model, counts = lm_scoring.learn_model(texts.where("doc_id = 1"))
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(texts, model, counts).collect()}
+    # five tokens, each once: a seen pair has share 1, an unseen one 0; every word's own probability is 2 / 11
+    seen, unseen = np.log10(0.3 + 0.7 * 2 / 11), np.log10(0.7 * 2 / 11)
+    assert abs(got[1] - 5 * seen) < 1e-9 and abs(got[2] - 5 * unseen) < 1e-9
