@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: exact links between shingle sets, and their components.
+"""N-gram Jaccard join: exact links between shingle sets, their number per document, and their components.
 
 Two documents link when the Jaccard similarity of their sets of five-word
 shingles is at least ``threshold`` (a ratio of integers).  Equal sets are one
@@ -11,12 +11,15 @@ at most (5 n - 9 p) / 4 at 0.8.
 Block skipping.  The entries of a list are cut into blocks by size and
 position (and by a hash where one shingle is very common), and a pair of
 blocks is skipped when the bounds of the one rule out every size of the other,
-or when both lie in one component.
+or, where only components are asked for, when both lie in one component.
 
 Answers from similar sets.  The entry with the widest bound leads its block.
 Bitmaps of the sets rule out most pairs; of the rest,
-every member is checked against its leader first; a member that links shares the
-leader's component, and pairs inside a component need no check.  For the rest
+every member is checked against its leader first.  A member that links shares the
+leader's component, and where only components are asked for, pairs inside one need
+no check.  Where every link is, members that link with the same leader are held as
+their differences from it, and the overlap of two of them is that of the leader with
+both, corrected by what their differences share: exact, without the sets.  For the rest
 the overlaps with a common leader bound the overlap of the pair: it is at most
 min(o1, o2) + min(n1 - o1, n2 - o2).  Only pairs that pass are compared, on
 whole sets.
@@ -227,8 +230,8 @@ def _possible(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFram
     return met.where(most >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) -> a, b, na, nb, overlap, from the whole sets of one document of each class."""
+def _compared(pairs: DataFrame, texts: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) -> a, b, na, nb, overlap, linked, from the whole sets of one document of each class; if linked, only_a and only_b."""
     wanted = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     ids = cut_lineage(classes.join(wanted, "id").select(F.col("class_id").alias("doc_id")))
     chosen = texts.join(F.broadcast(ids) if fits(ids, MAX_BROADCAST_IDS) else ids, "doc_id", "left_semi")
@@ -237,19 +240,66 @@ def _compared(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFra
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("ia"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("ib"))
     return (pairs.join(left, "a").join(right, "b")
-            .select("a", "b", F.size("ia").alias("na"), F.size("ib").alias("nb"),
-                    F.size(F.array_intersect("ia", "ib")).alias("overlap")))
+            .select("a", "b", "ia", "ib", F.size("ia").alias("na"), F.size("ib").alias("nb"),
+                    F.size(F.array_intersect("ia", "ib")).alias("overlap"))
+            .withColumn("linked", F.col("overlap") >= _need(F.col("na"), F.col("nb"), num, den))
+            .select("a", "b", "na", "nb", "overlap", "linked", F.when(F.col("linked"), F.array_except("ia", "ib")).alias("only_a"),
+                    F.when(F.col("linked"), F.array_except("ib", "ia")).alias("only_b")))
+
+
+def _by_kin(pairs: DataFrame, answers: DataFrame, maps: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The links among pairs of sets that both link with one leader, from their differences; and the other pairs."""
+    linked, none = answers.where("linked"), F.array().cast("array<long>")
+    seen = (linked.select(F.col("a").alias("id"), F.col("b").alias("kin"), F.col("only_b").alias("gone"), F.col("only_a").alias("new"))
+            .union(linked.select("b", "a", "only_a", "only_b"))
+            .union(linked.select("a").union(linked.select("b")).distinct().select("a", F.col("a").alias("kin"), none, none)))
+    weight = seen.groupBy("kin").agg(F.count(F.lit(1)).alias("w"))
+    kin = cut_lineage(seen.join(weight, "kin").groupBy("id")
+                      .agg(F.max_by(F.struct("kin", "gone", "new"), F.struct("w", "kin")).alias("x"))
+                      .join(maps.select("id", "n"), "id").select("id", "n", "x.kin", "x.gone", "x.new"))
+    names = [kin.select(F.col("id").alias(c), F.col("kin").alias(f"k{c}")) for c in "ab"]
+    marked = cut_lineage(pairs.join(names[0], "a", "left").join(names[1], "b", "left")
+                         .select("a", "b", F.coalesce(F.col("ka") == F.col("kb"), F.lit(False)).alias("same")))
+    sides = [kin.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("gone").alias(f"g{c}"),
+                        F.col("new").alias(f"w{c}")) for c in "ab"]
+    both = marked.where("same").select("a", "b").join(sides[0], "a").join(sides[1], "b")
+    overlap = (F.col("na") - F.size("wa") - F.size("gb") + F.size(F.array_intersect("ga", "gb"))
+               + F.size(F.array_intersect("wa", "wb")))
+    return (cut_lineage(both.where(overlap >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")),
+            marked.where("NOT same").select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with an equal set) and component_id of every document."""
+    return _joined(docs, num, den, id_col, text_col, False)[0]
+
+
+def jaccard_join(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """The columns of ``jaccard_components`` and n_links: the other rows that the document links with, those of its class too."""
+    return _joined(docs, num, den, id_col, text_col, True)[0]
+
+
+def jaccard_links(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """(class_a, class_b): every link between classes of equal sets, once, by the smallest ids of the classes."""
+    _, classes, links = _joined(docs, num, den, id_col, text_col, True)
+    ends = [classes.select(F.col("id").alias(c), F.col("class_id").alias(f"class_{c}")) for c in "ab"]
+    return (links.join(ends[0], "a").join(ends[1], "b")
+            .select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")))
+
+
+def _joined(docs: DataFrame, num: int, den: int, id_col: str, text_col: str,
+            every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, classes, and links (a, b) between classes: every link, or as many as the components need."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                         F.col(f"`{text_col}`").alias("text")).where("doc_id IS NOT NULL")
     rows = cut_lineage(texts.mapInArrow(_documents, "doc_id long, n long, id long, bits array<long>"))
     members, hot = rows.where("doc_id IS NOT NULL"), common_shingles(rows.where("doc_id IS NULL"))
     classes = written(members.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"),
-                                                               F.first("bits").alias("bits")), "classes")
+                                                               F.first("bits").alias("bits"),
+                                                               F.count(F.lit(1)).alias("copies")), "classes")
     members = members.select("doc_id", "n", "id")
 
     entries = texts.select("text").mapInArrow(_entries(hot, num, den), "h long, salt int, id long, n int, p int")
@@ -279,9 +329,10 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
     active = cut_lineage(listed.select("id").distinct())
     maps = classes.join(active, "id", "left_semi").select("id", "n", "bits")
     pairs = cut_lineage(_possible(pairs, maps, num, den))
-    answers = cut_lineage(_compared(pairs, texts, classes))
-    links = answers.where(F.col("overlap") >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")
-    first = written(components(links, active), "components")
+    answers = cut_lineage(_compared(pairs, texts, classes, num, den))
+    links = answers.where("linked").select("a", "b")
+    # where every link is asked for, no pair is left out for its component: each class is its own
+    first = active.withColumn("root", F.col("id")) if every else written(components(links, active), "components")
 
     # the rest: pairs of entries in different components that no bound rules out
     seen = (answers.select(F.col("a").alias("id"), F.col("b").alias("guide"), "overlap")
@@ -315,15 +366,26 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str
                   .where(~F.coalesce((F.col("guide") == F.col("guide_2"))
                                      & (overlap_most < _need(F.col("n"), F.col("n_2"), num, den)), F.lit(False)))
                   .select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct())
-    fresh = cut_lineage(_possible(open_pairs.join(pairs, ["a", "b"], "left_anti"), maps, num, den))
-    late = cut_lineage(_compared(fresh, texts, classes))
-    more = late.where(F.col("overlap") >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")
+    open_pairs = open_pairs.join(pairs, ["a", "b"], "left_anti")
+    if every:
+        kin, open_pairs = _by_kin(open_pairs, answers, maps, num, den)
+        links = links.union(kin)
+    fresh = cut_lineage(_possible(open_pairs, maps, num, den))
+    late = cut_lineage(_compared(fresh, texts, classes, num, den).select("a", "b", "linked"))
+    more = late.where("linked").select("a", "b")
+    links = links.union(more)
     roots = first.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)
-    final = components(roots, active)
-    classes = cut_lineage(classes.select("id", "class_id").join(final, "id", "left")
+    final = components(links if every else roots, active)
+    classes = cut_lineage(classes.select("id", "class_id", "copies").join(final, "id", "left")
                           .withColumn("root", F.coalesce("root", "id")))
     whole = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = classes.join(whole, "root").select("id", "class_id", "component_id")
-    return (members.withColumn("id", F.when(F.col("n") > 0, F.col("id"))).join(named, "id", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
-                    F.coalesce("component_id", "doc_id").alias("component_id")))
+    named = classes.join(whole, "root").select("id", "class_id", "component_id", "copies")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
+               F.coalesce("component_id", "doc_id").alias("component_id")]
+    if every:
+        size = classes.select(F.col("id").alias("b"), "copies")
+        degree = links.union(links.select("b", "a")).join(size, "b").groupBy("a").agg(F.sum("copies").alias("linked"))
+        named = named.join(degree.withColumnRenamed("a", "id"), "id", "left")
+        columns.append((F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return (members.withColumn("id", F.when(F.col("n") > 0, F.col("id"))).join(named, "id", "left").select(*columns),
+            classes, links)

@@ -27,7 +27,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,3 +286,26 @@ def test_pairs_seen_once_count(spark):
     # five tokens, each once: a seen pair has share 1, an unseen one 0; every word's own probability is 2 / 11
     seen, unseen = np.log10(0.3 + 0.7 * 2 / 11), np.log10(0.7 * 2 / 11)
     assert abs(got[1] - 5 * seen) < 1e-9 and abs(got[2] - 5 * unseen) < 1e-9
+
+
+def test_jaccard_join_counts_every_link(spark, monkeypatch):
+    """Links inside components too: between near copies of one leader, exact copies, repeated rows and null texts."""
+    words = [f"w{i}" for i in range(120)]
+    rows = [(k, " ".join(words[:100 - k] + [f"x{j}" for j in range(k)])) for k in range(0, 40)]
+    rows += [(100 + k, " ".join([*words[:60], f"y{k}", *words[60:]])) for k in range(30)]
+    rows += [(200, rows[3][1]), (201, rows[3][1].upper()), (202, rows[50][1]), (202, rows[50][1]), (203, None), (204, "")]
+    sets = [_shingles(t or "") for _, t in rows]
+    want = sorted((d, sum(bool(a and b) and i != j and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)))
+                  for i, ((d, _), a) in enumerate(zip(rows, sets, strict=True)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    first = {}                                                    # the smallest id of each set
+    for (d, _), a in zip(rows, sets, strict=True):
+        first[frozenset(a)] = min(d, first.get(frozenset(a), d))
+    several = [a for a in first if a]
+    pairs = sorted(tuple(sorted((first[a], first[b]))) for i, a in enumerate(several) for b in several[:i]
+                   if 100 * len(a & b) >= 80 * len(a | b))
+    for block in (4096, 8):
+        monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
+        got = jaccard_join.jaccard_join(frame).collect()
+        assert sorted((r["doc_id"], r["n_links"]) for r in got) == want
+    assert sorted(tuple(r) for r in jaccard_join.jaccard_links(frame).collect()) == pairs
