@@ -455,7 +455,7 @@ def q_read_vectors(spark, sf_dir):
 def q_approx_vector_topk(spark, sf_dir):
     corpus = _corpus(spark, sf_dir)
     queries = centroids(corpus, "label", "vector").withColumnRenamed("label", "query_id")
-    top = VO.approx_topk(corpus, queries, 5)
+    top = VO.probed_topk(corpus, queries, 5)
     return top.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 

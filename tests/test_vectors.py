@@ -142,3 +142,20 @@ def test_topk_edge_cases(spark):
     assert got == [(1, 1.0), (4, 0.6)]                     # null and wrong-sized vectors never match
     empty = spark.createDataFrame([], "query_id long, vector array<float>")
     assert VO.exact_topk(c, empty, 5).count() == 0
+
+
+def test_probed_recall_on_registered_table(spark):
+    """The registered search finds 0.9 or more of the true top 5 and scores less than all pairs."""
+    from papyra.plans import queries as Q
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        exact = {(r.query_id, r.vec_id) for r in Q.q_vector_topk_batch(spark, sf).collect()}
+        found = {(r.query_id, r.vec_id) for r in Q.q_approx_vector_topk(spark, sf).collect()}
+        corpus = Q._corpus(spark, sf)
+        queries = Q.centroids(corpus, "label", "vector").withColumnRenamed("label", "query_id")
+        share = VO.probed_candidates(corpus, queries).count() / (corpus.count() * queries.count())
+        print(f"{sf}: recall {len(exact & found) / len(exact):.3f}, share of pairs scored {share:.3f}")
+        assert len(exact & found) >= 0.9 * len(exact) and share <= 0.6
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [0.0] * 64), (None, [1.0] * 64), (5, [1.0] * 64)],
+                                "id long, vector array<double>")
+    ask = spark.createDataFrame([(9, [1.0] * 64)], "query_id long, vector array<double>")
+    assert {r.id for r in VO.probed_topk(odd, ask, 5).collect()} == {None, 5}
