@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's ``docs``.  All but the last return
 the columns of ``docs``.  A stage fits its model on the documents it is given:
 language identification on their ``lang``, toxicity on the ``labels`` of their
-ids.  Empty tables pass through; null texts are rejected by the first stage.
+ids.  Empty tables pass through; null texts are rejected by the first stage.  Rows
+without an id and rows that share one are kept or dropped by their texts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm import jaccard_join, langid, mixing, packing, toxicity
-from papyra.llm.common import read
+from papyra.llm.common import read, written
 from papyra.session import prepare, scratch_dir
 
 
@@ -32,10 +33,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of linked documents."""
+    """One row of each component of linked texts: that with the smallest id; those without an id come last.
+
+    Rows are told apart by a written number, not by their ids: repeated rows and several texts
+    under one id are judged by their texts.  Rows without a word link with nothing and all stay.
+    """
     prepare(spark)
-    keep = (jaccard_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct())
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = jaccard_join.jaccard_components(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    keep = (found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id")
+            .agg(F.min_by("_row", order).alias("_row")).select("_row"))
+    return rows.join(keep, "_row", "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -309,3 +309,25 @@ def test_jaccard_join_counts_every_link(spark, monkeypatch):
         got = jaccard_join.jaccard_join(frame).collect()
         assert sorted((r["doc_id"], r["n_links"]) for r in got) == want
     assert sorted(tuple(r) for r in jaccard_join.jaccard_links(frame).collect()) == pairs
+
+
+def test_near_copies_without_or_with_shared_ids(spark):
+    import corpus_pipeline
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(7, a), (3, a + " more"), (3, a + " more"), (None, a), (None, b), (None, b + " too"), (5, c), (5, "other words here"),
+            (2, c + " end"), (9, "one of a kind"), (9, "one of a kind"), (None, "alone without id"), (11, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    sets = [_shingles(t or "") for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:                                           # smallest number over links
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                    root[i] = min(root[i], root[j])
+    groups = [[rows[i] for i in range(len(rows)) if root[i] == r] for r in sorted(set(root))]
+    want = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups]
+    assert len(got) == len(want)
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(d for d, _ in want if d is not None)
+    kept = [rows[r["k"]] for r in got]
+    assert all(sum(rows[r["k"]] in g for r in got) == 1 for g in groups) and set(kept) <= {r for g in groups for r in g}
