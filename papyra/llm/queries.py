@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import (fingerprints, jaccard_join, langid, lm_scoring, mixing, packing, sharding, topk, toxicity,
-                        url_filter)
+from papyra.llm import (collocations, decontaminate, fingerprints, jaccard_join, langid, lm_scoring, mixing, packing,
+                        sharding, signature_search, topk, toxicity, url_filter)
 from papyra.llm.common import crc_fold, read
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -82,7 +82,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "score", "predicted", "spans")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = signature_search.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+    return ranked.select(F.col("item").alias("item_id"), "rank", "doc_id", "score")
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 REGISTRY = {f.__name__: f for f in (op1_fingerprints, op2_jaccard_join, op3_url_filter, op4_rendezvous, op5_block_topk,
                                     op6_best_fit_packing, op7_lm_scoring,
                                     op8_poisson_mix,
-                                    op9_language_id, op10_toxicity)}
+                                    op9_language_id, op10_toxicity, op11_collocations, op12_ranked_search,
+                                    op13_decontaminate)}
