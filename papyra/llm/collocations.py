@@ -89,6 +89,15 @@ def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return keys & np.uint64((1 << bits) - 1), keys >> np.uint64(64 - bits)
 
 
+def _sent(spark, tables: list[np.ndarray]):
+    """Tables of bytes as a broadcast, compressed: mostly empty ones take next to no place on any disk."""
+    return spark.sparkContext.broadcast([pa.compress(t.tobytes(), "zstd", asbytes=True) for t in tables])
+
+
+def _received(sent, size: int) -> list[np.ndarray]:
+    return [np.frombuffer(pa.decompress(t, size, "zstd"), np.uint8) for t in sent.value]
+
+
 def _added(parts: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
     """Occurrences by key; the tag (entry * 8 + length) follows from the key."""
     keys = np.concatenate([k for k, _ in parts])
@@ -102,7 +111,7 @@ def _added(parts: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
 def _scan(shard: DataFrame, step: int, cycle: int, longest: int, entered, seed: int) -> DataFrame:
     """Counts of the phrases that are active at ``step``, added up in each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, parts, n = entered.value, [], 0
+        tables, parts = _received(entered, 1 << FILTER), []
         for *_, keys, valid in _phrases(batches, longest, seed):
             if step < cycle:
                 parts.append((keys[0][valid[0]], 1))
@@ -118,8 +127,7 @@ def _scan(shard: DataFrame, step: int, cycle: int, longest: int, entered, seed:
                     own = ok & (since == s)
                     if own.any():
                         parts.append((keys[length - 1][own], (s + 1) * 8 + length))
-            n = sum(len(k) for k, _ in parts)
-            if n >= BUFFER:
+            if sum(len(k) for k, _ in parts) >= BUFFER:
                 yield _added(parts)
                 parts = []
         if parts:
@@ -145,7 +153,7 @@ def _marked(keys: DataFrame, bits: int) -> dict[int, np.ndarray]:
 def _read_back(docs: DataFrame, wanted, longest: int, seed: int) -> DataFrame:
     """(key, lang, phrase) once per task for all phrases that ``wanted`` may hold; (null, lang, null, words) per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, seen, words = wanted.value, np.empty(0, np.uint64), {}
+        bitmap, seen, words = _received(wanted, 1 << KEPT - 3), np.empty(0, np.uint64), {}
         rows: tuple[list, list, list] = ([], [], [])
 
         def out():
@@ -160,7 +168,7 @@ def _read_back(docs: DataFrame, wanted, longest: int, seed: int) -> DataFrame:
             for length, (k, ok) in enumerate(zip(keys, valid, strict=True), 1):
                 at = np.flatnonzero(ok)
                 one, two = _places(k[at], KEPT)
-                held = bitmap[length]
+                held = bitmap[length - 1]
                 on = (held[(one >> np.uint64(3)).astype(np.int64)] >> (one & np.uint64(7)).astype(np.uint8)
                       & held[(two >> np.uint64(3)).astype(np.int64)] >> (two & np.uint64(7)).astype(np.uint8)) & 1
                 at = at[on != 0]
@@ -202,7 +210,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = 10, longest: int = 3, sha
     state_type = "key long, tag int, count long, new long, closed boolean"
     still, closed, step, last = None, [], 0, -1
     while step < shards or step <= last + shards:
-        sent = spark.sparkContext.broadcast(tables)
+        sent = _sent(spark, tables)
         scan = _scan(own.where(F.col("shard") == step % shards).select("lang", "text"), step, shards, longest, sent, seed)
         scan = scan.withColumn("new", F.col("count"))
         if still is not None:
@@ -212,7 +220,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = 10, longest: int = 3, sha
                  .withColumn("closed", round_).where(~F.col("closed") | (F.col("count") >= min_count)))
         at = scratch_dir(spark, f"scan{step}")
         state.write.partitionBy("closed").parquet(at)
-        sent.unpersist()
+        sent.destroy()
         state = spark.read.schema(state_type).parquet(at)
         still = state.where(~F.col("closed"))
         closed.append(state.where("closed"))
@@ -230,8 +238,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = 10, longest: int = 3, sha
     found = found.select("key", F.col("tag").bitwiseAND(7).alias("length"), "count")
     none = np.zeros(1 << KEPT - 3, np.uint8)
     marked = _marked(found, KEPT)
-    wanted = spark.sparkContext.broadcast({n: marked.get(n, none) for n in range(1, longest + 1)})
+    wanted = _sent(spark, [marked.get(n, none) for n in range(1, longest + 1)])
     texts = written(_read_back(own.select("lang", "text"), wanted, longest, seed), "phrases")
+    wanted.destroy()
     named = (texts.where("key IS NOT NULL").groupBy("key")
              .agg(F.min(F.struct("lang", "phrase")).alias("low"), F.max(F.struct("lang", "phrase")).alias("high")))
     one = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(
