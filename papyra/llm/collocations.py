@@ -16,10 +16,10 @@ in because a place is shared are counted in full like the others and fail the
 threshold by themselves; counts are exact whatever the table's load.  A phrase
 that has come round below the threshold is forgotten.
 
-Phrases are told apart by 64-bit hashes while counting.  The last pass reads the
-words of all frequent phrases back from the texts; two texts under one hash stop
-the job with an error (another ``seed`` then separates them) rather than give a
-wrong count.
+Phrases are told apart by 64-bit hashes while counting; counts move as sorted,
+packed keys per bucket, whose number grows with the text.  At the end the words of
+all frequent phrases are read back from the texts.  Two phrases read back under
+one hash stop the job with an error, and another ``seed`` separates them.
 
 Edge cases: null texts are empty, a null lang is ``und``; breaks at either end
 and empty pieces hold no phrases; a text of any length is cut into slices behind
@@ -31,23 +31,33 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm.common import written
+from papyra.llm.common import dropped, written
 from papyra.llm.tokens import Delimiters, slices, words_in
 from papyra.llm.words import chain, mix
 from papyra.session import scratch_dir
 
 SHARDS = 4
+PARTS = 4              # folders of a shard
 FILTER = 23            # bytes of the table of a length, as a power of two
 KEPT = 26              # bits of the table of frequent phrases, as a power of two
 BUFFER = 1 << 21       # occurrences added up at once in a task
 PIECES = Delimiters(b" \t", b".,;:!?\n\x0b\x0c\r")
 _NEVER = 255
+BUCKET = 1 << 22       # bytes of text per bucket of counts
+BUCKETS = 64, 1 << 18
+_COUNTED = pa.schema([("bucket", pa.int64()), ("old", pa.bool_()), ("n", pa.int64()), ("keys", pa.binary()),
+                      ("tags", pa.binary()), ("counts", pa.binary())])
+_STATE = _COUNTED.append(pa.field("reached", pa.list_(pa.struct([("key", pa.int64()), ("length", pa.int32())])))).append(
+    pa.field("kind", pa.string()))
+_COUNTED_SQL = "bucket long, old boolean, n long, keys binary, tags binary, counts binary"
+_STATE_SQL = _COUNTED_SQL + ", reached array<struct<key: long, length: int>>, kind string"
 _BITMAP = 1 << 15      # bits of one bitmap of bitmap_construct_agg
 
 
@@ -98,17 +108,72 @@ def _received(sent, size: int) -> list[np.ndarray]:
     return [np.frombuffer(pa.decompress(t, size, "zstd"), np.uint8) for t in sent.value]
 
 
-def _added(parts: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
-    """Occurrences by key; the tag (entry * 8 + length) follows from the key."""
-    keys = np.concatenate([k for k, _ in parts])
-    tags = np.repeat(np.array([t for _, t in parts], np.int32), [len(k) for k, _ in parts])
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by their bytes, all lowest ones first, compressed: high bytes are mostly 0."""
+    return pa.compress(np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd",
+                       asbytes=True)
+
+
+def _numbers(blob: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(blob, 8 * n, "zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _packed(keys: np.ndarray, tags: np.ndarray, counts: np.ndarray) -> dict:
+    """Sorted keys with tag and count, 5 to 7 bytes each."""
+    return {"n": len(keys), "keys": _planes(np.diff(keys, prepend=np.uint64(0))), "tags": _planes(tags), "counts": _planes(counts)}
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = row["n"]
+    return (np.cumsum(_numbers(row["keys"], n), dtype=np.uint64), _numbers(row["tags"], n).astype(np.int64),
+            _numbers(row["counts"], n).astype(np.int64))
+
+
+def _summed(keys: np.ndarray, tags: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     by = np.argsort(keys)
-    head = np.flatnonzero(np.concatenate(([True], keys[by][1:] != keys[by][:-1])))
-    return pa.RecordBatch.from_arrays([pa.array(keys[by[head]].view(np.int64)), pa.array(tags[by[head]]),
-                                       pa.array(np.diff(head, append=len(keys)))], ["key", "tag", "count"])
+    keys = keys[by]
+    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[head], tags[by[head]], np.add.reduceat(counts[by], head) if len(head) else counts
 
 
-def _scan(shard: DataFrame, step: int, cycle: int, longest: int, entered, seed: int) -> DataFrame:
+def _added(parts: list[tuple[np.ndarray, int]], bits: int) -> pa.RecordBatch:
+    """Occurrences by key, a row per bucket (the key's highest bits); the tag (entry * 8 + length) follows from the key."""
+    keys = np.concatenate([k for k, _ in parts])
+    tags = np.repeat(np.array([t for _, t in parts], np.int64), [len(k) for k, _ in parts])
+    keys, tags, counts = _summed(keys, tags, np.ones(len(keys), np.int64))
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    rows = [{"bucket": int(bucket[i]), "old": False, **_packed(keys[i:j], tags[i:j], counts[i:j])}
+            for i, j in zip(head, [*head[1:], len(keys)], strict=True)]
+    return pa.RecordBatch.from_pylist(rows, _COUNTED)
+
+
+def _merged(step: int, cycle: int, longest: int, min_count: int):
+    """Per bucket: what is still open, what has come round with ``min_count``, and what has reached it just now."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        found = [_unpacked(r) for r in rows]
+        old = np.repeat([r["old"] for r in rows], [r["n"] for r in rows])
+        keys, tags, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        total = _summed(keys, tags, counts)
+        before = _summed(keys, tags, np.where(old, counts, 0))[2]
+        keys, tags, counts = total
+        enough, round_ = counts >= min_count, (tags >> 3) + cycle - 1 <= step
+        new = enough & (before < min_count) & (tags & 7 < longest)
+        out = []
+        for kind, own in (("open", ~round_), ("closed", round_ & enough)):
+            reached = [{"key": k, "length": t} for k, t in zip(
+                keys[own & new].view(np.int64).tolist(), (tags[own & new] & 7).tolist(), strict=True)]
+            if own.any():
+                out.append({"bucket": rows[0]["bucket"], "old": True, **_packed(keys[own], tags[own], counts[own]),
+                            "reached": reached, "kind": kind})
+        return pa.Table.from_pylist(out, _STATE)
+
+    return run
+
+
+def _scan(shard: DataFrame, step: int, cycle: int, longest: int, entered, seed: int, bits: int) -> DataFrame:
     """Counts of the phrases that are active at ``step``, added up in each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, parts = _received(entered, 1 << FILTER), []
@@ -128,12 +193,12 @@ def _scan(shard: DataFrame, step: int, cycle: int, longest: int, entered, seed:
                     if own.any():
                         parts.append((keys[length - 1][own], (s + 1) * 8 + length))
             if sum(len(k) for k, _ in parts) >= BUFFER:
-                yield _added(parts)
+                yield _added(parts, bits)
                 parts = []
         if parts:
-            yield _added(parts)
+            yield _added(parts, bits)
 
-    return shard.mapInArrow(run, "key long, tag int, count long")
+    return shard.mapInArrow(run, _COUNTED_SQL)
 
 
 def _marked(keys: DataFrame, bits: int) -> dict[int, np.ndarray]:
@@ -153,7 +218,7 @@ def _marked(keys: DataFrame, bits: int) -> dict[int, np.ndarray]:
 def _read_back(docs: DataFrame, wanted, longest: int, seed: int) -> DataFrame:
     """(key, lang, phrase) once per task for all phrases that ``wanted`` may hold; (null, lang, null, words) per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, seen, words = _received(wanted, 1 << KEPT - 3), np.empty(0, np.uint64), {}
+        bitmap, seen, words = _received(wanted, 1 << KEPT - 3), set(), {}
         rows: tuple[list, list, list] = ([], [], [])
 
         def out():
@@ -172,18 +237,18 @@ def _read_back(docs: DataFrame, wanted, longest: int, seed: int) -> DataFrame:
                 on = (held[(one >> np.uint64(3)).astype(np.int64)] >> (one & np.uint64(7)).astype(np.uint8)
                       & held[(two >> np.uint64(3)).astype(np.int64)] >> (two & np.uint64(7)).astype(np.uint8)) & 1
                 at = at[on != 0]
-                own, first = np.unique(k[at], return_index=True)
-                new = ~np.isin(own, seen, assume_unique=True)
-                seen = np.concatenate((seen, own[new]))
-                for x, i in zip(own[new].view(np.int64).tolist(), at[first[new]].tolist(), strict=True):
-                    rows[0].append(x)
-                    rows[1].append(of[text[i]])
-                    rows[2].append(b" ".join(raw[begin[j]:end[j]] for j in range(i, i + length)).decode())
+                own, first = np.unique(k[at].view(np.int64), return_index=True)
+                for x, i in zip(own.tolist(), at[first].tolist(), strict=True):
+                    if x not in seen:
+                        seen.add(x)
+                        rows[0].append(x)
+                        rows[1].append(of[text[i]])
+                        rows[2].append(b" ".join([raw[begin[j]:end[j]] for j in range(i, i + length)]).decode())
             if len(rows[0]) >= 1 << 16:
                 yield out()
                 rows = ([], [], [])
-            if len(seen) >= BUFFER:
-                seen = seen[:0]
+            if len(seen) >= BUFFER // 4:
+                seen.clear()
         yield out()
         yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.string()),
                                           pa.nulls(len(words), pa.string()), pa.array(list(words.values()), pa.int64())],
@@ -198,49 +263,59 @@ def frequent_phrases(docs: DataFrame, min_count: int = 10, longest: int = 3, sha
     spark = docs.sparkSession
     if longest * shards >= _NEVER or not 2 <= longest < 8:
         raise ValueError("longest must be 2 to 7, with fewer than 255 scans")
-    path = scratch_dir(spark, "shards")
-    kind = "lang string, text string, shard int"
+    path = scratch_dir(spark, "parts")
+    kind = "lang string, text string, part int"
     (docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                  F.col(f"`{text_col}`").cast("string").alias("text"),
-                 F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
-     .write.partitionBy("shard").parquet(path))
+                 F.pmod(F.monotonically_increasing_id(), F.lit(PARTS * shards)).cast("int").alias("part"))
+     .write.partitionBy("part").parquet(path))
     own = spark.read.schema(kind).parquet(path)
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = int(min(max(size // BUCKET, BUCKETS[0]), BUCKETS[1]) - 1).bit_length()
 
     tables = [np.full(1 << FILTER, _NEVER, np.uint8) for _ in range(longest - 1)]
-    state_type = "key long, tag int, count long, new long, closed boolean"
     still, closed, step, last = None, [], 0, -1
     while step < shards or step <= last + shards:
         sent = _sent(spark, tables)
-        scan = _scan(own.where(F.col("shard") == step % shards).select("lang", "text"), step, shards, longest, sent, seed)
-        scan = scan.withColumn("new", F.col("count"))
+        scan = _scan(own.where(F.col("part") % shards == step % shards).select("lang", "text"), step, shards, longest,
+                     sent, seed, bits)
         if still is not None:
-            scan = scan.unionByName(still.select("key", "tag", "count", F.lit(0).cast("long").alias("new")))
-        round_ = F.shiftright("tag", 3) + (shards - 1) <= step
-        state = (scan.groupBy("key", "tag").agg(F.sum("count").alias("count"), F.sum("new").alias("new"))
-                 .withColumn("closed", round_).where(~F.col("closed") | (F.col("count") >= min_count)))
+            scan = scan.unionByName(spark.read.schema(_STATE_SQL).parquet(still).where("kind = 'open'")
+                                    .drop("reached", "kind"))
         at = scratch_dir(spark, f"scan{step}")
-        state.write.partitionBy("closed").parquet(at)
+        (scan.groupBy("bucket").applyInArrow(_merged(step, shards, longest, min_count), _STATE_SQL)
+         .write.partitionBy("kind").parquet(at))
         sent.destroy()
-        state = spark.read.schema(state_type).parquet(at)
-        still = state.where(~F.col("closed"))
-        closed.append(state.where("closed"))
-        reached = state.where((F.col("count") >= min_count) & (F.col("count") - F.col("new") < min_count)).select(
-            "key", F.col("tag").bitwiseAND(7).alias("length")).where(F.col("length") < longest)
-        for length, bitmap in _marked(reached, FILTER).items():
+        if still is not None:
+            dropped(spark, f"{still}/kind=open")
+        still = at
+        state = spark.read.schema(_STATE_SQL).parquet(at)
+        closed.append(state.where("kind = 'closed'"))
+        for length, bitmap in _marked(state.select(F.explode("reached").alias("r")).select("r.*"), FILTER).items():
             on = np.unpackbits(bitmap, bitorder="little")[:1 << FILTER] != 0
             tables[length - 1][on & (tables[length - 1] == _NEVER)] = step
             last = step
         step += 1
 
-    found = closed[0]
-    for c in closed[1:]:
-        found = found.unionByName(c)
-    found = found.select("key", F.col("tag").bitwiseAND(7).alias("length"), "count")
-    none = np.zeros(1 << KEPT - 3, np.uint8)
-    marked = _marked(found, KEPT)
-    wanted = _sent(spark, [marked.get(n, none) for n in range(1, longest + 1)])
-    texts = written(_read_back(own.select("lang", "text"), wanted, longest, seed), "phrases")
-    wanted.destroy()
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                keys, tags, counts = _unpacked(r)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array((tags & 7).astype(np.int32)),
+                                                  pa.array(counts)], ["key", "length", "count"])
+
+    found = reduce(DataFrame.unionByName, closed).select("n", "keys", "tags", "counts")
+    found = written(found.mapInArrow(rows, "key long, length int, count long"), "counts")
+    texts, missing, seen = [], found, 0
+    while seen < PARTS * shards:                             # most phrases stand in the first part already
+        upto = min(PARTS * shards, max(1, 4 * seen))
+        marked = _marked(missing, KEPT)
+        wanted = _sent(spark, [marked.get(n, np.zeros(1 << KEPT - 3, np.uint8)) for n in range(1, longest + 1)])
+        part = own.where((F.col("part") >= seen) & (F.col("part") < upto)).select("lang", "text")
+        texts.append(written(_read_back(part, wanted, longest, seed), "phrases"))
+        wanted.destroy()
+        missing, seen = missing.join(texts[-1].where("key IS NOT NULL").select("key").distinct(), "key", "left_anti"), upto
+    texts = reduce(DataFrame.unionByName, texts)
     named = (texts.where("key IS NOT NULL").groupBy("key")
              .agg(F.min(F.struct("lang", "phrase")).alias("low"), F.max(F.struct("lang", "phrase")).alias("high")))
     one = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(

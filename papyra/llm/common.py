@@ -54,6 +54,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this session has written under the checkpoint folder and read for the last time."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether a (checkpointed or otherwise cheap) frame has at most ``rows`` rows."""
     return df.limit(rows + 1).count() <= rows
