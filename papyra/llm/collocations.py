@@ -133,7 +133,7 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _summed(keys: np.ndarray, tags: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     by = np.argsort(keys)
     keys = keys[by]
-    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[:len(keys)])
     return keys[head], tags[by[head]], np.add.reduceat(counts[by], head) if len(head) else counts
 
 
@@ -143,7 +143,7 @@ def _added(parts: list[tuple[np.ndarray, int]], bits: int) -> pa.RecordBatch:
     tags = np.repeat(np.array([t for _, t in parts], np.int64), [len(k) for k, _ in parts])
     keys, tags, counts = _summed(keys, tags, np.ones(len(keys), np.int64))
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))[:len(keys)])
     rows = [{"bucket": int(bucket[i]), "old": False, **_packed(keys[i:j], tags[i:j], counts[i:j])}
             for i, j in zip(head, [*head[1:], len(keys)], strict=True)]
     return pa.RecordBatch.from_pylist(rows, _COUNTED)
@@ -195,7 +195,7 @@ def _scan(shard: DataFrame, step: int, cycle: int, longest: int, entered, seed:
             if sum(len(k) for k, _ in parts) >= BUFFER:
                 yield _added(parts, bits)
                 parts = []
-        if parts:
+        if any(len(k) for k, _ in parts):
             yield _added(parts, bits)
 
     return shard.mapInArrow(run, _COUNTED_SQL)
