@@ -1,19 +1,18 @@
-"""Vector collections and similarity search.
+"""Similarity search and point rows (G1, G2, B8, I5, I6, E7); the index (G5) is in ``inverted_file``.
 
 Exact search never materialises query x corpus pairs in a shuffle: each task
 scores its corpus rows against a broadcast block of query vectors with one
-matrix product per Arrow batch and keeps, per query, only its k best rows
-(ties broken by id).  The final top-k is a window over at most
-k x partitions rows per query.  The broadcast block is size-checked; larger
-query sets are split into hash blocks, one corpus pass per block.
+matrix product per Arrow batch and keeps, per query, only its k best rows over
+all its batches (ties broken by id).  The final top-k is a window over at most
+k x tasks rows per query.  The broadcast block is size-checked; larger
+query sets are split into blocks, one corpus pass per block.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +20,7 @@ from pyspark.sql import types as T
 from papyra import lexicons as L
 from papyra.functions.names import point_id
 from papyra.functions.vectors import cosine_similarity, l2_normalize
-from papyra.session import BroadcastTooLarge, cut_lineage
+from papyra.session import cut_lineage
 
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -59,81 +58,129 @@ def _batch_topk(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray
     return rows[keep], cols[keep]
 
 
-def _scorer(bq, k: int, id_col: str, vec_col: str, carry: list[str]):
-    """Per Arrow batch: one matrix product, then the exact k best rows per query.
+class _Best:
+    """The k best rows of every query over all batches of a task: ids, scores and carried columns only.
 
-    Spark's partial WindowGroupLimit right after this operator merges the
-    batches of a partition on the JVM, so Python never holds more than one
-    batch of scores.
+    At most k rows a query are held whatever the number of batches; a row enters
+    only with a score that reaches its query's k-th one.  Order: rounded score
+    descending, then id ascending, null ids first.
     """
-    def run(batches):
-        qids, qmat = bq.value
-        if len(qids) == 0:
+
+    def __init__(self, n_queries: int, k: int, id_col: str):
+        self.k, self.id_col, self.held = k, id_col, None
+        self.low = np.full(n_queries, np.iinfo(np.int64).min)              # k-th score in millionths
+
+    def add(self, rows: pa.RecordBatch, row: np.ndarray, query: np.ndarray, score: np.ndarray) -> None:
+        micro = np.rint(score * 1e6).astype(np.int64)
+        reach = micro >= self.low[query]
+        if not reach.any():
             return
-        dim = qmat.shape[1]
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            # a missing or wrong-sized vector never matches (C10 is the operator that rejects it)
-            ok = np.array([v is not None and len(v) == dim for v in pdf[vec_col].values])
-            vecs = np.zeros((len(pdf), dim))
-            if ok.any():
-                vecs[ok] = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].values[ok]])
-            scores = round6(_unit_rows(vecs) @ qmat.T)            # (rows, queries); zero rows -> NaN
-            r, c = _batch_topk(scores, pdf[id_col].to_numpy(), k)
-            out = pdf.iloc[r][[id_col] + carry].reset_index(drop=True)
-            yield out.assign(query_id=qids[c], score=scores[r, c])
+        part = pa.Table.from_batches([rows]).take(pa.array(row[reach]))
+        part = part.append_column("_q", pa.array(query[reach])).append_column("_micro", pa.array(micro[reach]))
+        held = part if self.held is None else pa.concat_tables([self.held, part])
+        order = pc.sort_indices(held, [("_q", "ascending"), ("_micro", "descending"), (self.id_col, "ascending")],
+                                null_placement="at_start").to_numpy()
+        q = held.column("_q").to_numpy()[order]
+        first = np.searchsorted(q, q)
+        order = order[np.arange(len(q)) - first < self.k]
+        self.held = held.take(pa.array(order))
+        q, micro = self.held.column("_q").to_numpy(), self.held.column("_micro").to_numpy()
+        last = np.flatnonzero(np.append(q[1:] != q[:-1], True))
+        full = last[last - np.searchsorted(q, q[last]) == self.k - 1]
+        self.low[q[full]] = micro[full]
+
+    def rows(self, names: list[str], qids: pa.Array) -> list[pa.RecordBatch]:
+        if self.held is None:
+            return []
+        score = self.held.column("_micro").to_numpy() / 1e6
+        out = [self.held.column(c) for c in names] + [qids.take(self.held.column("_q")), pa.array(score)]
+        return pa.table(out, [*names, "query_id", "score"]).to_batches()
+
+
+def _matrix(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors that have ``dim`` components, and these as unit rows (unusable ones NaN)."""
+    at = np.flatnonzero(pc.equal(pc.list_value_length(lists), dim).fill_null(False).to_numpy(zero_copy_only=False))
+    flat = lists.take(pa.array(at)).flatten().cast(pa.float64())
+    return at, _unit_rows(flat.to_numpy(zero_copy_only=False).reshape(len(at), dim))
+
+
+def _scorer(sent, k: int, id_col: str, vec_col: str, carry: list[str]):
+    """Per Arrow batch one matrix product per vector length; the k best rows per query leave the task at its end."""
+    def run(batches):
+        qids, by_dim = sent.value
+        best = _Best(len(qids), k, id_col)
+        for b in batches:
+            for dim, (query, unit) in by_dim.items():
+                at, vecs = _matrix(b.column(vec_col), dim)
+                if not len(at):
+                    continue
+                rank = np.empty(len(at), np.int64)
+                rank[pc.sort_indices(b.column(id_col).take(pa.array(at)), null_placement="at_start").to_numpy()] = np.arange(len(at))
+                scores = round6(vecs @ unit.T)                             # (rows, queries); zero rows -> NaN
+                r, c = _batch_topk(scores, rank, k)
+                best.add(b.select([id_col, *carry]), at[r], query[c], scores[r, c])
+        yield from best.rows([id_col, *carry], qids)
     return run
 
 
-def _as_block(rows):
-    qids = np.array([r[0] for r in rows], dtype=object)
-    if not rows:
-        return qids, np.zeros((0, 0))
-    mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]).reshape(len(rows), -1)
-    return qids, _unit_rows(mat)
+def usable_vector(col: str):
+    """Whether a vector has a length, no null, NaN or infinite component, and a norm."""
+    v = F.col(col)
+    return F.coalesce(v.isNotNull() & (F.size(v) > 0)
+                      & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+                      & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def refused_queries(queries: DataFrame, vector_col: str = "vector") -> DataFrame:
+    """Queries that no search can answer (G2 leaves them out): null, empty, zero or non-finite vectors."""
+    return queries.where(~usable_vector(vector_col))
 
 
-def _blocks(spark, q: DataFrame, max_block: int):
-    """Query blocks to broadcast, each checked against the row and byte bounds.
+def _as_block(rows: pa.Table) -> tuple[pa.Array, dict]:
+    """Query ids and, per vector length, the places of its queries and their unit vectors."""
+    vectors = rows.column("qv").combine_chunks()
+    dims = np.array(pc.list_value_length(vectors).to_pylist(), np.int64)
+    by_dim = {int(d): _matrix(vectors, int(d)) for d in np.unique(dims)}
+    return rows.column("query_id").combine_chunks(), by_dim
 
-    One bounded collect serves the common case; only a query set above the
-    bound is counted and split into hash blocks (one corpus pass per block).
+
+def _query_rows(q: DataFrame, max_block: int):
+    """Usable queries as bounded Arrow tables, one broadcast block each.
+
+    The common case is one bounded gather.  A larger query set is cut by a hash of
+    a row number, so that repeated queries spread over the blocks too.
     """
-    rows = q.limit(max_block + 1).collect()
-    dim = len(rows[0][1]) if rows and rows[0][1] is not None else 0
-    cap = max(1, min(max_block, MAX_BROADCAST_BYTES // max(8 * dim, 1)))
-    if len(rows) <= cap:
-        return [spark.sparkContext.broadcast(_as_block(rows))]
-    n_blocks = math.ceil(q.count() / cap)
-    out = []
+    q = q.where(usable_vector("qv")).withColumn("qv", F.col("qv").cast("array<double>"))
+    rows = q.limit(max_block + 1).toArrow()
+    cap = max(1, min(max_block, MAX_BROADCAST_BYTES * max(rows.num_rows, 1) // max(rows.nbytes, 1)))
+    if rows.num_rows <= cap:
+        yield rows
+        return
+    q = cut_lineage(q.withColumn("_row", F.monotonically_increasing_id()))
+    n_blocks = -(-2 * q.count() // cap)                                     # half full on average
     for b in range(n_blocks):
-        block = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        got = block.limit(2 * cap + 1).collect()
-        if len(got) > 2 * cap:
-            raise BroadcastTooLarge("query hash block above twice the bound; lower max_block")
-        out.append(spark.sparkContext.broadcast(_as_block(got)))
-    return out
+        yield q.where(F.pmod(F.xxhash64("_row"), F.lit(n_blocks)) == b).drop("_row").toArrow()
 
 
 def exact_topk(corpus: DataFrame, queries: DataFrame, k: int = L.SEARCH_LIMIT, *,
                id_col: str = "id", vector_col: str = "vector", carry: tuple[str, ...] = (),
                query_id_col: str = "query_id", query_vector_col: str = "vector",
                max_block: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """The k most cosine-similar corpus rows per query (query_id, id, score, rank, carry...)."""
+    """The k most cosine-similar corpus rows per query (query_id, id, score, rank, carry...).
+
+    A task holds and passes on at most k rows a query.  Queries without a usable vector give no
+    rows (``refused_queries`` names them); corpus vectors meet only queries of their own length.
+    """
     spark = corpus.sparkSession
     q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vector_col).alias("qv"))
-    qid_type = q.schema["query_id"].dataType
-    id_type = corpus.schema[id_col].dataType
-    out_schema = T.StructType([T.StructField(id_col, id_type)]
-                              + [corpus.schema[c] for c in carry]
-                              + [T.StructField("query_id", qid_type), T.StructField("score", T.DoubleType())])
+    out_schema = T.StructType([corpus.schema[id_col]] + [corpus.schema[c] for c in carry]
+                              + [q.schema["query_id"], T.StructField("score", T.DoubleType())])
     base = corpus.select(id_col, vector_col, *carry)
-    parts = [base.mapInPandas(_scorer(bq, k, id_col, vector_col, list(carry)), out_schema)
-             for bq in _blocks(spark, q, max_block)]
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    cand = None
+    for rows in _query_rows(q, max_block):
+        sent = spark.sparkContext.broadcast(_as_block(rows))
+        part = base.mapInArrow(_scorer(sent, k, id_col, vector_col, list(carry)), out_schema)
+        cand = part if cand is None else cand.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
@@ -152,103 +199,6 @@ def query_scores(corpus: DataFrame, query_vector: list[float], *, vector_col: st
     return corpus.withColumn("score", cosine_similarity(vector_col, q))
 
 
-def approx_candidates(corpus: DataFrame, queries: DataFrame, *, id_col: str = "id",
-                      vector_col: str = "vector", query_id_col: str = "query_id",
-                      query_vector_col: str = "vector", bucket_length: float = 0.05,
-                      num_tables: int = 3, seed: int = 7) -> DataFrame:
-    """G5 candidates: (id, query_id, score) for corpus rows sharing an LSH bucket with a query.
-
-    Random projections of unit vectors; candidates come from an equi-join on
-    (table, bucket), so a query only meets rows of its own buckets, never the
-    whole corpus.  Every candidate is re-scored with the exact cosine.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    c = corpus.select(F.col(id_col).alias("cid"), array_to_vector(l2_normalize(vector_col)).alias("v"),
-                      F.col(vector_col).alias("cvec")).dropna()
-    q = queries.select(F.col(query_id_col).alias("query_id"),
-                       array_to_vector(l2_normalize(query_vector_col)).alias("v"),
-                       F.col(query_vector_col).alias("qvec")).dropna()
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(c)
-    pairs = model.approxSimilarityJoin(c, q, 2.0, distCol="dist")  # unit vectors: distance <= 2
-    return pairs.select(F.col("datasetA.cid").alias(id_col), F.col("datasetB.query_id").alias("query_id"),
-                        F.round(cosine_similarity(F.col("datasetA.cvec"), F.col("datasetB.qvec")), 6)
-                        .alias("score"))
-
-
-def approx_topk(corpus: DataFrame, queries: DataFrame, k: int = L.SEARCH_LIMIT, *,
-                id_col: str = "id", **lsh) -> DataFrame:
-    """The k best LSH candidates per query.  Recall is below 1 by design; the
-    tests report it together with the share of (query, row) pairs scored."""
-    cand = approx_candidates(corpus, queries, id_col=id_col, **lsh)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _sign_buckets(planes: np.ndarray, bits: int, probes: int):
-    """Task: the buckets of each usable vector, one per table, or its ``probes`` nearest ones per table.
-
-    A bucket is the signs of ``bits`` projections; a probe's distance is the sum of
-    the projections whose signs it turns.
-    """
-    weights = 1 << np.arange(bits)
-    signs = (np.arange(1 << bits)[:, None] & weights) > 0                  # (buckets, bits)
-
-    def run(batches):
-        for b in batches:
-            given = b.column("vec").to_pylist()
-            usable = [i for i, v in enumerate(given) if v is not None and len(v) == len(planes) and None not in v]
-            vecs = _unit_rows(np.array([given[i] for i in usable], np.float64).reshape(len(usable), len(planes)))
-            usable, vecs = np.array(usable, np.int64)[np.isfinite(vecs).all(axis=1)], vecs[np.isfinite(vecs).all(axis=1)]
-            found = []
-            for table, at in enumerate(range(0, planes.shape[1], bits)):
-                m = vecs @ planes[:, at:at + bits]
-                if probes == 1:
-                    near = ((m >= 0) @ weights)[:, None]
-                else:
-                    cost = np.array([np.where(signs != (x >= 0), np.abs(x), 0).sum(axis=1) for x in m]).reshape(len(m), 1 << bits)
-                    near = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-                found.append(near + (table << bits))
-            buckets = np.concatenate(found, axis=1).astype(np.int32)
-            yield b.take(pa.array(usable)).append_column("buckets", pa.array(list(buckets), pa.list_(pa.int32())))
-    return run
-
-
-def probed_candidates(corpus: DataFrame, queries: DataFrame, *, id_col: str = "id", vector_col: str = "vector",
-                      query_id_col: str = "query_id", query_vector_col: str = "vector", bits: int = 10,
-                      num_tables: int = 20, probes: int = 32, seed: int = 7) -> DataFrame:
-    """G5 candidates by sign hashes with multi-probe: (id, query_id, score).
-
-    A row lies in one bucket per table and a query looks into its ``probes`` nearest
-    buckets of each; whole vectors meet only for the pairs found, with the exact cosine.
-    """
-    dim = queries.agg(F.max(F.size(query_vector_col))).first()[0] or 0
-    planes = np.random.default_rng(seed).normal(size=(max(dim, 1), num_tables * bits))
-
-    def hashed(df: DataFrame, key: str, vec: str, many: int, row: str) -> DataFrame:
-        plain = df.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"))
-        schema = T.StructType([*plain.schema.fields, T.StructField("buckets", T.ArrayType(T.IntegerType()))])
-        return cut_lineage(plain.mapInArrow(_sign_buckets(planes, bits, many), schema)
-                           .withColumn(row, F.monotonically_increasing_id()))
-
-    c, q = hashed(corpus, id_col, vector_col, 1, "_c"), hashed(queries, query_id_col, query_vector_col, probes, "_q")
-    met = (c.select("_c", F.explode("buckets").alias("bucket"))
-           .join(q.select("_q", F.explode("buckets").alias("bucket")), "bucket").select("_c", "_q").distinct())
-    return (met.join(c.select("_c", F.col("key").alias(id_col), F.col("vec").alias("cvec")), "_c")
-            .join(q.select("_q", F.col("key").alias("query_id"), F.col("vec").alias("qvec")), "_q")
-            .select(id_col, "query_id", F.round(cosine_similarity("cvec", "qvec"), 6).alias("score")))
-
-
-def probed_topk(corpus: DataFrame, queries: DataFrame, k: int = L.SEARCH_LIMIT, *,
-                id_col: str = "id", **hashes) -> DataFrame:
-    """The k best multi-probe candidates per query."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    cand = probed_candidates(corpus, queries, id_col=id_col, **hashes)
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 # -- points, upsert, delete, shards ------------------------------------------
 def to_points(df: DataFrame, document_col: str, chunk_col: str, vector_col: str,
               text_col: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -264,16 +214,14 @@ def to_points(df: DataFrame, document_col: str, chunk_col: str, vector_col: str,
 
 def upsert_points(current: DataFrame, new: DataFrame, id_col: str = "id",
                   version_col: str | None = None) -> DataFrame:
-    """Insert-or-replace by id (new rows win); write the result as a new version.
+    """Insert-or-replace by id (new rows win); ``PointCollection.upsert`` writes it as a new version.
 
-    An id that ``new`` holds several times keeps its row of the largest ``version_col``,
-    or any one of them where no version is named.
+    An id that ``new`` holds several times keeps its row of the largest ``version_col``; among
+    those, or where no version is named, the row with the largest other columns in their order.
     """
-    if version_col:
-        row = F.struct(*[F.col(f"`{c}`") for c in new.columns])
-        new = new.groupBy(id_col).agg(F.max_by(row, version_col).alias("_row")).select("_row.*")
-    else:
-        new = new.dropDuplicates([id_col])
+    order = ([version_col] if version_col else []) + [c for c in new.columns if c not in (id_col, version_col)]
+    row = F.max(F.struct(*[F.col(f"`{c}`") for c in [*order, id_col]])).alias("_row")
+    new = new.groupBy(F.col(id_col).alias("_id")).agg(row).select("_row.*").select(*[F.col(f"`{c}`") for c in new.columns])
     return current.join(new.select(id_col), id_col, "left_anti").unionByName(new)
 
 
@@ -283,10 +231,14 @@ def delete_points(current: DataFrame, ids: DataFrame, id_col: str = "id") -> Dat
 
 
 def shard_of(id_col: str = "id", shards: int = L.VECTOR_SHARDS):
-    """Stable shard number of a point."""
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards))
+    """Stable shard number of a point: the first 32 bits of the id's md5, modulo ``shards`` (a null id: 0)."""
+    head = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long")
+    return F.coalesce(F.pmod(head, F.lit(shards)), F.lit(0)).cast("int")
 
 
 def shard_layout(points: DataFrame, shards: int = L.VECTOR_SHARDS, id_col: str = "id") -> DataFrame:
-    """Co-locate each shard in one partition (``repartition`` by the shard key)."""
-    return points.withColumn("shard", shard_of(id_col, shards)).repartition(shards, "shard")
+    """Rows dealt by shard; a shard gets as many tasks (and so files) as its bytes need.
+
+    REBALANCE lets the runtime split a shard above the advisory partition size and join small ones.
+    """
+    return points.withColumn("shard", shard_of(id_col, shards)).hint("rebalance", "shard")

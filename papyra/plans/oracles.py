@@ -316,6 +316,15 @@ ORACLES["upsert_points"] = (
     "ELSE list_transform(embedding, lambda x: round(x::DOUBLE, 6)) END AS vector FROM pts")
 ORACLES["delete_points"] = (f"WITH {_PTS} SELECT vec_id FROM pts WHERE vec_id NOT IN "
                             "(SELECT doc_id FROM labels WHERE toxic = 1)")
+_MD5_32 = "CAST('0x' || substr(md5(id), 1, 8) AS BIGINT)"
+ORACLES["shard_layout"] = f"WITH {_PTS} SELECT vec_id, CAST({_MD5_32} % 4 AS INTEGER) AS shard FROM pts"
+ORACLES["collection_versions"] = (
+    f"WITH {_PTS}, b AS (SELECT vec_id, CAST({_MD5_32} % 16 AS INTEGER) AS bucket FROM pts), "
+    "v AS (SELECT bucket, unnest([1, 2] || CASE WHEN vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN [] ELSE [3] END) "
+    "AS version FROM b) SELECT CAST(version AS BIGINT) AS version, bucket, count(*) AS points FROM v GROUP BY ALL")
+ORACLES["collection_quarantine"] = (
+    f"WITH {_PTS} SELECT vec_id, CASE label WHEN 1 THEN 'dimension' WHEN 2 THEN 'no vector' WHEN 3 THEN 'no id' "
+    "WHEN 4 THEN 'component' END AS reason FROM pts")
 ORACLES["read_vectors"] = (f"WITH {_PTS} SELECT document_name, list_transform(embedding, lambda x: "
                            "round(x::DOUBLE, 6)) AS vector FROM pts")
 

@@ -8,6 +8,7 @@ hash-compared with the DuckDB oracle in ``papyra.plans.oracles``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ from papyra.plans import artifacts as A
 from papyra.plans import fixtures as X
 from papyra.plans import search_plan as SP
 from papyra.session import scratch_dir, table
+from papyra.sinks import point_store as PS
 from papyra.sinks import writers as W
 from papyra.sources import readers as SR
 from papyra.streaming import ingest_stream as ST
@@ -417,24 +419,59 @@ def q_project_hits(spark, sf_dir):
     return R.project_hits(hits, keep=("query_id",))
 
 
+def _collection(spark, sf_dir, name="collection"):
+    """A written collection of all points: the first version of each query's own collection."""
+    own = PS.PointCollection.create(spark, scratch_dir(spark, name), 64,
+                                    PS.POINT_DDL + ", vec_id LONG", buckets=16, index_threshold=100)
+    own.upsert(_points(spark, sf_dir).select("id", "vector", "payload", "vec_id"))
+    return own
+
+
 @register("upsert_points")
 def q_upsert_points(spark, sf_dir):
-    pts = _points(spark, sf_dir)
+    """The labelled points again as unit vectors, each id twice: the row of the later run wins; written twice."""
+    own = _collection(spark, sf_dir)
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"))
-    new = (pts.join(lab, "vec_id", "left_semi")
-              .withColumn("vector", V.l2_normalize("vector")))
-    cur = pts
-    out = VO.upsert_points(cur.select("id", "vector", "payload", "vec_id"),
-                           new.select("id", "vector", "payload", "vec_id"))
-    return out.select("vec_id", _round_vec(F.col("vector")).alias("vector"))
+    again = own.points().join(lab, "vec_id", "left_semi")
+    runs = again.withColumn("run", F.lit(1)).unionByName(
+        again.withColumns({"vector": V.l2_normalize("vector"), "run": F.lit(2)}))
+    for _ in range(2):
+        own.upsert(runs, version_col="run")
+    return own.points().select("vec_id", _round_vec(F.col("vector")).alias("vector"))
 
 
 @register("delete_points")
 def q_delete_points(spark, sf_dir):
-    pts = _points(spark, sf_dir)
+    own = _collection(spark, sf_dir)
     toxic = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("vec_id"))
-    ids = pts.join(toxic, "vec_id", "left_semi").select("id")
-    return VO.delete_points(pts, ids).select("vec_id")
+    own.delete(own.points().join(toxic, "vec_id", "left_semi").select("id"))
+    return own.points().select("vec_id")
+
+
+@register("collection_versions")
+def q_collection_versions(spark, sf_dir):
+    """Points per bucket of each version, after an upsert of labelled and a deletion of toxic points."""
+    own = _collection(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), "toxic")
+    again = own.points().join(lab, "vec_id")
+    own.upsert(again.withColumn("vector", V.l2_normalize("vector")))
+    own.delete(again.where("toxic = 1").select("id"))
+    out = [own.points(v).groupBy(VO.shard_of("id", 16).alias("bucket")).agg(F.count("*").alias("points"))
+           .withColumn("version", F.lit(v).cast("long")) for v in own.versions()[1:]]
+    return reduce(DataFrame.unionByName, out).select("version", "bucket", "points")
+
+
+@register("collection_quarantine")
+def q_collection_quarantine(spark, sf_dir):
+    """Points of label 1 lose a component, of 2 their vector, of 3 their id, of 4 get a NaN: refused with a reason."""
+    own = PS.PointCollection.create(spark, scratch_dir(spark, "collection"), 64, PS.POINT_DDL + ", vec_id LONG", buckets=16)
+    vec = (F.when(F.col("label") == 1, F.slice("vector", 1, 63)).when(F.col("label") == 2, F.lit(None))
+           .when(F.col("label") == 4, F.concat(F.slice("vector", 1, 63), F.array(F.lit(float("nan")).cast("float"))))
+           .otherwise(F.col("vector")))
+    own.upsert(_points(spark, sf_dir).withColumn("vector", vec)
+               .withColumn("id", F.when(F.col("label") != 3, F.col("id"))))
+    kept = own.points().select("vec_id", F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(own.quarantined().select("vec_id", "reason"))
 
 
 @register("shard_layout")
@@ -453,9 +490,16 @@ def q_read_vectors(spark, sf_dir):
 
 @register("approx_vector_topk")
 def q_approx_vector_topk(spark, sf_dir):
+    """Every vector with an id divisible by 50 against a written collection with an index.
+
+    The vectors of this table point everywhere alike, so lists are small: two points each.
+    """
     corpus = _corpus(spark, sf_dir)
-    queries = centroids(corpus, "label", "vector").withColumnRenamed("label", "query_id")
-    top = VO.probed_topk(corpus, queries, 5)
+    own = PS.PointCollection.create(spark, scratch_dir(spark, "collection"), 64, "id LONG, vector ARRAY<FLOAT>", buckets=16,
+                                    index_threshold=100)
+    own.upsert(corpus.select("id", "vector"))
+    own.build_index(per_list=2)
+    top = own.search(corpus.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 5)
     return top.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
