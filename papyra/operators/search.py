@@ -8,6 +8,9 @@ join of k x queries rows against a keyed table.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,7 @@ from papyra import schemas as S
 from papyra.functions import scoring as SC
 from papyra.functions.names import request_key, strip_suffix
 from papyra.functions.regex import java_regex
+from papyra.session import cut_lineage
 
 _TERM = java_regex(r"[\p{L}\p{N}]+")
 
@@ -28,10 +32,14 @@ def terms(col) -> Column:
 
 
 def job_requirements(text_col) -> Column:
-    """Split a job text into the rubric's four term lists, one per sentence (missing -> empty)."""
+    """Deal all sentences of a job text to the rubric's four term lists in turn: sentence i to list i mod 4."""
     c = F.col(text_col) if isinstance(text_col, str) else text_col
     sentences = F.split(c, r"[.!?]")
-    part = [terms(F.coalesce(F.get(sentences, i), F.lit(""))) for i in range(4)]
+
+    def every_fourth(first: int) -> Column:
+        return F.filter(sentences, lambda _, place: place % 4 == first)
+
+    part = [terms(F.coalesce(F.array_join(every_fourth(i), " "), F.lit(""))) for i in range(4)]
     return F.struct(part[0].alias("skills"), part[1].alias("experience"),
                     part[2].alias("projects"), part[3].alias("education"))
 
@@ -82,15 +90,41 @@ def existing_files_semi(results: DataFrame, listing: DataFrame, file_col: str =
 
 
 # -- E9 -----------------------------------------------------------------------
-def memo_lookup(requests: DataFrame, cache: DataFrame, compute, key_cols: list[str]) -> DataFrame:
-    """Answer requests from a result table; compute only the misses and return hits + new rows.
-
-    ``compute(missing_requests) -> DataFrame`` with the cache's columns.
+def memo_lookup(requests: DataFrame, cache: str, compute, key_cols: list[str], version: str = "") -> DataFrame:
+    """Answer requests from a stored result table; search only for the misses and store their answers.
+
+    ``compute(missing_requests) -> DataFrame`` gives rows with ``request_key``.  The key holds
+    ``version`` (that of the searched collection), so answers of another version never match.  The
+    misses are settled before the search is planned: with none, ``compute`` isn't called and nothing
+    that it would read is read.  A request without results is stored as answered too; answers are
+    written before the keys that vouch for them, so a stopped run only searches again.
     """
-    keyed = requests.withColumn("request_key", request_key(*key_cols))
-    hits = cache.join(keyed.select("request_key"), "request_key", "left_semi")
-    misses = keyed.join(cache.select("request_key"), "request_key", "left_anti")
-    return hits.unionByName(compute(misses), allowMissingColumns=True)
+    spark = requests.sparkSession
+    keyed = requests.withColumn("request_key", request_key(*key_cols, *([F.lit(version)] if version else [])))
+    answered, results = f"{cache}/answered", f"{cache}/results"
+    known = _stored(spark, answered, "request_key string, run string")
+    if known is not None:
+        missing = keyed.join(known.select("request_key"), "request_key", "left_anti")
+    else:
+        missing = keyed
+    missing = cut_lineage(missing.dropDuplicates(["request_key"]))
+    if not missing.isEmpty():
+        run = uuid.uuid4().hex
+        compute(missing).withColumn("run", F.lit(run)).write.mode("append").parquet(results)
+        missing.select("request_key", F.lit(run).alias("run")).write.mode("append").parquet(answered)
+    keys = spark.read.parquet(answered).join(keyed.select("request_key"), "request_key", "left_semi")
+    # one run per key: two sessions that missed the same request at once have both stored its answer
+    keys = keys.groupBy("request_key").agg(F.min("run").alias("run"))
+    return spark.read.parquet(results).join(keys, ["request_key", "run"], "left_semi").drop("run")
+
+
+def _stored(spark, path: str, schema: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 # -- D23 ----------------------------------------------------------------------

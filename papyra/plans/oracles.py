@@ -345,6 +345,11 @@ def _cov(q: str, d: str) -> str:
     return f"(CASE WHEN len({q}) > 0 THEN len(list_intersect({q}, {d})) / len({q}) ELSE 0.0 END)"
 
 
+def _turn(r: int) -> str:
+    """Every fourth sentence, from the one whose number leaves ``r``."""
+    return f"array_to_string(list_filter(sents, lambda x, j: j % 4 = {r}), ' ')"
+
+
 _RES_CHUNKS = f"""res AS (SELECT key, content FROM kept WHERE NOT contains(key, '.html') AND {IS_RESUME_V1}),
 w AS MATERIALIZED (SELECT key AS doc_id, unnest(string_split(content, ' ')) t,
                    generate_subscripts(string_split(content, ' '), 1) - 1 i FROM res WHERE content <> ''),
@@ -373,8 +378,8 @@ s AS (SELECT qv.query_id, pv.key, pv.text_id,
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, text_id) AS rank
         FROM s WHERE score IS NOT NULL AND NOT isnan(score)) WHERE rank <= 5),
 req AS (SELECT query_id, jt, regexp_split_to_array(jt, '[.!?]') AS sents FROM jq),
-reqt AS (SELECT query_id, jt, {_TERMS.format(x='sents[1]')} AS sk, {_TERMS.format(x='sents[2]')} AS ex,
-         {_TERMS.format(x='sents[3]')} AS pr, {_TERMS.format(x='sents[4]')} AS ed FROM req),
+reqt AS (SELECT query_id, jt, {_TERMS.format(x=_turn(1))} AS sk, {_TERMS.format(x=_turn(2))} AS ex,
+         {_TERMS.format(x=_turn(3))} AS pr, {_TERMS.format(x=_turn(0))} AS ed FROM req),
 hit AS (SELECT top.*, res.content, {_TERMS.format(x='res.content')} AS dt FROM top JOIN res USING (key)),
 sc AS (SELECT hit.*, reqt.jt, reqt.sk, reqt.ex, reqt.pr, reqt.ed,
        {_cov('reqt.sk', 'dt')} AS c_sk, {_cov('reqt.ex', 'dt')} AS c_ex,
@@ -389,6 +394,12 @@ ORACLES["vectors_per_document"] = (
     f"WITH RECURSIVE {PLANTED}, {_CUR}, {_RES_CHUNKS} SELECT key || '.npz' AS document_name, "
     f"CAST(count(*) AS BIGINT) AS n_vectors, list(list_transform({_emb('bk')}, lambda x: round(x::DOUBLE, 6)) "
     "ORDER BY chunk_index) AS vectors FROM pv GROUP BY key")
+_RES = f"WITH RECURSIVE {PLANTED}, {_CUR}, {_RES_CHUNKS}"
+ORACLES["embed_job"] = (
+    f"{_RES} SELECT key AS document_name, 'success' AS status, '' AS error_message FROM res UNION ALL "
+    "SELECT key, 'fail', 'ValueError: no content' FROM res WHERE length(key) % 2 = 1")
+ORACLES["embed_job_points"] = (
+    f"{_RES} SELECT key || '.npz' AS document_name, count(*) AS n_vectors FROM pv GROUP BY key")
 # Index over both runs: the prior run's kept files (batches over all its files) and the current run's.
 ORACLES["build_index"] = (
     f"WITH {_PRIOR}, {_CUR}, pb AS (SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY file_name) - 1) / 100) "
@@ -453,8 +464,8 @@ ORACLES["memo_lookup"] = (
 
 # ------------------------------------------------------------------ features
 _STOP = "[" + ", ".join("'" + _sq(w) + "'" for w in L.ENGLISH_STOP_WORDS) + "]"
-_FEAT = (f"WITH {PLANTED}, {_CUR}, corp AS (SELECT key, coalesce(content, '') AS content FROM kept "
-         "WHERE NOT contains(key, '.html')), tok AS (SELECT key, string_split(lower(content), ' ') AS words FROM corp), "
+_FEAT = (f"WITH {NAMED}, corp AS (SELECT file_name AS key, coalesce({clean_sql('text')}, '') AS content FROM named), "
+         "tok AS (SELECT key, string_split(lower(content), ' ') AS words FROM corp), "
          f"flt AS (SELECT key, words, list_filter(words, lambda w: NOT list_contains({_STOP}, w)) AS f FROM tok), "
          "ng AS (SELECT key, words, f, list_transform(range(len(f) - 1), lambda i: f[i + 1] || ' ' || f[i + 2]) AS bi, "
          "list_transform(range(len(f) - 2), lambda i: f[i + 1] || ' ' || f[i + 2] || ' ' || f[i + 3]) AS tri FROM flt)")

@@ -28,6 +28,7 @@ from papyra.operators import routing as R
 from papyra.operators import search as S
 from papyra.operators import vectors as VO
 from papyra.plans import artifacts as A
+from papyra.plans import embed_job as EJ
 from papyra.plans import fixtures as X
 from papyra.plans import search_plan as SP
 from papyra.session import scratch_dir, table
@@ -610,31 +611,52 @@ def q_strength_gap_rows(spark, sf_dir):
 
 @register("memo_lookup")
 def q_memo_lookup(spark, sf_dir):
-    """Requests of all jobs; results of the long job texts were cached by an earlier session."""
-    jobs = SP.job_queries(spark, sf_dir).select("query_id", "job_text")
-    requests = jobs.withColumn("limit", F.lit(SP.TOP_K))
-    full = SP.ranked(spark, sf_dir).select("query_id", "text_id", "match_score", "match_rank")
-    cached_jobs = jobs.filter(F.size(S.terms("job_text")) > 30).withColumn("limit", F.lit(SP.TOP_K))
-    cache_path = scratch_dir(spark, "search-cache")
-    (full.join(cached_jobs, "query_id")
-         .withColumn("request_key", N.request_key("job_text", "limit"))
-         .select("request_key", "query_id", "text_id", "match_score", "match_rank")
-         .write.mode("overwrite").parquet(cache_path))
-    cache = spark.read.parquet(cache_path)
+    """Requests of all jobs after an earlier session has asked for every second one."""
+    jobs = SP.job_queries(spark, sf_dir)
+    requests = jobs.select("query_id", "job_text").withColumn("limit", F.lit(SP.TOP_K))
+    cache = scratch_dir(spark, "search-cache")
 
     def compute(missing):
-        return (full.join(missing.select("query_id", "request_key"), "query_id")
-                    .select("request_key", "query_id", "text_id", "match_score", "match_rank"))
+        own = jobs.join(missing.select("query_id", "request_key"), "query_id")
+        found = SP.ranked(spark, sf_dir, jobs=own.drop("request_key"))
+        return (found.join(missing.select("query_id", "request_key"), "query_id")
+                .select("request_key", "query_id", "text_id", "match_score", "match_rank"))
 
+    S.memo_lookup(requests.where("query_id % 2 = 0"), cache, compute, ["job_text", "limit"])
     return S.memo_lookup(requests, cache, compute, ["job_text", "limit"])
 
 
+@register("embed_job")
+def q_embed_job(spark, sf_dir):
+    """The status ledger of three runs of the embed job: some records lack their content in the first."""
+    records = SP.docmap_records(spark, sf_dir)
+    own = PS.PointCollection.create(spark, scratch_dir(spark, "collection"), EJ.EMBED_DIM, buckets=16)
+    ledger = scratch_dir(spark, "embedding-tracking")
+    broken = records.withColumn("content", F.when(F.length("key") % 2 == 0, F.col("content")))
+    for run in (broken, records, records):
+        EJ.embed_run(run, own, ledger)
+    return SR.read_status_ledger(spark, ledger).select("document_name", "status", F.coalesce("error_message", F.lit("")).alias(
+        "error_message"))
+
+
+@register("embed_job_points")
+def q_embed_job_points(spark, sf_dir):
+    """Vectors per document in the collection after two runs of the embed job, the first stopped before its ledger."""
+    records = SP.docmap_records(spark, sf_dir)
+    own = PS.PointCollection.create(spark, scratch_dir(spark, "collection"), EJ.EMBED_DIM, buckets=16)
+    for ledger in ("lost", "embedding-tracking"):
+        EJ.embed_run(records, own, scratch_dir(spark, ledger))
+    return own.points().groupBy("payload.document_name").agg(F.count("*").alias("n_vectors"))
+
+
 # ------------------------------------------------------------ features (2.8)
 
 
 def _feature_corpus(spark, sf_dir):
-    """The flat document table of the clustering job: key, content, hash_id (no html keys)."""
-    return R.project_defaults(R.exclude_html_keys(SP.docmap_records(spark, sf_dir)))
+    """The flat document table of the clustering job: key, content, hash_id of all documents."""
+    d = X.docs_named(table(spark, sf_dir, "documents"))
+    return R.project_defaults(d.select(F.col("file_name").alias("key"), T.clean_text("text").alias("content"),
+                                       T.content_hash("text").alias("hash_id")))
 
 
 def _feature_frame(spark, sf_dir):

@@ -58,36 +58,37 @@ def index(spark: SparkSession, sf_dir: str, stored: bool = True) -> DataFrame:
     return A.build_document_index(spark, paths["docmaps"])
 
 
-def hits(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
-    q = job_queries(spark, sf_dir)
+def hits(spark: SparkSession, sf_dir: str, k: int = TOP_K, jobs: DataFrame | None = None) -> DataFrame:
+    """``jobs``: rows of ``job_queries`` to search for; all of them by default."""
+    q = job_queries(spark, sf_dir) if jobs is None else jobs
     top = VO.exact_topk(resume_points(spark, sf_dir), q.select("query_id", "vector"), k, carry=("payload",))
     return top.select("query_id", F.col("payload.text_id").alias("text_id"),
                       F.col("payload.document_name").alias("stored_name"), "score",
                       F.col("rank").cast("long").alias("rank"))
 
 
-def with_index(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
-    return S.hits_to_index(hits(spark, sf_dir, k), index(spark, sf_dir), "stored_name")
+def with_index(spark: SparkSession, sf_dir: str, k: int = TOP_K, jobs: DataFrame | None = None) -> DataFrame:
+    return S.hits_to_index(hits(spark, sf_dir, k, jobs), index(spark, sf_dir), "stored_name")
 
 
-def with_content(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
+def with_content(spark: SparkSession, sf_dir: str, k: int = TOP_K, jobs: DataFrame | None = None) -> DataFrame:
     # hits: k rows per job query, and the job queries passed the broadcast-block check
-    n_jobs = job_queries(spark, sf_dir).limit(VO.MAX_BROADCAST_QUERIES + 1).count()
-    return S.index_to_content(with_index(spark, sf_dir, k), docmap_records(spark, sf_dir, all_runs=True),
+    n_jobs = (job_queries(spark, sf_dir) if jobs is None else jobs).limit(VO.MAX_BROADCAST_QUERIES + 1).count()
+    return S.index_to_content(with_index(spark, sf_dir, k, jobs), docmap_records(spark, sf_dir, all_runs=True),
                               partition_cols=("run", "batch_index"),
                               hits_bounded=n_jobs <= VO.MAX_BROADCAST_QUERIES)
 
 
-def scored(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
-    q = job_queries(spark, sf_dir).select("query_id", "job_text", "req")
+def scored(spark: SparkSession, sf_dir: str, k: int = TOP_K, jobs: DataFrame | None = None) -> DataFrame:
+    q = (job_queries(spark, sf_dir) if jobs is None else jobs).select("query_id", "job_text", "req")
     # Both sides are O(queries); AQE broadcasts the job table only if its runtime size is small.
-    h = with_content(spark, sf_dir, k).join(q, "query_id")
+    h = with_content(spark, sf_dir, k, jobs).join(q, "query_id")
     h = h.withColumn("doc_terms", S.terms("content"))
     return h.withColumn("match_score", F.round(S.weighted_score("req", "doc_terms"), 6))
 
 
-def ranked(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
-    return S.rank_by_match(scored(spark, sf_dir, k), "match_score")
+def ranked(spark: SparkSession, sf_dir: str, k: int = TOP_K, jobs: DataFrame | None = None) -> DataFrame:
+    return S.rank_by_match(scored(spark, sf_dir, k, jobs), "match_score")
 
 
 def analyses(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
