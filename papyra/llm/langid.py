@@ -16,8 +16,10 @@ Only trigram counts per language are shuffled; at most 2^21 of them exist per
 language, which bounds what the driver gathers and broadcasts.
 
 Edge cases: null text and texts without a letter are "und" with score 0, as is
-everything if nothing can be learned; long texts are read whole; ties go to the
-first language in sorted order; repeated rows get equal answers.
+everything if nothing can be learned; any other text gets a learned language, the
+one with the largest sum even where no sum is positive (score 0), and the one with
+the most trigrams where all sums are equal; long texts are read whole, in slices;
+other ties go to the first language in sorted order; repeated rows get equal answers.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ DIMENSIONS = 2048
 UNKNOWN = "und"
 _FLUSH = 1 << 21       # buffered trigrams before a worker emits counts
 _CHUNK = 2048          # trigram vectors expanded at a time
+_SLICE = 1 << 16       # trigrams of a text looked up at a time
 
 
 def _symbol_of(code: int) -> int:
@@ -109,6 +112,7 @@ class Profiles:
         norms = np.linalg.norm(prototypes, axis=1, keepdims=True)
         prototypes /= np.where(norms > 0, norms, 1)
         self.langs, self.grams = langs, grams
+        self.commonest = int(counts.sum(axis=1).argmax()) if langs else 0
         self.products = np.concatenate([np.empty((0, len(langs)), np.float32)] + [
             (_vectors(grams[c], letters).astype(np.float32) @ prototypes.T.astype(np.float32)) for c in chunks])
 
@@ -146,10 +150,15 @@ def predict_languages(docs: DataFrame, profiles: Profiles, text_col: str = "text
             names, scores = [], []
             for text in b.column(text_col).to_pylist():
                 t = trigrams(text)
-                sums = np.maximum(table[t].sum(axis=0, dtype=np.float64), 0) if len(t) and model.langs else np.zeros(1)
-                total = sums.sum()
-                names.append(model.langs[int(sums.argmax())] if total > 0 else UNKNOWN)
-                scores.append(float(sums.max() / total) if total > 0 else 0.0)
+                if not len(t) or not model.langs:
+                    names.append(UNKNOWN)
+                    scores.append(0.0)
+                    continue
+                sums = sum(table[t[i:i + _SLICE]].sum(axis=0, dtype=np.float64) for i in range(0, len(t), _SLICE))
+                total = np.maximum(sums, 0).sum()
+                best = model.commonest if (sums == sums[0]).all() else int(sums.argmax())
+                names.append(model.langs[best])
+                scores.append(float(max(sums[best], 0) / total) if total > 0 else 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)],
                                              [*b.schema.names, "lang_pred", "score"])
 

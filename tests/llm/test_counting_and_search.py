@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.llm import collocations, decontaminate, signature_search
+from papyra.llm import collocations, decontaminate, langid, signature_search
 from papyra.llm import queries as Q
 from papyra.llm.common import read
 from papyra.llm.tokens import ALPHANUMERIC, words_by_text
@@ -230,3 +230,50 @@ def test_words_across_slices():
     parts = list(words_by_text([text, None, "x"], ALPHANUMERIC))
     assert sum(len(h) for i, h, _ in parts if i == 0) == 200_000 and len({*np.concatenate([h for i, h, _ in parts if i == 0])}) == 1
     assert [last for i, _, last in parts if i > 0] == [True, True]
+
+
+def _cosines(texts, docs, dims, seed):
+    """Prototypes and cosines from explicit vectors, the slow way."""
+    letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (langid.SYMBOLS, dims)).astype(np.int64)
+
+    def vector(text):
+        out = np.zeros(dims, np.int64)
+        for g in langid.trigrams(text).tolist():
+            a, b, c = g // langid.SYMBOLS**2, g // langid.SYMBOLS % langid.SYMBOLS, g % langid.SYMBOLS
+            out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return out
+
+    langs = sorted({lang for lang, _ in docs})
+    protos = {lang: sum(vector(t) for x, t in docs if x == lang) for lang in langs}
+    seen = {g for _, t in docs for g in langid.trigrams(t).tolist()}
+    out = []
+    for t in texts:
+        own = np.zeros(dims, np.int64)
+        for g in langid.trigrams(t).tolist():
+            if g in seen:
+                a, b, c = g // langid.SYMBOLS**2, g // langid.SYMBOLS % langid.SYMBOLS, g % langid.SYMBOLS
+                own += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        out.append([float(own @ protos[x] / np.linalg.norm(protos[x])) for x in langs])
+    return langs, out
+
+
+def test_languages_by_explicit_vectors(spark):
+    rows = [(r["lang"], r["text"][:300]) for r in read(spark, SF, "documents").where("lang IS NOT NULL").limit(24).collect()]
+    texts = [t[:80] for _, t in rows] + ["xyzzy the et", "un deux trois"]
+    learned = spark.createDataFrame(rows, "lang string, text string")
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.predict_languages(asked, langid.learn_profiles(learned, dims=256)).collect()}
+    langs, sums = _cosines(texts, rows, 256, 9)
+    for i, s in enumerate(sums):
+        assert got[i]["lang_pred"] == langs[int(np.argmax(s))]
+        assert abs(got[i]["score"] - max(max(s), 0) / sum(x for x in s if x > 0)) < 1e-3
+
+
+def test_every_text_with_a_letter_gets_a_learned_language(spark):
+    learned = spark.createDataFrame([("en", "the cat sat on the mat and the dog ran"), ("fr", "le chat")], "lang string, text string")
+    texts = ["привет мир", "x", "zzz", "日本語", "the", "le chat", "12 !", "", None, "the " * 200_000]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict_languages(asked, langid.learn_profiles(learned)).collect()}
+    assert all(got[i][0] in ("en", "fr") for i in (0, 1, 2, 3, 4, 5, 9)) and got[1] == ("en", 0.0)
+    assert got[4][0] == got[9][0] == "en" and got[5][0] == "fr"
+    assert all(got[i] == ("und", 0.0) for i in (6, 7, 8)) and all(0 <= s <= 1 for _, s in got.values())
