@@ -59,3 +59,9 @@ def point_id(document_name, chunk_index) -> Column:
 def request_key(*cols) -> Column:
     """Cache key of a request; sha-256 instead of a 32-bit checksum that collides."""
     return F.sha2(F.concat_ws("|", *[_c(c).cast("string") for c in cols]), 256)
+
+
+def plain_path(path) -> Column:
+    """One form of a path: percent escapes decoded, ``file:`` and repeated slashes of a local one removed."""
+    c = F.regexp_replace(_c(path), "^file:/+", "/")
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)

@@ -3,6 +3,9 @@ resume classification and HTML-to-text.  All native Spark expressions."""
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,50 +52,64 @@ def clean_html_text(col, steps=None) -> Column:
 
 # -- D4 -----------------------------------------------------------------------
 _HTML_DROP = r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style)\b[^>]*>.*?</\1\s*>"
-_HTML_TAG = r"(?s)<[^>]+>"
+# A tag opens with a letter, "/", "!" or "?"; a ">" inside a quoted value doesn't close it.
+_HTML_TAG = r"""(?s)<[a-zA-Z/!?][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>|<[a-zA-Z/!?][^>]*>"""
 # Python str.splitlines() boundaries.
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _EDGE_SPACE = java_regex(r"^\s+|\s+$")
 
 
-def html_to_text(col, entities=None) -> Column:
+def html_to_text(col) -> Column:
     """Visible text of an HTML page: one text node per line, lines trimmed, blanks dropped.
 
     Comments, doctype, script and style bodies are removed first (scripts may
     contain tag-like strings), then every tag becomes a line break, then
-    entities are decoded (``&amp;`` last so it cannot create new entities).
+    character references are decoded, once each.
     """
     c = F.regexp_replace(_c(col), _HTML_DROP, "\n")
-    c = F.regexp_replace(c, _HTML_TAG, "\n")
-    for ent, ch in (entities or L.HTML_ENTITIES):
-        if ent == "&amp;":                      # numeric references before the final &amp;
-            c = decode_numeric_entities(c)
-        c = F.replace(c, F.lit(ent), F.lit(ch))
+    c = decode_entities(F.regexp_replace(c, _HTML_TAG, "\n"))
     lines = F.transform(F.split(c, _LINE_BREAK), lambda x: F.regexp_replace(x, _EDGE_SPACE, ""))
     return F.array_join(F.filter(lines, lambda x: x != F.lit("")), "\n")
 
 
-_NUMERIC_ENTITY = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+_REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[a-zA-Z][a-zA-Z0-9]{0,31};?)"
+# The standard's table, from the Python library; names without ";" may end anywhere, the longest one counts.
+_NAMED = {f"&{name}": char for name, char in html5.items()}
+_OPEN_NAME = "^(?:" + "|".join(sorted((n for n in _NAMED if not n.endswith(";")), key=len, reverse=True)) + ")"
+# Numbers 128 to 159 stand for windows-1252 characters where that has one.
+_WINDOWS = {i: c for i in range(128, 160) if (c := bytes([i]).decode("cp1252", "ignore"))}
 
 
 def _code_point_char(cp: Column) -> Column:
     """One character for a code point (U+FFFD when not a valid scalar value)."""
     valid = (cp >= 1) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
     ch = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
-    return F.when(valid, ch).otherwise(F.lit("\ufffd"))
+    windows = F.create_map(*[F.lit(x) for pair in _WINDOWS.items() for x in pair])
+    return (F.when(cp.between(128, 159), F.coalesce(F.try_element_at(windows, cp.cast("int")), ch))
+            .when(valid, ch).otherwise(F.lit("\ufffd")))
+
 
+def decode_entities(col) -> Column:
+    """Named and numeric character references -> characters, natively, each decoded once.
 
-def decode_numeric_entities(col) -> Column:
-    """``&#NNN;`` / ``&#xHH;`` -> the character, natively (split pieces + decoded codes, re-joined)."""
+    Unknown names stay as they are; a missing ";" is accepted after numbers and after the names
+    that the standard allows without it.
+    """
     c = _c(col)
-    pieces = F.split(c, _NUMERIC_ENTITY)
-    codes = F.regexp_extract_all(c, F.lit(_NUMERIC_ENTITY), 1)
-    chars = F.transform(codes, lambda x: _code_point_char(
-        F.when(F.lower(x).startswith("x"), F.conv(F.substring(x, 2, 8), 16, 10)).otherwise(x).cast("long")))
-    n = F.size(chars)
-    joined = F.array_join(F.zip_with(F.slice(pieces, 1, n), chars, lambda p, ch: F.concat(p, ch)), "")
-    decoded = F.concat(joined, F.element_at(pieces, -1))
-    return _unless_contains(c, "&#", F.when(n > 0, decoded).otherwise(c), c)
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string, string>")            # folded to one literal
+
+    def decoded(x: Column) -> Column:
+        digits = F.regexp_extract(x, "^&#[xX]?([0-9a-fA-F]+)", 1)
+        number = F.when(x.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.regexp_extract(x, "^&#([0-9]+)", 1))
+        head = F.regexp_extract(x, _OPEN_NAME, 0)
+        open_name = F.concat(F.try_element_at(named, head), F.substr(x, F.length(head) + 1))
+        return F.when(x.startswith("&#"), _code_point_char(number.try_cast("long"))).otherwise(
+            F.coalesce(F.try_element_at(named, x), open_name, x))
+
+    pieces = F.split(c, _REFERENCE, -1)
+    chars = F.concat(F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), 0), decoded), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(pieces, chars, lambda p, ch: F.concat(p, ch)), "")
+    return _unless_contains(c, "&", joined, c)
 
 
 # -- D5 / D6 ------------------------------------------------------------------

@@ -72,12 +72,6 @@ ELBOW_K_RANGE = (5, 10)
 # Vector collection settings.
 VECTOR_SHARDS = 4
 SEARCH_LIMIT = 5
-ANN_INDEX_THRESHOLD = 20000
-
-# HTML entities decoded by the native html_to_text chain (amp must be last).
-HTML_ENTITIES = [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'),
-                 ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "'"),
-                 ("&apos;", "'"), ("&amp;", "&")]
 
 # Spark ML's default English stop-word list (StopWordsRemover, 181 words);
 # written out so the DuckDB oracle can use the same list without a JVM.

@@ -123,7 +123,8 @@ def ingest_outcome(files: DataFrame, ledger_hashes: DataFrame, *, name_col: str
 def run_summary(outcome: DataFrame) -> DataFrame:
     """Counters of one ingest run as a single row (a global aggregate, map-side combined).
 
-    The name lists of duplicate and unprocessed files are *not* gathered into
+    Every row of ``outcome`` counts; a folder run lists supported suffixes only, an allow-list
+    run any name.  The name lists of duplicate and unprocessed files are *not* gathered into
     this row (they are unbounded); ``outcome_names`` returns them as rows.
     """
     o = F.col("outcome")
@@ -143,7 +144,10 @@ def outcome_names(outcome: DataFrame, which: str, name_col: str = "file_name", e
 # -- B12 ----------------------------------------------------------------------
 def assign_batches(df: DataFrame, order_cols: list[str], batch_size: int,
                    name: str = "batch_index") -> DataFrame:
-    """1-based flush batch of each row: floor(position / batch_size) + 1 in ``order_cols`` order."""
+    """1-based flush batch of each row: floor(position / batch_size) + 1 in ``order_cols`` order.
+
+    Every row has a position of its own, also rows with equal or null order columns.
+    """
     d = global_ordinal(df, order_cols, "_ord")
     return d.withColumn(name, (F.floor(F.col("_ord") / F.lit(batch_size)) + 1).cast("long")).drop("_ord")
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from papyra import lexicons as L
 from papyra import schemas as S
 from papyra.functions import scoring as SC
-from papyra.functions.names import request_key, strip_suffix
+from papyra.functions.names import plain_path, request_key, strip_suffix
 from papyra.functions.regex import java_regex
 from papyra.session import cut_lineage
 
@@ -85,8 +85,9 @@ def index_to_content(hits: DataFrame, records: DataFrame, file_col: str = "file_
 
 # -- E8 -----------------------------------------------------------------------
 def existing_files_semi(results: DataFrame, listing: DataFrame, file_col: str = "file_path") -> DataFrame:
-    """Keep results whose file is present in a listing."""
-    return results.join(listing.select(F.col("path").alias(file_col)).distinct(), file_col, "left_semi")
+    """Keep results whose file is present in a listing, whatever the form of either path."""
+    there = listing.select(plain_path("path").alias("_path")).distinct()
+    return results.join(there, plain_path(file_col) == F.col("_path"), "left_semi")
 
 
 # -- E9 -----------------------------------------------------------------------

@@ -113,9 +113,9 @@ ORACLES["clean_html_text"] = f"SELECT page_id, trim({_D3}) AS text FROM pages"
 # Drop comments/doctype/script/style, tags -> newline, entities, split lines, trim, drop blanks.
 _D4 = (r"regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<script\b[^>]*>.*?</script\s*>|"
        r"<style\b[^>]*>.*?</style\s*>', chr(10), 'g')")
-_D4 = rf"regexp_replace({_D4}, '(?s)<[^>]+>', chr(10), 'g')"
-for _ent, _ch in L.HTML_ENTITIES:
-    _D4 = f"replace({_D4}, '{_sq(_ent)}', chr({ord(_ch)}))"
+_D4 = rf"""regexp_replace({_D4}, '(?s)<[a-zA-Z/!?](?:[^>"'']|"[^"]*"|''[^'']*'')*>|<[a-zA-Z/!?][^>]*>', chr(10), 'g')"""
+for _ent, _ch in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0"), ("amp", "&")):
+    _D4 = f"regexp_replace({_D4}, '&{_ent};?', chr({ord(_ch)}), 'g')"
 ORACLES["html_to_text"] = (
     "SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array("
     + _D4 + r", '\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]'), "
@@ -158,7 +158,8 @@ ORACLES["run_summary"] = (
     _OUTCOME + "SELECT count(*) AS total_files_processed, "
     "count(*) FILTER (WHERE outcome = 'duplicate') AS total_duplicates_count, "
     f"count(*) FILTER (WHERE outcome = 'kept' AND {IS_RESUME_V1}) AS total_resumes_detected, "
-    "count(*) FILTER (WHERE outcome = 'unprocessed') AS unprocessed_documents_count FROM k")
+    "count(*) FILTER (WHERE outcome = 'unprocessed') AS unprocessed_documents_count FROM k "
+    "WHERE regexp_matches(lower(file_name), '\\.(pdf|doc|docx|html)$')")
 
 # F8
 ORACLES["duplicate_groups"] = (

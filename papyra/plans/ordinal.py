@@ -16,36 +16,26 @@ from papyra.session import cut_lineage
 _POS_BITS = 33   # monotonically_increasing_id = partition_index << 33 | position
 
 
-def _ordinal_of_keys(keys: DataFrame, order_cols: list[str], name: str,
-                     num_partitions: int | None) -> DataFrame:
-    parts = [num_partitions] if num_partitions else []
-    ranged = (keys.repartitionByRange(*parts, *order_cols)
-                  .sortWithinPartitions(*order_cols)
-                  .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = cut_lineage(ranged)
-    tagged = (ranged.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
-                    .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
-    # One row per partition: bounded by the partition count, safe to broadcast.
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), "_pid")
-                  .select(*order_cols, (F.col("_off") + F.col("_pos")).alias(name)))
-
-
 def global_ordinal(df: DataFrame, order_cols: list[str], name: str = "ordinal",
                    num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based dense position of each row in ``order_cols`` order.
+    """Add a 0-based dense position of each row in ``order_cols`` order (nulls first, ties in any order).
 
-    ``order_cols`` must be unique per row.  Only the key columns are ranked:
-    column pruning keeps the upstream work of ``df`` out of the ranking jobs,
-    and only the narrow keys are range-partitioned and checkpointed (reliable,
-    shared dir, so both passes see the same partitions after an executor
-    loss).  The ordinal is then equi-joined back to ``df`` on the keys; AQE
-    broadcasts the key table when it is small at run time.
+    Rows with equal order columns are told apart by a row number, which also spreads a hot
+    key over partitions.  The rows are range-partitioned, sorted and checkpointed once (reliable,
+    shared dir), so that counting and shifting see the same partitions after an executor loss,
+    and nothing is joined back but one count per partition.
     """
-    ranked = _ordinal_of_keys(df.select(*order_cols), order_cols, name, num_partitions)
-    return df.join(ranked, order_cols)
+    parts = [num_partitions] if num_partitions else []
+    order = [*order_cols, "_tie"]
+    ranged = (df.withColumn("_tie", F.monotonically_increasing_id())
+                .repartitionByRange(*parts, *order).sortWithinPartitions(*order).drop("_tie")
+                .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = cut_lineage(ranged).withColumn("_pid", F.shiftright("_mid", _POS_BITS))
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    position = F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
+    return (tagged.join(F.broadcast(offsets), "_pid").withColumn(name, position).drop("_mid", "_pid", "_off"))
 
 
 def running_sums(df: DataFrame, order_col: str, value_cols: list[str],

@@ -163,7 +163,9 @@ def q_outcome_routing(spark, sf_dir):
 
 @register("run_summary")
 def q_run_summary(spark, sf_dir):
-    return I.run_summary(_ingest_outcome(spark, sf_dir))
+    """A folder run: files of other suffixes are not listed, so they count nowhere."""
+    outcome = _ingest_outcome(spark, sf_dir)
+    return I.run_summary(outcome.where(I.has_supported_extension("file_name")))
 
 
 @register("duplicate_groups")

@@ -20,7 +20,8 @@ def write_docmap(records: DataFrame, path: str, batch_col: str = "batch_index",
                  key_col: str = "file_name", mode: str = "overwrite") -> None:
     """Reference-compatible doc-map files: one JSON object ``{file_name: record}`` per batch.
 
-    A batch is bounded by the flush size, so gathering it into one map is bounded too.
+    A batch is bounded by the flush size, so gathering it into one map is bounded too.  A name
+    that stands twice in a batch keeps its greatest record; a null name is written as "".
     """
     ci = F.col("contact_info")
     file_ci = F.struct(ci["emails"].alias("emails"),
@@ -30,8 +31,10 @@ def write_docmap(records: DataFrame, path: str, batch_col: str = "batch_index",
     rec = F.struct(F.col("content"), F.col("is_resume"), file_ci.alias("contact_info"),
                    F.col("created_time").cast("string").alias("created_time"), F.col("hash_id"))
     per_batch = (records.groupBy(batch_col)
-                        .agg(F.map_from_entries(F.collect_list(F.struct(F.col(key_col), rec))).alias("m"))
-                        .select(batch_col, F.to_json("m").alias("value")))
+                        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce(key_col, F.lit("")).alias("k"), rec.alias("r"))))
+                             .alias("l"))
+                        .withColumn("l", F.expr("filter(l, (x, i) -> i = size(l) - 1 OR l[i + 1].k <> x.k)"))
+                        .select(batch_col, F.to_json(F.map_from_entries("l")).alias("value")))
     per_batch.repartition(batch_col).write.mode(mode).partitionBy(batch_col).text(path)
 
 

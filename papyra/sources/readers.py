@@ -10,20 +10,19 @@ from pyspark.sql import functions as F
 
 from papyra import lexicons as L
 from papyra import schemas as S
-from papyra.functions.names import file_basename
+from papyra.functions.names import file_basename, plain_path
 
 _EXT_RE = r"(?i)\.(" + "|".join(e.lstrip(".").replace(".", r"\.") for e in L.SUPPORTED_EXTENSIONS) + r")$"
 
 
 # -- A1 / A2 ------------------------------------------------------------------
 def _parent_is(path_col: str, base: str):
-    """File sits directly in ``base`` (compared without a ``file:`` scheme for local paths)."""
-    parent = F.regexp_replace(F.col(path_col), r"/[^/]*$", "")
+    """File sits directly in ``base``, whatever the form of either path."""
     if "://" not in base and not base.startswith("file:"):
         import os
-        parent = F.regexp_replace(parent, r"^file:", "")
         base = os.path.abspath(base)
-    return parent == F.lit(base.rstrip("/"))
+    parent = F.regexp_replace(plain_path(path_col), r"/[^/]*$", "")
+    return parent == F.regexp_replace(plain_path(F.lit(base)), "/+$", "")
 
 
 def scan_files(spark: SparkSession, path: str, recursive: bool = False, with_content: bool = True) -> DataFrame:
@@ -149,10 +148,10 @@ def csv_row_counts(spark: SparkSession, path: str) -> DataFrame:
     still appear; the counts are a distributed aggregate over ``_metadata``.
     """
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-                    .option("pathGlobFilter", "*.csv").load(path).select("path"))
+                    .option("pathGlobFilter", "*.csv").load(path).select(plain_path("path").alias("path")))
     rows = (spark.read.option("header", True).option("recursiveFileLookup", True)
                  .option("pathGlobFilter", "*.csv").csv(path)
-                 .select(F.col("_metadata.file_path").alias("path"))
+                 .select(plain_path("_metadata.file_path").alias("path"))
                  .groupBy("path").agg(F.count(F.lit(1)).alias("rows")))
     per_file = (listing.join(rows, "path", "left")
                        .select("path", F.coalesce("rows", F.lit(0)).alias("rows")))

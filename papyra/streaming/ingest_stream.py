@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,32 +20,40 @@ from pyspark.sql.streaming import StreamingQuery
 from papyra.operators import ingest as I
 
 LEDGER_SCHEMA = "file_name string, hash_id string, is_resume boolean, epoch long"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _known_hashes(spark: SparkSession, ledger_dir: str, epoch: int) -> DataFrame:
     try:
         led = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_dir)
-    except Exception:  # no epoch written yet: the source path does not exist
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":     # anything but "no epoch written yet" is an error
+            raise
         return spark.createDataFrame([], "hash_id string")
     return led.filter(F.col("epoch") < epoch).select("hash_id")
 
 
-def _ingest_batch(batch: DataFrame, epoch: int, out_dir: str, name_col: str, text_col: str) -> None:
+def _ingest_batch(batch: DataFrame, epoch: int, out_dir: str, name_col: str, text_col: str,
+                  created_col: str | None = None) -> None:
     """One micro-batch: outcome against the ledger of earlier epochs, then the epoch's sinks."""
     started = time.time()
     s = batch.sparkSession
     known = _known_hashes(s, f"{out_dir}/ledger", epoch)
     obs = Observation(f"ingest_{epoch}")
     o = F.col("outcome")
-    out = (I.ingest_outcome(batch, known, name_col=name_col, text_col=text_col)
+    out = (I.ingest_outcome(batch, known, name_col=name_col, text_col=text_col, created_col=created_col)
             .withColumn("epoch", F.lit(epoch).cast("long"))
             .observe(obs, F.count(F.lit(1)).alias("files"),
                      F.count_if(o == I.DUPLICATE).alias("duplicates"),
                      F.count_if((o == I.KEPT) & F.col("is_resume")).alias("resumes"),
                      F.count_if(o == I.UNPROCESSED).alias("unprocessed")))
     # One job computes the outcome; the ledger and counters are read from its output.
-    (out.select(name_col, "outcome", "hash_id", "is_resume", "content", "epoch")
+    more = [c for c in ("contact_info", "created_time", "path") if c in out.columns]
+    (out.select(name_col, "outcome", "hash_id", "is_resume", "content", *more, "epoch")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch")
         .parquet(f"{out_dir}/outcome"))
     written = s.read.parquet(f"{out_dir}/outcome").filter(F.col("epoch") == epoch)
@@ -100,20 +109,24 @@ def ingest_file_stream(spark: SparkSession, folder: str, out_dir: str, checkpoin
         files = (batch.withColumn("file_name", file_basename("path"))
                       .filter(has_supported_extension("file_name")))
         with_text = extracted_text(files, list(pdf_extractors), list(doc_extractors)).drop("content")
-        _ingest_batch(with_text, epoch, out_dir, "file_name", "text")
+        _ingest_batch(with_text, epoch, out_dir, "file_name", "text", created_col="modificationTime")
 
     return _start(src, per_batch, checkpoint_dir, available_now)
 
 
 def stream_dedup(spark: SparkSession, source_dir: str, source_schema, out_dir: str, checkpoint_dir: str,
-                 text_col: str = "text", watermark: tuple[str, str] | None = None) -> StreamingQuery:
+                 text_col: str = "text", watermark: tuple[str, str] | None = None,
+                 max_files_per_trigger: int = 1000) -> StreamingQuery:
     """First occurrence of every content hash across the whole stream.
 
     Without a watermark the hash state grows with the number of distinct
     documents (exact, like the reference's ever-growing set); with one,
-    ``dropDuplicatesWithinWatermark`` bounds the state to the horizon.
+    ``dropDuplicatesWithinWatermark`` bounds the state to the horizon.  The state lies in RocksDB
+    on the executors' disks, with its changes in the checkpoint, not in their memory.
     """
-    src = spark.readStream.schema(source_schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    for key, value in STATE_STORE.items():            # read when the query starts
+        spark.conf.set(key, value)
+    src = spark.readStream.schema(source_schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
     h = src.withColumn("hash_id", F.md5(F.col(text_col)))
     if watermark:
         h = h.withWatermark(*watermark).dropDuplicatesWithinWatermark(["hash_id"])

@@ -51,19 +51,17 @@ def test_parse_match_json_quarantines_malformed(spark):
     assert kinds == ["gap", "recommendation", "strength"]
 
 
-def test_memo_lookup_computes_only_misses(spark):
+def test_memo_lookup_computes_only_misses(spark, tmp_dir):
     reqs = spark.createDataFrame([("q1", 5), ("q2", 5)], "query string, lim int")
-    from papyra.functions.names import request_key
-    cache = spark.createDataFrame([("q1", 5, "cached")], "query string, lim int, result string").select(
-        request_key("query", "lim").alias("request_key"), "result")
     calls = []
 
     def compute(missing):
         calls.append(missing.count())
-        return missing.select("request_key", F.lit("fresh").alias("result"))
+        return missing.select("request_key", F.lit("fresh" if len(calls) > 1 else "cached").alias("result"))
 
-    out = sorted(r.result for r in S.memo_lookup(reqs, cache, compute, ["query", "lim"]).collect())
-    assert out == ["cached", "fresh"] and calls == [1]
+    S.memo_lookup(reqs.where("query = 'q1'"), f"{tmp_dir}/m", compute, ["query", "lim"])
+    out = sorted(r.result for r in S.memo_lookup(reqs, f"{tmp_dir}/m", compute, ["query", "lim"]).collect())
+    assert out == ["cached", "fresh"] and calls == [1, 1]
 
 
 def test_terms_and_requirements(spark):
