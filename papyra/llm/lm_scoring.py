@@ -13,28 +13,29 @@ Counting moves sorted arrays of (hash, count) per task and hash range, merged pe
 range; ranges are as many as the text needs to keep each merge bounded.  The
 filter is built per range, words and pairs apart, each range as large as its
 entries need at ``BITS_PER_ENTRY``.  Up to ``max_bytes`` it is broadcast; a larger
-one stays a table, and the n-grams of blocks of texts go to their ranges and come
-back with their levels.  Both ways read the same levels.  All pairs are held, unless
-``min_pair`` asks for more than one occurrence.
+one stays a table, and the n-grams of blocks of texts go to their ranges; their levels
+alone come back, in the order sent.  A text's block is a hash of it and of its input
+partition, so texts move once and copies spread.  Both ways read the same levels.  All
+pairs are held, unless ``min_pair`` asks for more than one occurrence.  Sorted hashes
+move as the gaps between them, compressed: about four bytes each.
 
 The unigram base score needs exact counts of all words: those of the most frequent
 words (``MAX_FREQUENT``, broadcast) are looked up in place, all others by a join.
 
 Edge cases: null text is empty and has the end token alone; long texts are read
 whole; repeated rows are counted and scored each; without training rows every
-word is new (N = V = 0); an empty table gives no rows.  Words are told apart by
-64-bit hashes.
+word is new (N = V = 0); an empty table gives no rows; columns of any name are handed
+on, but for those named like a result.  Words are told apart by 64-bit hashes, pairs by
+48 bits of theirs: far less often alike than the filter errs.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -48,6 +49,7 @@ BITS_PER_ENTRY = 12
 MAX_FREQUENT = 1 << 17         # words with counts in the broadcast table: 16 bytes each
 RANGE_BYTES = 1 << 24          # text per hash range
 END = np.uint64(1)
+PAIR_MASK = np.uint64((1 << 64) - (1 << 16))   # the 48 bits kept of a pair's hash
 _BLOCK = 1 << 21               # n-grams sorted together in a task
 
 
@@ -68,7 +70,32 @@ def tokens(text: str | None) -> np.ndarray:
 
 def pairs(t: np.ndarray) -> np.ndarray:
     """Hash of each token with the one before it; the first follows an end."""
-    return chain(mix(np.concatenate(([END], t[:-1]))), t)
+    return chain(mix(np.concatenate(([END], t[:-1]))), t) & PAIR_MASK
+
+
+def _shrunk(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def _regrown(blob: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(blob, n * size, "zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()
+
+
+def _gaps(h: np.ndarray) -> bytes:
+    return _shrunk(np.diff(h, prepend=np.uint64(0)))
+
+
+def _hashes(blob: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_regrown(blob, n, np.uint64), dtype=np.uint64)
+
+
+def _by_range(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Where the second and later hash ranges begin in sorted hashes."""
+    shift = np.uint64(64 - (ranges.bit_length() - 1))
+    return np.searchsorted(h, np.arange(1, ranges, dtype=np.uint64) << shift) if ranges > 1 else np.empty(0, np.int64)
 
 
 class Filter:
@@ -121,8 +148,6 @@ class Filter:
 
 def _blobs(ngrams, ranges: int):
     """Task: count n-grams in blocks and hand on, per hash range, their sorted hashes and counts."""
-    shift = 64 - (ranges.bit_length() - 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         raw: list[np.ndarray] = []
@@ -137,12 +162,12 @@ def _blobs(ngrams, ranges: int):
             fold()
             h, n = _merged(held)
             held.clear()
-            cuts = np.searchsorted(h, np.arange(1, ranges, dtype=np.uint64) << np.uint64(shift)) if ranges > 1 else []
-            rows = [(i, x.tobytes(), y.astype(np.uint32).tobytes())
+            cuts = _by_range(h, ranges)
+            rows = [(i, len(x), _gaps(x), _shrunk(y.astype(np.uint32)))
                     for i, (x, y) in enumerate(zip(np.split(h, cuts), np.split(n, cuts), strict=True)) if len(x)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()),
-                                                strict=True)], ["part", "h", "n"])
+                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (
+                    pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "size", "h", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -172,15 +197,14 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def _counted(texts: DataFrame, ngrams, ranges: int, least: int, exact: bool) -> DataFrame:
     """(part, bits): per hash range the filter of the n-grams with at least ``least`` occurrences; if ``exact``, h and n too."""
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        h, n = _merged([(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32))
-                        for a, b in zip(table["h"].to_pylist(), table["n"].to_pylist(), strict=True)])
+        h, n = _merged([(_hashes(r["h"], r["size"]), _regrown(r["n"], r["size"], np.uint32)) for r in table.to_pylist()])
         h, n = h[n >= least], n[n >= least]
         cols = {"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([Filter.segment(h, n)], pa.binary())}
         if exact:
             cols |= {"h": pa.array([h.view(np.int64)], pa.list_(pa.int64())), "n": pa.array([n], pa.list_(pa.int64()))}
         return pa.table(cols)
 
-    return (texts.mapInArrow(_blobs(ngrams, ranges), "part int, h binary, n binary").groupBy("part")
+    return (texts.mapInArrow(_blobs(ngrams, ranges), "part int, size int, h binary, n binary").groupBy("part")
             .applyInArrow(merge, "part int, bits binary" + (", h array<long>, n array<long>" if exact else "")))
 
 
@@ -218,48 +242,30 @@ def learn_model(training: DataFrame, text_col: str = "text", mix_pairs: float =
                  (frequent["h"].to_numpy(), frequent["n"].to_numpy())), counts
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their block: neighbours of about ``RANGE_BYTES`` of text, or one longer text."""
-    task, size = TaskContext.get().partitionId(), 0
-    for b in batches:
-        lengths = pc.add(pc.fill_null(pc.binary_length(b.column("_text")), 0), 1).to_numpy(zero_copy_only=False)
-        ends = size + np.cumsum(lengths.astype(np.int64))
-        size = int(ends[-1]) if len(ends) else size
-        yield b.append_column("_block", pa.array((task << 33) + (ends - lengths) // RANGE_BYTES, pa.int64()))
-
-
 def _ngrams(some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All words of tokenised texts with the end, and all their pairs, by hash."""
     return np.unique(np.concatenate([*some, [END]])), np.unique(np.concatenate([pairs(t) for t in some]))
 
 
 def _probes(ranges: int, copies: int):
-    """Task: per block and range of the filter, the n-grams to look up; a block in two batches is looked up by halves."""
-    shift = 64 - (ranges.bit_length() - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            blocks = b.column("_block").to_numpy()
-            for rows in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1) if len(blocks) else []:
-                name = int(blocks[rows[0]])
-                some = [tokens(t) for t in b.column("_text").slice(rows[0], len(rows)).to_pylist()]
-                for kind, h in enumerate(_ngrams(some)):
-                    cuts = np.searchsorted(h, np.arange(1, ranges, dtype=np.uint64) << np.uint64(shift)) if ranges > 1 else []
-                    out = [(name, kind, i, zlib.crc32(b"%d" % name) % copies, x.tobytes())
-                           for i, x in enumerate(np.split(h, cuts)) if len(x)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (
-                            pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                        ["_block", "kind", "part", "copy", "h"])
+    """Group: the n-grams of a block to look up in each range of the filter."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        name = key[0].as_py()
+        some = [tokens(t) for t in table["_text"].to_pylist()]
+        rows = [(name, kind, i, name % copies, len(x), _gaps(x)) for kind, h in enumerate(_ngrams(some))
+                for i, x in enumerate(np.split(h, _by_range(h, ranges))) if len(x)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                        ["_block", "kind", "part", "copy", "size", "h"])
 
     return run
 
 
 def _looked_up(probes: pa.Table, held: pa.Table) -> pa.Table:
-    """The levels of the n-grams of one range, as bytes."""
+    """The levels of the n-grams of one range, as bytes in the order of the n-grams."""
     table = Filter.joined(held["bits"].to_pylist() or [bytes(8)])
-    found = [table.levels(np.frombuffer(h, np.uint64)).astype(np.uint8).tobytes() for h in probes["h"].to_pylist()]
-    return pa.table({"_block": probes["_block"], "kind": probes["kind"], "h": probes["h"],
+    found = [_shrunk(table.levels(_hashes(r["h"], r["size"])).astype(np.uint8)) for r in probes.to_pylist()]
+    return pa.table({"_block": probes["_block"], "kind": probes["kind"], "part": probes["part"], "size": probes["size"],
                      "level": pa.array(found, pa.binary())})
 
 
@@ -270,7 +276,9 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text_col: str
     names = ("n_tokens", "n_known", "base_score", "score")
     kept = [c for c in docs.columns if c != text_col and c.lower() not in names]
     extra = StructType.fromDDL("n_tokens long, known long, base double, score double, rare array<long>")
-    plain = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text"))
+    inner = [f"_given{i}" for i in range(len(kept))]             # no column of any name clashes with those made here
+    plain = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(kept, inner, strict=True)],
+                        F.col(f"`{text_col}`").alias("_text"))
     schema = StructType([*plain.drop("_text").schema.fields, *extra.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,13 +287,14 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text_col: str
             yield from scored_rows(b, lambda kind, h: filters[kind].levels(h))
 
     def of_block(rows: pa.Table, found: pa.Table) -> pa.Table:
-        known = []
-        for kind in (0, 1):
-            some = found.filter(pc.equal(found["kind"], kind))
-            h = np.frombuffer(b"".join(some["h"].to_pylist()), np.uint64)
-            order = np.argsort(h)
-            known.append((h[order], np.frombuffer(b"".join(some["level"].to_pylist()), np.uint8)[order].astype(np.int64)))
         rows = rows.drop_columns("_block").combine_chunks()
+        known = []
+        for kind, h in enumerate(_ngrams([tokens(t) for t in rows["_text"].to_pylist()])):
+            some = found.filter(pc.equal(found["kind"], kind)).sort_by("part").to_pylist()
+            level = np.concatenate([_regrown(r["level"], r["size"], np.uint8) for r in some])
+            if len(level) != len(h):
+                raise RuntimeError("a block of texts was not read again as it was sent")
+            known.append((h, level.astype(np.int64)))
         return pa.Table.from_batches([x for b in rows.to_batches() for x in scored_rows(
             b, lambda kind, h: known[kind][1][np.searchsorted(known[kind][0], h)])])
 
@@ -336,21 +345,21 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text_col: str
     if model.filters is not None:
         judged = plain.mapInArrow(run, schema)
     else:
-        blocked = StructType([*plain.schema.fields, *StructType.fromDDL("_block long").fields])
-        plain = cut_lineage(plain.mapInArrow(_blocks, blocked))
         size = plain.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
         copies = 1 + size // (model.ranges * RANGE_BYTES)        # of a range, where far more is scored than was learned
-        probes = plain.select("_text", "_block").mapInArrow(
-            _probes(model.ranges, copies), "_block long, kind int, part int, copy int, h binary")
+        name = F.pmod(F.xxhash64("_text", F.spark_partition_id()), F.lit(1 + size // RANGE_BYTES))
+        plain = plain.withColumn("_block", name)                 # both groupings below read one shuffle of it
+        probes = plain.groupBy("_block").applyInArrow(
+            _probes(model.ranges, copies), "_block long, kind int, part int, copy int, size int, h binary")
         held = model.held.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
         found = (probes.groupBy("kind", "part", "copy").cogroup(held.groupBy("kind", "part", "copy"))
-                 .applyInArrow(_looked_up, "_block long, kind int, h binary, level binary"))
+                 .applyInArrow(_looked_up, "_block long, kind int, part int, size int, level binary"))
         judged = plain.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(of_block, schema)
     scored = cut_lineage(judged.withColumn("_row", F.monotonically_increasing_id()))
     rest = (scored.select("_row", F.explode("rare").alias("h"))
             .join(counts, "h").groupBy("_row")
             .agg(F.sum(F.log10(F.col("n") + 1.0)).alias("_more"), F.count("n").alias("_seen")))
     return (scored.join(rest, "_row", "left")
-            .select(*[F.col(f"`{c}`") for c in kept], "n_tokens",
+            .select(*[F.col(x).alias(c) for c, x in zip(kept, inner, strict=True)], "n_tokens",
                     (F.col("known") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
                     (F.col("base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"), "score"))
