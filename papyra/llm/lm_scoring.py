@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from papyra.llm.words import chain, mix, word_hashes
+from papyra.llm.words import chain, mix, some_at_a_time, words_of
 from papyra.session import cut_lineage
 
 BASE = 1.3                     # ratio of neighbouring levels
@@ -51,6 +51,7 @@ RANGE_BYTES = 1 << 24          # text per hash range
 END = np.uint64(1)
 PAIR_MASK = np.uint64((1 << 64) - (1 << 16))   # the 48 bits kept of a pair's hash
 _BLOCK = 1 << 21               # n-grams sorted together in a task
+_SCORED = 1 << 23              # characters scored together in a task
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -64,12 +65,18 @@ def expected(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.where(high > low, (low + high) / 2, low), 0.0)
 
 
-def tokens(text: str | None) -> np.ndarray:
-    return np.append(word_hashes(text), END)
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts in turn, an end after each text, and how many each has."""
+    runs, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for some in some_at_a_time(texts):
+        words, ends = words_of(some)
+        runs.append(np.insert(words, ends, END))
+        sizes.append(np.diff(ends, prepend=0) + 1)
+    return np.concatenate(runs), np.concatenate(sizes)
 
 
 def pairs(t: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it; the first follows an end."""
+    """Hash of each token with the one before it; the first of a text follows the end of the one before, or an end."""
     return chain(mix(np.concatenate(([END], t[:-1]))), t) & PAIR_MASK
 
 
@@ -170,8 +177,8 @@ def _blobs(ngrams, ranges: int):
                     pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "size", "h", "n"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                raw.append(ngrams(tokens(text)))
+            for some in some_at_a_time(b.column(0).to_pylist()):
+                raw.append(ngrams(tokens(some)[0]))
                 size += len(raw[-1])
                 if size > _BLOCK:
                     fold()
@@ -242,17 +249,12 @@ def learn_model(training: DataFrame, text_col: str = "text", mix_pairs: float =
                  (frequent["h"].to_numpy(), frequent["n"].to_numpy())), counts
 
 
-def _ngrams(some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All words of tokenised texts with the end, and all their pairs, by hash."""
-    return np.unique(np.concatenate([*some, [END]])), np.unique(np.concatenate([pairs(t) for t in some]))
-
-
 def _probes(ranges: int, copies: int):
     """Group: the n-grams of a block to look up in each range of the filter."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
         name = key[0].as_py()
-        some = [tokens(t) for t in table["_text"].to_pylist()]
-        rows = [(name, kind, i, name % copies, len(x), _gaps(x)) for kind, h in enumerate(_ngrams(some))
+        t, _ = tokens(table["_text"].to_pylist())
+        rows = [(name, kind, i, name % copies, len(x), _gaps(x)) for kind, h in enumerate((np.unique(t), np.unique(pairs(t))))
                 for i, x in enumerate(np.split(h, _by_range(h, ranges))) if len(x)]
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
@@ -262,9 +264,12 @@ def _probes(ranges: int, copies: int):
 
 
 def _looked_up(probes: pa.Table, held: pa.Table) -> pa.Table:
-    """The levels of the n-grams of one range, as bytes in the order of the n-grams."""
+    """The levels of the n-grams of one range, as bytes in the order of the n-grams; those of many blocks are probed once."""
     table = Filter.joined(held["bits"].to_pylist() or [bytes(8)])
-    found = [_shrunk(table.levels(_hashes(r["h"], r["size"])).astype(np.uint8)) for r in probes.to_pylist()]
+    asked = [_hashes(r["h"], r["size"]) for r in probes.to_pylist()]
+    h, which = np.unique(np.concatenate([np.empty(0, np.uint64), *asked]), return_inverse=True)
+    level = table.levels(h).astype(np.uint8)[which]
+    found = [_shrunk(x) for x in np.split(level, np.cumsum([len(x) for x in asked])[:-1])] if asked else []
     return pa.table({"_block": probes["_block"], "kind": probes["kind"], "part": probes["part"], "size": probes["size"],
                      "level": pa.array(found, pa.binary())})
 
@@ -287,44 +292,35 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text_col: str
             yield from scored_rows(b, lambda kind, h: filters[kind].levels(h))
 
     def of_block(rows: pa.Table, found: pa.Table) -> pa.Table:
-        rows = rows.drop_columns("_block").combine_chunks()
-        known = []
-        for kind, h in enumerate(_ngrams([tokens(t) for t in rows["_text"].to_pylist()])):
+        def read(kind: int, h: np.ndarray) -> np.ndarray:
             some = found.filter(pc.equal(found["kind"], kind)).sort_by("part").to_pylist()
             level = np.concatenate([_regrown(r["level"], r["size"], np.uint8) for r in some])
             if len(level) != len(h):
                 raise RuntimeError("a block of texts was not read again as it was sent")
-            known.append((h, level.astype(np.int64)))
-        return pa.Table.from_batches([x for b in rows.to_batches() for x in scored_rows(
-            b, lambda kind, h: known[kind][1][np.searchsorted(known[kind][0], h)])])
+            return level.astype(np.int64)
+
+        rows = rows.drop_columns("_block").combine_chunks()
+        return pa.Table.from_batches([block(b, *tokens(b.column("_text").to_pylist()), read) for b in rows.to_batches()])
 
     def scored_rows(b: pa.RecordBatch, find) -> Iterator[pa.RecordBatch]:
-        texts = b.column("_text").to_pylist()
         at = 0
-        while at < len(texts):
-            some: list[np.ndarray] = []
-            begin, size = at, 0
-            while at < len(texts) and size < _BLOCK:
-                some.append(tokens(texts[at]))
-                size += len(some[-1])
-                at += 1
-            yield block(b.slice(begin, at - begin), some, find)
-
-    def block(b, some, find):
+        for some in some_at_a_time(b.column("_text").to_pylist(), _SCORED):
+            yield block(b.slice(at, len(some)), *tokens(some), find)
+            at += len(some)
+
+    def block(b, t, sizes, find):
         _, total, kinds, mix_pairs, (keys, often) = shared.value
 
         def count(kind, h):                      # no n-gram occurs more often than there are tokens
             return np.minimum(expected(find(kind, h)), total)
 
-        sizes = np.array([len(t) for t in some])
-        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        t = np.concatenate(some)
+        first = np.cumsum(sizes) - sizes
         words, which = np.unique(t, return_inverse=True)
         c = count(0, words)
-        both, pair = np.unique(np.concatenate([pairs(x) for x in some]), return_inverse=True)
+        both, pair = np.unique(pairs(t), return_inverse=True)
         cb = count(1, both)[pair]
         before = np.roll(c[which], 1)
-        before[first] = count(0, np.array([END]))[0]
+        before[first] = c[np.searchsorted(words, END)]
         single = (c[which] + 1) / (total + kinds + 1)
         share = np.minimum(1.0, cb / np.maximum(before, 1))
         p = np.where(before > 0, mix_pairs * share + (1 - mix_pairs) * single, single)
@@ -333,7 +329,7 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text_col: str
         found = keys[place] == words.view(np.int64) if len(keys) else np.zeros(len(words), bool)
         exact = np.where(found, np.log10((often[place] if len(keys) else 0) + 1.0), 0.0)[which]
         known = found[which]
-        rare = [x[~k].view(np.int64) for x, k in zip(some, np.split(known, first[1:]), strict=True)]
+        rare = [x[~k].view(np.int64) for x, k in zip(np.split(t, first[1:]), np.split(known, first[1:]), strict=True)]
         base = np.add.reduceat(exact, first) - sizes * np.log10(total + kinds + 1.0)
         cols = [b.column(i) for i, n in enumerate(b.schema.names) if n != "_text"]
         return pa.RecordBatch.from_arrays(
