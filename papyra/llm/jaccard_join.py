@@ -22,7 +22,10 @@ their differences from it, and the overlap of two of them is that of the leader
 both, corrected by what their differences share: exact, without the sets.  For the rest
 the overlaps with a common leader bound the overlap of the pair: it is at most
 min(o1, o2) + min(n1 - o1, n2 - o2).  Only pairs that pass are compared, on
-whole sets.
+whole sets.  Where only components are asked for, a set goes with a guide that it links
+with, itself if there is none, and lists hold guides: lists of the same guides are one.
+Guides that meet are compared once, and members x, y of guides g, h overlap in at most
+|g and h| + |x - g| + |y - h|, so most pairs of groups are ruled out without their members.
 
 Edge cases: null and empty texts have no shingle and link with nothing; fewer than
 five words are one shingle; repeated rows are one class; rows without an id are
@@ -211,9 +214,14 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels.select(*nodes.columns, "root")
 
 
-def _possible(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that the bitmaps leave open: a bit of one set that the other lacks is a shingle it lacks."""
-    sides = [maps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"m{c}")) for c in "ab"]
+def _possible(pairs: DataFrame, maps: DataFrame, num: int, den: int, small: str = "n", slack: str = "0") -> DataFrame:
+    """Pairs (a, b) that the bitmaps leave open: a bit of one set that the other lacks is a shingle it lacks.
+
+    For groups of sets around a and b, ``small`` is the size of the smallest set of a group and ``slack`` the
+    most shingles that one of them has beyond a or b.
+    """
+    sides = [maps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"m{c}"),
+                         F.expr(small).alias(f"l{c}"), F.expr(slack).alias(f"s{c}")) for c in "ab"]
 
     def folded(x: str, y: str) -> Column:        # half as many bits: each word with the one half the map further on
         half = F.expr(f"size({x}) div 2")
@@ -227,7 +235,7 @@ def _possible(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFram
 
     met = pairs.join(sides[0], "a").join(sides[1], "b").withColumns({"fa": folded("ma", "mb"), "fb": folded("mb", "ma")})
     most = F.least(F.col("na") - lacking("fa", "fb"), F.col("nb") - lacking("fb", "fa"))
-    return met.where(most >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")
+    return met.where(most + F.col("sa") + F.col("sb") >= _need(F.col("la"), F.col("lb"), num, den)).select("a", "b")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -269,6 +277,122 @@ def _by_kin(pairs: DataFrame, answers: DataFrame, maps: DataFrame, num: int, den
             marked.where("NOT same").select("a", "b"))
 
 
+def _met(lists: DataFrame, key: str) -> DataFrame:
+    """Pairs (a, b) of ids in one list that differ in root and are in reach of each other."""
+    two = lists.select(key, *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "wide", "root")])
+    return (lists.join(two, key).where("id < id_2 AND root <> root_2 AND n_2 <= wide AND n <= wide_2")
+            .select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct())
+
+
+def _between_groups(listed: DataFrame, first: DataFrame, answers: DataFrame, texts: DataFrame, classes: DataFrame,
+                    maps: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between sets of different components, as many as the components need.
+
+    Sets go in groups by a guide that they link with.  Lists hold groups, and guides are compared for their members.
+    """
+    linked = answers.where("linked")
+    seen = (linked.select(F.col("a").alias("id"), F.col("b").alias("guide"), "overlap")
+            .union(linked.select("b", "a", "overlap")).union(maps.select("id", "id", "n")))
+    weight = seen.groupBy("guide").agg(F.count(F.lit(1)).alias("w"))
+    members = written(seen.join(weight, "guide").groupBy("id")
+                      .agg(F.max_by(F.struct("guide", "overlap"), F.struct("w", "guide")).alias("x"))
+                      .join(maps.select("id", "n"), "id").join(first, "id")
+                      .select("id", "n", "root", F.col("x.guide").alias("guide"),
+                              (F.col("n") - F.col("x.overlap")).alias("slack")), "members")
+    groups = written(members.groupBy("guide").agg(F.min("n").alias("small"), F.max("slack").alias("slack"),
+                                                  F.min("root").alias("root"))
+                     .withColumnRenamed("guide", "id").join(maps, "id"), "groups")
+    # lists of groups; one whose groups lie in one component has nothing left to find
+    rows = (listed.join(members.select("id", "guide", "root"), "id")
+            .groupBy("h", F.when(F.col("split"), F.col("block")).alias("block"), F.col("guide").alias("id"))
+            .agg(F.min("n").alias("n"), F.max("wide").alias("wide"), F.min("root").alias("root")))
+    rows = written(rows, "lists")
+    told = (rows.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("block").alias("parts"),
+                                  F.bit_xor(F.xxhash64("id")).alias("x"), F.count(F.lit(1)).alias("k"))
+            .where("r0 <> r1").select("h", "parts", F.struct("k", "x").alias("same")))
+    rows = written(rows.join(told, "h"), "mixed")
+    # unsplit lists of the same groups meet once, with the widest of their bounds
+    whole = (rows.where("parts IS NULL").groupBy("same", "id")
+             .agg(F.min("n").alias("n"), F.max("wide").alias("wide"), F.min("root").alias("root")))
+    # a split list meets itself block by block, but for the pairs of blocks that bounds or components rule out
+    parts = rows.where("parts IS NOT NULL").withColumn("block", F.coalesce("block", F.lit(0)))
+    stats = parts.groupBy("h", "block").agg(F.min("n").alias("n"), F.max("wide").alias("wide"),
+                                            F.min("root").alias("r0"), F.max("root").alias("r1"))
+    other = stats.select("h", *[F.col(c).alias(f"{c}_2") for c in ("block", "n", "wide", "r0", "r1")])
+    cells = (stats.join(other, "h").where("block <= block_2 AND n_2 <= wide AND n <= wide_2 "
+                                          "AND NOT (r0 = r1 AND r0_2 = r1_2 AND r0 = r0_2)")
+             .select("h", "block", "block_2"))
+    two = parts.select("h", *[F.col(c).alias(f"{c}_2") for c in ("block", "id", "n", "wide", "root")])
+    within = (parts.join(cells, ["h", "block"]).join(two, ["h", "block_2"])
+              .where("id <> id_2 AND root <> root_2 AND n_2 <= wide AND n <= wide_2")
+              .select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")))
+    open_groups = cut_lineage(_possible(_met(whole, "same").union(within).distinct(), groups, num, den, "small", "slack"))
+    compared = cut_lineage(_compared(open_groups, texts, classes, num, den).select("a", "b", "overlap", "linked"))
+    links = compared.where("linked").select("a", "b")
+    # groups that the links of their guides leave apart and whose members the overlap of the guides leaves open
+    ends = [members.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+    joined = links.join(ends[0], "a").join(ends[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    roots = written(components(joined, members.select(F.col("root").alias("id")).distinct()), "roots")
+    sides = [groups.select(F.col("id").alias(c), F.col("small").alias(f"l{c}"), F.col("slack").alias(f"s{c}"), "root")
+             .join(roots.select(F.col("id").alias("root"), F.col("root").alias(f"r{c}")), "root").drop("root") for c in "ab"]
+    rest = (compared.where("NOT linked").join(sides[0], "a").join(sides[1], "b")
+            .where(F.col("ra") != F.col("rb"))
+            .where(F.col("overlap") + F.col("sa") + F.col("sb") >= _need(F.col("la"), F.col("lb"), num, den))
+            .select(F.col("a").alias("ga"), F.col("b").alias("gb"), "overlap", "lb", F.col("sb").alias("sgb")))
+    ends = [members.select(F.col("id").alias(c), F.col("guide").alias(f"g{c}"), F.col("n").alias(f"n{c}"),
+                           F.col("slack").alias(f"s{c}")) for c in "ab"]
+    inner = (rest.join(ends[0], "ga")
+             .where(F.col("overlap") + F.col("sa") + F.col("sgb") >= _need(F.col("na"), F.col("lb"), num, den))
+             .join(ends[1], "gb").where("a <> ga OR b <> gb")
+             .where(F.col("overlap") + F.col("sa") + F.col("sb") >= _need(F.col("na"), F.col("nb"), num, den))
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    inner = cut_lineage(_possible(inner, maps, num, den))
+    late = _compared(inner, texts, classes, num, den).where("linked").select("a", "b")
+    return links.union(cut_lineage(late))
+
+
+def _inside(listed: DataFrame, answers: DataFrame, pairs: DataFrame, texts: DataFrame, classes: DataFrame,
+            maps: DataFrame, num: int, den: int) -> DataFrame:
+    """Every link (a, b) that the first answers do not hold; no pair is left out for its component: each class is its own."""
+    # the rest: pairs of entries in different components that no bound rules out
+    seen = (answers.select(F.col("a").alias("id"), F.col("b").alias("guide"), "overlap")
+            .union(answers.select("b", "a", "overlap"))
+            .union(answers.select("a", "a", "na")).union(answers.select("b", "b", "nb")))
+    # the guide is the most often compared set among those a set was compared with, itself included
+    weight = F.count(F.lit(1)).over(Window.partitionBy("guide"))
+    best = (seen.distinct().withColumn("w", weight).groupBy("id")
+            .agg(F.max_by(F.struct("guide", "overlap"), F.struct("w", "guide")).alias("x"))
+            .select("id", F.col("x.guide").alias("guide"), F.col("x.overlap").alias("o")))
+    rest = written(listed.withColumn("root", F.col("id")).join(best, "id", "left")
+                   .select("h", "split", "block", "id", "n", "wide", "root", "guide", "o"), "rest")
+    mixed = (rest.groupBy("h").agg(F.min("root").alias("m0"), F.max("root").alias("m1"), F.min("n").alias("s0"),
+                                   F.max("wide").alias("w0")).where("m0 <> m1").select("h", "s0", "w0"))
+    rest = written(rest.join(mixed, "h").where("s0 <= wide AND n <= w0").drop("s0", "w0"), "mixed")
+    two = rest.select("h", *[F.col(c).alias(f"{c}_2") for c in rest.columns if c != "h"])
+    whole_lists = rest.where("NOT split").join(two.where("NOT split_2"), "h").where("id < id_2")
+    # a split list meets itself block by block, but for the pairs of blocks that bounds or components rule out
+    stats = (rest.where("split").groupBy("h", "block")
+             .agg(F.min("n").alias("small"), F.max("wide").alias("reach"), F.min("root").alias("r0"),
+                  F.max("root").alias("r1")))
+    other = stats.select("h", *[F.col(c).alias(f"{c}_2") for c in ("block", "small", "reach", "r0", "r1")])
+    cells = (stats.join(other, "h").where("block <= block_2 AND small_2 <= reach AND small <= reach_2 "
+                                          "AND NOT (r0 = r1 AND r0_2 = r1_2 AND r0 = r0_2)")
+             .select("h", "block", "block_2"))
+    split_lists = (rest.where("split").join(cells, ["h", "block"]).join(two.where("split_2"), ["h", "block_2"])
+                   .select(whole_lists.columns))
+    overlap_most = (F.least("o", "o_2") + F.least(F.col("n") - F.col("o"), F.col("n_2") - F.col("o_2")))
+    open_pairs = (whole_lists.union(split_lists)
+                  .where("root <> root_2 AND n_2 <= wide AND n <= wide_2")
+                  .where(~F.coalesce((F.col("guide") == F.col("guide_2"))
+                                     & (overlap_most < _need(F.col("n"), F.col("n_2"), num, den)), F.lit(False)))
+                  .select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct())
+    open_pairs = open_pairs.join(pairs, ["a", "b"], "left_anti")
+    kin, open_pairs = _by_kin(open_pairs, answers, maps, num, den)
+    fresh = cut_lineage(_possible(open_pairs, maps, num, den))
+    late = cut_lineage(_compared(fresh, texts, classes, num, den).select("a", "b", "linked"))
+    return kin.union(late.where("linked").select("a", "b"))
+
+
 def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with an equal set) and component_id of every document."""
@@ -331,51 +455,13 @@ def _joined(docs: DataFrame, num: int, den: int, id_col: str, text_col: str,
     pairs = cut_lineage(_possible(pairs, maps, num, den))
     answers = cut_lineage(_compared(pairs, texts, classes, num, den))
     links = answers.where("linked").select("a", "b")
-    # where every link is asked for, no pair is left out for its component: each class is its own
-    first = active.withColumn("root", F.col("id")) if every else written(components(links, active), "components")
-
-    # the rest: pairs of entries in different components that no bound rules out
-    seen = (answers.select(F.col("a").alias("id"), F.col("b").alias("guide"), "overlap")
-            .union(answers.select("b", "a", "overlap"))
-            .union(answers.select("a", "a", "na")).union(answers.select("b", "b", "nb")))
-    # the guide is the most often compared set among those a set was compared with, itself included
-    weight = F.count(F.lit(1)).over(Window.partitionBy("guide"))
-    best = (seen.distinct().withColumn("w", weight).groupBy("id")
-            .agg(F.max_by(F.struct("guide", "overlap"), F.struct("w", "guide")).alias("x"))
-            .select("id", F.col("x.guide").alias("guide"), F.col("x.overlap").alias("o")))
-    rest = written(listed.join(first, "id").join(best, "id", "left")
-                   .select("h", "split", "block", "id", "n", "wide", "root", "guide", "o"), "rest")
-    mixed = (rest.groupBy("h").agg(F.min("root").alias("m0"), F.max("root").alias("m1"), F.min("n").alias("s0"),
-                                   F.max("wide").alias("w0")).where("m0 <> m1").select("h", "s0", "w0"))
-    rest = written(rest.join(mixed, "h").where("s0 <= wide AND n <= w0").drop("s0", "w0"), "mixed")
-    two = rest.select("h", *[F.col(c).alias(f"{c}_2") for c in rest.columns if c != "h"])
-    whole_lists = rest.where("NOT split").join(two.where("NOT split_2"), "h").where("id < id_2")
-    # a split list meets itself block by block, but for the pairs of blocks that bounds or components rule out
-    stats = (rest.where("split").groupBy("h", "block")
-             .agg(F.min("n").alias("small"), F.max("wide").alias("reach"), F.min("root").alias("r0"),
-                  F.max("root").alias("r1")))
-    other = stats.select("h", *[F.col(c).alias(f"{c}_2") for c in ("block", "small", "reach", "r0", "r1")])
-    cells = (stats.join(other, "h").where("block <= block_2 AND small_2 <= reach AND small <= reach_2 "
-                                          "AND NOT (r0 = r1 AND r0_2 = r1_2 AND r0 = r0_2)")
-             .select("h", "block", "block_2"))
-    split_lists = (rest.where("split").join(cells, ["h", "block"]).join(two.where("split_2"), ["h", "block_2"])
-                   .select(whole_lists.columns))
-    overlap_most = (F.least("o", "o_2") + F.least(F.col("n") - F.col("o"), F.col("n_2") - F.col("o_2")))
-    open_pairs = (whole_lists.union(split_lists)
-                  .where("root <> root_2 AND n_2 <= wide AND n <= wide_2")
-                  .where(~F.coalesce((F.col("guide") == F.col("guide_2"))
-                                     & (overlap_most < _need(F.col("n"), F.col("n_2"), num, den)), F.lit(False)))
-                  .select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct())
-    open_pairs = open_pairs.join(pairs, ["a", "b"], "left_anti")
     if every:
-        kin, open_pairs = _by_kin(open_pairs, answers, maps, num, den)
-        links = links.union(kin)
-    fresh = cut_lineage(_possible(open_pairs, maps, num, den))
-    late = cut_lineage(_compared(fresh, texts, classes, num, den).select("a", "b", "linked"))
-    more = late.where("linked").select("a", "b")
-    links = links.union(more)
-    roots = first.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)
-    final = components(links if every else roots, active)
+        links = links.union(_inside(listed, answers, pairs, texts, classes, maps, num, den))
+        final = components(links, active)
+    else:
+        first = written(components(links, active), "components")
+        more = _between_groups(listed, first, answers, texts, classes, maps, num, den)
+        final = components(first.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more), active)
     classes = cut_lineage(classes.select("id", "class_id", "copies").join(final, "id", "left")
                           .withColumn("root", F.coalesce("root", "id")))
     whole = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
