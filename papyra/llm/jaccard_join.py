@@ -277,11 +277,14 @@ def _by_kin(pairs: DataFrame, answers: DataFrame, maps: DataFrame, num: int, den
             marked.where("NOT same").select("a", "b"))
 
 
-def _met(lists: DataFrame, key: str) -> DataFrame:
-    """Pairs (a, b) of ids in one list that differ in root and are in reach of each other."""
-    two = lists.select(key, *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "wide", "root")])
-    return (lists.join(two, key).where("id < id_2 AND root <> root_2 AND n_2 <= wide AND n <= wide_2")
-            .select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct())
+_GROUP = ("id", "n", "wide", "root", "small", "slack", "lead", "o", "past")
+
+
+def _open(num: int, den: int) -> Column:
+    """Groups that differ in root, are in reach of each other and are left open by a leader that both guides were compared with."""
+    most = F.least("o", "o_2") + F.least("past", "past_2") + F.col("slack") + F.col("slack_2")
+    led = F.coalesce((F.col("lead") == F.col("lead_2")) & (most < _need(F.col("small"), F.col("small_2"), num, den)), F.lit(False))
+    return F.expr("root <> root_2 AND n_2 <= wide AND n <= wide_2") & ~led
 
 
 def _between_groups(listed: DataFrame, first: DataFrame, answers: DataFrame, texts: DataFrame, classes: DataFrame,
@@ -302,18 +305,26 @@ def _between_groups(listed: DataFrame, first: DataFrame, answers: DataFrame, tex
     groups = written(members.groupBy("guide").agg(F.min("n").alias("small"), F.max("slack").alias("slack"),
                                                   F.min("root").alias("root"))
                      .withColumnRenamed("guide", "id").join(maps, "id"), "groups")
+    # the leader that most were compared with, of those a guide was compared with, itself included
+    compared = (answers.select(F.col("a").alias("id"), F.col("b").alias("lead"), F.col("overlap").alias("o"))
+                .union(answers.select("b", "a", "overlap")).union(maps.select("id", "id", "n")))
+    weight = compared.groupBy("lead").agg(F.count(F.lit(1)).alias("w"))
+    leads = (compared.join(groups.select("id", "n", "small", "slack"), "id").join(weight, "lead").groupBy("id", "n", "small", "slack")
+             .agg(F.max_by(F.struct("lead", "o"), F.struct("w", "lead")).alias("x"))
+             .select("id", "small", "slack", "x.lead", "x.o", (F.col("n") - F.col("x.o")).alias("past")))
     # lists of groups; one whose groups lie in one component has nothing left to find
     rows = (listed.join(members.select("id", "guide", "root"), "id")
             .groupBy("h", F.when(F.col("split"), F.col("block")).alias("block"), F.col("guide").alias("id"))
             .agg(F.min("n").alias("n"), F.max("wide").alias("wide"), F.min("root").alias("root")))
-    rows = written(rows, "lists")
+    rows = written(rows.join(leads, "id"), "lists")
     told = (rows.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("block").alias("parts"),
                                   F.bit_xor(F.xxhash64("id")).alias("x"), F.count(F.lit(1)).alias("k"))
             .where("r0 <> r1").select("h", "parts", F.struct("k", "x").alias("same")))
     rows = written(rows.join(told, "h"), "mixed")
     # unsplit lists of the same groups meet once, with the widest of their bounds
     whole = (rows.where("parts IS NULL").groupBy("same", "id")
-             .agg(F.min("n").alias("n"), F.max("wide").alias("wide"), F.min("root").alias("root")))
+             .agg(F.min("n").alias("n"), F.max("wide").alias("wide"),
+                  *[F.first(c).alias(c) for c in _GROUP[3:]]))
     # a split list meets itself block by block, but for the pairs of blocks that bounds or components rule out
     parts = rows.where("parts IS NOT NULL").withColumn("block", F.coalesce("block", F.lit(0)))
     stats = parts.groupBy("h", "block").agg(F.min("n").alias("n"), F.max("wide").alias("wide"),
@@ -322,11 +333,12 @@ def _between_groups(listed: DataFrame, first: DataFrame, answers: DataFrame, tex
     cells = (stats.join(other, "h").where("block <= block_2 AND n_2 <= wide AND n <= wide_2 "
                                           "AND NOT (r0 = r1 AND r0_2 = r1_2 AND r0 = r0_2)")
              .select("h", "block", "block_2"))
-    two = parts.select("h", *[F.col(c).alias(f"{c}_2") for c in ("block", "id", "n", "wide", "root")])
-    within = (parts.join(cells, ["h", "block"]).join(two, ["h", "block_2"])
-              .where("id <> id_2 AND root <> root_2 AND n_2 <= wide AND n <= wide_2")
+    two = parts.select("h", *[F.col(c).alias(f"{c}_2") for c in ("block", *_GROUP)])
+    within = (parts.join(cells, ["h", "block"]).join(two, ["h", "block_2"]).where(_open(num, den))
               .select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")))
-    open_groups = cut_lineage(_possible(_met(whole, "same").union(within).distinct(), groups, num, den, "small", "slack"))
+    met = (whole.join(whole.select("same", *[F.col(c).alias(f"{c}_2") for c in _GROUP]), "same")
+           .where(F.expr("id < id_2") & _open(num, den)).select(F.col("id").alias("a"), F.col("id_2").alias("b")))
+    open_groups = cut_lineage(_possible(met.union(within).distinct(), groups, num, den, "small", "slack"))
     compared = cut_lineage(_compared(open_groups, texts, classes, num, den).select("a", "b", "overlap", "linked"))
     links = compared.where("linked").select("a", "b")
     # groups that the links of their guides leave apart and whose members the overlap of the guides leaves open
