@@ -17,9 +17,11 @@ Answers from similar sets.  The entry with the widest bound leads its block.
 Bitmaps of the sets rule out most pairs; of the rest,
 every member is checked against its leader first.  A member that links shares the
 leader's component, and where only components are asked for, pairs inside one need
-no check.  Where every link is, members that link with the same leader are held as
-their differences from it, and the overlap of two of them is that of the leader with
-both, corrected by what their differences share: exact, without the sets.  For the rest
+no check.  Where every link is, members that link with the same leader (its kin) are held
+as their differences from it, and the overlap of two of them is that of the leader with
+both, corrected by what their differences share: exact, without the sets.  Their links are
+counted block against block of a kin, so that no pair of members is a row, and lists that
+hold one kin only are left out.  For the rest
 the overlaps with a common leader bound the overlap of the pair: it is at most
 min(o1, o2) + min(n1 - o1, n2 - o2).  Only pairs that pass are compared, on
 whole sets.  Where only components are asked for, a set goes with a guide that it links
@@ -28,8 +30,9 @@ Guides that meet are compared once, and members x, y of guides g, h overlap in a
 |g and h| + |x - g| + |y - h|, so most pairs of groups are ruled out without their members.
 
 Edge cases: null and empty texts have no shingle and link with nothing; fewer than
-five words are one shingle; repeated rows are one class; rows without an id are
-left out; long texts are read whole; an empty table gives no rows.  Shingles
+five words are one shingle; repeated rows are one class; rows without an id link like
+others, and a class or component of such rows alone has no id; long texts are read whole;
+an empty table gives no rows.  Shingles
 and whole sets are compared by 64-bit hashes.
 """
 
@@ -52,6 +55,11 @@ COMMON = 16            # a shingle counts as common from so many sets within one
 COUNT_BLOCK = 1 << 20  # shingles counted together
 MAX_BROADCAST_IDS = 1 << 20      # 8 bytes each; more are joined by shuffle
 LIST_BLOCK = 4096      # common lists are dealt by hash into blocks of about so many entries
+KIN_BLOCK = 512        # sets of one kin in a block, about
+KIN_LENGTH = 1 << 20   # and hashes in all their differences
+DENSE = 16             # shingles in so many differences of a cell are counted by a matrix product
+COLUMNS = 1 << 11      # so many of them at a time
+
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its five-word shingles, A-Z lower-cased."""
@@ -92,7 +100,7 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n, id, bits) of documents; and rows (null, count, shingle, null) of what is common in a block of sets."""
+    """Rows (doc_id, n, id, bits) of documents; rows without bits (null, count, shingle, null) are what is common in a block of sets."""
     held: list[np.ndarray] = []
     size = 0
 
@@ -240,11 +248,17 @@ def _possible(pairs: DataFrame, maps: DataFrame, num: int, den: int, small: str
 
 def _compared(pairs: DataFrame, texts: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) -> a, b, na, nb, overlap, linked, from the whole sets of one document of each class; if linked, only_a and only_b."""
-    wanted = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    ids = cut_lineage(classes.join(wanted, "id").select(F.col("class_id").alias("doc_id")))
-    chosen = texts.join(F.broadcast(ids) if fits(ids, MAX_BROADCAST_IDS) else ids, "doc_id", "left_semi")
-    sets = (chosen.select("text")
-            .mapInArrow(_set_arrays, "id long, items array<long>").join(wanted, "id", "left_semi"))
+    wanted = cut_lineage(classes.select("id", F.col("class_id").alias("doc_id"))
+                         .join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id"))
+    ids, unnamed = wanted.where("doc_id IS NOT NULL").select("doc_id"), wanted.where("doc_id IS NULL")
+
+    def sets_of(chosen: DataFrame) -> DataFrame:
+        return chosen.select("text").mapInArrow(_set_arrays, "id long, items array<long>").join(wanted, "id", "left_semi")
+
+    sets = sets_of(texts.join(F.broadcast(ids) if fits(ids, MAX_BROADCAST_IDS) else ids, "doc_id", "left_semi"))
+    if not unnamed.isEmpty():                    # classes of rows without an id: found by their sets
+        nameless = sets_of(texts.where("doc_id IS NULL")).join(unnamed, "id", "left_semi")
+        sets = sets.union(nameless.groupBy("id").agg(F.first("items").alias("items")))
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("ia"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("ib"))
     return (pairs.join(left, "a").join(right, "b")
@@ -255,26 +269,85 @@ def _compared(pairs: DataFrame, texts: DataFrame, classes: DataFrame, num: int,
                     F.when(F.col("linked"), F.array_except("ib", "ia")).alias("only_b")))
 
 
-def _by_kin(pairs: DataFrame, answers: DataFrame, maps: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The links among pairs of sets that both link with one leader, from their differences; and the other pairs."""
+def _kin(answers: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, n, copies, kin, past, less, diff: each linked set as its difference from one leader that it links with.
+
+    The kin of a set is the leader that most sets link with, of those it links with and itself.  ``diff`` holds
+    what only one of the two has, ``past`` of them are the set's own, ``less`` are the leader's.
+    """
     linked, none = answers.where("linked"), F.array().cast("array<long>")
     seen = (linked.select(F.col("a").alias("id"), F.col("b").alias("kin"), F.col("only_b").alias("gone"), F.col("only_a").alias("new"))
             .union(linked.select("b", "a", "only_a", "only_b"))
             .union(linked.select("a").union(linked.select("b")).distinct().select("a", F.col("a").alias("kin"), none, none)))
     weight = seen.groupBy("kin").agg(F.count(F.lit(1)).alias("w"))
-    kin = cut_lineage(seen.join(weight, "kin").groupBy("id")
-                      .agg(F.max_by(F.struct("kin", "gone", "new"), F.struct("w", "kin")).alias("x"))
-                      .join(maps.select("id", "n"), "id").select("id", "n", "x.kin", "x.gone", "x.new"))
-    names = [kin.select(F.col("id").alias(c), F.col("kin").alias(f"k{c}")) for c in "ab"]
-    marked = cut_lineage(pairs.join(names[0], "a", "left").join(names[1], "b", "left")
-                         .select("a", "b", F.coalesce(F.col("ka") == F.col("kb"), F.lit(False)).alias("same")))
-    sides = [kin.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("gone").alias(f"g{c}"),
-                        F.col("new").alias(f"w{c}")) for c in "ab"]
-    both = marked.where("same").select("a", "b").join(sides[0], "a").join(sides[1], "b")
-    overlap = (F.col("na") - F.size("wa") - F.size("gb") + F.size(F.array_intersect("ga", "gb"))
-               + F.size(F.array_intersect("wa", "wb")))
-    return (cut_lineage(both.where(overlap >= _need(F.col("na"), F.col("nb"), num, den)).select("a", "b")),
-            marked.where("NOT same").select("a", "b"))
+    return cut_lineage(seen.join(weight, "kin").groupBy("id")
+                       .agg(F.max_by(F.struct("kin", "gone", "new"), F.struct("w", "kin")).alias("x"))
+                       .join(classes.select("id", "n", "copies"), "id")
+                       .select("id", "n", "copies", "x.kin", F.size("x.new").alias("past"), F.size("x.gone").alias("less"),
+                               F.concat("x.gone", "x.new").alias("diff")))
+
+
+def _shared(rows: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
+    """(k, k) numbers of codes that two rows share, from (row, code) incidences; the diagonal is not filled."""
+    order = np.argsort(codes, kind="stable")
+    rows, codes = rows[order], codes[order]
+    _, at, often = np.unique(codes, return_inverse=True, return_counts=True)
+    out = np.zeros((k, k), np.float32)
+    wide = often >= DENSE
+    column = np.cumsum(wide) - 1
+    dense = wide[at]
+    r, c = rows[dense], column[at[dense]]
+    for begin in range(0, int(wide.sum()), COLUMNS):
+        here = slice(*np.searchsorted(c, [begin, begin + COLUMNS]))
+        part = np.zeros((k, COLUMNS), np.float32)
+        part[r[here], c[here] - begin] = 1
+        out += part @ part.T
+    r, c = rows[~dense], codes[~dense]
+    for step in range(1, DENSE - 1):             # a code of few rows: each of them with those after it
+        same = np.flatnonzero(c[step:] == c[:-step]) if len(c) > step else np.empty(0, np.int64)
+        if not len(same):
+            break
+        met = np.bincount(r[same] * k + r[same + step], minlength=k * k).reshape(k, k).astype(np.float32)
+        out += met + met.T
+    return out
+
+
+def _kin_cell(num: int, den: int, pairs: bool):
+    """Links among the sets of one cell: two blocks of the sets of one kin, or one block with itself."""
+    def run(key: tuple, cell: pa.Table) -> pa.Table:
+        one = key[1].as_py() == key[2].as_py()
+        ids, n, copies, past, less, block = [cell.column(c).to_numpy() for c in ("id", "n", "copies", "past", "less", "block")]
+        diff = cell.column("diff").combine_chunks()
+        rows = np.repeat(np.arange(len(ids)), np.diff(diff.offsets.to_numpy()))
+        overlap = (n - past)[:, None] - less[None, :] + _shared(rows, diff.flatten().to_numpy(), len(ids))
+        need = -(-num * (n[:, None] + n[None, :]) // (num + den))
+        linked = (overlap >= need) & (ids[:, None] != ids[None, :])
+        if not one:
+            linked &= block[:, None] != block[None, :]
+        if pairs:
+            a, b = np.nonzero(np.triu(linked))
+            return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+        weight = linked @ copies
+        return pa.table({"id": ids[weight > 0], "linked": weight[weight > 0]})
+
+    return run
+
+
+def _among_kin(kin: DataFrame, num: int, den: int, pairs: bool) -> DataFrame:
+    """Links between sets of one kin: (a, b), or for each set the number of rows it links with, (id, linked), in parts.
+
+    The sets of a kin are dealt by hash into blocks, by number and by the length of their differences, and a task
+    takes two blocks: no pair is a row, and no task holds a whole kin.
+    """
+    sizes = kin.groupBy("kin").agg(F.count(F.lit(1)).alias("k"), F.sum(F.size("diff")).alias("long")).where("k > 1")
+    blocks = F.greatest(F.ceil(F.col("k") / KIN_BLOCK), F.ceil(F.col("long") / KIN_LENGTH)).cast("int")
+    dealt = (kin.join(sizes.select("kin", blocks.alias("blocks")), "kin")
+             .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("kin", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                     "block", "id", "n", "copies", "past", "less", "diff"))
+    return dealt.groupBy("kin", "low", "high").applyInArrow(
+        _kin_cell(num, den, pairs), "a long, b long" if pairs else "id long, linked long")
 
 
 _GROUP = ("id", "n", "wide", "root", "small", "slack", "lead", "o", "past")
@@ -363,10 +436,10 @@ def _between_groups(listed: DataFrame, first: DataFrame, answers: DataFrame, tex
     return links.union(cut_lineage(late))
 
 
-def _inside(listed: DataFrame, answers: DataFrame, pairs: DataFrame, texts: DataFrame, classes: DataFrame,
+def _inside(listed: DataFrame, kin: DataFrame, answers: DataFrame, pairs: DataFrame, texts: DataFrame, classes: DataFrame,
             maps: DataFrame, num: int, den: int) -> DataFrame:
-    """Every link (a, b) that the first answers do not hold; no pair is left out for its component: each class is its own."""
-    # the rest: pairs of entries in different components that no bound rules out
+    """Every link (a, b) between sets of different kin that the first answers do not hold."""
+    # the rest: pairs of entries of different kin that no bound rules out
     seen = (answers.select(F.col("a").alias("id"), F.col("b").alias("guide"), "overlap")
             .union(answers.select("b", "a", "overlap"))
             .union(answers.select("a", "a", "na")).union(answers.select("b", "b", "nb")))
@@ -375,14 +448,15 @@ def _inside(listed: DataFrame, answers: DataFrame, pairs: DataFrame, texts: Data
     best = (seen.distinct().withColumn("w", weight).groupBy("id")
             .agg(F.max_by(F.struct("guide", "overlap"), F.struct("w", "guide")).alias("x"))
             .select("id", F.col("x.guide").alias("guide"), F.col("x.overlap").alias("o")))
-    rest = written(listed.withColumn("root", F.col("id")).join(best, "id", "left")
+    rest = written(listed.join(kin.select("id", F.col("kin").alias("root")), "id", "left")
+                   .withColumn("root", F.coalesce("root", "id")).join(best, "id", "left")
                    .select("h", "split", "block", "id", "n", "wide", "root", "guide", "o"), "rest")
     mixed = (rest.groupBy("h").agg(F.min("root").alias("m0"), F.max("root").alias("m1"), F.min("n").alias("s0"),
                                    F.max("wide").alias("w0")).where("m0 <> m1").select("h", "s0", "w0"))
     rest = written(rest.join(mixed, "h").where("s0 <= wide AND n <= w0").drop("s0", "w0"), "mixed")
     two = rest.select("h", *[F.col(c).alias(f"{c}_2") for c in rest.columns if c != "h"])
     whole_lists = rest.where("NOT split").join(two.where("NOT split_2"), "h").where("id < id_2")
-    # a split list meets itself block by block, but for the pairs of blocks that bounds or components rule out
+    # a split list meets itself block by block, but for the pairs of blocks that bounds or kin rule out
     stats = (rest.where("split").groupBy("h", "block")
              .agg(F.min("n").alias("small"), F.max("wide").alias("reach"), F.min("root").alias("r0"),
                   F.max("root").alias("r1")))
@@ -399,40 +473,43 @@ def _inside(listed: DataFrame, answers: DataFrame, pairs: DataFrame, texts: Data
                                      & (overlap_most < _need(F.col("n"), F.col("n_2"), num, den)), F.lit(False)))
                   .select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct())
     open_pairs = open_pairs.join(pairs, ["a", "b"], "left_anti")
-    kin, open_pairs = _by_kin(open_pairs, answers, maps, num, den)
     fresh = cut_lineage(_possible(open_pairs, maps, num, den))
     late = cut_lineage(_compared(fresh, texts, classes, num, den).select("a", "b", "linked"))
-    return kin.union(late.where("linked").select("a", "b"))
+    return late.where("linked").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with an equal set) and component_id of every document."""
-    return _joined(docs, num, den, id_col, text_col, False)[0]
+    return _joined(docs, num, den, id_col, text_col, "")[0]
 
 
 def jaccard_join(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """The columns of ``jaccard_components`` and n_links: the other rows that the document links with, those of its class too."""
-    return _joined(docs, num, den, id_col, text_col, True)[0]
+    return _joined(docs, num, den, id_col, text_col, "count")[0]
 
 
 def jaccard_links(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """(class_a, class_b): every link between classes of equal sets, once, by the smallest ids of the classes."""
-    _, classes, links = _joined(docs, num, den, id_col, text_col, True)
+    """(class_a, class_b): every link between classes of equal sets, once, by the smallest ids of the classes.
+
+    A class of rows without an id has none: null, in ``class_a`` if only one of the two has none.
+    """
+    _, classes, links = _joined(docs, num, den, id_col, text_col, "list")
     ends = [classes.select(F.col("id").alias(c), F.col("class_id").alias(f"class_{c}")) for c in "ab"]
     return (links.join(ends[0], "a").join(ends[1], "b")
-            .select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")))
+            .select(F.when(F.col("class_a").isNotNull() & F.col("class_b").isNotNull(), F.least("class_a", "class_b")).alias("class_a"),
+                    F.greatest("class_a", "class_b").alias("class_b")))
 
 
 def _joined(docs: DataFrame, num: int, den: int, id_col: str, text_col: str,
-            every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, classes, and links (a, b) between classes: every link, or as many as the components need."""
+            every: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, classes, and links (a, b) between classes: every one to "list"; to "count" those of one kin are counted only."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                        F.col(f"`{text_col}`").alias("text")).where("doc_id IS NOT NULL")
+                        F.col(f"`{text_col}`").alias("text"))
     rows = cut_lineage(texts.mapInArrow(_documents, "doc_id long, n long, id long, bits array<long>"))
-    members, hot = rows.where("doc_id IS NOT NULL"), common_shingles(rows.where("doc_id IS NULL"))
+    members, hot = rows.where("bits IS NOT NULL"), common_shingles(rows.where("bits IS NULL"))
     classes = written(members.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"),
                                                                F.first("bits").alias("bits"),
                                                                F.count(F.lit(1)).alias("copies")), "classes")
@@ -468,8 +545,13 @@ def _joined(docs: DataFrame, num: int, den: int, id_col: str, text_col: str,
     answers = cut_lineage(_compared(pairs, texts, classes, num, den))
     links = answers.where("linked").select("a", "b")
     if every:
-        links = links.union(_inside(listed, answers, pairs, texts, classes, maps, num, den))
-        final = components(links, active)
+        kin = _kin(answers, classes)
+        late = _inside(listed, kin, answers, pairs, texts, classes, maps, num, den)
+        final = components(links.union(late), active)
+        ends = [kin.select(F.col("id").alias(c), F.col("kin").alias(f"k{c}")) for c in "ab"]
+        links = links.join(ends[0], "a").join(ends[1], "b").where("ka <> kb").select("a", "b").union(late).distinct()
+        if every == "list":
+            links = links.union(_among_kin(kin, num, den, True))
     else:
         first = written(components(links, active), "components")
         more = _between_groups(listed, first, answers, texts, classes, maps, num, den)
@@ -482,8 +564,9 @@ def _joined(docs: DataFrame, num: int, den: int, id_col: str, text_col: str,
                F.coalesce("component_id", "doc_id").alias("component_id")]
     if every:
         size = classes.select(F.col("id").alias("b"), "copies")
-        degree = links.union(links.select("b", "a")).join(size, "b").groupBy("a").agg(F.sum("copies").alias("linked"))
-        named = named.join(degree.withColumnRenamed("a", "id"), "id", "left")
+        degree = (links.union(links.select("b", "a")).join(size, "b").select(F.col("a").alias("id"), F.col("copies").alias("linked"))
+                  .union(_among_kin(kin, num, den, False)).groupBy("id").agg(F.sum("linked").alias("linked")))
+        named = named.join(degree, "id", "left")
         columns.append((F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("linked", F.lit(0))).alias("n_links"))
     return (members.withColumn("id", F.when(F.col("n") > 0, F.col("id"))).join(named, "id", "left").select(*columns),
             classes, links)

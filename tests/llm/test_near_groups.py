@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from papyra.llm import jaccard_join, lm_scoring
-from tests.llm.test_operators import SF, _components, _documents
+from tests.llm.test_operators import _components, _documents, _shingles
 
 
 def _families(seed: int) -> dict[int, str]:
@@ -45,6 +45,40 @@ def test_components_of_the_table(spark):
     assert got == _components(docs)
 
 
+def _links(texts: list[str | None]) -> list[set[int]]:
+    sets = [_shingles(t or "") for t in texts]
+    return [{j for j, b in enumerate(sets) if i != j and a and 100 * len(a & b) >= 80 * len(a | b)} for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("block,length,dense", [(512, 1 << 20, 16), (4, 1 << 20, 2), (512, 40, 16)])
+def test_links_within_kin_are_counted(spark, monkeypatch, block, length, dense):
+    """In one cell, in many by number or by length, by products or by pairs of few; rows repeat over partitions."""
+    monkeypatch.setattr(jaccard_join, "KIN_BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "KIN_LENGTH", length)
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
+    texts = list(_families(3).values())
+    rows = [*enumerate(texts), *[(k, texts[k]) for k in range(0, 60, 7)]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = _links([t for _, t in rows])
+    got = jaccard_join.jaccard_join(frame).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == sorted((d, len(w)) for (d, _), w in zip(rows, want, strict=True))
+    root = _components(dict(enumerate(texts)))
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for d, (_, c) in root.items()}
+
+
+def test_rows_without_an_id_link(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, far = " ".join([*words, "end"]), " ".join(f"v{i}" for i in range(30))
+    rows = [(5, " ".join(words)), (None, " ".join(words)), (None, near), (None, near), (None, far), (None, far + " too"),
+            (None, None), (9, ""), (7, "x y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard_join.jaccard_join(frame).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    want = [(5, 56, 5, 3), (None, 56, 5, 3), (None, 57, 5, 3), (None, 57, 5, 3), (None, 26, None, 1), (None, 27, None, 1),
+            (None, 0, None, 0), (9, 0, 9, 0), (7, 1, 7, 0)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert sorted(map(str, map(tuple, jaccard_join.jaccard_links(frame).collect()))) == ["(None, 5)", "(None, None)"]
+
+
 def test_scores_beside_columns_of_any_name(spark, monkeypatch):
     """Names used inside come back as given, rows of one text agree, on both ways to read the filter."""
     monkeypatch.setattr(lm_scoring, "RANGE_BYTES", 1 << 6)
