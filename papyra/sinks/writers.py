@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.functions.names import plain_path
+from papyra.plans.ordinal import global_ordinal, running_sums
 
 
 def write_docs(outcome: DataFrame, path: str, run_id: str, mode: str = "append") -> None:
@@ -102,6 +106,44 @@ def write_join_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def compact(spark, src: str, dst: str, target_files: int) -> None:
-    """Rewrite many small Parquet files as ``target_files`` files."""
-    spark.read.parquet(src).repartition(target_files).write.mode("overwrite").parquet(dst)
+def _swapped_in(spark: SparkSession, fresh: str, path: str) -> None:
+    """``fresh`` takes the place of ``path`` by renames; a stop between the two leaves the old folder as ``path``.old."""
+    conf, fs_path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, at, old = fs_path(fresh), fs_path(path), fs_path(path + ".old")
+    fs = at.getFileSystem(conf)
+    if fs.exists(at):
+        fs.delete(old, True)
+        if not fs.rename(at, old):
+            raise OSError(f"{path} could not be set aside")
+    if not fs.rename(new, at):
+        raise OSError(f"{fresh} could not be put in place")
+    fs.delete(old, True)
+
+
+def compact(spark: SparkSession, src: str, dst: str, target_bytes: int = 128 << 20) -> bool:
+    """The Parquet files of ``src`` as files of about ``target_bytes`` in ``dst``, which may be ``src``.
+
+    The files are laid end to end in the order of their paths and cut every ``target_bytes``; a row goes
+    to the cut that its split begins in, so a new file holds less than ``target_bytes`` and one split
+    more of the old bytes, and large files are cut too.  The new folder is complete before it takes its
+    place.  False, and nothing is written, where ``src`` is ``dst`` and has at most twice the files that
+    its bytes need and none above twice the target: a second run changes nothing.  The columns of
+    partition folders become columns of the files.
+    """
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+              .load(src).select(plain_path("path").alias("_file"), F.col("length").alias("_bytes")))
+    size = listed.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes"),
+                      F.coalesce(F.max("_bytes"), F.lit(0)).alias("largest")).first()
+    need = max(1, -(-size["bytes"] // target_bytes))
+    if src.rstrip("/") == dst.rstrip("/") and size["files"] <= 2 * need and size["largest"] <= 2 * target_bytes:
+        return False
+    numbered = global_ordinal(listed, ["_file"], "_at").withColumn("_at", F.col("_at") + 1)
+    begin = running_sums(numbered, "_at", ["_bytes"]).select("_file", (F.col("running__bytes") - F.col("_bytes")).alias("_begin"))
+    table = spark.read.option("pathGlobFilter", "*.parquet").parquet(src)
+    rows = table.select("*", plain_path("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"))
+    cut = F.least(F.floor((F.col("_begin") + F.col("_split")) / target_bytes), F.lit(need - 1)).cast("int")
+    placed = rows.join(begin, "_file").withColumn("_cut", cut).repartitionById(need, "_cut")
+    fresh = f"{dst.rstrip('/')}.next-{uuid.uuid4().hex}"
+    placed.select(table.columns).write.parquet(fresh)
+    _swapped_in(spark, fresh, dst.rstrip("/"))
+    return True

@@ -78,8 +78,10 @@ def test_summary_and_parquet_sinks(spark, tmp_dir):
     s = spark.read.json(os.path.join(tmp_dir, "run")).first()
     assert s.total_files_processed == 12 and s.duration_seconds == 3.0
     W.write_parquet_table(out.select("file_name", "batch_index"), os.path.join(tmp_dir, "pq"), "batch_index")
-    W.compact(spark, os.path.join(tmp_dir, "pq"), os.path.join(tmp_dir, "pq2"), 1)
-    assert spark.read.parquet(os.path.join(tmp_dir, "pq2")).count() == 12
+    assert W.compact(spark, os.path.join(tmp_dir, "pq"), os.path.join(tmp_dir, "pq2"))
+    compacted = spark.read.parquet(os.path.join(tmp_dir, "pq2"))
+    assert sorted(map(tuple, compacted.select("file_name", "batch_index").collect())) == sorted(
+        map(tuple, out.select("file_name", "batch_index").collect()))
     W.write_docs(out, os.path.join(tmp_dir, "docs"), "r1")
     assert spark.read.json(os.path.join(tmp_dir, "docs")).filter("run_id = 'r1'").count() == 12
 
@@ -122,3 +124,23 @@ def test_ledger_join_with_hot_hash(spark):
     flagged = I.mark_known_hashes(docs, ledger, "hash_id", "dup")
     got = {r.dup: r["count"] for r in flagged.groupBy("dup").count().collect()}
     assert got == {True: 2001, False: 3999}
+
+
+def test_compact_by_bytes(spark, tmp_dir):
+    """Small files become files of the target's size, rows stay, a second run in place changes nothing."""
+    path = os.path.join(tmp_dir, "small ones")
+    table = spark.range(40000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    table.repartition(40).write.parquet(path)
+
+    def sizes():
+        return sorted(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet"))
+
+    before = sizes()
+    target = sum(before) // 4
+    assert W.compact(spark, path, path, target)
+    after = sizes()
+    assert len(after) <= 5 < len(before) and max(after) <= target + max(before) + (1 << 12)
+    assert spark.read.parquet(path).exceptAll(table).count() == 0 and spark.read.parquet(path).count() == 40000
+    names = sorted(os.listdir(path))
+    assert not W.compact(spark, path, path, target) and sorted(os.listdir(path)) == names
+    assert [f for f in os.listdir(tmp_dir) if f.startswith("small ones")] == ["small ones"]
