@@ -132,6 +132,23 @@ def test_block_pruning_is_exact_and_prunes():
     assert scored < 0.7 * full.size
 
 
+def test_topk_tells_rows_apart_that_share_an_id(spark, tmp_dir):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(-20, 70)]
+    rows += [rows[20], rows[40], (0, [1.0, 2.0, 3.0]), (7, [1.0, 2.0, 3.0]), (None, [9.0, 9.0, 9.0]),
+             (100, []), (101, []), (120, None), (121, [1.0, None, 2.0]), (122, [float("inf")] * 3), (140, [1e30])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_dir}/embeddings.parquet")
+    held = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows
+            if v is not None and None not in v and np.isfinite(v).all() and len(v) != 1]
+    want = []
+    for at, (q, v) in enumerate(held):
+        if q is not None and q % 20 == 0:
+            others = [(-int(v @ w), i is None, i) for n, (i, w) in enumerate(held) if n != at and len(w) == len(v)]
+            want += [(q, r + 1, i, -s) for r, (s, _, i) in enumerate(sorted(others)[:20])]
+    got = Q.op5_block_topk(spark, tmp_dir).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_packing_round_trip(spark, edges):
     from tokenizers import Tokenizer
     encoder = Tokenizer.from_file(packing.default_tokenizer()[0])
