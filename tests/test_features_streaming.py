@@ -39,6 +39,22 @@ def test_tfidf_terms_formula(spark):
     assert t[("a", "x y z")] == (2, 2, 2 * math.log(4 / 3))
 
 
+def test_stream_shards_have_more_files_for_more_bytes(spark, tmp_dir, monkeypatch):
+    import os
+
+    from papyra.plans import queries as Q
+    rows = [(i, f"{i} " * 50, "en", "a") for i in range(400)]
+    (spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+          .write.parquet(f"{tmp_dir}/documents.parquet"))
+    monkeypatch.setattr(Q, "_STREAM_FILE_BYTES", 4000)
+    monkeypatch.setattr(Q, "_STREAM_RUNS", {})
+    path, _, files = Q._shards(spark, tmp_dir)
+    assert files > sum(len(t) for _, t, *_ in rows) // 16000 and len([f for f in os.listdir(path.replace("file:", "")) if f.endswith(".parquet")]) == 4 * files
+    metrics = Q.q_batch_metrics(spark, tmp_dir).collect()
+    assert sorted(r.epoch for r in metrics) == [0, 1, 2, 3] and sum(r.files for r in metrics) == 400
+    assert Q.q_stream_dedup(spark, tmp_dir).distinct().count() == 400
+
+
 def _write_shards(spark, base, n_files=3):
     rows = [(i, f"f{i:03d}.pdf", f"body {i % 7} skills 2020") for i in range(30)] + [(99, "z.txt", "x")]
     df = spark.createDataFrame(rows, "doc_id long, file_name string, text string")
