@@ -46,6 +46,28 @@ def test_content_hash_is_of_raw_text(spark):
     assert r.hash_id == hashlib.md5(FILES[0][1].encode()).hexdigest()
 
 
+def test_rows_without_a_hash_are_dealt_over_all_tasks(spark):
+    files = spark.createDataFrame([(f"f{i}.{'txt' if i % 2 else 'pdf'}", f"text {i}") for i in range(2000)] + [(None, None)] * 2,
+                                  "file_name string, text string")
+    ledger = spark.createDataFrame([(hashlib.md5(f"text {i}".encode()).hexdigest(),) for i in range(0, 2000, 4)] + [(None,)],
+                                   "hash_id string")
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k in held:
+            spark.conf.set(k, "false" if "adaptive" in k else "-1")
+        out = I.ingest_outcome(files, ledger)
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("outcome").alias("n")).collect()]
+        got = sorted((str(r.file_name), r.outcome) for r in out.collect())
+        in_run = I.ingest_outcome(files, ledger, in_run_dedup=True).select("file_name", "outcome").collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert max(sizes) < 0.25 * 2002 and sum(sizes) == 2002
+    want = [(f"f{i}.txt", "unprocessed") if i % 2 else (f"f{i}.pdf", "kept" if i % 4 else "duplicate") for i in range(2000)]
+    assert got == sorted(want + [("None", "unprocessed")] * 2)
+    assert sorted((str(r.file_name), r.outcome) for r in in_run) == got
+
+
 def test_duplicate_groups_with_hot_hash(spark):
     # one hash holds a third of all rows: the aggregate still combines map-side
     rows = [(i, "hot" if i % 3 == 0 else f"h{i}") for i in range(3000)]
