@@ -480,8 +480,11 @@ def _inside(listed: DataFrame, kin: DataFrame, answers: DataFrame, pairs: DataFr
 
 def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with an equal set) and component_id of every document."""
-    return _joined(docs, num, den, id_col, text_col, "")[0]
+    """doc_id, n_shingles, class_id (smallest id with an equal set) and component_id of every document that has an id.
+
+    Rows without one link like the others, but no row here can name them; ``jaccard_join`` returns them too.
+    """
+    return _joined(docs, num, den, id_col, text_col, "")[0].where("doc_id IS NOT NULL")
 
 
 def jaccard_join(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id",
