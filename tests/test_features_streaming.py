@@ -32,6 +32,24 @@ def test_kmeans_assigns_nearest_centre(spark):
     assert [r.k for r in elbow] == [2, 3, 4] and elbow[0].wcss >= elbow[2].wcss
 
 
+def test_clustering_reads_texts_once(spark, monkeypatch):
+    from papyra.plans import queries as Q
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    rows = [(f"k{i}", " ".join(f"w{i * j % 23}" for j in range(5 + i % 7))) for i in range(40)]
+    texts = spark.createDataFrame(rows, "key string, content string")
+    monkeypatch.setattr(Q, "_feature_corpus", lambda *_: texts.withColumn("content", counted("content")))
+    assert Q.q_kmeans_clusters(spark, "").count() == 40 and read.value == 40
+    _, plain = FE.text_pipeline(texts)
+    assert sorted(FE.feature_vectors(texts).collect()) == sorted(plain.select("key", "features").collect())
+    assert [r.k for r in Q.q_kmeans_elbow(spark, "").collect()] == [5, 6, 7, 8, 9, 10] and read.value == 80
+
+
 def test_tfidf_terms_formula(spark):
     df = spark.createDataFrame([("a", ["x y z", "x y z"]), ("b", ["x y z"]), ("c", [])], "key string, trigrams array<string>")
     t = {(r.key, r.term): (r.tf, r.df, r.tfidf) for r in FE.tfidf_terms(df, "key").collect()}
