@@ -78,6 +78,20 @@ def test_duplicate_groups_with_hot_hash(spark):
     assert "partial_count" in plan
 
 
+def test_global_ordinal_computes_rows_once(spark):
+    done = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(k):
+        done.add(1)
+        return k
+
+    df = spark.range(300).select((F.col("id") % 40).cast("string").alias("k"), "id").withColumn("v", counted("k"))
+    got = sorted((r.ordinal, r.k) for r in global_ordinal(df, ["k"], num_partitions=5).collect())
+    assert done.value == 300
+    assert [o for o, _ in got] == list(range(300)) and [k for _, k in got] == sorted(k for _, k in got)
+
+
 def test_global_ordinal_matches_sort(spark):
     import random
     keys = [f"k{random.Random(7).randint(0, 10**9)}_{i}" for i in range(2500)]
