@@ -25,6 +25,7 @@ SAMPLE_ROWS = 1 << 16            # of a fit, less where vectors are long
 SAMPLE_BYTES = 64 * 1024 * 1024
 PER_LIST = 256                   # points of a list
 PROBED_SHARE = 0.15              # of all points that a query's lists hold, at most (its first list always counts)
+BLOCK_CELLS = 1 << 22            # products, and scored pairs, that a task or the driver holds at once (32 MB of doubles)
 CENTRES = "list int, part int, size long, centre array<double>"
 ENTRIES = "id {id}, vector array<float>, list int, part int"
 
@@ -59,6 +60,14 @@ def parts_of(centres: np.ndarray) -> np.ndarray:
     return rank * max(1, math.isqrt(n)) // n
 
 
+def nearest_lists(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, ties to the smaller number; as many rows at once as BLOCK_CELLS lets."""
+    out, step = np.zeros(len(unit), np.int64), max(1, BLOCK_CELLS // max(1, len(centres)))
+    for at in range(0, len(unit) if len(centres) else 0, step):
+        out[at:at + step] = (unit[at:at + step] @ centres.T).argmax(1)
+    return out
+
+
 def assigned(points: DataFrame, centres: np.ndarray, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(id, vector, list, part) of every usable point: its nearest centre, ties to the smaller number."""
     if centres.nbytes > VO.MAX_BROADCAST_BYTES:
@@ -72,7 +81,7 @@ def assigned(points: DataFrame, centres: np.ndarray, id_col: str = "id", vector_
         for b in batches:
             at, unit = VO._matrix(b.column("vector"), centres.shape[1])
             b = b.take(pa.array(at))
-            nearest = (unit @ centres.T).argmax(1) if len(centres) and len(at) else np.zeros(0, np.int64)
+            nearest = nearest_lists(unit, centres)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("vector"), pa.array(nearest.astype(np.int32)),
                  pa.array(part[nearest].astype(np.int32))], ["id", "vector", "list", "part"])
@@ -82,9 +91,13 @@ def assigned(points: DataFrame, centres: np.ndarray, id_col: str = "id", vector_
 
 def probes_of(unit: np.ndarray, centres: np.ndarray, sizes: np.ndarray, share: float) -> list[np.ndarray]:
     """The lists of each query: nearest first, as long as they hold at most ``share`` of all points."""
-    order = np.argsort(-(unit @ centres.T), axis=1, kind="stable")
-    held = np.cumsum(sizes[order], axis=1)
-    return [o[:max(1, int(np.searchsorted(h, share * sizes.sum(), "right")))] for o, h in zip(order, held, strict=True)]
+    out, step = [], max(1, BLOCK_CELLS // max(1, len(centres)))
+    for at in range(0, len(unit), step):
+        order = np.argsort(-(unit[at:at + step] @ centres.T), axis=1, kind="stable")
+        held = np.cumsum(sizes[order], axis=1)
+        out += [o[:max(1, int(np.searchsorted(h, share * sizes.sum(), "right")))].astype(np.int32)
+                for o, h in zip(order, held, strict=True)]
+    return out
 
 
 def _probing(sent, k: int):
@@ -95,7 +108,7 @@ def _probing(sent, k: int):
             at, vecs = VO._matrix(b.column("vector"), unit.shape[1])
             lists = b.column("list").to_numpy()[at]
             by = np.argsort(lists, kind="stable")
-            rows, asked, scores = [], [], []
+            rows, asked, scores, held = [], [], [], 0
             for own in np.split(by, np.flatnonzero(np.diff(lists[by])) + 1):
                 query = queries.get(int(lists[own[0]])) if len(own) else None
                 if query is None:
@@ -105,6 +118,10 @@ def _probing(sent, k: int):
                 rows.append(at[own[r]])
                 asked.append(query[c])
                 scores.append(s[r, c])
+                held += len(r)
+                if held > BLOCK_CELLS // 4:
+                    best.add(b.select(["id"]), *(np.concatenate(x) for x in (rows, asked, scores)))
+                    rows, asked, scores, held = [], [], [], 0
             if rows:
                 best.add(b.select(["id"]), *(np.concatenate(x) for x in (rows, asked, scores)))
         yield from best.rows(["id"], qids)
@@ -126,7 +143,7 @@ def probed_search(entries: DataFrame, centres: np.ndarray, sizes: np.ndarray, qu
         if not len(place) or not len(centres):
             continue
         probed = probes_of(unit, centres, sizes, share)
-        of = np.repeat(np.arange(len(place)), [len(p) for p in probed])
+        of = np.repeat(np.arange(len(place), dtype=np.int32), [len(p) for p in probed])
         lists = np.concatenate(probed)
         scored, asked = scored + int(sizes[lists].sum()), asked + len(place)
         by = np.argsort(lists, kind="stable")

@@ -146,3 +146,18 @@ def test_shards_split_by_bytes(spark, tmp_dir):
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert all(len(glob.glob(f"{tmp_dir}/s/shard={i}/*.parquet")) > 2 for i in (0, 1))
+
+
+def test_lists_of_many_points_are_found_in_bounded_memory():
+    import tracemalloc
+
+    from papyra.operators import inverted_file as IV
+    rng = np.random.default_rng(3)
+    unit, centres = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rng.normal(size=(4000, 8)), rng.normal(size=(4000, 8))))
+    tracemalloc.start()
+    probed = IV.probes_of(unit, centres, np.ones(4000, np.int64), 0.01)       # 128 MB of products, and their order
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    nearest = IV.nearest_lists(unit, centres)
+    tracemalloc.stop()
+    assert all(len(p) == 40 for p in probed) and np.array_equal([p[0] for p in probed], nearest)
+    assert IV.nearest_lists(unit[:0], centres).shape == (0,) and IV.nearest_lists(unit, centres[:0]).shape == (4000,)
