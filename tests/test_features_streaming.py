@@ -148,3 +148,21 @@ def test_file_stream_picks_up_only_new_files(spark, tmp_dir):
     allrows = {r.file_name: r.outcome for r in spark.read.parquet(os.path.join(out, "outcome")).collect()}
     assert allrows == {"p0.html": "kept", "p1.html": "kept", "p2.html": "kept",
                        "p9.html": "duplicate", "p3.html": "kept"}
+
+
+def test_terms_move_once_and_shared_keys_meet(spark):
+    from collections import Counter
+    import math
+    rows = [("a", ["x y z", "p q r", "x y z"]), ("b", ["x y z"]), ("b", ["x y z", "s t u"]), (None, ["p q r"]), (None, ["p q r"]),
+            ("c", []), ("d", None)]
+    df = spark.createDataFrame(rows, "key string, trigrams array<string>").repartition(5)
+    tf = Counter((k, t) for k, terms in rows for t in terms or [])
+    of = Counter(t for _, t in tf)
+    got = FE.tfidf_terms(df, "key")
+    assert got.columns == ["term", "key", "tf", "df", "idf", "tfidf"]
+    assert Counter((r.key, r.term, r.tf, r.df) for r in got.collect()) == Counter((k, t, n, of[t]) for (k, t), n in tf.items())
+    assert {r.term: (r.df, round(r.idf, 9)) for r in FE.idf_table(df, "key").collect()} == {
+        t: (n, round(math.log((len(rows) + 1) / (n + 1)), 9)) for t, n in of.items()}
+    plain = df.where("key IN ('a', 'c')")
+    for t in (FE.tfidf_terms(plain, "key"), FE.idf_table(plain, "key")):
+        assert t._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
