@@ -348,3 +348,15 @@ def test_near_copies_without_or_with_shared_ids(spark):
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(d for d, _ in want if d is not None)
     kept = [rows[r["k"]] for r in got]
     assert all(sum(rows[r["k"]] in g for r in got) == 1 for g in groups) and set(kept) <= {r for g in groups for r in g}
+
+
+def test_pipeline_bounds_arrow_batches(monkeypatch):
+    from types import SimpleNamespace as Some
+
+    import corpus_pipeline
+    monkeypatch.setattr(corpus_pipeline, "prepare_session", lambda spark: None)
+    for given, wanted in ((None, {corpus_pipeline.ARROW_ROWS: "2000"}), ("500", {})):
+        found = {}
+        corpus_pipeline.prepare(Some(sparkContext=Some(getConf=lambda g=given: Some(get=lambda key: g)),
+                                     conf=Some(set=found.__setitem__)))
+        assert found == wanted
