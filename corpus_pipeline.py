@@ -15,17 +15,14 @@ from pyspark.sql import functions as F
 
 from papyra.llm import jaccard_join, langid, mixing, packing, toxicity
 from papyra.llm.common import read, written
-from papyra.session import DEFAULT_CONF, scratch_dir
+from papyra.session import ARROW_ROWS, bound_batches, scratch_dir  # noqa: F401
 from papyra.session import prepare as prepare_session
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
 
 def prepare(spark: SparkSession) -> None:
     """Also bounds the Arrow batches of a session that has no bound of its own: five stages share its executors."""
     prepare_session(spark)
-    if spark.sparkContext.getConf().get(ARROW_ROWS) is None:
-        spark.conf.set(ARROW_ROWS, DEFAULT_CONF[ARROW_ROWS])
+    bound_batches(spark)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

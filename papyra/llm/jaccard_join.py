@@ -29,6 +29,10 @@ with, itself if there is none, and lists hold guides: lists of the same guides a
 Guides that meet are compared once, and members x, y of guides g, h overlap in at most
 |g and h| + |x - g| + |y - h|, so most pairs of groups are ruled out without their members.
 
+Cells.  Neither two entries of one list nor two members of two groups are a row of a join.  The
+entries of a list, or the members of a group and of all smaller ones it may link with, lie
+together in bounded cells with brief bitmaps, and only pairs that these leave open come out.
+
 Edge cases: null and empty texts have no shingle and link with nothing; fewer than
 five words are one shingle; repeated rows are one class; rows without an id link like
 others, and a class or component of such rows alone has no id; long texts are read whole;
@@ -48,7 +52,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm.common import fits, written
 from papyra.llm.words import chain, some_at_a_time, words_of
-from papyra.session import cut_lineage
+from papyra.session import bound_batches, cut_lineage
 
 SHINGLE = 5
 COMMON = 16            # a shingle counts as common from so many sets within one block of shingles
@@ -58,7 +62,11 @@ LIST_BLOCK = 4096      # common lists are dealt by hash into blocks of about so
 KIN_BLOCK = 512        # sets of one kin in a block, about
 KIN_LENGTH = 1 << 20   # and hashes in all their differences
 DENSE = 16             # shingles in so many differences of a cell are counted by a matrix product
-COLUMNS = 1 << 11      # so many of them at a time
+COLUMNS = 1 << 9       # so many of them at a time
+ROWS = 1 << 6          # sets of a cell whose links are counted at a time
+MET = 1 << 13          # list entries, or sets open to one group, that meet in a task's cells, about
+STRIP = 1 << 16        # pairs whose bitmaps are held against each other at a time
+BRIEF = 8              # 64-bit words of a bitmap that goes with a list entry, at most
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -246,6 +254,97 @@ def _possible(pairs: DataFrame, maps: DataFrame, num: int, den: int, small: str
     return met.where(most + F.col("sa") + F.col("sb") >= _need(F.col("la"), F.col("lb"), num, den)).select("a", "b")
 
 
+def _brief(bits: str = "bits") -> Column:
+    """The bitmap folded to ``BRIEF`` words at most: long sets do not move theirs with each of their entries."""
+    return F.expr(f"IF(size({bits}) <= {BRIEF}, {bits}, aggregate(sequence(1, size({bits}) div {BRIEF}), array_repeat(0L, {BRIEF}), "
+                  f"(x, i) -> zip_with(x, slice({bits}, {BRIEF} * (i - 1) + 1, {BRIEF}), (p, q) -> p | q)))")
+
+
+def _words(bits: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Brief bitmaps as rows of words, the same folded to half their size, and their sizes."""
+    size = np.diff(bits.offsets.to_numpy())
+    whole = np.zeros((len(size), BRIEF), np.uint64)
+    whole[np.arange(BRIEF) < size[:, None]] = bits.flatten().to_numpy().view(np.uint64)
+    half = whole.copy()
+    for k in np.unique(size[size > 1]):
+        of = size == k
+        half[of] = 0
+        half[of, :k // 2] = whole[of, :k // 2] | whole[of, k // 2:k]
+    return whole, half, size
+
+
+def _left_open(maps: tuple[np.ndarray, np.ndarray, np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs (i, j) the bitmaps leave open, as in ``_possible``."""
+    whole, half, size = maps
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), STRIP):
+        a, b = i[at:at + STRIP], j[at:at + STRIP]
+        x = np.where((size[a] > size[b])[:, None], half[a], whole[a])
+        y = np.where((size[b] > size[a])[:, None], half[b], whole[b])
+        known = np.maximum(size[a], size[b]) <= 2 * np.minimum(size[a], size[b])     # others are not of one size after a fold
+        most = np.minimum(n[a] - known * np.bitwise_count(x & ~y).sum(1, dtype=np.int64),
+                          n[b] - known * np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+        out[at:at + STRIP] = (num + den) * most >= num * (n[a] + n[b])
+    return out
+
+
+def _pair_table(ids: np.ndarray, i: list[np.ndarray], j: list[np.ndarray]) -> pa.Table:
+    a, b = (ids[np.concatenate([np.empty(0, np.int64), *x])] for x in (i, j))
+    found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.table({"a": found[0], "b": found[1]})
+
+
+def _list_cells(num: int, den: int):
+    """Group: the open pairs of the entries of some cells, each a list, a block of one, or two blocks: no other pair is a row."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("low", "ascending"), ("high", "ascending")])
+        h, low, high, block, ids, n, wide, root, guide, o = [
+            table[c].to_numpy() for c in ("h", "low", "high", "block", "id", "n", "wide", "root", "guide", "o")]
+        n, o, maps = n.astype(np.int64), o.astype(np.int64), _words(table["bits"].combine_chunks())
+        cell = np.cumsum(np.concatenate(([0], (np.diff(h) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0))))
+        found: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        live, step = np.arange(len(h)), 1
+        while True:                              # each entry and the one so many steps after it, while in one cell
+            live = live[:np.searchsorted(live, len(h) - step)]
+            live = live[cell[live + step] == cell[live]]
+            if not len(live):
+                return _pair_table(ids, *found)
+            i, j = live, live + step
+            met = (root[i] != root[j]) & (n[j] <= wide[i]) & (n[i] <= wide[j]) & ((low[i] == high[i]) | (block[i] != block[j]))
+            i, j = i[met], j[met]
+            most = np.minimum(o[i], o[j]) + np.minimum(n[i] - o[i], n[j] - o[j])
+            met = (guide[i] != guide[j]) | ((num + den) * most >= num * (n[i] + n[j]))
+            i, j = i[met], j[met]
+            met = _left_open(maps, n, i, j, num, den)
+            found[0].append(i[met])
+            found[1].append(j[met])
+            step += 1
+
+    return run
+
+
+def _group_cells(num: int, den: int):
+    """Group: open pairs of the members of a group and those of other groups whose guides overlap with its guide by ``overlap``."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids, n, slack, lead, overlap = [table[c].to_numpy() for c in ("id", "n", "slack", "lead", "overlap")]
+        n, maps = n.astype(np.int64), _words(table["bits"].combine_chunks())
+        hosts, guests = np.flatnonzero(overlap < 0), np.flatnonzero(overlap >= 0)
+        found: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        some = max(1, STRIP // max(1, len(hosts)))
+        for at in range(0, len(guests), some):
+            g = guests[at:at + some]
+            met = ((num + den) * ((overlap[g] + slack[g])[:, None] + slack[hosts]) >= num * (n[g][:, None] + n[hosts])
+                   ) & ~(lead[g][:, None] & lead[hosts])         # the guides were compared
+            x, y = np.nonzero(met)
+            i, j = g[x], hosts[y]
+            met = _left_open(maps, n, i, j, num, den)
+            found[0].append(i[met])
+            found[1].append(j[met])
+        return _pair_table(ids, *found)
+
+    return run
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) -> a, b, na, nb, overlap, linked, from the whole sets of one document of each class; if linked, only_a and only_b."""
     wanted = cut_lineage(classes.select("id", F.col("class_id").alias("doc_id"))
@@ -319,16 +418,22 @@ def _kin_cell(num: int, den: int, pairs: bool):
         ids, n, copies, past, less, block = [cell.column(c).to_numpy() for c in ("id", "n", "copies", "past", "less", "block")]
         diff = cell.column("diff").combine_chunks()
         rows = np.repeat(np.arange(len(ids)), np.diff(diff.offsets.to_numpy()))
-        overlap = (n - past)[:, None] - less[None, :] + _shared(rows, diff.flatten().to_numpy(), len(ids))
-        need = -(-num * (n[:, None] + n[None, :]) // (num + den))
-        linked = (overlap >= need) & (ids[:, None] != ids[None, :])
-        if not one:
-            linked &= block[:, None] != block[None, :]
-        if pairs:
-            a, b = np.nonzero(np.triu(linked))
-            return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
-        weight = linked @ copies
-        return pa.table({"id": ids[weight > 0], "linked": weight[weight > 0]})
+        shared = _shared(rows, diff.flatten().to_numpy(), len(ids))
+        found: list[pa.Table] = []
+        for at in range(0, len(ids), ROWS):      # some rows of the matrix at a time
+            x = slice(at, at + ROWS)
+            overlap = shared[x] + (n - past)[x, None] - less
+            linked = ((num + den) * overlap >= num * (n[x, None] + n)) & (ids[x, None] != ids)
+            if not one:
+                linked &= block[x, None] != block
+            if pairs:
+                a, b = np.nonzero(np.triu(linked, at))
+                a += at
+                found.append(pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])}))
+            else:
+                weight = linked @ copies
+                found.append(pa.table({"id": ids[x][weight > 0], "linked": weight[weight > 0]}))
+        return pa.concat_tables(found)
 
     return run
 
@@ -376,7 +481,7 @@ def _between_groups(listed: DataFrame, first: DataFrame, answers: DataFrame, tex
                       .select("id", "n", "root", F.col("x.guide").alias("guide"),
                               (F.col("n") - F.col("x.overlap")).alias("slack")), "members")
     groups = written(members.groupBy("guide").agg(F.min("n").alias("small"), F.max("slack").alias("slack"),
-                                                  F.min("root").alias("root"))
+                                                  F.min("root").alias("root"), F.count(F.lit(1)).alias("size"))
                      .withColumnRenamed("guide", "id").join(maps, "id"), "groups")
     # the leader that most were compared with, of those a guide was compared with, itself included
     compared = (answers.select(F.col("a").alias("id"), F.col("b").alias("lead"), F.col("overlap").alias("o"))
@@ -418,19 +523,28 @@ def _between_groups(listed: DataFrame, first: DataFrame, answers: DataFrame, tex
     ends = [members.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
     joined = links.join(ends[0], "a").join(ends[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     roots = written(components(joined, members.select(F.col("root").alias("id")).distinct()), "roots")
-    sides = [groups.select(F.col("id").alias(c), F.col("small").alias(f"l{c}"), F.col("slack").alias(f"s{c}"), "root")
+    sides = [groups.select(F.col("id").alias(c), F.col("small").alias(f"l{c}"), F.col("slack").alias(f"s{c}"),
+                           F.struct("size", "id").alias(f"w{c}"), "root")
              .join(roots.select(F.col("id").alias("root"), F.col("root").alias(f"r{c}")), "root").drop("root") for c in "ab"]
     rest = (compared.where("NOT linked").join(sides[0], "a").join(sides[1], "b")
             .where(F.col("ra") != F.col("rb"))
             .where(F.col("overlap") + F.col("sa") + F.col("sb") >= _need(F.col("la"), F.col("lb"), num, den))
-            .select(F.col("a").alias("ga"), F.col("b").alias("gb"), "overlap", "lb", F.col("sb").alias("sgb")))
-    ends = [members.select(F.col("id").alias(c), F.col("guide").alias(f"g{c}"), F.col("n").alias(f"n{c}"),
-                           F.col("slack").alias(f"s{c}")) for c in "ab"]
-    inner = (rest.join(ends[0], "ga")
-             .where(F.col("overlap") + F.col("sa") + F.col("sgb") >= _need(F.col("na"), F.col("lb"), num, den))
-             .join(ends[1], "gb").where("a <> ga OR b <> gb")
-             .where(F.col("overlap") + F.col("sa") + F.col("sb") >= _need(F.col("na"), F.col("nb"), num, den))
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+            .select(*[F.when(F.col("wa") > F.col("wb"), F.col(x)).otherwise(F.col(y)).alias(c) for c, x, y in (
+                ("host", "a", "b"), ("guide", "b", "a"), ("least", "la", "lb"), ("more", "sa", "sb"))], "overlap"))
+    # the larger group is the host: its members meet the members of all smaller ones, block against block
+    entries = ["id", "n", F.col("slack").cast("long").alias("slack"), (F.col("id") == F.col("guide")).alias("lead")]
+    guests = written(rest.join(members, "guide")
+                     .where(F.col("overlap") + F.col("slack") + F.col("more") >= _need(F.col("n"), F.col("least"), num, den))
+                     .select("host", *entries, F.col("overlap").cast("long").alias("overlap")), "guests")
+    dealt = (guests.groupBy(F.col("host").alias("id")).agg(F.ceil(F.count(F.lit(1)) / MET).cast("int").alias("guests"))
+             .join(groups.select("id", F.ceil(F.col("size") / KIN_BLOCK).cast("int").alias("hosts")), "id")
+             .withColumnRenamed("id", "host"))
+    hosts = members.withColumn("host", F.col("guide")).select("host", *entries, F.lit(-1).cast("long").alias("overlap"))
+    rows = [x.join(dealt, "host").withColumn(own, F.pmod(F.xxhash64("id"), own).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("host", "hosts", "guests", *x.columns[1:])
+            for x, own, other in ((hosts, "hosts", "guests"), (guests, "guests", "hosts"))]
+    inner = (rows[0].union(rows[1]).join(maps.select("id", _brief().alias("bits")), "id")
+             .groupBy("host", "hosts", "guests").applyInArrow(_group_cells(num, den), "a long, b long"))
     inner = cut_lineage(_possible(inner, maps, num, den))
     late = _compared(inner, texts, classes, num, den).where("linked").select("a", "b")
     return links.union(cut_lineage(late))
@@ -450,12 +564,12 @@ def _inside(listed: DataFrame, kin: DataFrame, answers: DataFrame, pairs: DataFr
             .select("id", F.col("x.guide").alias("guide"), F.col("x.overlap").alias("o")))
     rest = written(listed.join(kin.select("id", F.col("kin").alias("root")), "id", "left")
                    .withColumn("root", F.coalesce("root", "id")).join(best, "id", "left")
-                   .select("h", "split", "block", "id", "n", "wide", "root", "guide", "o"), "rest")
+                   .withColumns({"guide": F.coalesce("guide", "id"), "o": F.coalesce("o", "n")})
+                   .join(maps.select("id", _brief().alias("bits")), "id")
+                   .select("h", "split", "block", "id", "n", "wide", "root", "guide", "o", "bits"), "rest")
     mixed = (rest.groupBy("h").agg(F.min("root").alias("m0"), F.max("root").alias("m1"), F.min("n").alias("s0"),
                                    F.max("wide").alias("w0")).where("m0 <> m1").select("h", "s0", "w0"))
     rest = written(rest.join(mixed, "h").where("s0 <= wide AND n <= w0").drop("s0", "w0"), "mixed")
-    two = rest.select("h", *[F.col(c).alias(f"{c}_2") for c in rest.columns if c != "h"])
-    whole_lists = rest.where("NOT split").join(two.where("NOT split_2"), "h").where("id < id_2")
     # a split list meets itself block by block, but for the pairs of blocks that bounds or kin rule out
     stats = (rest.where("split").groupBy("h", "block")
              .agg(F.min("n").alias("small"), F.max("wide").alias("reach"), F.min("root").alias("r0"),
@@ -464,14 +578,14 @@ def _inside(listed: DataFrame, kin: DataFrame, answers: DataFrame, pairs: DataFr
     cells = (stats.join(other, "h").where("block <= block_2 AND small_2 <= reach AND small <= reach_2 "
                                           "AND NOT (r0 = r1 AND r0_2 = r1_2 AND r0 = r0_2)")
              .select("h", "block", "block_2"))
-    split_lists = (rest.where("split").join(cells, ["h", "block"]).join(two.where("split_2"), ["h", "block_2"])
-                   .select(whole_lists.columns))
-    overlap_most = (F.least("o", "o_2") + F.least(F.col("n") - F.col("o"), F.col("n_2") - F.col("o_2")))
-    open_pairs = (whole_lists.union(split_lists)
-                  .where("root <> root_2 AND n_2 <= wide AND n <= wide_2")
-                  .where(~F.coalesce((F.col("guide") == F.col("guide_2"))
-                                     & (overlap_most < _need(F.col("n"), F.col("n_2"), num, den)), F.lit(False)))
-                  .select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct())
+    cells = cells.select("h", F.explode(F.array_distinct(F.array("block", "block_2"))).alias("block"),
+                         F.col("block").alias("low"), F.col("block_2").alias("high"))
+    met = [rest.where("split").join(cells, ["h", "block"]),
+           rest.where("NOT split").withColumns({c: F.lit(0) for c in ("block", "low", "high")})]
+    met = met[0].unionByName(met[1]).drop("split")
+    parts = F.lit(1 + rest.count() // MET)
+    open_pairs = (met.withColumn("part", F.pmod(F.xxhash64("h", "low", "high"), parts)).groupBy("part")
+                  .applyInArrow(_list_cells(num, den), "a long, b long").distinct())
     open_pairs = open_pairs.join(pairs, ["a", "b"], "left_anti")
     fresh = cut_lineage(_possible(open_pairs, maps, num, den))
     late = cut_lineage(_compared(fresh, texts, classes, num, den).select("a", "b", "linked"))
@@ -509,6 +623,7 @@ def jaccard_links(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "do
 def _joined(docs: DataFrame, num: int, den: int, id_col: str, text_col: str,
             every: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents, classes, and links (a, b) between classes: every one to "list"; to "count" those of one kin are counted only."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                         F.col(f"`{text_col}`").alias("text"))
     rows = cut_lineage(texts.mapInArrow(_documents, "doc_id long, n long, id long, bits array<long>"))

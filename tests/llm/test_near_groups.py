@@ -66,6 +66,38 @@ def test_links_within_kin_are_counted(spark, monkeypatch, block, length, dense):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for d, (_, c) in root.items()}
 
 
+def _near_groups() -> dict[int, str]:
+    """A large group of near copies, and texts that are close to it without a link to any of its members."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    docs = {}
+    for k in range(90):
+        text = list(base)
+        for place in rng.sample(range(5, 190), 3) if k < 60 else [*rng.sample(range(5, 190), 2), *range(3, 195, 27)]:
+            text[place] = f"e{k}x{place}"
+        docs[k] = " ".join(text)
+    return docs
+
+
+@pytest.mark.parametrize("met,strip,brief", [(1 << 13, 1 << 16, 8), (16, 64, 2)])
+def test_pairs_of_large_groups_are_no_rows(spark, monkeypatch, met, strip, brief):
+    monkeypatch.setattr(jaccard_join, "MET", met)
+    monkeypatch.setattr(jaccard_join, "STRIP", strip)
+    monkeypatch.setattr(jaccard_join, "BRIEF", brief)
+    monkeypatch.setattr(jaccard_join, "KIN_BLOCK", 8 if met == 16 else 512)
+    docs, given, possible = _near_groups(), [], jaccard_join._possible
+    monkeypatch.setattr(jaccard_join, "_possible", lambda pairs, *rest: given.append(pairs.count()) or possible(pairs, *rest))
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    want, links = _components(docs), _links(list(docs.values()))
+    got = jaccard_join.jaccard_components(frame).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    several = [given[-1]]
+    counted = jaccard_join.jaccard_join(frame).collect()
+    assert {r["doc_id"]: r["n_links"] for r in counted} == {d: len(x) for d, x in enumerate(links)}
+    several.append(given[-1])
+    assert brief < 8 or several[0] < 400 and several[1] < 1300      # 464 and 1,587 pairs were rows, and are left by bounds alone
+
+
 def test_rows_without_an_id_link(spark):
     words = [f"w{i}" for i in range(60)]
     near, far = " ".join([*words, "end"]), " ".join(f"v{i}" for i in range(30))
