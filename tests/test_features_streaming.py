@@ -50,6 +50,26 @@ def test_clustering_reads_texts_once(spark, monkeypatch):
     assert [r.k for r in Q.q_kmeans_elbow(spark, "").collect()] == [5, 6, 7, 8, 9, 10] and read.value == 80
 
 
+def test_bigrams_read_all_documents_with_their_planted_part(spark, tmp_dir):
+    from papyra.plans import queries as Q
+    from tests.oracle_compare import compare
+    texts = ["the red fox", "Alpha beta", None, "gamma", "one two", "delta", "", "last words", "red fox", "Alpha beta", None]
+    (spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+          .coalesce(1).write.parquet(f"{tmp_dir}/parts"))
+    spark.createDataFrame([(1,), (4,)], "doc_id long").coalesce(1).write.parquet(f"{tmp_dir}/labelled")
+    for name, part in (("documents", "parts"), ("labels", "labelled")):
+        found = [f for f in os.listdir(f"{tmp_dir}/{part}") if f.endswith(".parquet")]
+        os.symlink(f"{tmp_dir}/{part}/{found[0]}", f"{tmp_dir}/{name}.parquet")
+    got = {r.key: r.bigrams for r in Q.q_bigrams(spark, tmp_dir).collect()}
+    assert len(got) == len(texts)
+    assert got["doc_1.DOCX"] == "alpha beta|beta curriculum|curriculum vitae"           # labelled: a duplicate of the prior run
+    assert got["doc_2.html"] == "senior developer" and got["doc_10.pdf"] == "senior developer"    # no text
+    assert got["doc_3.doc"] == "gamma skills|skills specialist|specialist company"
+    assert got["doc_4.txt"] == "one two|two academic|academic background|background 2020-01-02|2020-01-02 see|see http://example.org/a.b,"
+    assert got["doc_7.html"] == "last words"                                            # nothing planted
+    assert compare(spark, "bigrams", tmp_dir)["values_match"]
+
+
 def test_tfidf_terms_formula(spark):
     df = spark.createDataFrame([("a", ["x y z", "x y z"]), ("b", ["x y z"]), ("c", [])], "key string, trigrams array<string>")
     t = {(r.key, r.term): (r.tf, r.df, r.tfidf) for r in FE.tfidf_terms(df, "key").collect()}
